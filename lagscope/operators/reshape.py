@@ -38,18 +38,16 @@ def pivot_wide(df: DataFrame, criteria: Sequence[str] | None = None, precision:
     crit = sorted(criteria) if criteria is not None else criteria_list(df, criteria_col)
     names = sanitize_names(crit)
     group = [*keys, *extra_keys]
-    aggs = [F.avg(value_col).alias("mean")]
-    if with_unit:
-        aggs.append(F.min("unit").alias("unit"))
-    wide = df.groupBy(*group).pivot(criteria_col, crit).agg(*aggs)
-    rename = {}
-    for raw, clean in zip(crit, names):
+    # conditional aggregation: one hash aggregate, partial before the shuffle
+    # (the built-in pivot would aggregate per (keys, criterion) first and
+    # shuffle a second time to pivot)
+    is_c = {c: F.col(criteria_col) == F.lit(c) for c in crit}
+    aggs = []
+    for c, name in zip(crit, names):
+        aggs.append(F.avg(F.when(is_c[c], F.col(value_col))).alias(name))
         if with_unit:
-            rename[f"{raw}_mean"] = clean
-            rename[f"{raw}_unit"] = f"{clean}_unit"
-        else:
-            rename[raw] = clean
-    wide = wide.toDF(*[rename.get(c, c) for c in wide.columns])
+            aggs.append(F.min(F.when(is_c[c], F.col("unit"))).alias(f"{name}_unit"))
+    wide = df.where(F.col(criteria_col).isin(crit)).groupBy(*group).agg(*aggs)
     if drop_null:
         wide = wide.na.drop(how="any", subset=[c for c in wide.columns if c not in group])
     return wide

@@ -5,10 +5,12 @@ every series of Y and every lag it returns the Pearson r of the pairs
 ``(x[i], y[i + lag])``; a positive lag compares the past of x with the
 present of y.  It is one declarative plan:
 
-1. the *joined days* (days on which X is complete and Y has a value) get a
-   positional index (``unit="rows"``) or their epoch day (``unit="days"``);
-2. X rows are replicated once per lag (an ``explode`` of the literal lag
-   list, no join) and equi-joined with Y on ``(by, idx + lag)``;
+1. X and Y (wide, one row per day) are joined on the day;
+2. ``unit="rows"``: one window pass over the joined days reads
+   ``lead(y, lag)`` for every lag, and each day's row is expanded into its
+   (series_x, series_y, lag) cells -- no second join.  ``unit="days"``: x
+   rows are replicated per lag (``explode`` of the literal list) and
+   equi-joined with y on ``(by, epoch_day + lag)``;
 3. one ``groupBy(by, series_x, series_y, lag)`` computes ``n`` and r with
    partial aggregation, so only one small row per group and partition is
    shuffled.
@@ -21,68 +23,84 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagscope.functions.exprs import safe_pearson
-from lagscope.operators.series import day_index
 
 
-def _complete_days(df: DataFrame, by: list[str], date_col: str, series_col: str) -> DataFrame:
-    """Days (per ``by``) on which every series of ``df`` has a value."""
-    total = df.select(F.count_distinct(series_col)).scalar()
-    return (df.where(F.col("value").isNotNull())
-            .groupBy(*by, date_col).agg(F.count_distinct(series_col).alias("_k"))
-            .where(F.col("_k") == total).select(*by, date_col))
-
-
-def lagged_correlation(x: DataFrame, y: DataFrame, lags: Sequence[int], by: Sequence[str] = (),
-                       unit: str = "rows", date_col: str = "date", series_col: str = "series",
-                       complete: bool = True) -> DataFrame:
+def lagged_correlation(x: DataFrame, y: DataFrame, lags: Sequence[int], x_cols: Sequence[str],
+                       y_cols: Sequence[str], by: Sequence[str] = (), unit: str = "rows",
+                       date_col: str = "date") -> DataFrame:
     """All-play-all time-lagged Pearson correlation.
 
-    ``x``/``y``: long ``(by..., date, series, value)``.  Output:
-    ``(by..., series_x, series_y, lag, n, r)`` with ``n`` the number of pairs;
-    r is null for a constant side or fewer than two pairs, and a (pair, lag)
-    with no overlapping positions has no row.
-
-    ``unit="rows"`` counts lags in joined days (positions); ``unit="days"``
-    counts calendar days (x on day d meets y on day d + lag).
+    ``x``/``y``: wide frames, one row per (``by``..., day), one column per
+    series (``x_cols`` / ``y_cols``); a row with a null in its series is not
+    a usable day (complete-case).  Output
+    ``(by..., series_x, series_y, lag, n, r)`` with ``n`` the number of
+    pairs; r is null for a constant side or fewer than two pairs, and a
+    (pair, lag) without overlapping positions has no row.
+
+    ``unit="rows"`` counts lags in joined days (positions in the days both
+    sides have); ``unit="days"`` counts calendar days (x on day d meets y on
+    day d + lag).  Scaling either side does not change r, so inputs need no
+    prior normalisation.
     """
-    by = list(by)
+    by, x_cols, y_cols = list(by), list(x_cols), list(y_cols)
     lag_list = sorted({int(v) for v in lags})
     if not lag_list:
         raise ValueError("at least one lag is required")
     if unit not in ("rows", "days"):
         raise ValueError("unit must be 'rows' or 'days'")
-    xv = x.select(*by, date_col, F.col(series_col).alias("series"), F.col("value").cast("double").alias("value"))
-    yv = y.select(*by, date_col, F.col(series_col).alias("series"), F.col("value").cast("double").alias("value"))
-    xdays = _complete_days(xv, by, date_col, "series") if complete else xv.select(*by, date_col).distinct()
-    ydays = yv.where(F.col("value").isNotNull()).select(*by, date_col).distinct()
+    keys = [*by, date_col]
+    xk = x.select(*keys, *[F.col(c).cast("double").alias(c) for c in x_cols]).na.drop(subset=x_cols)
+    same = y is x and y_cols == x_cols
+    yk = xk if same else y.select(*keys, *[F.col(c).cast("double").alias(c) for c in y_cols]).na.drop(subset=y_cols)
 
     if unit == "rows":
-        days = xdays.join(ydays, [*by, date_col])
-        idx = day_index(days, by, date_col)
-        xi = xv.join(idx, [*by, date_col])
-        yi = yv.join(idx, [*by, date_col])
+        # The joined days: one row per (by, day) carrying both sides.  With
+        # positional lags, y[i + lag] is lead(y, lag) over those rows, so one
+        # window pass (partitioned by ``by``; at most one row per calendar
+        # day) lines every x up with every lagged y -- no join on an index.
+        if same:
+            j, ymap = xk, {c: c for c in y_cols}
+        else:
+            ymap = {c: f"_y_{c}" for c in y_cols}
+            j = xk.join(yk.select(*keys, *[F.col(c).alias(ymap[c]) for c in y_cols]), keys)
+        w = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy(date_col)
+
+        def shifted(c: str, lag: int):
+            if lag == 0:
+                return F.col(c)
+            return F.lead(c, lag).over(w) if lag > 0 else F.lag(c, -lag).over(w)
+
+        shifted_cols = {(c, lag): f"_s{i}_{k}" for i, c in enumerate(y_cols) for k, lag in enumerate(lag_list)}
+        lagged = j.select(*by, *x_cols, *[shifted(ymap[c], lag).alias(name)
+                                          for (c, lag), name in shifted_cols.items()])
+        ycells = F.array(*[
+            F.struct(F.lit(c).alias("series_y"), F.lit(lag).alias("lag"), F.col(name).alias("vy"))
+            for (c, lag), name in shifted_cols.items()])
+        aligned = lagged.select(*by, *x_cols, F.explode(ycells).alias("_c")).where(F.col("_c.vy").isNotNull())
+        pairs = (aligned.select(*by, "_c.*", *x_cols)
+                 .unpivot([*by, "series_y", "lag", "vy"], x_cols, "series_x", "vx"))
     else:
-        epoch = F.datediff(F.col(date_col), F.lit("1970-01-01").cast("date"))
-        xi = xv.join(xdays, [*by, date_col]).withColumn("idx", epoch)
-        yi = yv.withColumn("idx", epoch)
-
-    lag_arr = F.array(*[F.lit(v) for v in lag_list])
-    xl = xi.select(*by, F.col("series").alias("series_x"), F.col("value").alias("vx"),
-                   F.explode(lag_arr).alias("lag"), F.col("idx"))
-    xl = xl.withColumn("idx", F.col("idx") + F.col("lag"))
-    yl = yi.select(*by, F.col("idx"), F.col("series").alias("series_y"), F.col("value").alias("vy"))
-    pairs = xl.join(yl, [*by, "idx"])
+        epoch = F.datediff(F.col(date_col), F.lit("1970-01-01").cast("date")).alias("idx")
+        xi = xk.select(*by, epoch, *x_cols)
+        yi = yk.select(*by, epoch, *y_cols)
+        # each x value once per lag, keyed by the calendar day it meets in y
+        xl = (xi.unpivot([*by, "idx"], x_cols, "series_x", "vx")
+              .select(*by, "series_x", "vx", "idx", F.explode(F.array(*[F.lit(v) for v in lag_list])).alias("lag"))
+              .withColumn("idx", F.col("idx") + F.col("lag")))
+        yl = yi.unpivot([*by, "idx"], y_cols, "series_y", "vy")
+        pairs = xl.join(yl, [*by, "idx"])
     return (pairs.groupBy(*by, "series_x", "series_y", "lag")
             .agg(F.count(F.lit(1)).alias("n"), safe_pearson("vx", "vy").alias("r")))
 
 
-def auto_correlation(x: DataFrame, lags: Sequence[int], by: Sequence[str] = (), **kw) -> DataFrame:
+def auto_correlation(x: DataFrame, lags: Sequence[int], cols: Sequence[str], by: Sequence[str] = (),
+                     **kw) -> DataFrame:
     """Every series against every series of the same set (X = Y)."""
-    return lagged_correlation(x, x, lags, by=by, **kw)
+    return lagged_correlation(x, x, lags, cols, cols, by=by, **kw)
 
 
 def correlation_matrix(wide: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -158,11 +158,8 @@ def tlcc_price_frame(spark: SparkSession, sf: str, lags=PRICE_LAGS, years=None)
         d = clean.year_filter(d, years)
         p = clean.year_filter(p, years)
     clean.validate_columns(d, ["date", *FLAGS])
-    d = scale.zscore(d, FLAGS)
-    p = scale.zscore(p.select("date", "price"), ["price"])
-    x = reshape.melt(d, ["date"], FLAGS)
-    y = reshape.melt(p, ["date"], ["price"])
-    return xcorr.lagged_correlation(x, y, lags)
+    # r is invariant under the scenario's z-scaling, so it is not applied here
+    return xcorr.lagged_correlation(d, p, lags, FLAGS, ["price"])
 
 
 @register("tlcc_price", with_(SQL_M, SQL_W, SQL_D, SQL_P, SQL_X, SQL_Y) + sql_tlcc(PRICE_LAGS))
@@ -188,9 +185,7 @@ def tlcc_toxics_lags(spark, sf):
 
 @register("tlcc_auto", with_(SQL_M, SQL_W, SQL_D, SQL_X, "y AS (SELECT * FROM x)") + sql_tlcc(AUTO_LAGS))
 def tlcc_auto(spark, sf):
-    d = scale.zscore(daily(spark, sf), FLAGS)
-    x = reshape.melt(d, ["date"], FLAGS)
-    return rounded(xcorr.auto_correlation(x, AUTO_LAGS), special={"r": 8})
+    return rounded(xcorr.auto_correlation(daily(spark, sf), AUTO_LAGS, FLAGS), special={"r": 8})
 
 
 @register("tlcc_calendar", with_(SQL_M, SQL_W, SQL_D, SQL_P, SQL_X, SQL_Y, sql_lags(PRICE_LAGS)) + f"""
@@ -199,9 +194,8 @@ SELECT x.series AS series_x, y.series AS series_y, CAST(lags.lag AS INTEGER) AS
 FROM x CROSS JOIN lags JOIN y ON y.date = x.date + CAST(lags.lag AS INTEGER)
 GROUP BY 1, 2, 3""")
 def tlcc_calendar(spark, sf):
-    x = reshape.melt(daily(spark, sf), ["date"], FLAGS)
-    y = reshape.melt(prices(spark, sf).select("date", "price"), ["date"], ["price"])
-    return rounded(xcorr.lagged_correlation(x, y, PRICE_LAGS, unit="days"), special={"r": 8})
+    return rounded(xcorr.lagged_correlation(daily(spark, sf), prices(spark, sf), PRICE_LAGS, FLAGS, ["price"],
+                                            unit="days"), special={"r": 8})
 
 
 @register("tlcc_by_site", with_(SQL_M, SQL_W, SQL_P, """xs AS (
@@ -223,10 +217,8 @@ def tlcc_by_site(spark, sf):
     """Per-site correlation: each site's complete days against the price of
     the same days, positions counted per site."""
     w = wide(spark, sf)
-    x = reshape.melt(w, ["lat", "lon", "date"], FLAGS)
-    p = prices(spark, sf).select("date", "price")
-    # the price series is shared by every site: attach it per (site, day)
-    # through the site's own days, an equi-join on date (no cross product)
-    y = (w.select("lat", "lon", "date").join(p, "date")
-         .select("lat", "lon", "date", F.lit("price").alias("series"), F.col("price").alias("value")))
-    return rounded(xcorr.lagged_correlation(x, y, TOXICS_LAGS, by=["lat", "lon"]), special={"r": 8})
+    # the price series is shared by every site: attach it to each site's own
+    # days by an equi-join on the day (no site x day product)
+    y = w.select("lat", "lon", "date").join(prices(spark, sf).select("date", "price"), "date")
+    return rounded(xcorr.lagged_correlation(w, y, TOXICS_LAGS, FLAGS, ["price"], by=["lat", "lon"]),
+                   special={"r": 8})
