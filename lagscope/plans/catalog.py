@@ -222,3 +222,412 @@ def tlcc_by_site(spark, sf):
     y = w.select("lat", "lon", "date").join(prices(spark, sf).select("date", "price"), "date")
     return rounded(xcorr.lagged_correlation(w, y, TOXICS_LAGS, FLAGS, ["price"], by=["lat", "lon"]),
                    special={"r": 8})
+
+
+# --------------------------------------------------------------------------
+# Ingest and cleaning
+# --------------------------------------------------------------------------
+
+@register("clean_measurements", with_(SQL_M) + """
+SELECT criteria, state, county, lat, lon, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, date, value, unit FROM m""")
+def clean_measurements(spark, sf):
+    m = measurements(spark, sf)
+    return rounded(m.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss")), digits=10)
+
+
+@register("distinct_criteria", with_(SQL_M) + "SELECT DISTINCT criteria FROM m ORDER BY 1")
+def distinct_criteria(spark, sf):
+    return clean.distinct_values(measurements(spark, sf), "criteria")
+
+
+@register("distinct_units", with_(SQL_M) + "SELECT DISTINCT unit FROM m ORDER BY 1")
+def distinct_units(spark, sf):
+    from lagscope.operators.profile import distinct_units as units
+
+    return units(measurements(spark, sf))
+
+
+@register("snap_coordinates", with_(SQL_M) + """
+SELECT round(lat, 3) AS lat, round(lon, 3) AS lon, count(*) AS n FROM m GROUP BY 1, 2""")
+def snap_coordinates(spark, sf):
+    snapped = clean.snap_coordinates(measurements(spark, sf), 3)
+    return snapped.groupBy("lat", "lon").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("year_filter", with_(SQL_M) + """
+SELECT criteria, lat, lon, date, value FROM m WHERE year(date) BETWEEN 1996 AND 1998""")
+def year_filter(spark, sf):
+    from lagscope.sources.measurements import year_list
+
+    m = clean.year_filter(measurements(spark, sf), year_list(1996, 1998))
+    return rounded(m.select("criteria", "lat", "lon", "date", "value"), digits=10)
+
+
+@register("sort_by_date", with_(SQL_M) + """
+SELECT criteria, lat, lon, date, value FROM m ORDER BY date DESC""")
+def sort_by_date(spark, sf):
+    m = measurements(spark, sf).select("criteria", "lat", "lon", "date", "value")
+    return rounded(clean.sort_by_date(m, ascending=False), digits=10)
+
+
+SQL_ROWTEXT = ("lower(concat_ws(' ', criteria, state, county, CAST(lat AS VARCHAR), CAST(lon AS VARCHAR), "
+               "CAST(ts AS VARCHAR), CAST(date AS VARCHAR), CAST(value AS VARCHAR), unit)) LIKE '%nation_1%'")
+
+
+@register("text_filter", with_(SQL_M) + f"""
+SELECT criteria, state, county, date, value FROM m WHERE {SQL_ROWTEXT}""")
+def text_filter(spark, sf):
+    m = clean.text_filter(measurements(spark, sf), "NATION_1")
+    return rounded(m.select("criteria", "state", "county", "date", "value"), digits=10)
+
+
+@register("region_yearly_mean", with_(SQL_M) + f"""
+SELECT CAST(year(date) AS INTEGER) AS year, round(avg(value), 6) AS value FROM m WHERE {SQL_ROWTEXT} GROUP BY 1""")
+def region_yearly_mean(spark, sf):
+    m = clean.text_filter(measurements(spark, sf), "nation_1")
+    return rounded(series.yearly_mean(m))
+
+
+@register("price_parts", with_(SQL_P) + """
+SELECT date, round(price, 6) AS price, strftime(date, '%Y') AS year_str, strftime(date, '%m') AS month_str,
+       strftime(date, '%d') AS day_str, CAST(year(date) AS INTEGER) AS year,
+       CAST(dayofyear(date) AS INTEGER) AS dayofyear FROM p""")
+def price_parts(spark, sf):
+    return rounded(tables.order_prices_parsed(spark, sf))
+
+
+# --------------------------------------------------------------------------
+# Pivot and complete-case
+# --------------------------------------------------------------------------
+
+@register("pivot_mean", with_(SQL_M, SQL_W) + """
+SELECT lat, lon, date, round("A", 6) AS "A", round("N", 6) AS "N", round("R", 6) AS "R" FROM wc""")
+def pivot_mean(spark, sf):
+    return rounded(wide(spark, sf))
+
+
+@register("pivot_mean_unit", with_(SQL_M) + """
+SELECT * FROM (
+  SELECT round(lat, 3) AS lat, round(lon, 3) AS lon, date,
+         round(avg(value) FILTER (WHERE criteria = 'A'), 6) AS "A", min(unit) FILTER (WHERE criteria = 'A') AS "A_unit",
+         round(avg(value) FILTER (WHERE criteria = 'N'), 6) AS "N", min(unit) FILTER (WHERE criteria = 'N') AS "N_unit",
+         round(avg(value) FILTER (WHERE criteria = 'R'), 6) AS "R", min(unit) FILTER (WHERE criteria = 'R') AS "R_unit"
+  FROM m GROUP BY 1, 2, 3) t
+WHERE "A" IS NOT NULL AND "N" IS NOT NULL AND "R" IS NOT NULL""")
+def pivot_mean_unit(spark, sf):
+    return rounded(wide(spark, sf, with_unit=True))
+
+
+@register("complete_case", with_(SQL_M, SQL_W) + """
+SELECT lat, lon, date, 'A' AS criteria, round("A", 6) AS value FROM wc UNION ALL
+SELECT lat, lon, date, 'N', round("N", 6) FROM wc UNION ALL
+SELECT lat, lon, date, 'R', round("R", 6) FROM wc""")
+def complete_case(spark, sf):
+    snapped = clean.snap_coordinates(measurements(spark, sf), 3)
+    return rounded(clean.complete_case_long(snapped, ["lat", "lon", "date"], FLAGS))
+
+
+# --------------------------------------------------------------------------
+# Daily series and smoothing
+# --------------------------------------------------------------------------
+
+def _r6(*cols: str) -> str:
+    return ", ".join(f'round("{c}", 6) AS "{c}"' for c in cols)
+
+
+@register("daily_mean", with_(SQL_M, SQL_W, SQL_D) + f"SELECT date, year, dayofyear, {_r6(*FLAGS)} FROM d")
+def daily_mean(spark, sf):
+    return rounded(daily(spark, sf))
+
+
+@register("site_daily_mean", with_(SQL_M, SQL_W) + f"""
+SELECT lat, lon, date, CAST(year(date) AS INTEGER) AS year, CAST(dayofyear(date) AS INTEGER) AS dayofyear,
+       {", ".join(f'round(avg("{c}"), 6) AS "{c}"' for c in FLAGS)}
+FROM wc GROUP BY lat, lon, date""")
+def site_daily_mean(spark, sf):
+    return rounded(series.daily_mean(wide(spark, sf), FLAGS, by=["lat", "lon"]))
+
+
+@register("sma_centered", with_(SQL_M, SQL_W) + f"""
+SELECT lat, lon, date, {", ".join(f'round(avg("{c}") OVER w, 6) AS "{c}_sma12"' for c in FLAGS)}
+FROM wc WINDOW w AS (PARTITION BY lat, lon ORDER BY date ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING)""")
+def sma_centered(spark, sf):
+    s = series.sma(wide(spark, sf), ["lat", "lon"], FLAGS, periods=12)
+    return rounded(s.select("lat", "lon", "date", *[f"{c}_sma12" for c in FLAGS]))
+
+
+@register("sma_trailing", with_(SQL_M, SQL_W, SQL_D) + f"""
+SELECT * FROM (
+  SELECT date, {", ".join(f'CASE WHEN count(*) OVER w = 7 THEN round(avg("{c}") OVER w, 6) END AS "{c}_ma7"'
+                          for c in FLAGS)}
+  FROM d WINDOW w AS (ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)) t
+WHERE "A_ma7" IS NOT NULL""")
+def sma_trailing(spark, sf):
+    s = series.sma(daily(spark, sf), [], FLAGS, periods=7, trailing=True)
+    return rounded(s.select("date", *[f"{c}_ma7" for c in FLAGS]).where(F.col("A_ma7").isNotNull()))
+
+
+SQL_EI = """ei AS (SELECT *, row_number() OVER (PARTITION BY site, criteria ORDER BY ts, event_id) AS i FROM e)"""
+
+
+@register("ema_span3", with_(SQL_E, SQL_EI) + """
+SELECT a.event_id, a.site, a.criteria,
+       round(sum(b.value * pow(0.5, a.i - b.i)) / sum(pow(0.5, a.i - b.i)), 6) AS value_ema
+FROM ei a JOIN ei b ON a.site = b.site AND a.criteria = b.criteria AND b.i <= a.i
+GROUP BY 1, 2, 3""")
+def ema_span3(spark, sf):
+    e = events(spark, sf).select("event_id", "site", "criteria", "ts", "value")
+    out = series.ema(e, ["site", "criteria"], ["value"], span=3, order=["ts", "event_id"])
+    return rounded(out.select("event_id", "site", "criteria", "value_ema"))
+
+
+@register("gradient_norm", with_(SQL_E) + """
+SELECT event_id, site, criteria, round(g / sqrt(sum(value * value) OVER (PARTITION BY site, criteria)), 6) AS value_grad
+FROM (SELECT *,
+        CASE WHEN lag(value) OVER w IS NOT NULL AND lead(value) OVER w IS NOT NULL
+               THEN (lead(value) OVER w - lag(value) OVER w) / 2.0
+             WHEN lag(value) OVER w IS NULL AND lead(value) OVER w IS NOT NULL THEN lead(value) OVER w - value
+             WHEN lag(value) OVER w IS NOT NULL AND lead(value) OVER w IS NULL THEN value - lag(value) OVER w
+        END AS g
+      FROM e WINDOW w AS (PARTITION BY site, criteria ORDER BY ts, event_id)) t""")
+def gradient_norm(spark, sf):
+    e = events(spark, sf)
+    out = series.gradient(e, ["site", "criteria"], ["value"], order=["ts", "event_id"])
+    return rounded(out.select("event_id", "site", "criteria", "value_grad"))
+
+
+@register("shift_padded", with_(SQL_E) + """
+SELECT event_id, site, criteria, lag(value, 3, 0.0) OVER (PARTITION BY site, criteria ORDER BY ts, event_id) AS value_shift3
+FROM e""")
+def shift_padded(spark, sf):
+    out = series.shift(events(spark, sf), ["site", "criteria"], "value", 3, order=["ts", "event_id"], pad=0.0)
+    return rounded(out.select("event_id", "site", "criteria", "value_shift3"))
+
+
+@register("shift_truncated", with_(SQL_E) + """
+SELECT event_id, site, criteria, v AS "value_shift-2" FROM (
+  SELECT event_id, site, criteria, lead(value, 2) OVER w AS v,
+         row_number() OVER w AS pos, count(*) OVER (PARTITION BY site, criteria) AS cnt
+  FROM e WINDOW w AS (PARTITION BY site, criteria ORDER BY ts, event_id)) t
+WHERE pos <= cnt - 2""")
+def shift_truncated(spark, sf):
+    out = series.shift(events(spark, sf), ["site", "criteria"], "value", -2, order=["ts", "event_id"])
+    return rounded(out.select("event_id", "site", "criteria", "value_shift-2"))
+
+
+@register("deseason_hourly", with_(SQL_E) + """
+SELECT event_id, round(value - avg(value) OVER (PARTITION BY hour(ts)), 6) AS value FROM e""")
+def deseason_hourly(spark, sf):
+    e = events(spark, sf).select("event_id", "ts", "value")
+    return rounded(series.deseason(e, "value", "ts", "hourly").select("event_id", "value"))
+
+
+def _deseason_sql(part: str) -> str:
+    return with_(SQL_M, SQL_W) + f"""
+SELECT lat, lon, date, round("A" - avg("A") OVER (PARTITION BY {part}(date)), 6) AS "A" FROM wc"""
+
+
+def _deseason(freq: str):
+    def run(spark, sf):
+        w = wide(spark, sf).select("lat", "lon", "date", "A")
+        return rounded(series.deseason(w, "A", "date", freq))
+    return run
+
+
+register("deseason_daily", _deseason_sql("dayofmonth"))(_deseason("daily"))
+register("deseason_monthly", _deseason_sql("month"))(_deseason("monthly"))
+register("deseason_yearly", _deseason_sql("year"))(_deseason("yearly"))
+
+
+@register("climatology", with_(SQL_M, SQL_W, SQL_D) + f"""
+SELECT CAST(dayofyear AS INTEGER) AS dayofyear, {", ".join(f'round(avg("{c}"), 6) AS "{c}"' for c in FLAGS)}
+FROM d GROUP BY 1""")
+def climatology(spark, sf):
+    return rounded(series.climatology(daily(spark, sf), FLAGS))
+
+
+# --------------------------------------------------------------------------
+# Scaling and norms
+# --------------------------------------------------------------------------
+
+def _sql_z(c: str, src_over: str = "OVER ()") -> str:
+    return (f'CASE WHEN stddev_samp("{c}") {src_over} = 0 THEN 0.0 '
+            f'ELSE ("{c}" - avg("{c}") {src_over}) / stddev_samp("{c}") {src_over} END')
+
+
+@register("zscore", with_(SQL_M, SQL_W, SQL_D) + f"""
+SELECT date, {", ".join(f'round({_sql_z(c)}, 6) AS "{c}"' for c in FLAGS)} FROM d""")
+def zscore(spark, sf):
+    return rounded(scale.zscore(daily(spark, sf), FLAGS).select("date", *FLAGS))
+
+
+@register("maxabs_scale", with_(SQL_M, SQL_W, SQL_D) + f"""
+SELECT date, {", ".join(f'round(CASE WHEN max(abs("{c}")) OVER () = 0 THEN 0.0 ELSE "{c}" / max(abs("{c}")) OVER () END, 6) AS "{c}"' for c in FLAGS)}
+FROM d""")
+def maxabs_scale(spark, sf):
+    return rounded(scale.max_abs(daily(spark, sf), FLAGS).select("date", *FLAGS))
+
+
+@register("minmax_scale", with_(SQL_M, SQL_W, SQL_D) + f"""
+SELECT date, {", ".join(f'round(CASE WHEN max("{c}") OVER () = min("{c}") OVER () THEN 0.5 ELSE ("{c}" - min("{c}") OVER ()) / (max("{c}") OVER () - min("{c}") OVER ()) END, 6) AS "{c}"' for c in FLAGS)}
+FROM d""")
+def minmax_scale(spark, sf):
+    return rounded(scale.min_max(daily(spark, sf), FLAGS).select("date", *FLAGS))
+
+
+SMA12 = [f"{c}_sma12" for c in FLAGS]
+SQL_S12 = f"""s AS (SELECT lat, lon, date, {", ".join(f'avg("{c}") OVER w AS "{c}_sma12"' for c in FLAGS)}
+  FROM wc WINDOW w AS (PARTITION BY lat, lon ORDER BY date ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING))"""
+
+
+@register("zscore_maxabs_chain", with_(SQL_M, SQL_W, SQL_S12, f"""z AS (
+  SELECT lat, lon, date, {", ".join(f'{_sql_z(c)} AS "{c}"' for c in SMA12)} FROM s)""") + f"""
+SELECT lat, lon, date, {", ".join(f'round(CASE WHEN max(abs("{c}")) OVER () = 0 THEN 0.0 ELSE "{c}" / max(abs("{c}")) OVER () END, 6) AS "{c}"' for c in SMA12)}
+FROM z""")
+def zscore_maxabs_chain(spark, sf):
+    """The prepared-dataset chain: pivot -> centred SMA(12) per site ->
+    keep the smoothed columns -> z-score -> max-abs."""
+    s = series.sma(wide(spark, sf), ["lat", "lon"], FLAGS, periods=12)
+    s = clean.select_like(s, "_sma", keep=["lat", "lon", "date"])
+    return rounded(scale.zscore_max_abs(s, SMA12))
+
+
+@register("l2_norm", with_(SQL_M, SQL_W, SQL_D) + f"""
+SELECT date, round(sqrt({" + ".join(f'pow({_sql_z(c)}, 2)' for c in FLAGS)}), 6) AS norm FROM d""")
+def l2_norm_query(spark, sf):
+    z = scale.zscore(daily(spark, sf), FLAGS)
+    return rounded(z.select("date", l2_norm(*FLAGS).alias("norm")))
+
+
+# --------------------------------------------------------------------------
+# Correlation matrix family (climatology of the daily national means)
+# --------------------------------------------------------------------------
+
+SQL_C = f"""c AS (SELECT dayofyear, {", ".join(f'avg("{c}") AS "{c}"' for c in FLAGS)} FROM d GROUP BY 1)"""
+SQL_CM = "cm AS (" + " UNION ALL ".join(
+    f"""SELECT '{a}' AS series_a, '{b}' AS series_b, {sql_pearson(f'"{a}"', f'"{b}"')} AS r FROM c"""
+    for a in FLAGS for b in FLAGS) + ")"
+
+
+def _corr(spark, sf):
+    return xcorr.correlation_matrix(series.climatology(daily(spark, sf), FLAGS), FLAGS)
+
+
+@register("corr_matrix", with_(SQL_M, SQL_W, SQL_D, SQL_C, SQL_CM) + "SELECT series_a, series_b, round(r, 8) AS r FROM cm")
+def corr_matrix(spark, sf):
+    return rounded(_corr(spark, sf), special={"r": 8})
+
+
+@register("corr_mass", with_(SQL_M, SQL_W, SQL_D, SQL_C, SQL_CM) + """
+SELECT series_a, round(sum(abs(r)), 6) AS mass FROM cm WHERE series_a <> series_b GROUP BY 1""")
+def corr_mass(spark, sf):
+    return rounded(xcorr.correlation_mass(_corr(spark, sf)))
+
+
+@register("corr_adjacency", with_(SQL_M, SQL_W, SQL_D, SQL_C, SQL_CM) + """
+SELECT series_a, series_b, CASE WHEN series_a <> series_b AND r > 0.8 THEN 1 ELSE 0 END AS adj FROM cm""")
+def corr_adjacency(spark, sf):
+    return xcorr.adjacency(_corr(spark, sf), 0.8)
+
+
+@register("badness_curve", with_(SQL_M, SQL_W, SQL_D, f"""z AS (
+  SELECT date, row_number() OVER (ORDER BY date) AS i, {", ".join(f'{_sql_z(c)} AS "{c}"' for c in FLAGS)} FROM d)""",
+  f"""em AS (
+  SELECT a.date, {", ".join(f'sum(b."{c}" * pow(0.5, a.i - b.i)) / sum(pow(0.5, a.i - b.i)) AS "{c}"' for c in FLAGS)}
+  FROM z a JOIN z b ON b.i <= a.i GROUP BY a.date)""") + f"""
+SELECT CAST(dayofyear(date) AS INTEGER) AS dayofyear,
+       round(sqrt({" + ".join(f'pow(avg("{c}"), 2)' for c in FLAGS)}), 6) AS badness
+FROM em GROUP BY 1""")
+def badness_curve(spark, sf):
+    """L2 norm of the day-of-year mean of the z-scored, EMA(span 3)-smoothed
+    national features (the notebook's aliasing makes the smoothing apply)."""
+    z = scale.zscore(daily(spark, sf), FLAGS).select("date", *FLAGS)
+    sm = series.ema(z, [], FLAGS, span=3, order=["date"])
+    ema_cols = [f"{c}_ema" for c in FLAGS]
+    clim = series.climatology(sm, ema_cols)
+    return rounded(clim.select("dayofyear", l2_norm(*ema_cols).alias("badness")))
+
+
+# --------------------------------------------------------------------------
+# Per-site: latest row, cost score, heat map, density
+# --------------------------------------------------------------------------
+
+@register("latest_per_site", with_(SQL_M, SQL_W) + f"""
+SELECT lat, lon, date, {_r6(*FLAGS)} FROM (
+  SELECT *, row_number() OVER (PARTITION BY lat, lon ORDER BY date DESC) AS rn FROM wc) t WHERE rn = 1""")
+def latest_per_site(spark, sf):
+    return rounded(spatial.latest_per_site(wide(spark, sf), FLAGS))
+
+
+SMA10 = [f"{c}_sma10" for c in FLAGS]
+
+
+def _sql_cost(where: str, latest_priced: bool) -> str:
+    m_cte = SQL_M.replace("JOIN region r ON n.n_regionkey = r.r_regionkey)",
+                          f"JOIN region r ON n.n_regionkey = r.r_regionkey {where})")
+    semi = "WHERE date IN (SELECT date FROM p)" if latest_priced else ""
+    return with_(m_cte, SQL_W, SQL_P, f"""s AS (
+  SELECT lat, lon, date, {", ".join(f'avg("{c}") OVER w AS "{c}_sma10"' for c in FLAGS)}
+  FROM wc WINDOW w AS (PARTITION BY lat, lon ORDER BY date ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING))""",
+                 f"""z AS (SELECT lat, lon, date, sqrt({" + ".join(f'pow({_sql_z(c)}, 2)' for c in SMA10)}) AS norm FROM s)""",
+                 f"""zl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lat, lon ORDER BY date DESC) AS rn
+                          FROM z {semi}) t WHERE rn = 1)""",
+                 f"""pz AS (SELECT date, abs({_sql_z('price')}) AS price_norm FROM p)""") + """
+SELECT zl.lat, zl.lon, zl.date, round(zl.norm, 6) AS norm, round(pz.price_norm, 6) AS price_norm,
+       round(zl.norm / nullif(pz.price_norm, 0), 6) AS score
+FROM zl JOIN pz ON pz.date = zl.date"""
+
+
+@register("cost_score", _sql_cost("WHERE year(l.l_shipdate) <= 2000", False))
+def cost_score(spark, sf):
+    """Cost score on measurements up to 2000 (the price series ends earlier
+    than the measurements, so the unrestricted latest day has no price)."""
+    m = measurements(spark, sf).where(F.col("date") < F.lit("2001-01-01").cast("date"))
+    w = reshape.pivot_wide(m, FLAGS)
+    return rounded(score.cost_score(w, FLAGS, prices(spark, sf), lag=10))
+
+
+@register("cost_score_latest_priced", _sql_cost("", True))
+def cost_score_latest_priced(spark, sf):
+    return rounded(score.cost_score(wide(spark, sf), FLAGS, prices(spark, sf), lag=10, latest_priced=True))
+
+
+SQL_HW = f"""hw AS (
+  SELECT lat, lon, date, sqrt({" + ".join(f'pow({_sql_z(c)}, 2)' for c in FLAGS)}) AS norm FROM wc),
+hw2 AS (SELECT lat, lon, date, norm, CAST(floor(norm * 10) AS INTEGER) AS weight FROM hw WHERE year(date) = 1998)"""
+
+
+def _heat(spark, sf):
+    return spatial.heat_weights(wide(spark, sf), FLAGS, year=1998, factor=10)
+
+
+@register("heatmap_weights", with_(SQL_M, SQL_W, SQL_HW) + """
+SELECT lat, lon, date, round(norm, 6) AS norm, weight FROM hw2""")
+def heatmap_weights(spark, sf):
+    return rounded(_heat(spark, sf))
+
+
+@register("heatmap_points", with_(SQL_M, SQL_W, SQL_HW) + """
+SELECT lat, lon FROM (SELECT lat, lon, unnest(range(weight)) AS k FROM hw2) t""")
+def heatmap_points(spark, sf):
+    return spatial.heat_points(_heat(spark, sf))
+
+
+@register("spatial_density", with_(SQL_M, SQL_W, SQL_HW) + """
+SELECT round(lat, 1) AS lat, round(lon, 1) AS lon, count(*) AS n, sum(weight) AS weight FROM hw2 GROUP BY 1, 2""")
+def spatial_density(spark, sf):
+    return rounded(spatial.spatial_density(_heat(spark, sf), precision=1, weight="weight"))
+
+
+# --------------------------------------------------------------------------
+# Profile
+# --------------------------------------------------------------------------
+
+@register("summary_profile", with_(SQL_M, SQL_W, SQL_D) + " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", count("{c}") AS "count", round(avg("{c}"), 6) AS mean,
+       round(stddev_samp("{c}"), 6) AS stddev, round(min("{c}"), 6) AS "min", round(max("{c}"), 6) AS "max" FROM d"""
+    for c in FLAGS))
+def summary_profile(spark, sf):
+    from lagscope.operators.profile import summary
+
+    return rounded(summary(daily(spark, sf), FLAGS))

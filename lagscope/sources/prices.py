@@ -2,9 +2,13 @@
 
 Output schema::
 
-    date date, price double, Year string, Month string, Day string,
+    date date, price double, year_str string, month_str string, day_str string,
     year int, dayofyear int
 
+(The string parts keep the reference's ``substring`` form; they are
+suffixed so they never clash with the integer keys in a case-insensitive
+session.)
+
 The raw file may or may not carry a header (the downloader writes none and
 appends), so the schema is explicit, the header is a parameter, malformed
 dates/prices become null, and repeated dates are collapsed to one row.
@@ -42,9 +46,9 @@ def parse_prices(raw: DataFrame, years: Iterable[int] | None = None) -> DataFram
     daily = typed.groupBy("date").agg(F.min("price").alias("price"))
     return daily.select(
         "date", "price",
-        F.date_format("date", "yyyy").alias("Year"),
-        F.date_format("date", "MM").alias("Month"),
-        F.date_format("date", "dd").alias("Day"),
+        F.date_format("date", "yyyy").alias("year_str"),
+        F.date_format("date", "MM").alias("month_str"),
+        F.date_format("date", "dd").alias("day_str"),
         F.year("date").alias("year"),
         F.dayofyear("date").alias("dayofyear"),
     )

@@ -100,6 +100,18 @@ def order_raw_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_prices(spark: SparkSession, sf_dir: str, years=None) -> DataFrame:
+    """Typed daily price ``(date, price, year, dayofyear)`` straight from one
+    aggregate of orders (dates are unique by construction, so the string
+    round trip and de-duplication of ``parse_prices`` are not needed)."""
+    o = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("date"), "o_totalprice")
+    if years is not None:
+        o = o.where(F.year("date").isin([int(y) for y in years]))
+    daily = o.groupBy("date").agg(F.avg("o_totalprice").alias("price"))
+    return daily.select("date", "price", F.year("date").alias("year"), F.dayofyear("date").alias("dayofyear"))
+
+
+def order_prices_parsed(spark: SparkSession, sf_dir: str, years=None) -> DataFrame:
+    """The same series through the raw-file path (strings -> ``parse_prices``)."""
     return parse_prices(order_raw_prices(spark, sf_dir), years)
 
 
