@@ -35,18 +35,71 @@ def register(name: str, sql: str | None = None):
     def deco(fn: QueryFn) -> QueryFn:
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = sql.strip()
+            ORACLES[name] = _sql_quantize(sql.strip())
         return fn
     return deco
 
 
+# Digits kept for price-scale outputs (means of ~1e4..1e5).
+PRICE_DIGITS = 6
+
+
+# Output quantisation: floor(x * 10^d + OFFSET) / 10^d.  Bin edges sit at an
+# irrational fraction of the last digit, where short decimals (means of
+# 2-decimal prices, which often end in ...5) never fall, so two engines whose
+# sums differ by an ulp still agree; both evaluate the same IEEE operations.
+QUANT_OFFSET = 0.5857864376269049  # 2 - sqrt(2)
+
+
+def quantize(c, digits: int):
+    scale = F.lit(float(10 ** digits))
+    return F.floor(F.col(c) * scale + F.lit(QUANT_OFFSET)) / scale
+
+
 def rounded(df: DataFrame, digits: int = 6, special: dict[str, int] | None = None) -> DataFrame:
-    """Round every double column of a result (output only)."""
+    """Quantise every double column of a result (output only)."""
     special = special or {}
-    return df.select(*[F.round(c, special.get(c, digits)).alias(c) if t == "double" else F.col(c)
+    return df.select(*[quantize(c, special.get(c, digits)).alias(c) if t == "double" else F.col(c)
                        for c, t in df.dtypes])
 
 
+def _sql_quantize(sql: str) -> str:
+    """Rewrite output ``round(expr, 6|8)`` calls of an oracle into the same
+    quantisation as ``quantize`` (other digit counts are semantic rounding,
+    e.g. coordinate snapping, and stay)."""
+    out, i = [], 0
+    while True:
+        j = sql.find("round(", i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        if j > 0 and (sql[j - 1].isalnum() or sql[j - 1] == "_"):
+            out.append(sql[i:j + 6])
+            i = j + 6
+            continue
+        depth, k, comma = 0, j + 6, -1
+        while True:
+            ch = sql[k]
+            if ch == "(":
+                depth += 1
+            elif ch == ")":
+                if depth == 0:
+                    break
+                depth -= 1
+            elif ch == "," and depth == 0:
+                comma = k
+            k += 1
+        inner = sql[j + 6:k]
+        digits = sql[comma + 1:k].strip() if comma >= 0 else ""
+        if digits in ("6", "8"):
+            expr = _sql_quantize(sql[j + 6:comma])
+            scale = f"{10 ** int(digits)}.0"
+            out.append(sql[i:j] + f"(floor(({expr}) * {scale} + {QUANT_OFFSET}) / {scale})")
+        else:
+            out.append(sql[i:j] + "round(" + _sql_quantize(inner) + ")")
+        i = k + 1
+
+
 # --------------------------------------------------------------------------
 # Shared Spark inputs
 # --------------------------------------------------------------------------
@@ -77,8 +130,8 @@ def events(spark, sf):
 
 SQL_M = """m AS (
   SELECT l.l_returnflag AS criteria, lower(n.n_name) AS state, lower(r.r_name) AS county,
-         round(21.3247::DOUBLE + 1.0005::DOUBLE * (s.s_nationkey % 5), 6) AS lat,
-         round(-158.0893::DOUBLE + 3.0015::DOUBLE * (s.s_nationkey % 5), 6) AS lon,
+         round(21.3247::DOUBLE + 1.0005::DOUBLE * (s.s_nationkey % 5), 6::INTEGER) AS lat,
+         round(-158.0893::DOUBLE + 3.0015::DOUBLE * (s.s_nationkey % 5), 6::INTEGER) AS lon,
          l.l_shipdate + to_hours(l.l_linenumber + 6) AS ts,
          CAST(l.l_shipdate AS DATE) AS date,
          round(l.l_extendedprice, 10) AS value,
@@ -104,8 +157,8 @@ SQL_P = """p AS (SELECT CAST(o_orderdate AS DATE) AS date, avg(o_totalprice) AS
 
 SQL_E = """e AS (
   SELECT event_id, event_type AS criteria, CAST(user_id % 5 AS INTEGER) AS site,
-         round(21.3247::DOUBLE + 1.0005::DOUBLE * (user_id % 5), 6) AS lat,
-         round(-158.0893::DOUBLE + 3.0015::DOUBLE * (user_id % 5), 6) AS lon,
+         round(21.3247::DOUBLE + 1.0005::DOUBLE * (user_id % 5), 6::INTEGER) AS lat,
+         round(-158.0893::DOUBLE + 3.0015::DOUBLE * (user_id % 5), 6::INTEGER) AS lon,
          ts, CAST(ts AS DATE) AS date, value
   FROM events)"""
 
@@ -231,7 +284,7 @@ def tlcc_by_site(spark, sf):
 @register("clean_measurements", with_(SQL_M) + """
 SELECT criteria, state, county, lat, lon, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, date, value, unit FROM m""")
 def clean_measurements(spark, sf):
-    m = measurements(spark, sf)
+    m = tables.lineitem_measurements_from_raw(spark, sf)
     return rounded(m.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss")), digits=10)
 
 
@@ -282,18 +335,18 @@ def text_filter(spark, sf):
 
 
 @register("region_yearly_mean", with_(SQL_M) + f"""
-SELECT CAST(year(date) AS INTEGER) AS year, round(avg(value), 6) AS value FROM m WHERE {SQL_ROWTEXT} GROUP BY 1""")
+SELECT CAST(year(date) AS INTEGER) AS year, round(avg(value),6) AS value FROM m WHERE {SQL_ROWTEXT} GROUP BY 1""")
 def region_yearly_mean(spark, sf):
     m = clean.text_filter(measurements(spark, sf), "nation_1")
-    return rounded(series.yearly_mean(m))
+    return rounded(series.yearly_mean(m), PRICE_DIGITS)
 
 
 @register("price_parts", with_(SQL_P) + """
-SELECT date, round(price, 6) AS price, strftime(date, '%Y') AS year_str, strftime(date, '%m') AS month_str,
+SELECT date, round(price,6) AS price, strftime(date, '%Y') AS year_str, strftime(date, '%m') AS month_str,
        strftime(date, '%d') AS day_str, CAST(year(date) AS INTEGER) AS year,
        CAST(dayofyear(date) AS INTEGER) AS dayofyear FROM p""")
 def price_parts(spark, sf):
-    return rounded(tables.order_prices_parsed(spark, sf))
+    return rounded(tables.order_prices_parsed(spark, sf), PRICE_DIGITS)
 
 
 # --------------------------------------------------------------------------
@@ -301,70 +354,70 @@ def price_parts(spark, sf):
 # --------------------------------------------------------------------------
 
 @register("pivot_mean", with_(SQL_M, SQL_W) + """
-SELECT lat, lon, date, round("A", 6) AS "A", round("N", 6) AS "N", round("R", 6) AS "R" FROM wc""")
+SELECT lat, lon, date, round("A",6) AS "A", round("N",6) AS "N", round("R",6) AS "R" FROM wc""")
 def pivot_mean(spark, sf):
-    return rounded(wide(spark, sf))
+    return rounded(wide(spark, sf), PRICE_DIGITS)
 
 
 @register("pivot_mean_unit", with_(SQL_M) + """
 SELECT * FROM (
   SELECT round(lat, 3) AS lat, round(lon, 3) AS lon, date,
-         round(avg(value) FILTER (WHERE criteria = 'A'), 6) AS "A", min(unit) FILTER (WHERE criteria = 'A') AS "A_unit",
-         round(avg(value) FILTER (WHERE criteria = 'N'), 6) AS "N", min(unit) FILTER (WHERE criteria = 'N') AS "N_unit",
-         round(avg(value) FILTER (WHERE criteria = 'R'), 6) AS "R", min(unit) FILTER (WHERE criteria = 'R') AS "R_unit"
+         round(avg(value) FILTER (WHERE criteria = 'A'),6) AS "A", min(unit) FILTER (WHERE criteria = 'A') AS "A_unit",
+         round(avg(value) FILTER (WHERE criteria = 'N'),6) AS "N", min(unit) FILTER (WHERE criteria = 'N') AS "N_unit",
+         round(avg(value) FILTER (WHERE criteria = 'R'),6) AS "R", min(unit) FILTER (WHERE criteria = 'R') AS "R_unit"
   FROM m GROUP BY 1, 2, 3) t
 WHERE "A" IS NOT NULL AND "N" IS NOT NULL AND "R" IS NOT NULL""")
 def pivot_mean_unit(spark, sf):
-    return rounded(wide(spark, sf, with_unit=True))
+    return rounded(wide(spark, sf, with_unit=True), PRICE_DIGITS)
 
 
 @register("complete_case", with_(SQL_M, SQL_W) + """
-SELECT lat, lon, date, 'A' AS criteria, round("A", 6) AS value FROM wc UNION ALL
-SELECT lat, lon, date, 'N', round("N", 6) FROM wc UNION ALL
-SELECT lat, lon, date, 'R', round("R", 6) FROM wc""")
+SELECT lat, lon, date, 'A' AS criteria, round("A",6) AS value FROM wc UNION ALL
+SELECT lat, lon, date, 'N', round("N",6) FROM wc UNION ALL
+SELECT lat, lon, date, 'R', round("R",6) FROM wc""")
 def complete_case(spark, sf):
     snapped = clean.snap_coordinates(measurements(spark, sf), 3)
-    return rounded(clean.complete_case_long(snapped, ["lat", "lon", "date"], FLAGS))
+    return rounded(clean.complete_case_long(snapped, ["lat", "lon", "date"], FLAGS), PRICE_DIGITS)
 
 
 # --------------------------------------------------------------------------
 # Daily series and smoothing
 # --------------------------------------------------------------------------
 
-def _r6(*cols: str) -> str:
-    return ", ".join(f'round("{c}", 6) AS "{c}"' for c in cols)
+def _r6(*cols: str, digits: int = PRICE_DIGITS) -> str:
+    return ", ".join(f'round("{c}", {digits}) AS "{c}"' for c in cols)
 
 
 @register("daily_mean", with_(SQL_M, SQL_W, SQL_D) + f"SELECT date, year, dayofyear, {_r6(*FLAGS)} FROM d")
 def daily_mean(spark, sf):
-    return rounded(daily(spark, sf))
+    return rounded(daily(spark, sf), PRICE_DIGITS)
 
 
 @register("site_daily_mean", with_(SQL_M, SQL_W) + f"""
 SELECT lat, lon, date, CAST(year(date) AS INTEGER) AS year, CAST(dayofyear(date) AS INTEGER) AS dayofyear,
-       {", ".join(f'round(avg("{c}"), 6) AS "{c}"' for c in FLAGS)}
+       {", ".join(f'round(avg("{c}"),6) AS "{c}"' for c in FLAGS)}
 FROM wc GROUP BY lat, lon, date""")
 def site_daily_mean(spark, sf):
-    return rounded(series.daily_mean(wide(spark, sf), FLAGS, by=["lat", "lon"]))
+    return rounded(series.daily_mean(wide(spark, sf), FLAGS, by=["lat", "lon"]), PRICE_DIGITS)
 
 
 @register("sma_centered", with_(SQL_M, SQL_W) + f"""
-SELECT lat, lon, date, {", ".join(f'round(avg("{c}") OVER w, 6) AS "{c}_sma12"' for c in FLAGS)}
+SELECT lat, lon, date, {", ".join(f'round(avg("{c}") OVER w,6) AS "{c}_sma12"' for c in FLAGS)}
 FROM wc WINDOW w AS (PARTITION BY lat, lon ORDER BY date ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING)""")
 def sma_centered(spark, sf):
     s = series.sma(wide(spark, sf), ["lat", "lon"], FLAGS, periods=12)
-    return rounded(s.select("lat", "lon", "date", *[f"{c}_sma12" for c in FLAGS]))
+    return rounded(s.select("lat", "lon", "date", *[f"{c}_sma12" for c in FLAGS]), PRICE_DIGITS)
 
 
 @register("sma_trailing", with_(SQL_M, SQL_W, SQL_D) + f"""
 SELECT * FROM (
-  SELECT date, {", ".join(f'CASE WHEN count(*) OVER w = 7 THEN round(avg("{c}") OVER w, 6) END AS "{c}_ma7"'
+  SELECT date, {", ".join(f'CASE WHEN count(*) OVER w = 7 THEN round(avg("{c}") OVER w,6) END AS "{c}_ma7"'
                           for c in FLAGS)}
   FROM d WINDOW w AS (ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)) t
 WHERE "A_ma7" IS NOT NULL""")
 def sma_trailing(spark, sf):
     s = series.sma(daily(spark, sf), [], FLAGS, periods=7, trailing=True)
-    return rounded(s.select("date", *[f"{c}_ma7" for c in FLAGS]).where(F.col("A_ma7").isNotNull()))
+    return rounded(s.select("date", *[f"{c}_ma7" for c in FLAGS]).where(F.col("A_ma7").isNotNull()), PRICE_DIGITS)
 
 
 SQL_EI = """ei AS (SELECT *, row_number() OVER (PARTITION BY site, criteria ORDER BY ts, event_id) AS i FROM e)"""
@@ -424,13 +477,13 @@ def deseason_hourly(spark, sf):
 
 def _deseason_sql(part: str) -> str:
     return with_(SQL_M, SQL_W) + f"""
-SELECT lat, lon, date, round("A" - avg("A") OVER (PARTITION BY {part}(date)), 6) AS "A" FROM wc"""
+SELECT lat, lon, date, round("A" - avg("A") OVER (PARTITION BY {part}(date)),6) AS "A" FROM wc"""
 
 
 def _deseason(freq: str):
     def run(spark, sf):
         w = wide(spark, sf).select("lat", "lon", "date", "A")
-        return rounded(series.deseason(w, "A", "date", freq))
+        return rounded(series.deseason(w, "A", "date", freq), PRICE_DIGITS)
     return run
 
 
@@ -440,10 +493,10 @@ register("deseason_yearly", _deseason_sql("year"))(_deseason("yearly"))
 
 
 @register("climatology", with_(SQL_M, SQL_W, SQL_D) + f"""
-SELECT CAST(dayofyear AS INTEGER) AS dayofyear, {", ".join(f'round(avg("{c}"), 6) AS "{c}"' for c in FLAGS)}
+SELECT CAST(dayofyear AS INTEGER) AS dayofyear, {", ".join(f'round(avg("{c}"),6) AS "{c}"' for c in FLAGS)}
 FROM d GROUP BY 1""")
 def climatology(spark, sf):
-    return rounded(series.climatology(daily(spark, sf), FLAGS))
+    return rounded(series.climatology(daily(spark, sf), FLAGS), PRICE_DIGITS)
 
 
 # --------------------------------------------------------------------------
@@ -556,7 +609,7 @@ def badness_curve(spark, sf):
 SELECT lat, lon, date, {_r6(*FLAGS)} FROM (
   SELECT *, row_number() OVER (PARTITION BY lat, lon ORDER BY date DESC) AS rn FROM wc) t WHERE rn = 1""")
 def latest_per_site(spark, sf):
-    return rounded(spatial.latest_per_site(wide(spark, sf), FLAGS))
+    return rounded(spatial.latest_per_site(wide(spark, sf), FLAGS), PRICE_DIGITS)
 
 
 SMA10 = [f"{c}_sma10" for c in FLAGS]
@@ -624,10 +677,79 @@ def spatial_density(spark, sf):
 # --------------------------------------------------------------------------
 
 @register("summary_profile", with_(SQL_M, SQL_W, SQL_D) + " UNION ALL ".join(
-    f"""SELECT '{c}' AS "column", count("{c}") AS "count", round(avg("{c}"), 6) AS mean,
-       round(stddev_samp("{c}"), 6) AS stddev, round(min("{c}"), 6) AS "min", round(max("{c}"), 6) AS "max" FROM d"""
+    f"""SELECT '{c}' AS "column", count("{c}") AS "count", round(avg("{c}"),6) AS mean,
+       round(stddev_samp("{c}"),6) AS stddev, round(min("{c}"),6) AS "min", round(max("{c}"),6) AS "max" FROM d"""
     for c in FLAGS))
 def summary_profile(spark, sf):
     from lagscope.operators.profile import summary
 
-    return rounded(summary(daily(spark, sf), FLAGS))
+    return rounded(summary(daily(spark, sf), FLAGS), PRICE_DIGITS)
+
+
+# --------------------------------------------------------------------------
+# Timing shapes of the reference: 4 x 1 x 2, 4 x 4 x 4, 4 x 4 x 7
+# (four numeric lineitem measures as the criteria)
+# --------------------------------------------------------------------------
+
+# Lag lists of the timing runs.
+LAGS_2 = [0, 10]
+LAGS_4 = [-10, 0, 10, 30]
+LAGS_7 = [-60, -30, -10, 0, 10, 30, 60]
+MEASURE_NAMES = [m[2:] for m in tables.MEASURES]
+
+
+def sql_measures() -> str:
+    sites = """FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey
+  JOIN nation n ON s.s_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey"""
+    parts = [f"""SELECT '{name}' AS criteria,
+         round(21.3247::DOUBLE + 1.0005::DOUBLE * (s.s_nationkey % 5), 6::INTEGER) AS lat,
+         round(-158.0893::DOUBLE + 3.0015::DOUBLE * (s.s_nationkey % 5), 6::INTEGER) AS lon,
+         CAST(l.l_shipdate AS DATE) AS date, round(l.{col}, 10) AS value
+  {sites}""" for name, col in zip(MEASURE_NAMES, tables.MEASURES)]
+    return "m AS (\n  " + "\n  UNION ALL\n  ".join(parts) + ")"
+
+
+def sql_wide(crit) -> str:
+    filt = ",\n         ".join(f"""avg(value) FILTER (WHERE criteria = '{c}') AS "{c}\"""" for c in crit)
+    nn = " AND ".join(f'"{c}" IS NOT NULL' for c in crit)
+    return f"""w AS (
+  SELECT round(lat, 3) AS lat, round(lon, 3) AS lon, date,
+         {filt}
+  FROM m GROUP BY 1, 2, 3),
+wc AS (SELECT * FROM w WHERE {nn})"""
+
+
+def sql_daily(crit) -> str:
+    return "d AS (SELECT date, " + ", ".join(f'avg("{c}") AS "{c}"' for c in crit) + " FROM wc GROUP BY date)"
+
+
+def sql_long(crit, name="x") -> str:
+    return f"{name} AS (" + " UNION ALL ".join(
+        f"""SELECT date, '{c}' AS series, "{c}" AS value FROM d""" for c in crit) + ")"
+
+
+def measure_daily(spark, sf):
+    m = tables.lineitem_measurements(spark, sf, criteria="measure")
+    return series.daily_mean(reshape.pivot_wide(m, MEASURE_NAMES), MEASURE_NAMES)
+
+
+_MEASURE_BASE = [sql_measures(), sql_wide(MEASURE_NAMES), sql_daily(MEASURE_NAMES), sql_long(MEASURE_NAMES)]
+
+
+@register("tlcc_8", with_(*_MEASURE_BASE, SQL_P, SQL_Y) + sql_tlcc(LAGS_2))
+def tlcc_8(spark, sf):
+    """8 correlations: 4 measures x price x lags {0, 10}."""
+    return rounded(xcorr.lagged_correlation(measure_daily(spark, sf), prices(spark, sf), LAGS_2,
+                                            MEASURE_NAMES, ["price"]), special={"r": 8})
+
+
+@register("tlcc_64", with_(*_MEASURE_BASE, "y AS (SELECT * FROM x)") + sql_tlcc(LAGS_4))
+def tlcc_64(spark, sf):
+    """64 correlations: 4 x 4 measures x lags {-10, 0, 10, 30}."""
+    return rounded(xcorr.auto_correlation(measure_daily(spark, sf), LAGS_4, MEASURE_NAMES), special={"r": 8})
+
+
+@register("tlcc_112", with_(*_MEASURE_BASE, "y AS (SELECT * FROM x)") + sql_tlcc(LAGS_7))
+def tlcc_112(spark, sf):
+    """112 correlations: 4 x 4 measures x 7 lags."""
+    return rounded(xcorr.auto_correlation(measure_daily(spark, sf), LAGS_7, MEASURE_NAMES), special={"r": 8})

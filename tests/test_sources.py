@@ -94,3 +94,14 @@ def test_prices_with_and_without_header(spark, tmp_path):
     assert [(r.date.day, r.price) for r in a] == [(2, 50.5), (3, 51.0), (4, None), (7, 49.0)]
     assert (a[0].year_str, a[0].month_str, a[0].day_str, a[0].year, a[0].dayofyear) == ("2019", "01", "02", 2019, 2)
     assert pr.read_prices(spark, str(with_h), years=[2020]).count() == 0
+
+
+def test_typed_adapter_equals_raw_path(spark):
+    from lagscope.sources import tables
+
+    sf = "/root/testdata/sf0.001"
+    for mode in ("flag", "measure"):
+        a = tables.lineitem_measurements(spark, sf, criteria=mode)
+        b = tables.lineitem_measurements_from_raw(spark, sf, criteria=mode)
+        assert a.schema.simpleString() == b.schema.simpleString()
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
