@@ -107,17 +107,23 @@ def correlation_matrix(wide: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pairwise Pearson correlation of the columns of a wide table (pairwise
     complete rows), as ``(series_a, series_b, r)`` including the diagonal.
 
-    All K(K+1)/2 coefficients are aggregates of one ``agg`` over the wide
-    table: a single pass with partial aggregation and no self-join."""
+    Each row's non-null (series, value) cells are expanded into the
+    (a <= b) cell pairs, and one ``groupBy(a, b)`` aggregates them with
+    partial aggregation: n * K^2 / 2 products, like a Gramian, with a plan
+    whose size does not grow with the number of series K."""
     cols = list(cols)
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    one = wide.agg(*[safe_pearson(a, b).alias(f"_r{k}") for k, (a, b) in enumerate(pairs)])
-    cells = []
-    for k, (a, b) in enumerate(pairs):
-        cells.append(F.struct(F.lit(a).alias("series_a"), F.lit(b).alias("series_b"), F.col(f"_r{k}").alias("r")))
-        if a != b:
-            cells.append(F.struct(F.lit(b).alias("series_a"), F.lit(a).alias("series_b"), F.col(f"_r{k}").alias("r")))
-    return one.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+    cells = F.filter(F.array(*[F.struct(F.lit(c).alias("s"), F.col(c).cast("double").alias("v")) for c in cols]),
+                     lambda c: c["v"].isNotNull())
+    a = wide.select(cells.alias("cells")).select("cells", F.explode("cells").alias("a"))
+    pairs = (a.select("a", F.explode("cells").alias("b")).where(F.col("a.s") <= F.col("b.s"))
+             .select(F.col("a.s").alias("series_a"), F.col("b.s").alias("series_b"),
+                     F.col("a.v").alias("va"), F.col("b.v").alias("vb")))
+    upper = pairs.groupBy("series_a", "series_b").agg(safe_pearson("va", "vb").alias("r"))
+    mirror = F.when(F.col("series_a") == F.col("series_b"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
+    return (upper.select("*", F.explode(mirror).alias("_m"))
+            .select(F.when(F.col("_m") == 0, F.col("series_a")).otherwise(F.col("series_b")).alias("series_a"),
+                    F.when(F.col("_m") == 0, F.col("series_b")).otherwise(F.col("series_a")).alias("series_b"),
+                    "r"))
 
 
 def correlation_mass(corr: DataFrame) -> DataFrame:

@@ -753,3 +753,43 @@ def tlcc_64(spark, sf):
 def tlcc_112(spark, sf):
     """112 correlations: 4 x 4 measures x 7 lags."""
     return rounded(xcorr.auto_correlation(measure_daily(spark, sf), LAGS_7, MEASURE_NAMES), special={"r": 8})
+
+
+# --------------------------------------------------------------------------
+# Clustering of series (rows-only checks: iterative / MLlib fits)
+# --------------------------------------------------------------------------
+
+def site_series_adjacency(spark, sf, threshold: float = 0.8) -> DataFrame:
+    """Adjacency of the per-site criterion series (criterion x site), from
+    the correlation matrix of their day-of-year climatologies."""
+    w = wide(spark, sf)
+    long = (reshape.melt(w, ["lat", "lon", "date"], FLAGS, "criteria", "value")
+            .withColumn("series", F.format_string("%s@%.3f,%.3f", "criteria", "lat", "lon")))
+    names = clean.criteria_list(long, "series")          # bounded: sites x criteria
+    by_day = reshape.pivot_wide(long.select("date", "series", "value"), names, precision=None,
+                                drop_null=False, keys=("date",), criteria_col="series")
+    cols = [c for c in by_day.columns if c != "date"]
+    clim = series.climatology(by_day, cols)
+    return xcorr.adjacency(xcorr.correlation_matrix(clim, cols), threshold)
+
+
+@register("pca_projection")
+def pca_projection(spark, sf):
+    from lagscope.operators import cluster
+
+    return cluster.pca_projection(site_series_adjacency(spark, sf), 2)
+
+
+@register("density_clusters")
+def density_clusters(spark, sf):
+    from lagscope.operators import cluster
+
+    return cluster.density_clusters(site_series_adjacency(spark, sf), eps=2.3, min_samples=5)
+
+
+@register("cluster_members")
+def cluster_members(spark, sf):
+    from lagscope.operators import cluster
+
+    clusters = cluster.density_clusters(site_series_adjacency(spark, sf), eps=2.3, min_samples=5)
+    return cluster.cluster_members(clusters).select("cluster", F.array_join("members", ";").alias("members"))

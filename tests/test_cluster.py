@@ -1,0 +1,76 @@
+import numpy as np
+
+from lagscope.operators import cluster
+
+
+def _adj_frame(spark, mat, names):
+    rows = [(names[i], names[j], int(mat[i, j])) for i in range(len(names)) for j in range(len(names))]
+    return spark.createDataFrame(rows, "series_a string, series_b string, adj int")
+
+
+def _dbscan_reference(x, eps, min_samples):
+    """Sequential DBSCAN (points visited in index order)."""
+    n = len(x)
+    d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(-1))
+    nbrs = [np.flatnonzero(d[i] <= eps) for i in range(n)]
+    core = np.array([len(nb) >= min_samples for nb in nbrs])
+    labels = np.full(n, -1)
+    c = 0
+    for i in range(n):
+        if labels[i] != -1 or not core[i]:
+            continue
+        stack = [i]
+        labels[i] = c
+        while stack:
+            p = stack.pop()
+            if not core[p]:
+                continue
+            for q in nbrs[p]:
+                if labels[q] == -1:
+                    labels[q] = c
+                    stack.append(q)
+        c += 1
+    return labels
+
+
+def _blocks(rng, n):
+    base = np.zeros((n, n), dtype=int)
+    groups = [range(0, 7), range(7, 13), range(13, n)]
+    for g in groups[:2]:
+        for i in g:
+            for j in g:
+                base[i, j] = 1
+    noise = (rng.random((n, n)) < 0.08).astype(int)
+    m = np.clip(base + noise, 0, 1)
+    m = np.maximum(m, m.T)
+    np.fill_diagonal(m, 0)
+    return m
+
+
+def test_density_clusters_match_sequential_dbscan(spark):
+    rng = np.random.default_rng(4)
+    for trial in range(2):
+        n = 18
+        m = _blocks(rng, n)
+        names = [f"s{i:02d}" for i in range(n)]
+        got = {r.series: r.cluster for r in cluster.density_clusters(_adj_frame(spark, m, names), 2.3, 5).collect()}
+        want = _dbscan_reference(m.astype(float), 2.3, 5)
+        assert [got[nm] for nm in names] == list(want)
+
+
+def test_members_and_pca(spark):
+    rng = np.random.default_rng(9)
+    m = _blocks(rng, 16)
+    names = [f"s{i:02d}" for i in range(16)]
+    adj = _adj_frame(spark, m, names)
+    cl = cluster.density_clusters(adj, 2.3, 5)
+    mem = {r.cluster: r.members for r in cluster.cluster_members(cl).collect()}
+    assert sorted(sum(mem.values(), [])) == names
+    pcs = {r.series: (r.pc1, r.pc2) for r in cluster.pca_projection(adj, 2).collect()}
+    x = m.astype(float)
+    xc = x - x.mean(axis=0)
+    _, _, vt = np.linalg.svd(xc, full_matrices=False)
+    ref = xc @ vt[:2].T
+    for k in range(2):
+        col = np.array([pcs[nm][k] for nm in names])
+        assert min(np.abs(col - ref[:, k]).max(), np.abs(col + ref[:, k]).max()) < 1e-8
