@@ -34,6 +34,16 @@ def daily_mean(wide: DataFrame, cols: Sequence[str], by: Sequence[str] = (), dat
                       F.dayofyear(date_col).alias("dayofyear"), *cols)
 
 
+def bucket_mean(df: DataFrame, by: Sequence[str], cols: Sequence[str], ts_col: str = "ts",
+                unit: str = "hour", out: str = "ts") -> DataFrame:
+    """Mean per key and time bucket (``date_trunc(unit, ts)``): turns raw
+    readings into a regular series with at most one row per key and bucket,
+    the form every window operator here expects (partial aggregation before
+    the shuffle, so a hot key is collapsed map-side)."""
+    bucket = F.date_trunc(unit, F.col(ts_col)).alias(out)
+    return df.groupBy(*by, bucket).agg(*[F.avg(c).alias(c) for c in cols])
+
+
 def yearly_mean(df: DataFrame, value_col: str = "value", date_col: str = "date") -> DataFrame:
     return df.groupBy(F.year(date_col).alias("year")).agg(F.avg(value_col).alias(value_col))
 

@@ -420,52 +420,65 @@ def sma_trailing(spark, sf):
     return rounded(s.select("date", *[f"{c}_ma7" for c in FLAGS]).where(F.col("A_ma7").isNotNull()), PRICE_DIGITS)
 
 
-SQL_EI = """ei AS (SELECT *, row_number() OVER (PARTITION BY site, criteria ORDER BY ts, event_id) AS i FROM e)"""
+# Event series: hourly means per (site, event type).  Window operators run on
+# these regular series (at most 24 rows per key and day), never on raw rows.
+SQL_EH = """eh AS (SELECT site, criteria, date_trunc('hour', ts) AS ts, avg(value) AS value
+  FROM e GROUP BY 1, 2, 3)"""
+SQL_EI = """ei AS (SELECT *, row_number() OVER (PARTITION BY site, criteria ORDER BY ts) AS i FROM eh)"""
+HOUR_FMT = "%Y-%m-%d %H:%M"
 
 
-@register("ema_span3", with_(SQL_E, SQL_EI) + """
-SELECT a.event_id, a.site, a.criteria,
+def hourly_events(spark, sf):
+    return series.bucket_mean(events(spark, sf), ["site", "criteria"], ["value"], "ts", "hour")
+
+
+def _hour_str(df):
+    return df.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm"))
+
+
+@register("ema_span3", with_(SQL_E, SQL_EH, SQL_EI) + f"""
+SELECT a.site, a.criteria, strftime(a.ts, '{HOUR_FMT}') AS ts,
        round(sum(b.value * pow(0.5, a.i - b.i)) / sum(pow(0.5, a.i - b.i)), 6) AS value_ema
 FROM ei a JOIN ei b ON a.site = b.site AND a.criteria = b.criteria AND b.i <= a.i
-GROUP BY 1, 2, 3""")
+GROUP BY a.site, a.criteria, a.ts""")
 def ema_span3(spark, sf):
-    e = events(spark, sf).select("event_id", "site", "criteria", "ts", "value")
-    out = series.ema(e, ["site", "criteria"], ["value"], span=3, order=["ts", "event_id"])
-    return rounded(out.select("event_id", "site", "criteria", "value_ema"))
+    out = series.ema(hourly_events(spark, sf), ["site", "criteria"], ["value"], span=3, order=["ts"])
+    return rounded(_hour_str(out.select("site", "criteria", "ts", "value_ema")))
 
 
-@register("gradient_norm", with_(SQL_E) + """
-SELECT event_id, site, criteria, round(g / sqrt(sum(value * value) OVER (PARTITION BY site, criteria)), 6) AS value_grad
+@register("gradient_norm", with_(SQL_E, SQL_EH) + f"""
+SELECT site, criteria, strftime(ts, '{HOUR_FMT}') AS ts,
+       round(g / sqrt(sum(value * value) OVER (PARTITION BY site, criteria)), 6) AS value_grad
 FROM (SELECT *,
         CASE WHEN lag(value) OVER w IS NOT NULL AND lead(value) OVER w IS NOT NULL
                THEN (lead(value) OVER w - lag(value) OVER w) / 2.0
              WHEN lag(value) OVER w IS NULL AND lead(value) OVER w IS NOT NULL THEN lead(value) OVER w - value
              WHEN lag(value) OVER w IS NOT NULL AND lead(value) OVER w IS NULL THEN value - lag(value) OVER w
         END AS g
-      FROM e WINDOW w AS (PARTITION BY site, criteria ORDER BY ts, event_id)) t""")
+      FROM eh WINDOW w AS (PARTITION BY site, criteria ORDER BY ts)) t""")
 def gradient_norm(spark, sf):
-    e = events(spark, sf)
-    out = series.gradient(e, ["site", "criteria"], ["value"], order=["ts", "event_id"])
-    return rounded(out.select("event_id", "site", "criteria", "value_grad"))
+    out = series.gradient(hourly_events(spark, sf), ["site", "criteria"], ["value"], order=["ts"])
+    return rounded(_hour_str(out.select("site", "criteria", "ts", "value_grad")))
 
 
-@register("shift_padded", with_(SQL_E) + """
-SELECT event_id, site, criteria, lag(value, 3, 0.0) OVER (PARTITION BY site, criteria ORDER BY ts, event_id) AS value_shift3
-FROM e""")
+@register("shift_padded", with_(SQL_E, SQL_EH) + f"""
+SELECT site, criteria, strftime(ts, '{HOUR_FMT}') AS ts,
+       round(lag(value, 3, 0.0) OVER (PARTITION BY site, criteria ORDER BY ts), 6) AS value_shift3
+FROM eh""")
 def shift_padded(spark, sf):
-    out = series.shift(events(spark, sf), ["site", "criteria"], "value", 3, order=["ts", "event_id"], pad=0.0)
-    return rounded(out.select("event_id", "site", "criteria", "value_shift3"))
+    out = series.shift(hourly_events(spark, sf), ["site", "criteria"], "value", 3, order=["ts"], pad=0.0)
+    return rounded(_hour_str(out.select("site", "criteria", "ts", "value_shift3")))
 
 
-@register("shift_truncated", with_(SQL_E) + """
-SELECT event_id, site, criteria, v AS "value_shift-2" FROM (
-  SELECT event_id, site, criteria, lead(value, 2) OVER w AS v,
+@register("shift_truncated", with_(SQL_E, SQL_EH) + f"""
+SELECT site, criteria, strftime(ts, '{HOUR_FMT}') AS ts, round(v, 6) AS "value_shift-2" FROM (
+  SELECT site, criteria, ts, lead(value, 2) OVER w AS v,
          row_number() OVER w AS pos, count(*) OVER (PARTITION BY site, criteria) AS cnt
-  FROM e WINDOW w AS (PARTITION BY site, criteria ORDER BY ts, event_id)) t
+  FROM eh WINDOW w AS (PARTITION BY site, criteria ORDER BY ts)) t
 WHERE pos <= cnt - 2""")
 def shift_truncated(spark, sf):
-    out = series.shift(events(spark, sf), ["site", "criteria"], "value", -2, order=["ts", "event_id"])
-    return rounded(out.select("event_id", "site", "criteria", "value_shift-2"))
+    out = series.shift(hourly_events(spark, sf), ["site", "criteria"], "value", -2, order=["ts"])
+    return rounded(_hour_str(out.select("site", "criteria", "ts", "value_shift-2")))
 
 
 @register("deseason_hourly", with_(SQL_E) + """
