@@ -48,27 +48,58 @@ def zscore(df: DataFrame, cols: Sequence[str], mean: bool = True, std: bool = Tr
     return df.withColumns({f"{c}{suffix}": e for c, e in exprs.items()})
 
 
+def max_abs_exprs(df: DataFrame, cols: Sequence[str]) -> dict[str, Column]:
+    out = {}
+    for c in cols:
+        m = _stat(df, F.max(F.abs(c)))
+        out[c] = F.when(m == 0, F.col(c) * 0.0).otherwise(F.try_divide(F.col(c), m))
+    return out
+
+
 def max_abs(df: DataFrame, cols: Sequence[str], suffix: str = "") -> DataFrame:
     """Scale each column into [-1, 1] by its largest absolute value."""
-    new = {}
+    return df.withColumns({f"{c}{suffix}": e for c, e in max_abs_exprs(df, cols).items()})
+
+
+def min_max_exprs(df: DataFrame, cols: Sequence[str]) -> dict[str, Column]:
+    out = {}
     for c in cols:
-        m = _stat(df, F.max(F.abs(c)))
-        new[f"{c}{suffix}"] = F.when(m == 0, F.col(c) * 0.0).otherwise(F.try_divide(F.col(c), m))
-    return df.withColumns(new)
+        lo, hi = _stat(df, F.min(c)), _stat(df, F.max(c))
+        rng = hi - lo
+        out[c] = F.when(F.col(c).isNull(), F.lit(None).cast("double")).when(
+            rng == 0, F.lit(0.5)).otherwise(F.try_divide(F.col(c) - lo, rng))
+    return out
 
 
 def min_max(df: DataFrame, cols: Sequence[str], suffix: str = "") -> DataFrame:
     """Scale each column into [0, 1]; a constant column becomes 0.5."""
-    new = {}
+    return df.withColumns({f"{c}{suffix}": e for c, e in min_max_exprs(df, cols).items()})
+
+
+def zscore_max_abs_exprs(df: DataFrame, cols: Sequence[str], mean: bool = True, std: bool = True
+                         ) -> dict[str, Column]:
+    """z-score followed by max-abs, fused: dividing z = (c - m) / s by its
+    largest magnitude max|c - m| / s gives (c - m) / max|c - m| -- s cancels.
+    max|c - m| = greatest(|max(c) - m|, |min(c) - m|), so every statistic is
+    an aggregate of the *input* (one merged pass), never of a scaled column
+    (which would nest subqueries and re-evaluate the input per level)."""
+    out = {}
     for c in cols:
         lo, hi = _stat(df, F.min(c)), _stat(df, F.max(c))
-        rng = hi - lo
-        new[f"{c}{suffix}"] = F.when(F.col(c).isNull(), F.lit(None).cast("double")).when(
-            rng == 0, F.lit(0.5)).otherwise(F.try_divide(F.col(c) - lo, rng))
-    return df.withColumns(new)
+        if mean:
+            mu = _stat(df, F.avg(c))
+            num, m = F.col(c) - mu, F.greatest(F.abs(hi - mu), F.abs(lo - mu))
+        else:
+            num, m = F.col(c), F.greatest(F.abs(hi), F.abs(lo))
+        e = F.when(m == 0, F.lit(0.0)).otherwise(F.try_divide(num, m))
+        if std:
+            sd = _stat(df, F.stddev_samp(c))
+            e = F.when(sd == 0, F.lit(0.0)).otherwise(e)
+        out[c] = F.when(F.col(c).isNull(), F.lit(None).cast("double")).otherwise(e)
+    return out
 
 
 def zscore_max_abs(df: DataFrame, cols: Sequence[str], mean: bool = True, std: bool = True) -> DataFrame:
     """Chained scaling as the prepared datasets use it: z-score, then
-    max-abs of the z-scores (flags honoured)."""
-    return max_abs(zscore(df, cols, mean=mean, std=std), cols)
+    max-abs of the z-scores (flags honoured), computed in one pass."""
+    return df.withColumns(zscore_max_abs_exprs(df, cols, mean, std))

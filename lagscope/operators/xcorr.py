@@ -29,6 +29,14 @@ from pyspark.sql import functions as F
 from lagscope.functions.exprs import safe_pearson
 
 
+def _q(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _lit(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def lagged_correlation(x: DataFrame, y: DataFrame, lags: Sequence[int], x_cols: Sequence[str],
                        y_cols: Sequence[str], by: Sequence[str] = (), unit: str = "rows",
                        date_col: str = "date") -> DataFrame:
@@ -67,20 +75,24 @@ def lagged_correlation(x: DataFrame, y: DataFrame, lags: Sequence[int], x_cols:
         else:
             ymap = {c: f"_y_{c}" for c in y_cols}
             j = xk.join(yk.select(*keys, *[F.col(c).alias(ymap[c]) for c in y_cols]), keys)
-        w = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy(date_col)
+        # built as SQL expression strings: one projection call instead of a
+        # few hundred column constructions on the driver
+        over = (f"OVER (PARTITION BY {', '.join(_q(b) for b in by)} ORDER BY {_q(date_col)})" if by
+                else f"OVER (ORDER BY {_q(date_col)})")
 
-        def shifted(c: str, lag: int):
+        def shifted(c: str, lag: int) -> str:
             if lag == 0:
-                return F.col(c)
-            return F.lead(c, lag).over(w) if lag > 0 else F.lag(c, -lag).over(w)
+                return _q(c)
+            fn = "lead" if lag > 0 else "lag"
+            return f"{fn}({_q(c)}, {abs(lag)}) {over}"
 
         shifted_cols = {(c, lag): f"_s{i}_{k}" for i, c in enumerate(y_cols) for k, lag in enumerate(lag_list)}
-        lagged = j.select(*by, *x_cols, *[shifted(ymap[c], lag).alias(name)
-                                          for (c, lag), name in shifted_cols.items()])
-        ycells = F.array(*[
-            F.struct(F.lit(c).alias("series_y"), F.lit(lag).alias("lag"), F.col(name).alias("vy"))
-            for (c, lag), name in shifted_cols.items()])
-        aligned = lagged.select(*by, *x_cols, F.explode(ycells).alias("_c")).where(F.col("_c.vy").isNotNull())
+        lagged = j.selectExpr(*[_q(c) for c in [*by, *x_cols]],
+                              *[f"{shifted(ymap[c], lag)} AS {_q(name)}" for (c, lag), name in shifted_cols.items()])
+        cells = ", ".join(f"named_struct('series_y', {_lit(c)}, 'lag', {lag}, 'vy', {_q(name)})"
+                          for (c, lag), name in shifted_cols.items())
+        aligned = (lagged.selectExpr(*[_q(c) for c in [*by, *x_cols]], f"explode(array({cells})) AS _c")
+                   .where(F.col("_c.vy").isNotNull()))
         pairs = (aligned.select(*by, "_c.*", *x_cols)
                  .unpivot([*by, "series_y", "lag", "vy"], x_cols, "series_x", "vx"))
     else:

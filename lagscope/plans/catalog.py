@@ -806,3 +806,25 @@ def cluster_members(spark, sf):
 
     clusters = cluster.density_clusters(site_series_adjacency(spark, sf), eps=2.3, min_samples=5)
     return cluster.cluster_members(clusters).select("cluster", F.array_join("members", ";").alias("members"))
+
+
+# --------------------------------------------------------------------------
+# Feature matrix (min-max ids ++ max-abs of z-scored criteria)
+# --------------------------------------------------------------------------
+
+def _sql_minmax(c: str) -> str:
+    return (f'CASE WHEN max({c}) OVER () = min({c}) OVER () THEN 0.5 '
+            f'ELSE ({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) END')
+
+
+@register("feature_matrix", with_(SQL_M, SQL_W, f"""f AS (
+  SELECT {_sql_minmax('lat')} AS lat, {_sql_minmax('lon')} AS lon,
+         {_sql_minmax('CAST((date - DATE \'1970-01-01\') * 24 AS DOUBLE)')} AS time,
+         {", ".join(f'{_sql_z(c)} AS "{c}"' for c in FLAGS)} FROM wc)""") + f"""
+SELECT round(lat, 6) AS lat, round(lon, 6) AS lon, round(time, 6) AS time,
+       {", ".join(f'round(CASE WHEN max(abs("{c}")) OVER () = 0 THEN 0.0 ELSE "{c}" / max(abs("{c}")) OVER () END, 6) AS "{c}"' for c in FLAGS)}
+FROM f""")
+def feature_matrix(spark, sf):
+    from lagscope.plans.scenarios import feature_matrix as fm
+
+    return rounded(fm(wide(spark, sf), FLAGS))

@@ -111,9 +111,23 @@ def prepared_prices(price: DataFrame) -> DataFrame:
     return scale.zscore_max_abs(price.select("date", "price"), ["price"])
 
 
+def feature_matrix(wide: DataFrame, cols: list[str], date_col: str = "date") -> DataFrame:
+    """Machine-learning layout of a pivoted table: one row per (site, time),
+    ``lat``, ``lon`` and ``time`` (hours since the epoch) min-max scaled to
+    [0, 1], then the criteria z-scored and max-abs scaled to [-1, 1]."""
+    from pyspark.sql import functions as F
+
+    hours = (F.datediff(F.col(date_col), F.lit("1970-01-01").cast("date")) * 24).cast("double")
+    base = wide.select(F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"),
+                       hours.alias("time"), *cols)
+    # all statistics come from ``base`` (one merged aggregate), one projection
+    return base.withColumns({**scale.min_max_exprs(base, ["lat", "lon", "time"]),
+                             **scale.zscore_max_abs_exprs(base, cols)})
+
+
 def restrict_years(df: DataFrame, years) -> DataFrame:
     return clean.year_filter(df, years) if years is not None else df
 
 
 __all__ = ["Scenario", "SCENARIOS", "PRICE_SCENARIOS", "build_scenario", "daily_table", "price_scenario",
-           "prepared_measurements", "prepared_prices", "restrict_years"]
+           "prepared_measurements", "prepared_prices", "feature_matrix", "restrict_years"]

@@ -48,3 +48,29 @@ def test_stats_fit_on_another_frame(spark):
     full = _frame(spark, [1, 2, 4])
     part = full.where("i = 2")
     approx_list(_col(zscore(part, ["a"], stats_from=full)), [1.0910894512])
+
+
+def test_fused_chain_equals_two_steps(spark):
+    import numpy as np
+
+    vals = list(np.random.default_rng(0).normal(size=30) * 5 + 3)
+    df = _frame(spark, vals)
+    for mean in (True, False):
+        for std in (True, False):
+            fused = _col(zscore_max_abs(df, ["a"], mean=mean, std=std))
+            two = _col(max_abs(zscore(df, ["a"], mean=mean, std=std), ["a"]))
+            approx_list(fused, two, tol=1e-12)
+    approx_list(_col(zscore_max_abs(_frame(spark, [5, 5, 5]), ["a"])), [0.0, 0.0, 0.0])
+    approx_list(_col(zscore_max_abs(_frame(spark, [5, 5, 5]), ["a"], mean=False)), [0.0, 0.0, 0.0])
+
+
+def test_feature_matrix(spark):
+    import datetime as dt
+
+    from lagscope.plans.scenarios import feature_matrix
+
+    df = spark.createDataFrame([(1.0, 10.0, dt.date(2019, 1, 1), 1.0), (3.0, 10.0, dt.date(2019, 1, 3), 2.0),
+                                (2.0, 10.0, dt.date(2019, 1, 2), 4.0)], "lat double, lon double, date date, a double")
+    got = sorted(tuple(r) for r in feature_matrix(df, ["a"]).collect())
+    assert [g[:3] for g in got] == [(0.0, 0.5, 0.0), (0.5, 0.5, 0.5), (1.0, 0.5, 1.0)]
+    approx_list([g[3] for g in got], [-0.8, 1.0, -0.2])
