@@ -42,9 +42,9 @@ def main() -> None:
         times = []
         for i in range(runs + 1):
             t = time.time()
-            out = QUERIES[name](spark, sf_dir).collect()
+            out = QUERIES[name](spark, sf_dir).toArrow()   # collected to the driver (Arrow batches)
             times.append(time.time() - t)
-        rows[name] = len(out)
+        rows[name] = out.num_rows
         cold[name] = round(times[0], 3)
         warm[name] = round(min(times[1:]), 3)
     m = re.search(r"sf([0-9.]+)", sf_dir)
