@@ -15,6 +15,11 @@ from lagscope.functions.exprs import sanitize_names
 from lagscope.operators.clean import criteria_list, snap_coordinates
 
 
+# Up to this many criteria the pivot is a single conditional aggregate over
+# the raw rows; beyond it, rows are first aggregated per (keys, criterion).
+DIRECT_PIVOT_MAX = 8
+
+
 def pivot_wide(df: DataFrame, criteria: Sequence[str] | None = None, precision: int | None = 3,
                drop_null: bool = True, with_unit: bool = False, extra_keys: Sequence[str] = (),
                keys: Sequence[str] = ("lat", "lon", "date"), criteria_col: str = "criteria",
@@ -30,24 +35,37 @@ def pivot_wide(df: DataFrame, criteria: Sequence[str] | None = None, precision:
       (deterministic, unlike ``first``);
     * ``drop_null`` keeps complete rows only (every criterion present).
 
-    Plan: partial hash aggregate on (keys, criterion) before the shuffle, so
-    the raw rows never move; pivoting happens on the aggregated rows.
+    Plan: the mean is sum / count per (keys, criterion), partially
+    aggregated before any shuffle, so raw rows never move.  Few criteria:
+    one conditional aggregate.  Many criteria: aggregate per (keys,
+    criterion) first, then pivot the aggregated rows (raw-row work stays
+    O(1) instead of O(#criteria)).
     """
     if precision is not None:
         df = snap_coordinates(df, precision)
     crit = sorted(criteria) if criteria is not None else criteria_list(df, criteria_col)
     names = sanitize_names(crit)
     group = [*keys, *extra_keys]
-    # conditional aggregation: one hash aggregate, partial before the shuffle
-    # (the built-in pivot would aggregate per (keys, criterion) first and
-    # shuffle a second time to pivot)
-    is_c = {c: F.col(criteria_col) == F.lit(c) for c in crit}
+    src = df.where(F.col(criteria_col).isin(crit))
+    if len(crit) <= DIRECT_PIVOT_MAX:
+        # few criteria: one conditional aggregate, partial before the shuffle
+        rows, s_col, n_col, u_col = src, F.col(value_col), F.col(value_col).isNotNull().cast("long"), F.col("unit") if with_unit else None
+    else:
+        # many criteria: each raw row updates one buffer (per key and
+        # criterion, combined map-side); the pivot then runs on those
+        # aggregated rows, so raw-row work does not grow with the criteria
+        aggs1 = [F.sum(value_col).alias("_s"), F.count(value_col).alias("_n")]
+        if with_unit:
+            aggs1.append(F.min("unit").alias("_u"))
+        rows = src.groupBy(*group, criteria_col).agg(*aggs1)
+        s_col, n_col, u_col = F.col("_s"), F.col("_n"), F.col("_u") if with_unit else None
     aggs = []
     for c, name in zip(crit, names):
-        aggs.append(F.avg(F.when(is_c[c], F.col(value_col))).alias(name))
+        is_c = F.col(criteria_col) == F.lit(c)
+        aggs.append(F.try_divide(F.sum(F.when(is_c, s_col)), F.sum(F.when(is_c, n_col))).alias(name))
         if with_unit:
-            aggs.append(F.min(F.when(is_c[c], F.col("unit"))).alias(f"{name}_unit"))
-    wide = df.where(F.col(criteria_col).isin(crit)).groupBy(*group).agg(*aggs)
+            aggs.append(F.min(F.when(is_c, u_col)).alias(f"{name}_unit"))
+    wide = rows.groupBy(*group).agg(*aggs)
     if drop_null:
         wide = wide.na.drop(how="any", subset=[c for c in wide.columns if c not in group])
     return wide

@@ -29,6 +29,11 @@ from pyspark.sql import functions as F
 from lagscope.functions.exprs import safe_pearson
 
 
+# Above this many (x, y, lag) cells per day the aligned rows are spread over
+# the cluster before they are expanded.
+SPREAD_CELLS = 256
+
+
 def _q(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
@@ -87,10 +92,15 @@ def lagged_correlation(x: DataFrame, y: DataFrame, lags: Sequence[int], x_cols:
             return f"{fn}({_q(c)}, {abs(lag)}) {over}"
 
         shifted_cols = {(c, lag): f"_s{i}_{k}" for i, c in enumerate(y_cols) for k, lag in enumerate(lag_list)}
-        lagged = j.selectExpr(*[_q(c) for c in [*by, *x_cols]],
+        lagged = j.selectExpr(*[_q(c) for c in [*by, date_col, *x_cols]],
                               *[f"{shifted(ymap[c], lag)} AS {_q(name)}" for (c, lag), name in shifted_cols.items()])
         cells = ", ".join(f"named_struct('series_y', {_lit(c)}, 'lag', {lag}, 'vy', {_q(name)})"
                           for (c, lag), name in shifted_cols.items())
+        if len(x_cols) * len(shifted_cols) > SPREAD_CELLS:
+            # every day expands into |X| |Y| |lags| cells: spread the (small)
+            # aligned day rows before expanding, instead of expanding in the
+            # window's partition (a single one for the national series)
+            lagged = lagged.repartition(j.sparkSession.sparkContext.defaultParallelism, *by, date_col)
         aligned = (lagged.selectExpr(*[_q(c) for c in [*by, *x_cols]], f"explode(array({cells})) AS _c")
                    .where(F.col("_c.vy").isNotNull()))
         pairs = (aligned.select(*by, "_c.*", *x_cols)

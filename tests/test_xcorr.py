@@ -123,3 +123,14 @@ def test_correlation_matrix_family(spark):
         assert abs(mass[s] - np.linalg.norm(ref[i], 1)) < 1e-12
     adj = {(r.series_a, r.series_b): r.adj for r in xcorr.adjacency(cm, 0.8).collect()}
     assert adj[("a", "b")] == 1 and adj[("a", "a")] == 0 and adj[("a", "c")] == 0
+
+
+def test_many_series_spread_path(spark):
+    rng = np.random.default_rng(21)
+    cols = {f"s{i}": rng.normal(size=45) for i in range(9)}
+    w = _wide(spark, cols)
+    lags = [-4, -2, 0, 1, 3]
+    out = xcorr.auto_correlation(w, lags, list(cols)).collect()     # 9 * 9 * 5 cells per day > SPREAD_CELLS
+    assert len(out) == 9 * 9 * 5
+    for r in out[:40]:
+        assert abs(r.r - _array_tlcc(cols[r.series_x], cols[r.series_y], r.lag)) < 1e-12
