@@ -46,10 +46,12 @@ def pivot_wide(df: DataFrame, criteria: Sequence[str] | None = None, precision:
     crit = sorted(criteria) if criteria is not None else criteria_list(df, criteria_col)
     names = sanitize_names(crit)
     group = [*keys, *extra_keys]
+    q = _quote
     src = df.where(F.col(criteria_col).isin(crit))
     if len(crit) <= DIRECT_PIVOT_MAX:
         # few criteria: one conditional aggregate, partial before the shuffle
-        rows, s_col, n_col, u_col = src, F.col(value_col), F.col(value_col).isNotNull().cast("long"), F.col("unit") if with_unit else None
+        rows = src
+        s_col, n_col, u_col = q(value_col), f"CAST({q(value_col)} IS NOT NULL AS BIGINT)", "unit"
     else:
         # many criteria: each raw row updates one buffer (per key and
         # criterion, combined map-side); the pivot then runs on those
@@ -58,19 +60,29 @@ def pivot_wide(df: DataFrame, criteria: Sequence[str] | None = None, precision:
         if with_unit:
             aggs1.append(F.min("unit").alias("_u"))
         rows = src.groupBy(*group, criteria_col).agg(*aggs1)
-        s_col, n_col, u_col = F.col("_s"), F.col("_n"), F.col("_u") if with_unit else None
+        s_col, n_col, u_col = "_s", "_n", "_u"
+    # aggregates as SQL strings: one driver call for the whole pivot
     aggs = []
     for c, name in zip(crit, names):
-        is_c = F.col(criteria_col) == F.lit(c)
-        aggs.append(F.try_divide(F.sum(F.when(is_c, s_col)), F.sum(F.when(is_c, n_col))).alias(name))
+        is_c = f"{q(criteria_col)} = {_sql_str(c)}"
+        aggs.append(f"try_divide(sum(CASE WHEN {is_c} THEN {s_col} END), "
+                    f"sum(CASE WHEN {is_c} THEN {n_col} END)) AS {q(name)}")
         if with_unit:
-            aggs.append(F.min(F.when(is_c, u_col)).alias(f"{name}_unit"))
-    wide = rows.groupBy(*group).agg(*aggs)
+            aggs.append(f"min(CASE WHEN {is_c} THEN {u_col} END) AS {q(name + '_unit')}")
+    wide = rows.groupBy(*group).agg(*[F.expr(a) for a in aggs])
     if drop_null:
         wide = wide.na.drop(how="any", subset=[c for c in wide.columns if c not in group])
     return wide
 
 
+def _quote(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _sql_str(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def melt(df: DataFrame, ids: Sequence[str], values: Sequence[str], var: str = "series",
          val: str = "value") -> DataFrame:
     """Wide -> long: one row per (ids, column).  This is the distributed

@@ -29,9 +29,10 @@ def daily_mean(wide: DataFrame, cols: Sequence[str], by: Sequence[str] = (), dat
     """Mean per day (and ``by`` keys) of each column, with integer ``year`` /
     ``dayofyear``.  On a complete-case wide table this is the unweighted mean
     over the complete sites of that day."""
-    out = wide.groupBy(*by, date_col).agg(*[F.avg(c).alias(c) for c in cols])
-    return out.select(*by, date_col, F.year(date_col).alias("year"),
-                      F.dayofyear(date_col).alias("dayofyear"), *cols)
+    q = lambda c: "`" + c.replace("`", "``") + "`"
+    out = wide.groupBy(*by, date_col).agg(*[F.expr(f"avg({q(c)}) AS {q(c)}") for c in cols])
+    return out.selectExpr(*[q(b) for b in by], q(date_col), f"year({q(date_col)}) AS year",
+                          f"dayofyear({q(date_col)}) AS dayofyear", *[q(c) for c in cols])
 
 
 def bucket_mean(df: DataFrame, by: Sequence[str], cols: Sequence[str], ts_col: str = "ts",

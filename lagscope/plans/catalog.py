@@ -59,8 +59,17 @@ def quantize(c, digits: int):
 def rounded(df: DataFrame, digits: int = 6, special: dict[str, int] | None = None) -> DataFrame:
     """Quantise every double column of a result (output only)."""
     special = special or {}
-    return df.select(*[quantize(c, special.get(c, digits)).alias(c) if t == "double" else F.col(c)
-                       for c, t in df.dtypes])
+
+    def q(c):
+        return "`" + c.replace("`", "``") + "`"
+
+    def one(c, t):
+        if t != "double":
+            return q(c)
+        scale = f"{float(10 ** special.get(c, digits))!r}D"
+        return f"floor({q(c)} * {scale} + {QUANT_OFFSET!r}D) / {scale} AS {q(c)}"
+
+    return df.selectExpr(*[one(c, t) for c, t in df.dtypes])
 
 
 def _sql_quantize(sql: str) -> str:

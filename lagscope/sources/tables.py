@@ -106,12 +106,13 @@ def nation_sites(spark: SparkSession, sf_dir: str, sites: int = DEFAULT_SITES) -
     dimension tables (25 and 5 rows), so the result may be broadcast."""
     nat = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     reg = F.broadcast(table(spark, sf_dir, "region").select("r_regionkey", "r_name"))
-    site = F.col("n_nationkey") % F.lit(sites)
-    lat, lon = _site_coords(site)
-    return (nat.join(reg, F.col("n_regionkey") == F.col("r_regionkey"))
-            .select("n_nationkey", site.alias("site"), lat.alias("lat_raw"), lon.alias("lon_raw"),
-                    F.round(lat, 6).alias("lat"), F.round(lon, 6).alias("lon"),
-                    "n_name", "r_name", F.lower("n_name").alias("state"), F.lower("r_name").alias("county")))
+    site = f"(n_nationkey % {int(sites)})"
+    lat, lon = f"({LAT0!r}D + {DLAT!r}D * {site})", f"({LON0!r}D + {DLON!r}D * {site})"
+    # projections are SQL expression strings: one driver call per projection
+    return (nat.join(reg, nat.n_regionkey == reg.r_regionkey)
+            .selectExpr("n_nationkey", f"{site} AS site", f"{lat} AS lat_raw", f"{lon} AS lon_raw",
+                        f"round({lat}, 6) AS lat", f"round({lon}, 6) AS lon", "n_name", "r_name",
+                        "lower(n_name) AS state", "lower(r_name) AS county"))
 
 
 def _lineitem_sites(spark: SparkSession, sf_dir: str, cols: list[str], sites: int = DEFAULT_SITES) -> DataFrame:
@@ -120,17 +121,16 @@ def _lineitem_sites(spark: SparkSession, sf_dir: str, cols: list[str], sites: in
     # supplier grows with the data: the join strategy is left to AQE
     sup = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     dim = F.broadcast(nation_sites(spark, sf_dir, sites))
-    return (li.join(sup, li.l_suppkey == sup.s_suppkey)
-            .join(dim, F.col("s_nationkey") == F.col("n_nationkey")))
+    return li.join(sup, li.l_suppkey == sup.s_suppkey).join(dim, sup.s_nationkey == dim.n_nationkey)
 
 
 def _criteria(j: DataFrame, criteria: str):
+    """(frame, criterion expression, value expression) as SQL strings."""
     if criteria == "flag":
-        return j, F.col("l_returnflag"), F.col("l_extendedprice")
+        return j, "l_returnflag", "l_extendedprice"
     if criteria == "measure":
-        j = j.select("*", F.explode(F.array(*[
-            F.struct(F.lit(m[2:]).alias("p"), F.col(m).alias("v")) for m in MEASURES])).alias("_m"))
-        return j, F.col("_m.p"), F.col("_m.v")
+        cells = ", ".join(f"named_struct('p', '{m[2:]}', 'v', {m})" for m in MEASURES)
+        return j.selectExpr("*", f"explode(array({cells})) AS _m"), "_m.p", "_m.v"
     raise ValueError("criteria must be 'flag' or 'measure'")
 
 
@@ -146,6 +146,7 @@ def lineitem_raw_measurements(spark: SparkSession, sf_dir: str, sites: int = DEF
     ``criteria="measure"``: four rows per lineitem, one per numeric measure.
     """
     j, param, value = _criteria(_lineitem_sites(spark, sf_dir, _LI_COLS, sites), criteria)
+    param, value = F.expr(param), F.expr(value)
     site = F.col("site")
     return j.select(
         param.alias("Parameter Name"),
@@ -167,20 +168,12 @@ def lineitem_measurements(spark: SparkSession, sf_dir: str, sites: int = DEFAULT
     would be read: the same rows ``normalize_measurements`` produces from
     ``lineitem_raw_measurements``, built without the string round trip."""
     j, param, value = _criteria(_lineitem_sites(spark, sf_dir, _LI_COLS, sites), criteria)
-    ts = F.timestamp_add("HOUR", F.col("l_linenumber") + 6, F.col("l_shipdate").cast("timestamp"))
     # the source measures carry at most 2 decimals, so the 10-digit rounding
     # of the raw path is the identity here (a test checks both paths agree)
-    return j.select(
-        param.alias("criteria"),
-        "state",
-        "county",
-        "lat",
-        "lon",
-        ts.alias("ts"),
-        F.to_date("l_shipdate").alias("date"),
-        value.cast("double").alias("value"),
-        F.col("l_linestatus").alias("unit"),
-    )
+    return j.selectExpr(
+        f"{param} AS criteria", "state", "county", "lat", "lon",
+        "timestampadd(HOUR, l_linenumber + 6, CAST(l_shipdate AS TIMESTAMP)) AS ts",
+        "to_date(l_shipdate) AS date", f"CAST({value} AS DOUBLE) AS value", "l_linestatus AS unit")
 
 
 def lineitem_measurements_from_raw(spark: SparkSession, sf_dir: str, sites: int = DEFAULT_SITES,
