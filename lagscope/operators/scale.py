@@ -1,10 +1,10 @@
 """Column scaling: z-score, max-abs, min-max, and their chaining.
 
-Statistics are computed as *scalar subqueries* of the input (``df.scalar()``):
-Catalyst merges all of them into one aggregate pass (partial aggregation on
-every partition, one row at the end) and inlines the values into the
-projection, so there is no join, no broadcast of a growing table and no
-driver round trip.  Scaling is then a plain codegen projection.
+All statistics an operator needs are one struct-valued *scalar subquery* of
+the input (``df.scalar()``): one aggregate pass (partial aggregation on every
+partition, one row at the end) whose fields are inlined into the projection,
+so there is no join, no broadcast of a growing table and no driver round
+trip.  Scaling is then a plain codegen projection.
 
 Semantics follow the MLlib scalers: sample standard deviation; a zero
 deviation scales to 0; max-abs of an all-zero column gives 0; min-max of a
@@ -20,21 +20,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _stat(df: DataFrame, expr: Column) -> Column:
-    return df.select(expr).scalar()
+class Stats:
+    """Collects the aggregates an operator needs, then evaluates them as a
+    single struct-valued scalar subquery of ``df`` (register every aggregate
+    before resolving the first with ``.col()``)."""
+
+    def __init__(self, df: DataFrame):
+        self.df, self.aggs, self._row = df, {}, None
+
+    def __call__(self, agg: Column) -> Column:
+        key = f"s{len(self.aggs)}"
+        self.aggs[key] = agg
+        return _Deferred(self, key)
+
+    def row(self) -> Column:
+        if self._row is None:
+            self._row = self.df.select(F.struct(*[a.alias(k) for k, a in self.aggs.items()])).scalar()
+        return self._row
+
+
+class _Deferred:
+    """A statistic resolved to ``row[key]`` once all aggregates are known."""
+
+    def __init__(self, stats: Stats, key: str):
+        self.stats, self.key = stats, key
+
+    def col(self) -> Column:
+        return self.stats.row()[self.key]
 
 
 def zscore_exprs(df: DataFrame, cols: Sequence[str], mean: bool = True, std: bool = True,
                  stats_from: DataFrame | None = None) -> dict[str, Column]:
-    src = stats_from if stats_from is not None else df
+    st = Stats(stats_from if stats_from is not None else df)
+    plan = {c: (st(F.avg(c)) if mean else None, st(F.stddev_samp(c)) if std else None) for c in cols}
     out = {}
-    for c in cols:
+    for c, (mu, sd) in plan.items():
         e = F.col(c)
-        if mean:
-            e = e - _stat(src, F.avg(c))
-        if std:
-            sd = _stat(src, F.stddev_samp(c))
-            e = F.when(sd == 0, F.lit(0.0)).otherwise(F.try_divide(e, sd))
+        if mu is not None:
+            e = e - mu.col()
+        if sd is not None:
+            e = F.when(sd.col() == 0, F.lit(0.0)).otherwise(F.try_divide(e, sd.col()))
         out[c] = e
     return out
 
@@ -49,10 +74,11 @@ def zscore(df: DataFrame, cols: Sequence[str], mean: bool = True, std: bool = Tr
 
 
 def max_abs_exprs(df: DataFrame, cols: Sequence[str]) -> dict[str, Column]:
+    st = Stats(df)
+    plan = {c: st(F.max(F.abs(c))) for c in cols}
     out = {}
-    for c in cols:
-        m = _stat(df, F.max(F.abs(c)))
-        out[c] = F.when(m == 0, F.col(c) * 0.0).otherwise(F.try_divide(F.col(c), m))
+    for c, m in plan.items():
+        out[c] = F.when(m.col() == 0, F.col(c) * 0.0).otherwise(F.try_divide(F.col(c), m.col()))
     return out
 
 
@@ -62,9 +88,11 @@ def max_abs(df: DataFrame, cols: Sequence[str], suffix: str = "") -> DataFrame:
 
 
 def min_max_exprs(df: DataFrame, cols: Sequence[str]) -> dict[str, Column]:
+    st = Stats(df)
+    plan = {c: (st(F.min(c)), st(F.max(c))) for c in cols}
     out = {}
-    for c in cols:
-        lo, hi = _stat(df, F.min(c)), _stat(df, F.max(c))
+    for c, (lo_s, hi_s) in plan.items():
+        lo, hi = lo_s.col(), hi_s.col()
         rng = hi - lo
         out[c] = F.when(F.col(c).isNull(), F.lit(None).cast("double")).when(
             rng == 0, F.lit(0.5)).otherwise(F.try_divide(F.col(c) - lo, rng))
@@ -83,18 +111,20 @@ def zscore_max_abs_exprs(df: DataFrame, cols: Sequence[str], mean: bool = True,
     max|c - m| = greatest(|max(c) - m|, |min(c) - m|), so every statistic is
     an aggregate of the *input* (one merged pass), never of a scaled column
     (which would nest subqueries and re-evaluate the input per level)."""
+    st = Stats(df)
+    plan = {c: (st(F.min(c)), st(F.max(c)), st(F.avg(c)) if mean else None, st(F.stddev_samp(c)) if std else None)
+            for c in cols}
     out = {}
-    for c in cols:
-        lo, hi = _stat(df, F.min(c)), _stat(df, F.max(c))
-        if mean:
-            mu = _stat(df, F.avg(c))
+    for c, (lo_s, hi_s, mu_s, sd_s) in plan.items():
+        lo, hi = lo_s.col(), hi_s.col()
+        if mu_s is not None:
+            mu = mu_s.col()
             num, m = F.col(c) - mu, F.greatest(F.abs(hi - mu), F.abs(lo - mu))
         else:
             num, m = F.col(c), F.greatest(F.abs(hi), F.abs(lo))
         e = F.when(m == 0, F.lit(0.0)).otherwise(F.try_divide(num, m))
-        if std:
-            sd = _stat(df, F.stddev_samp(c))
-            e = F.when(sd == 0, F.lit(0.0)).otherwise(e)
+        if sd_s is not None:
+            e = F.when(sd_s.col() == 0, F.lit(0.0)).otherwise(e)
         out[c] = F.when(F.col(c).isNull(), F.lit(None).cast("double")).otherwise(e)
     return out
 

@@ -37,8 +37,9 @@ def cost_score(wide: DataFrame, cols: Sequence[str], price: DataFrame, lag: int
     p = price.select("date", price_col)
     pz = zscore(p, [price_col]).select("date", F.abs(price_col).alias("price_norm"))
     if latest_priced:
-        z = z.join(pz.select("date"), "date", "left_semi")
-    latest = latest_per_site(z, ["norm"])
-    return (latest.join(pz, "date")
-            .select("lat", "lon", "date", "norm", "price_norm",
-                    safe_ratio("norm", "price_norm").alias("score")))
+        # price the days first, then take each site's latest priced day
+        latest = latest_per_site(z.join(pz, "date"), ["norm", "price_norm"])
+    else:
+        latest = latest_per_site(z, ["norm"]).join(pz, "date")
+    return latest.select("lat", "lon", "date", "norm", "price_norm",
+                         safe_ratio("norm", "price_norm").alias("score"))

@@ -135,8 +135,10 @@ def deseason(df: DataFrame, col: str, date_col: str = "date", freq: str = "daily
     ever holds a whole month of raw rows.
     """
     bucket = date_bucket(F.col(date_col), freq)
-    keyed = df.withColumn("_bucket", bucket)
-    means = keyed.groupBy("_bucket").agg(F.avg(col).alias("_mean")).where(F.col("_bucket").isNotNull())
+    # the null filter is applied once, before the two branches, so both carry
+    # the same filters and the input's exchange is reused (one scan)
+    keyed = df.withColumn("_bucket", bucket).where(F.col("_bucket").isNotNull())
+    means = keyed.groupBy("_bucket").agg(F.avg(col).alias("_mean"))
     return (keyed.join(F.broadcast(means), "_bucket")
             .withColumn(col, F.col(col) - F.col("_mean"))
             .drop("_bucket", "_mean"))

@@ -121,6 +121,7 @@ def feature_matrix(wide: DataFrame, cols: list[str], date_col: str = "date") ->
     base = wide.select(F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"),
                        hours.alias("time"), *cols)
     # all statistics come from ``base`` (one merged aggregate), one projection
+    # statistics of ``base`` only (Catalyst merges the two subqueries)
     return base.withColumns({**scale.min_max_exprs(base, ["lat", "lon", "time"]),
                              **scale.zscore_max_abs_exprs(base, cols)})
 

@@ -195,7 +195,11 @@ def order_prices(spark: SparkSession, sf_dir: str, years=None) -> DataFrame:
     """Typed daily price ``(date, price, year, dayofyear)`` straight from one
     aggregate of orders (dates are unique by construction, so the string
     round trip and de-duplication of ``parse_prices`` are not needed)."""
-    o = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("date"), "o_totalprice")
+    # days without a date are dropped up front: every later join on the day
+    # would drop them anyway, and an explicit filter keeps the plan branches
+    # that read the price (statistics, join) identical, so the scan is shared
+    o = (table(spark, sf_dir, "orders").where(F.col("o_orderdate").isNotNull())
+         .select(F.to_date("o_orderdate").alias("date"), "o_totalprice").where(F.col("date").isNotNull()))
     if years is not None:
         o = o.where(F.year("date").isin([int(y) for y in years]))
     daily = o.groupBy("date").agg(F.avg("o_totalprice").alias("price"))
