@@ -86,7 +86,11 @@ def main() -> None:
             if (t, sch, p) not in seen:
                 seen.add((t, sch, p))
                 out.append(f"- `{t}` reads `{sch}`; pushed `{p}`")
-        out += ["", "<details><summary>formatted plan</summary>", "", "```", plan.strip(), "```", "", "</details>", ""]
+        main, _, subs = plan.partition("===== Subqueries =====")
+        nsub = len(re.findall(r"^Subquery:\d+", subs, flags=re.M))
+        out += [f"- statistics subquery references in the static plan: {nsub}" if nsub else "- no subqueries"]
+        out += ["", "<details><summary>formatted plan (main query)</summary>", "", "```", main.strip(), "```", "",
+                "</details>", ""]
     path = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "docs", "plans.md")
     with open(path, "w") as f:
         f.write("\n".join(out) + "\n")
