@@ -44,6 +44,12 @@ def distinct_units(df: DataFrame) -> DataFrame:
     return distinct_values(df, "unit")
 
 
+def preview(df: DataFrame, n: int = 20, order_by: Sequence[str] | None = None) -> DataFrame:
+    """The first ``n`` rows (of a deterministic order when ``order_by`` is
+    given): a bounded look at a result, never the whole table."""
+    return (df.orderBy(*order_by) if order_by else df).limit(n)
+
+
 def row_count(df: DataFrame) -> int:
     """Action: the number of rows (forces the plan)."""
     return df.count()
