@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagscope.functions.exprs import sanitize_names
@@ -36,8 +37,6 @@ def complete_case_long(df: DataFrame, keys: Sequence[str], criteria: Sequence[st
     crit = list(criteria)
     per = (df.where(F.col(criteria_col).isin(crit) & F.col(value_col).isNotNull())
            .groupBy(*keys, criteria_col).agg(F.avg(value_col).alias(value_col)))
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*keys)
     return (per.withColumn("_k", F.count(F.lit(1)).over(w))
             .where(F.col("_k") == len(crit)).drop("_k"))
@@ -69,8 +68,6 @@ def sanitize_columns(df: DataFrame) -> DataFrame:
 
 def repair_aggregate_names(df: DataFrame) -> DataFrame:
     """``avg(X)`` -> ``X`` and ``year(date)`` -> ``year`` in one projection."""
-    import re
-
     pat = re.compile(r"^[A-Za-z_]+\((.*)\)$")
     out = []
     for c in df.columns:

@@ -85,3 +85,17 @@ def test_daily_mean_and_climatology(spark):
     assert d[dt.date(2019, 1, 1)] == (2.0, 2019, 1)
     c = series.climatology(series.daily_mean(df, ["a"]), ["a"]).collect()
     assert [(r.dayofyear, r.a) for r in c] == [(1, 4.0)]
+
+
+def test_day_index_per_group(spark):
+    days = spark.createDataFrame([(0, dt.date(2019, 1, 5)), (0, dt.date(2019, 1, 2)), (1, dt.date(2019, 3, 1))],
+                                 "site int, date date")
+    got = sorted((r.site, r.date.day, r.idx) for r in series.day_index(days, ["site"]).collect())
+    assert got == [(0, 2, 0), (0, 5, 1), (1, 1, 0)]
+
+
+def test_bucket_mean_hourly(spark):
+    df = spark.createDataFrame([(0, dt.datetime(2024, 1, 1, 3, 5), 1.0), (0, dt.datetime(2024, 1, 1, 3, 55), 3.0),
+                                (0, dt.datetime(2024, 1, 1, 4, 0), 7.0)], "site int, ts timestamp, v double")
+    got = sorted((r.ts.hour, r.v) for r in series.bucket_mean(df, ["site"], ["v"], "ts", "hour").collect())
+    assert got == [(3, 2.0), (4, 7.0)]
