@@ -689,7 +689,7 @@ def heatmap_points(spark, sf):
 
 
 @register("spatial_density", with_(SQL_M, SQL_W, SQL_HW) + """
-SELECT round(lat, 1) AS lat, round(lon, 1) AS lon, count(*) AS n, sum(weight) AS weight FROM hw2 GROUP BY 1, 2""")
+SELECT round(lat, 1) AS lat, round(lon, 1) AS lon, count(*) AS n, CAST(sum(weight) AS BIGINT) AS weight FROM hw2 GROUP BY 1, 2""")
 def spatial_density(spark, sf):
     return rounded(spatial.spatial_density(_heat(spark, sf), precision=1, weight="weight"))
 
