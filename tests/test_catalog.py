@@ -48,10 +48,17 @@ def test_entry_smoke(spark):
     assert df.count() >= 0
 
 
+# Spark simple type -> DuckDB type name
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE"}
+
+
 @pytest.mark.parametrize("name", SAMPLE)
 def test_query_matches_oracle(spark, con, name):
     df = entry_module.queries()[name](spark, SF)
-    cur = con.execute(entry_module.oracle_sql()[name])
+    sql = entry_module.oracle_sql()[name]
+    described = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    assert {f.name: TYPES.get(f.dataType.simpleString()) for f in df.schema.fields} == described
+    cur = con.execute(sql)
     ocols = [d[0] for d in cur.description]
     assert sorted(df.columns) == sorted(ocols)
     assert _canon([tuple(r) for r in df.collect()], df.columns) == _canon(cur.fetchall(), ocols)
