@@ -78,7 +78,7 @@ def _split_estimate(spark: SparkSession, path: str) -> int:
         p = jvm.org.apache.hadoop.fs.Path(path)
         fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         summary = fs.getContentSummary(p)
-        max_bytes = int(str(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728")).rstrip("b"))
+        max_bytes = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
         _SPLITS[path] = max(int(summary.getFileCount()), -(-int(summary.getLength()) // max_bytes))
     return _SPLITS[path]
 
