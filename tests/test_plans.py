@@ -94,3 +94,18 @@ def test_streaming_ingest_is_incremental(spark, tmp_path):
     table = measurements.read_measurement_table(spark, out, classes=["gasses"], years=[2019])
     assert spark.read.parquet(out).count() == 2 * first      # old files not re-read
     assert table.count() == 3 * 3 * 10 * 2
+
+
+def test_command_line_jobs(spark, tmp_path):
+    from lagscope.__main__ import main
+
+    root = str(tmp_path / "air")
+    write_tree(root)
+    price = str(tmp_path / "price.csv")
+    write_prices(price)
+    out = str(tmp_path / "pc")
+    assert main(["price-correlation", "--root", root, "--price", price, "--lags", "0", "10", "--out", out]) == 0
+    assert spark.read.parquet(out).count() == 3 * 2
+    sc = str(tmp_path / "sc")
+    assert main(["cost-scores", "--root", root, "--price", price, "--latest-priced", "--out", sc]) == 0
+    assert spark.read.option("header", True).csv(sc).count() == 3
