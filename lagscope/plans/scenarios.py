@@ -66,18 +66,24 @@ def daily_table(long: DataFrame, criteria: list[str] | None = None, grain: str =
     return series.daily_mean(wide, labels, by=by), labels
 
 
-def build_scenario(spark: SparkSession, root: str, scenario: Scenario | str,
-                   store: str | None = None) -> tuple[DataFrame, list[str]]:
+def build_scenario(spark: SparkSession, root: str | None, scenario: Scenario | str,
+                   store: str | None = None, table: str | None = None) -> tuple[DataFrame, list[str]]:
     """The scenario's daily table and labels (z-scored when ``scaled``).
 
-    With ``store`` and ``persist``, the unscaled table is written once and
-    later calls reload it instead of re-reading the raw files."""
+    Input is either the raw files under ``root`` or, with ``table``, the
+    landed ``class=/year=`` Parquet table (typed columns, class and year
+    partitions pruned).  With ``store`` and ``persist``, the unscaled table
+    is written once and later calls reload it instead of re-reading input."""
     sc = SCENARIOS[scenario] if isinstance(scenario, str) else scenario
     path = _store_path(store, sc.name) if (store and sc.persist) else None
     if path and _exists(spark, f"{path}/data"):
         daily, labels = sinks.read_scenario(spark, path)
     else:
-        long = measurements.read_measurements(spark, root, sc.classes, sc.years)
+        if table is not None:
+            classes = sorted({c.split("/")[0] for c in sc.classes})
+            long = measurements.read_measurement_table(spark, table, classes, sc.years)
+        else:
+            long = measurements.read_measurements(spark, root, sc.classes, sc.years)
         daily, labels = daily_table(long, grain=sc.grain)
         if path:
             sinks.materialize(daily, path, labels)

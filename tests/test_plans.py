@@ -109,3 +109,19 @@ def test_command_line_jobs(spark, tmp_path):
     sc = str(tmp_path / "sc")
     assert main(["cost-scores", "--root", root, "--price", price, "--latest-priced", "--out", sc]) == 0
     assert spark.read.option("header", True).csv(sc).count() == 3
+
+
+def test_scenario_from_landed_table_equals_raw(spark, tmp_path):
+    root = str(tmp_path / "air")
+    write_tree(root)
+    landed = str(tmp_path / "landed")
+    measurements.combine_class_csvs(spark, root, landed)
+    sc = scenarios.Scenario("g19", ("gasses/*",), (2019,), "national", scaled=False)
+    raw, labels = scenarios.build_scenario(spark, root, sc)
+    tab, labels2 = scenarios.build_scenario(spark, None, sc, table=landed)
+    assert labels == labels2
+    a = sorted(tuple(r) for r in raw.collect())
+    b = sorted(tuple(r) for r in tab.collect())
+    assert len(a) == len(b) == 90
+    for ra, rb in zip(a, b):
+        assert ra[:3] == rb[:3] and all(abs(x - y) < 1e-9 for x, y in zip(ra[3:], rb[3:]))
