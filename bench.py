@@ -1,7 +1,7 @@
 """Benchmark the headline queries and print ONE JSON line.
 
 Environment: ``BENCH_SF_DIR`` (default /root/testdata/sf0.1), ``BENCH_CPUS``
-(default 8, the ``local[N]`` width), ``BENCH_RUNS`` (warm runs, default 2).
+(default 8, the ``local[N]`` width), ``BENCH_RUNS`` (warm runs, default 3).
 
 Each query is timed from building its plan over the Parquet tables to the
 result collected on the driver: once cold (its first execution, after one
@@ -31,7 +31,7 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    runs = int(os.environ.get("BENCH_RUNS", "2"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     from lagscope.plans.catalog import QUERIES
     from lagscope.session import build_session
 
