@@ -125,3 +125,11 @@ def test_scenario_from_landed_table_equals_raw(spark, tmp_path):
     assert len(a) == len(b) == 90
     for ra, rb in zip(a, b):
         assert ra[:3] == rb[:3] and all(abs(x - y) < 1e-9 for x, y in zip(ra[3:], rb[3:]))
+
+
+def test_streaming_ingest_default_checkpoint(spark, tmp_path):
+    root = str(tmp_path / "land2")
+    write_tree(root, years=(2018,), days=3)
+    out = str(tmp_path / "landed2")
+    ingest.ingest(spark, root, out).awaitTermination()       # checkpoint under spark.checkpoint.dir
+    assert spark.read.parquet(out).count() == 5 * 3 * 3 * 2
