@@ -28,7 +28,6 @@ FLAGS = ["A", "N", "R"]
 PRICE_LAGS = [-60, -30, -10, 0, 10, 30, 60]
 AUTO_LAGS = [-90, -60, -30, -10, 0, 10, 30, 60, 90]
 TOXICS_LAGS = [-30, -10, 0, 10, 30]
-EVENT_LAGS = [-3, -1, 0, 1, 3]
 
 
 def register(name: str, sql: str | None = None):
