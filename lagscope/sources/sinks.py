@@ -29,13 +29,19 @@ def write_csv(df: DataFrame, path: str, single: bool = False, mode: str = "error
 
 
 def write_correlations(cors: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:
-    """Persist a typed correlation table ``(series_x, series_y, lag, n, r)``."""
+    """Persist a typed correlation table ``(series_x, series_y, lag, n, r)``
+    as Parquet, CSV, or ``text`` lines ``((series_x,series_y,lag),r)`` (the
+    tuple layout of the original result files; a null r prints ``NaN``)."""
     if fmt == "csv":
         write_csv(cors, path, mode=mode)
     elif fmt == "parquet":
         cors.write.mode(mode).parquet(path)
+    elif fmt == "text":
+        r = F.coalesce(F.col("r").cast("string"), F.lit("NaN"))
+        line = F.format_string("((%s,%s,%d),%s)", F.col("series_x"), F.col("series_y"), F.col("lag"), r)
+        cors.select(line.alias("value")).write.mode(mode).text(path)
     else:
-        raise ValueError("fmt must be 'csv' or 'parquet'")
+        raise ValueError("fmt must be 'csv', 'parquet' or 'text'")
 
 
 def materialize(df: DataFrame, path: str, labels: Sequence[str] | None = None,

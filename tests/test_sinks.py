@@ -41,3 +41,11 @@ def test_correlation_sink(spark, tmp_path):
     cors = spark.createDataFrame([("a", "b", 0, 10, 0.5)], "series_x string, series_y string, lag int, n long, r double")
     sinks.write_correlations(cors, str(tmp_path / "c"))
     assert spark.read.parquet(str(tmp_path / "c")).first().r == 0.5
+
+
+def test_correlation_text_lines(spark, tmp_path):
+    cors = spark.createDataFrame([("CO", "Price", -10, 5, 0.25), ("CO", "CO", 0, 5, None)],
+                                 "series_x string, series_y string, lag int, n long, r double")
+    sinks.write_correlations(cors, str(tmp_path / "t"), fmt="text")
+    lines = sorted(r.value for r in spark.read.text(str(tmp_path / "t")).collect())
+    assert lines == ["((CO,CO,0),NaN)", "((CO,Price,-10),0.25)"]
