@@ -141,6 +141,13 @@ def correlation_matrix(wide: DataFrame, cols: Sequence[str]) -> DataFrame:
              .select(F.col("a.s").alias("series_a"), F.col("b.s").alias("series_b"),
                      F.col("a.v").alias("va"), F.col("b.v").alias("vb")))
     upper = pairs.groupBy("series_a", "series_b").agg(safe_pearson("va", "vb").alias("r"))
+    # every cell exists even when two series never overlap (r null there, as
+    # a pairwise-complete correlation gives NaN): the K(K+1)/2 names are plan
+    # literals, so this is a join with a table sized by the series count
+    names = wide.sparkSession.range(1).select(F.explode(F.array(*[
+        F.struct(F.lit(a).alias("series_a"), F.lit(b).alias("series_b"))
+        for i, a in enumerate(sorted(cols)) for b in sorted(cols)[i:]])).alias("p")).select("p.*")
+    upper = names.join(upper, ["series_a", "series_b"], "left")
     mirror = F.when(F.col("series_a") == F.col("series_b"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
     return (upper.select("*", F.explode(mirror).alias("_m"))
             .select(F.when(F.col("_m") == 0, F.col("series_a")).otherwise(F.col("series_b")).alias("series_a"),

@@ -134,3 +134,13 @@ def test_many_series_spread_path(spark):
     assert len(out) == 9 * 9 * 5
     for r in out[:40]:
         assert abs(r.r - _array_tlcc(cols[r.series_x], cols[r.series_y], r.lag)) < 1e-12
+
+
+def test_correlation_matrix_keeps_pairs_without_overlap(spark):
+    rows = [(D0 + dt.timedelta(days=i), float(i), float(i * i) if i < 4 else None, None if i < 4 else float(i))
+            for i in range(8)]
+    w = spark.createDataFrame(rows, "date date, a double, b double, c double")
+    got = {(r.series_a, r.series_b): r.r for r in xcorr.correlation_matrix(w, ["a", "b", "c"]).collect()}
+    assert len(got) == 9
+    assert got[("b", "c")] is None and got[("c", "b")] is None       # b and c never overlap
+    assert abs(got[("a", "c")] - 1.0) < 1e-12
