@@ -836,3 +836,31 @@ def feature_matrix(spark, sf):
     from lagscope.plans.scenarios import feature_matrix as fm
 
     return rounded(fm(wide(spark, sf), FLAGS))
+
+
+# --------------------------------------------------------------------------
+# Lagged correlation on the hourly grain (events): per site, event types
+# against each other, lags in complete hours
+# --------------------------------------------------------------------------
+
+# The event types and hour lags.
+EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
+HOUR_LAGS = [-3, -1, 0, 1, 3]
+
+
+@register("tlcc_events", with_(SQL_E, """h AS (
+  SELECT site, date_trunc('hour', ts) AS ts,
+         """ + ", ".join(f"avg(value) FILTER (WHERE criteria = '{t}') AS \"{t}\"" for t in EVENT_TYPES) + """
+  FROM e GROUP BY 1, 2)""", "hc AS (SELECT * FROM h WHERE " + " AND ".join(f'"{t}" IS NOT NULL' for t in EVENT_TYPES) + ")",
+  "hi AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY ts) AS idx FROM hc)",
+  "x AS (" + " UNION ALL ".join(f"SELECT site, idx, '{t}' AS series, \"{t}\" AS value FROM hi" for t in EVENT_TYPES) + ")",
+  sql_lags(HOUR_LAGS)) + f"""
+SELECT x.site, x.series AS series_x, y.series AS series_y, CAST(lags.lag AS INTEGER) AS lag, count(*) AS n,
+       round({sql_pearson('x.value', 'y.value')}, 8) AS r
+FROM x CROSS JOIN lags JOIN x y ON y.site = x.site AND y.idx = x.idx + lags.lag
+GROUP BY 1, 2, 3, 4""")
+def tlcc_events(spark, sf):
+    e = events(spark, sf).withColumn("ts", F.date_trunc("hour", "ts"))
+    wide_h = reshape.pivot_wide(e, EVENT_TYPES, precision=None, keys=("site", "ts"))
+    return rounded(xcorr.auto_correlation(wide_h, HOUR_LAGS, EVENT_TYPES, by=["site"], date_col="ts"),
+                   special={"r": 8})

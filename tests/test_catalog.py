@@ -13,7 +13,7 @@ TABLES = ["region", "nation", "supplier", "orders", "lineitem", "events"]
 # a cross-section of operator families; the full set runs in tools/check_oracles.py
 SAMPLE = ["tlcc_price", "tlcc_by_site", "tlcc_calendar", "clean_measurements", "pivot_mean_unit",
           "complete_case", "sma_trailing", "ema_span3", "deseason_monthly", "zscore_maxabs_chain",
-          "corr_matrix", "cost_score", "heatmap_points", "summary_profile", "feature_matrix"]
+          "corr_matrix", "cost_score", "heatmap_points", "summary_profile", "feature_matrix", "tlcc_events"]
 
 
 def _canon(rows, cols):
