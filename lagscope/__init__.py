@@ -39,7 +39,16 @@ from lagscope.operators.xcorr import (
     correlation_matrix,
     lagged_correlation,
 )
-from lagscope.sources.measurements import read_measurements, year_list
+from lagscope.operators.cluster import cluster_members, density_clusters, pca_projection
+from lagscope.operators.profile import preview, schema_profile, summary
+from lagscope.sources.measurements import normalize_measurements, read_measurements, year_list
 from lagscope.sources.prices import read_prices
+from lagscope.sources.sinks import materialize, write_csv
+
+# Short names used in the design notes.
+criteria = criteria_list
+cluster = density_clusters
+pca = pca_projection
+profile = summary
 
 __all__ = [name for name in dir() if not name.startswith("_")]
