@@ -70,16 +70,38 @@ def _site_coords(site):
 _SPLITS: dict[str, int] = {}
 
 
-def _split_estimate(spark: SparkSession, path: str) -> int:
-    """Upper bound on the scan's input splits from the file listing alone
-    (no planning, no job): max(#files, bytes / maxPartitionBytes)."""
+def _split_estimate(spark: SparkSession, path: str, footer_files: int = 16) -> int:
+    """Upper bound on the scan's non-empty input splits, without a job.
+
+    Spark splits Parquet at row-group granularity, so a file yields at most
+    min(#row groups, bytes / maxPartitionBytes) non-empty splits.  For a few
+    files the row groups are counted from the footers (one small read per
+    file, through the session's Hadoop filesystem); for many files the
+    byte-based bound max(#files, bytes / maxPartitionBytes) is used."""
     if path not in _SPLITS:
-        jvm = spark.sparkContext._jvm
+        sc = spark.sparkContext
+        jvm, conf = sc._jvm, sc._jsc.hadoopConfiguration()
         p = jvm.org.apache.hadoop.fs.Path(path)
-        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs = p.getFileSystem(conf)
         summary = fs.getContentSummary(p)
         max_bytes = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-        _SPLITS[path] = max(int(summary.getFileCount()), -(-int(summary.getLength()) // max_bytes))
+        estimate = max(int(summary.getFileCount()), -(-int(summary.getLength()) // max_bytes))
+        if int(summary.getFileCount()) <= footer_files:
+            try:
+                total = 0
+                it = fs.listFiles(p, True)
+                while it.hasNext():
+                    st = it.next()
+                    name = st.getPath().getName()
+                    if name.startswith(("_", ".")):
+                        continue
+                    footer = jvm.org.apache.parquet.hadoop.ParquetFileReader.readFooter(conf, st.getPath())
+                    groups = int(footer.getBlocks().size())
+                    total += min(max(groups, 1), -(-int(st.getLen()) // max_bytes))
+                estimate = total
+            except Exception:  # not Parquet or footer unreadable: keep the byte bound
+                pass
+        _SPLITS[path] = estimate
     return _SPLITS[path]
 
 
