@@ -32,3 +32,26 @@ def test_profile_helpers(spark):
     assert preview(df, 3, ["date"]).count() == 3
     s = summary(df, ["value"]).first()
     assert s["count"] == row_count(df) and s["min"] <= s["mean"] <= s["max"]
+
+
+def test_split_estimate_counts_row_groups(spark):
+    path = tables.table_path(SF, "lineitem")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")      # many byte-splits ...
+        tables._SPLITS.pop(path, None)
+        assert tables._split_estimate(spark, path) == 1                 # ... but one row group
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        tables._SPLITS.pop(path, None)
+
+
+def test_design_note_names_exist():
+    import lagscope as L
+
+    names = ["criteria", "pivot_wide", "daily_mean", "climatology", "sma", "ema", "gradient", "shift", "deseason",
+             "zscore", "max_abs", "min_max", "l2_norm", "lagged_correlation", "correlation_matrix",
+             "correlation_mass", "adjacency", "heat_weights", "heat_points", "spatial_density", "cost_score",
+             "cluster", "pca", "profile", "write_csv", "materialize", "read_measurements",
+             "normalize_measurements", "read_prices"]
+    assert [n for n in names if not hasattr(L, n)] == []
