@@ -103,3 +103,24 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, extra: list[
                                        *[F.col(c).alias(f"_l_{c}") for c in extra])
     j = j.join(rest, (F.col(key) == F.col("_l_key")) & (F.col("_salt") == F.col("_l_salt")), "left")
     return j.select(*rows.columns, *[F.coalesce(f"_h_{c}", f"_l_{c}").alias(c) for c in extra])
+
+
+def keep_rows(docs: DataFrame, keep: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` named in ``keep``, one each, with all their columns.
+
+    ``keep`` has unique (id, raw), where raw is ``raw_hash`` of the text.  Rows
+    that repeat id and text collapse map-side before the one shuffle of texts,
+    so that copies of one row cannot pile up in a task.
+    """
+    cols = docs.columns
+    names = [f"c{i}" for i in range(len(cols))]
+    plain = docs.toDF(*names)
+    key = [F.col(names[cols.index(id_col)]).alias("id"), raw_hash(names[cols.index(text_col)]).alias("raw")]
+    once = plain.groupBy(*key).agg(F.first(F.struct(*names)).alias("row"))
+    wanted = keep.select(F.col("id").alias("k_id"), F.col("raw").alias("k_raw"))
+    hit = once.join(wanted, F.col("id").eqNullSafe(F.col("k_id")) & (F.col("raw") == F.col("k_raw")), "left_semi")
+    return hit.select("row.*").toDF(*cols)
+
+
+def raw_hash(name: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(name).cast("string"), F.lit("")))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, pick, small_batches, stage, utf8
+from .common import attach, keep_rows, pick, raw_hash, small_batches, stage, utf8
 from .components import components
 
 #: Fingerprints of one block compared in one task; larger blocks are tiled.
@@ -61,17 +61,19 @@ def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 4,
                  seed: int = 42) -> DataFrame:
-    """(id, fp): the fingerprint of every row as a signed long.  Null text
-    counts as empty."""
+    """(id, raw, fp): the fingerprint of every row as a signed long, with a hash
+    of its text.  Null text counts as empty."""
     src = pick(docs, id_col, text_col)
     kind = src.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
-            fps = np.array([fingerprint(t, shingle, seed) for t in b.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
+            fps = np.array([fingerprint(t, shingle, seed) for t in b.column(2).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))],
+                                             ["id", "raw", "fp"])
 
-    return src.select(F.col(id_col), utf8(text_col).alias("t")).mapInArrow(run, f"id {kind}, fp bigint")
+    return (src.select(F.col(id_col), raw_hash(text_col), utf8(text_col))
+            .mapInArrow(run, f"id {kind}, raw bigint, fp bigint"))
 
 
 def block_masks(blocks: int, max_bits: int) -> list[int]:
@@ -213,3 +215,17 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     out = attach(each, labels, "fp", "n", ["component_id"])
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
                       "component_id")
+
+
+def deduplicated(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **how) -> DataFrame:
+    """One document of each near-duplicate group, with all its columns: the
+    one with the smallest id (a null id last, then the smallest hash of the
+    text, so that rows that repeat an id also leave one)."""
+    shingle, seed = how.pop("shingle", 4), how.pop("seed", 42)
+    each = stage(fingerprints(docs, text_col, id_col, shingle, seed), "simhash-fp")
+    order = F.struct(F.col("id").isNull().alias("z"), "id", "raw")
+    nodes = stage(each.groupBy("fp").agg(F.min(order).alias("first")), "simhash-nodes")
+    roots = components(near_links(nodes.select("fp"), **how))
+    named = nodes.join(roots, nodes.fp == roots.u, "left").select("first", F.coalesce("root", "fp").alias("root"))
+    keep = named.groupBy("root").agg(F.min("first").alias("first")).select("first.id", "first.raw")
+    return keep_rows(docs, stage(keep, "simhash-keep"), text_col, id_col)
