@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, simhash
+from . import bpe, exact_dedup, simhash, token_count
 from .common import table
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
 
 
+#: The tokenizer file, a parameter of the operators.
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
 def query(f):
     QUERIES[f.__name__] = f
     return f
@@ -34,3 +39,13 @@ WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS points,
                   count(*) OVER (PARTITION BY text_sha256) AS group_size FROM t)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM w
 """
+
+
+@query
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.token_counts(table(spark, sf_dir, "documents"), TOKENIZER, limit=512)
+
+
+@query
+def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip_digests(table(spark, sf_dir, "documents"), TOKENIZER)

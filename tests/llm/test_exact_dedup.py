@@ -39,7 +39,7 @@ def test_filters_merge_without_loss(a, b):
     assert both.tolist() == want.tolist() and counts.tolist() == n.tolist()
 
 
-ROWS = [(1, "a b"), (2, "ab"), (3, " a\tb\n"), (4, None), (5, ""), (6, " \r\n"), (7, "a b"), (None, "ab   "),
+ROWS = [(1, "a b"), (2, "ab"), (3, " a\tb\n"), (4, None), (5, ""), (6, " \r\n"), (7, "a\u00a0b"), (None, "ab   "),
         (None, "only me"), (8, "x" * 100000), (9, "x " * 100000), (10, "x" * 99999), (11, "é à"), (12, "éà "), (11, "é à")]
 
 
@@ -68,7 +68,7 @@ def test_deduplicated_keeps_whole_rows(docs_of):
     out = deduplicated(clashing(docs_of(ROWS)))
     assert out.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"] and len(out.columns) == 17
     got = sorted([(r[0], r[1]) for r in out.collect()], key=str)
-    want = [(3, " a\tb\n"), (6, " \r\n"), (None, "only me"), (9, "x " * 100000), (10, "x" * 99999), (11, "é à")]
+    want = [(3, " a\tb\n"), (6, " \r\n"), (7, "a\u00a0b"), (None, "only me"), (9, "x " * 100000), (10, "x" * 99999), (11, "é à")]
     assert got == sorted(want, key=str)
 
 
