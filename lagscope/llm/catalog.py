@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, simhash, token_count
+from . import bpe, exact_dedup, license_scan, quality_rules, simhash, token_count
 from .common import table
 
 QUERIES = {}
@@ -21,6 +21,16 @@ def query(f):
     return f
 
 
+@query
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.line_first_cleaning(table(spark, sf_dir, "documents")).drop("cleaned")
+
+
 @query
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
