@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, license_scan, quality_rules, simhash, token_count
+from . import bpe, chat, exact_dedup, license_scan, mixing, quality_rules, simhash, token_count
 from .common import table
 
 QUERIES = {}
@@ -36,6 +36,34 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
 
 
+@query
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_texts(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op7_chat_collapse"] = r"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''),
+                                     coalesce(text, '')) AS k,
+                  count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
+     p AS (SELECT *, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '')
+                     OVER (PARTITION BY conv_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
+                     md5(string_agg(length(role) || ':' || length(text) || ':' || role || text, '')
+                     OVER (PARTITION BY conv_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS prefix
+           FROM t),
+     w AS (SELECT prefix, n, min(conv_id) AS conv_id, count(*) AS n_copies, any_value(upto) AS text
+           FROM p WHERE k = n GROUP BY prefix, n)
+SELECT conv_id, k.part, n AS n_turns, n_copies, text
+FROM w, (SELECT 0::BIGINT AS part) k
+WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.prefix = w.prefix AND p.k = w.n AND p.k < p.n)
+"""
+
+
 @query
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicates(table(spark, sf_dir, "documents")).drop("raw")

@@ -81,22 +81,24 @@ def clear_staging(spark: SparkSession) -> None:
 HEAVY_SHARE = 1000
 
 
-def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, extra: list[str]) -> DataFrame:
+def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, extra: list[str],
+           deal_by: list[str] | None = None) -> DataFrame:
     """``rows`` LEFT JOIN ``groups`` on ``key`` where one key may hold a large
     part of the rows.
 
     ``groups`` has one row per key with the number of ``rows`` it meets in
     ``size``; stage it first, it is read twice.  Heavy keys (fewer than
     ``HEAVY_SHARE``, see above) are attached from a broadcast; their rows then
-    take no part in the shuffle join but are dealt out by a salt, where they
-    match nothing.  A null key matches nothing.
+    take no part in the shuffle join but are dealt out by a salt (a hash of
+    ``deal_by``, all columns by default), where they match nothing.  A null key
+    matches nothing; a struct key compares its null fields as equal.
     """
     total = groups.agg(F.sum(size)).scalar()
     heavy = F.col(size) * F.lit(HEAVY_SHARE) > total
     named = [F.col(c).alias(f"_h_{c}") for c in extra]
     top = groups.where(heavy).select(F.col(key).alias("_h_key"), *named)
     j = rows.join(F.broadcast(top), F.col(key) == F.col("_h_key"), "left")
-    spread = F.lit(1) + F.pmod(F.xxhash64(*rows.columns), F.lit(1_000_000))
+    spread = F.lit(1) + F.pmod(F.xxhash64(*(deal_by or rows.columns)), F.lit(1_000_000))
     apart = F.col("_h_key").isNotNull() | F.col(key).isNull()
     j = j.withColumn("_salt", F.when(apart, spread).otherwise(F.lit(0).cast("long")))
     rest = groups.where(~heavy).select(F.col(key).alias("_l_key"), F.lit(0).cast("long").alias("_l_salt"),
