@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, exact_dedup, license_scan, mixing, quality_rules, simhash, token_count
+from . import bpe, chat, exact_dedup, license_scan, mixing, quality_rules, simhash, token_count, warc_zstd
 from .common import table
 
 QUERIES = {}
@@ -31,6 +31,22 @@ def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.line_first_cleaning(table(spark, sf_dir, "documents")).drop("cleaned")
 
 
+@query
+def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_zstd.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
+ORACLES["op2_warc_round_trip"] = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+           FROM pages),
+     g AS (SELECT payload_digest AS d, max(page_id) AS response FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id < response THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < response THEN response END AS refers_to
+FROM p LEFT JOIN g ON d = payload_digest AND payload_bytes >= 1000
+"""
+
+
 @query
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
