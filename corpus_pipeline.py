@@ -7,23 +7,44 @@ lost executor never costs more than the stage that is running.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lagscope.llm import exact_dedup, simhash
+from lagscope.llm import bpe, exact_dedup, lang_id, mixing, simhash
 from lagscope.llm.common import stage, table
 
 
+def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Language ID: documents that it rejects go."""
+    return lang_id.accepted(docs, lang_id.fit(docs))
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Exact dedup: the longest of equal texts stays."""
     return exact_dedup.deduplicated(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """SimHash near-dedup: one document of each group stays."""
     return simhash.deduplicated(docs, shingle=4, max_bits=4)
 
 
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing: every document as often as its source's target takes it."""
+    return mixing.mixed_documents(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """BPE encoding and decoding: doc_id, n_tokens and digests of both."""
+    return bpe.round_trip_digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 STAGES = [
+    ("language ID", keep_identified),
     ("exact dedup", drop_exact_copies),
     ("SimHash near-dedup", drop_near_copies),
+    ("mixing to target weights", mix_sources),
+    ("BPE encoding and decoding", encode),
 ]
 
 #: Language models, block joins and the cube method are not SQL; the tests

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, exact_dedup, license_scan, mixing, quality_rules, simhash, token_count, warc_zstd
+from . import bpe, chat, exact_dedup, lang_id, license_scan, mixing, quality_rules, simhash, token_count, warc_zstd
 from .common import table
 
 QUERIES = {}
@@ -47,6 +47,12 @@ FROM p LEFT JOIN g ON d = payload_digest AND payload_bytes >= 1000
 """
 
 
+@query
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lang_id.languages(docs, lang_id.fit(docs))
+
+
 @query
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)

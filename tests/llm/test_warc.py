@@ -52,7 +52,7 @@ def test_archives_on_disk(spark, tmp_path):
     rows = sample_pages()
     df = spark.createDataFrame(rows, PAGES).repartition(2)
     folder = f"file://{tmp_path}/warc"
-    listed = w.write_warc(w.page_records(df), folder, w.Layout(archive=30_000, sample=20_000)).collect()
+    listed = w.write_warc(w.page_records(df), folder, w.Layout(archive=8_000, sample=30_000)).collect()
     assert sum(r.records for r in listed) == len(rows) and len(listed) > 4
     payloads = {}
     dictionaries = 0
