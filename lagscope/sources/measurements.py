@@ -78,10 +78,12 @@ def resolve_paths(spark: SparkSession, globs: Sequence[str]) -> list[str]:
 
 def read_raw_measurements(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """One header-CSV scan over all paths, all columns as strings, pruned to
-    ``RAW_COLUMNS`` (other columns in the files are ignored)."""
+    ``RAW_COLUMNS`` (other columns in the files are ignored).  Every file's
+    header is checked against the first one's: a file with its columns in
+    another order fails instead of being misread."""
     if not paths:
         raise FileNotFoundError("no measurement files matched")
-    raw = (spark.read.option("header", True).option("inferSchema", False)
+    raw = (spark.read.option("header", True).option("inferSchema", False).option("enforceSchema", False)
            .option("mode", "PERMISSIVE").csv(list(paths)))
     missing = [c for c in RAW_COLUMNS if c not in raw.columns]
     if missing:
@@ -140,7 +142,7 @@ def combine_class_csvs(spark: SparkSession, root: str, out: str, mode: str = "er
     partitioned by class and year: class and subclass come from the file
     path, the selection of columns and types from ``normalize_measurements``.
     One scan, one write; Spark parallelises over files."""
-    raw = (spark.read.option("header", True).csv(f"{root.rstrip('/')}/*/*/*.csv")
+    raw = (spark.read.option("header", True).option("enforceSchema", False).csv(f"{root.rstrip('/')}/*/*/*.csv")
            .select(*[F.col(f"`{c}`") for c in RAW_COLUMNS], F.col("_metadata.file_path").alias("_path")))
     pattern = r"/([^/]+)/([^/]+)/[^/]+\.csv$"
     raw = raw.withColumns({"class": F.regexp_extract("_path", pattern, 1),

@@ -46,24 +46,36 @@ def write_correlations(cors: DataFrame, path: str, fmt: str = "parquet", mode: s
 
 def materialize(df: DataFrame, path: str, labels: Sequence[str] | None = None,
                 mode: str = "errorifexists") -> None:
-    """Write a scenario table once for reuse; the feature labels (column
-    order) are stored as a one-label-per-line text sidecar."""
+    """Write a scenario table once for reuse; the feature labels are stored as
+    a text sidecar, one ``index<TAB>label`` line each."""
     df.write.mode(mode).parquet(f"{path.rstrip('/')}/data")
     if labels is not None:
         spark = df.sparkSession
-        (spark.createDataFrame([(i, lab) for i, lab in enumerate(labels)], "i int, label string")
-         .orderBy("i").coalesce(1).select("label")
+        (spark.createDataFrame([(f"{i}\t{lab}",) for i, lab in enumerate(labels)], "value string").coalesce(1)
          .write.mode(mode).text(f"{path.rstrip('/')}/labels"))
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def read_scenario(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
-    """Reload a materialised scenario and its labels (the label file is a
-    handful of names, so reading it to the driver is bounded)."""
+    """Reload a materialised scenario and its labels, in the order of their
+    stored index (the label file is a handful of names, so reading it to the
+    driver is bounded).  Only where there is no sidecar do the labels come from
+    the schema; a damaged one is an error."""
     df = spark.read.parquet(f"{path.rstrip('/')}/data")
-    try:
-        labels = [r.value for r in spark.read.text(f"{path.rstrip('/')}/labels").collect()]
-    except Exception:  # no sidecar: derive from the schema
-        labels = [c for c, t in df.dtypes if t == "double" and c not in ("lat", "lon")]
+    sidecar = f"{path.rstrip('/')}/labels"
+    if not path_exists(spark, sidecar):
+        return df, [c for c, t in df.dtypes if t == "double" and c not in ("lat", "lon")]
+    lines = [r.value.split("\t", 1) for r in spark.read.text(sidecar).collect()]
+    if any(len(x) != 2 or not x[0].isdigit() for x in lines):
+        raise ValueError(f"{sidecar} is not a label file")
+    labels = [label for _, label in sorted((int(i), label) for i, label in lines)]
+    missing = [c for c in labels if c not in df.columns]
+    if missing:
+        raise ValueError(f"{sidecar} names columns {missing} that the data lack")
     return df, labels
 
 

@@ -24,10 +24,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagscope.sources.measurements import normalize_measurements
+from lagscope.sources.measurements import VALUE_DIGITS, normalize_measurements
 from lagscope.sources.prices import parse_prices
 
-# Site coordinates are LAT0 + DLAT*site, LON0 + DLON*site.
+# Site coordinates are LAT0 + DLAT*site, LON0 + DLON*site (any grid would do).
 LAT0, DLAT = 21.3247, 1.0005
 LON0, DLON = -158.0893, 3.0015
 DEFAULT_SITES = 5
@@ -67,67 +67,13 @@ def _site_coords(site):
     return F.lit(LAT0) + F.lit(DLAT) * site, F.lit(LON0) + F.lit(DLON) * site
 
 
-_SPLITS: dict[str, int] = {}
-
-
-def _split_estimate(spark: SparkSession, path: str, footer_files: int = 16) -> int:
-    """Upper bound on the scan's non-empty input splits, without a job.
-
-    Spark splits Parquet at row-group granularity, so a file yields at most
-    min(#row groups, bytes / maxPartitionBytes) non-empty splits.  For a few
-    files the row groups are counted from the footers (one small read per
-    file, through the session's Hadoop filesystem); for many files the
-    byte-based bound max(#files, bytes / maxPartitionBytes) is used."""
-    if path not in _SPLITS:
-        sc = spark.sparkContext
-        jvm, conf = sc._jvm, sc._jsc.hadoopConfiguration()
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        fs = p.getFileSystem(conf)
-        summary = fs.getContentSummary(p)
-        max_bytes = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-        estimate = max(int(summary.getFileCount()), -(-int(summary.getLength()) // max_bytes))
-        if int(summary.getFileCount()) <= footer_files:
-            try:
-                total = 0
-                it = fs.listFiles(p, True)
-                while it.hasNext():
-                    st = it.next()
-                    name = st.getPath().getName()
-                    if name.startswith(("_", ".")):
-                        continue
-                    footer = jvm.org.apache.parquet.hadoop.ParquetFileReader.readFooter(conf, st.getPath())
-                    groups = int(footer.getBlocks().size())
-                    total += min(max(groups, 1), -(-int(st.getLen()) // max_bytes))
-                estimate = total
-            except Exception:  # not Parquet or footer unreadable: keep the byte bound
-                pass
-        _SPLITS[path] = estimate
-    return _SPLITS[path]
-
-
-def widen(df: DataFrame, path: str, keys: list[str], min_fraction: float = 0.5) -> DataFrame:
-    """Spread a scan that has fewer input splits than the cluster has cores.
-
-    A small table stored as one file (one row group) is a single split, so
-    every operator before the first shuffle would run in one task.  Only
-    then is the scan hash-partitioned on ``keys`` (a unique row key, so the
-    spread is even and deterministic on retry) to the default parallelism; a
-    large table (far more splits than cores) is returned untouched, so no
-    extra shuffle is ever added at scale.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if _split_estimate(df.sparkSession, path) < max(2, int(cores * min_fraction)):
-        return df.repartition(cores, *keys)
-    return df
-
-
 def nation_sites(spark: SparkSession, sf_dir: str, sites: int = DEFAULT_SITES) -> DataFrame:
     """Per-nation site attributes, computed once per nation rather than once
     per lineitem: site, coordinates (rounded to 6 decimals), nation and
     region names (raw and lower-cased).  Nation and region are fixed-size
     dimension tables (25 and 5 rows), so the result may be broadcast."""
     nat = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
-    reg = F.broadcast(table(spark, sf_dir, "region").select("r_regionkey", "r_name"))
+    reg = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
     site = f"(n_nationkey % {int(sites)})"
     lat, lon = f"({LAT0!r}D + {DLAT!r}D * {site})", f"({LON0!r}D + {DLON!r}D * {site})"
     # projections are SQL expression strings: one driver call per projection
@@ -138,11 +84,10 @@ def nation_sites(spark: SparkSession, sf_dir: str, sites: int = DEFAULT_SITES) -
 
 
 def _lineitem_sites(spark: SparkSession, sf_dir: str, cols: list[str], sites: int = DEFAULT_SITES) -> DataFrame:
-    li = widen(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", *cols),
-               table_path(sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", *cols)
     # supplier grows with the data: the join strategy is left to AQE
     sup = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    dim = F.broadcast(nation_sites(spark, sf_dir, sites))
+    dim = nation_sites(spark, sf_dir, sites)
     return li.join(sup, li.l_suppkey == sup.s_suppkey).join(dim, sup.s_nationkey == dim.n_nationkey)
 
 
@@ -190,12 +135,38 @@ def lineitem_measurements(spark: SparkSession, sf_dir: str, sites: int = DEFAULT
     would be read: the same rows ``normalize_measurements`` produces from
     ``lineitem_raw_measurements``, built without the string round trip."""
     j, param, value = _criteria(_lineitem_sites(spark, sf_dir, _LI_COLS, sites), criteria)
-    # the source measures carry at most 2 decimals, so the 10-digit rounding
-    # of the raw path is the identity here (a test checks both paths agree)
+    # the hours are added without a time zone, as the raw path parses them: a
+    # day on which the session's zone changes its clock has the same hours
     return j.selectExpr(
         f"{param} AS criteria", "state", "county", "lat", "lon",
-        "timestampadd(HOUR, l_linenumber + 6, CAST(l_shipdate AS TIMESTAMP)) AS ts",
-        "to_date(l_shipdate) AS date", f"CAST({value} AS DOUBLE) AS value", "l_linestatus AS unit")
+        "CAST(l_shipdate + make_dt_interval(0, l_linenumber + 6) AS TIMESTAMP) AS ts",
+        "to_date(l_shipdate) AS date", f"round(CAST({value} AS DOUBLE), {VALUE_DIGITS}) AS value",
+        "l_linestatus AS unit")
+
+
+def lineitem_site_days(spark: SparkSession, sf_dir: str, sites: int = DEFAULT_SITES) -> DataFrame:
+    """One row per (site, day) with the mean of each of the four measures, the
+    rows ``pivot_wide`` gives for the measure form, straight from one
+    aggregation of lineitem (the measures are columns already)."""
+    j = _lineitem_sites(spark, sf_dir, ["l_shipdate", *MEASURES], sites)
+    means = [F.avg(F.round(F.col(m).cast("double"), VALUE_DIGITS)).alias(m[2:]) for m in MEASURES]
+    keys = [F.round("lat", 3).alias("lat"), F.round("lon", 3).alias("lon"), F.to_date("l_shipdate").alias("date")]
+    return j.groupBy(*keys).agg(*means).na.drop(subset=[m[2:] for m in MEASURES])
+
+
+def lineitem_totals(spark: SparkSession, sf_dir: str, sites: int = DEFAULT_SITES) -> DataFrame:
+    """Long daily totals per site ``(series, date, value)``, seven series per
+    site (``count@0``, ``quantity@0``, ...): the totals of a site rise and fall
+    together with its number of rows, so its series correlate."""
+    j = _lineitem_sites(spark, sf_dir, ["l_shipdate", *MEASURES], sites)
+    site = F.round((F.col("lat_raw") - LAT0) / DLAT).cast("int")
+    net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    totals = {"count": F.count(F.lit(1)).cast("double"), **{m[2:]: F.sum(m) for m in MEASURES}, "net": F.sum(net),
+              "charge": F.sum(net * (1 + F.col("l_tax")))}
+    daily = j.groupBy(site.alias("site"), F.to_date("l_shipdate").alias("date")).agg(
+        *[v.alias(k) for k, v in totals.items()])
+    long = daily.unpivot(["site", "date"], list(totals), "what", "value")
+    return long.select(F.concat_ws("@", "what", F.col("site").cast("string")).alias("series"), "date", "value")
 
 
 def lineitem_measurements_from_raw(spark: SparkSession, sf_dir: str, sites: int = DEFAULT_SITES,
@@ -228,6 +199,23 @@ def order_prices(spark: SparkSession, sf_dir: str, years=None) -> DataFrame:
     return daily.select("date", "price", F.year("date").alias("year"), F.dayofyear("date").alias("dayofyear"))
 
 
+def ship_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily price ``(date, price)`` by ship date: the mean charge of a
+    lineitem.  It covers every day that has measurements."""
+    li = table(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("date"), "l_extendedprice", "l_tax")
+    return li.where(F.col("date").isNotNull()).groupBy("date").agg(
+        F.avg(F.col("l_extendedprice") * (1 + F.col("l_tax"))).alias("price"))
+
+
+def lineitem_agents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long measurements of nine criteria at one site, named as chemical agents
+    are, with dots, commas and hyphens (``1.5-Agent, A``)."""
+    j = _lineitem_sites(spark, sf_dir, ["l_returnflag", "l_linenumber", "l_shipdate", "l_extendedprice"], sites=1)
+    name = F.concat((F.col("l_linenumber") % 3).cast("string"), F.lit(".5-Agent, "), "l_returnflag")
+    return j.select(name.alias("criteria"), "lat", "lon", F.to_date("l_shipdate").alias("date"),
+                    F.round(F.col("l_extendedprice").cast("double"), VALUE_DIGITS).alias("value"))
+
+
 def order_prices_parsed(spark: SparkSession, sf_dir: str, years=None) -> DataFrame:
     """The same series through the raw-file path (strings -> ``parse_prices``)."""
     return parse_prices(order_raw_prices(spark, sf_dir), years)

@@ -11,13 +11,10 @@ and survive executor loss (state lives in the checkpoint folder).
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lagscope.session import checkpoint_dir
 from lagscope.sources.measurements import RAW_COLUMNS, normalize_measurements, resolve_paths
 
 _PATH = r"/([^/]+)/([^/]+)/[^/]+\.csv$"
@@ -36,15 +33,33 @@ def raw_schema(spark: SparkSession, root: str):
     return schema
 
 
-def ingest(spark: SparkSession, root: str, out: str, checkpoint: str | None = None,
+def _claim(spark: SparkSession, out: str, checkpoint: str) -> None:
+    """An output belongs to the checkpoint that first wrote it (named in its
+    ``_ingest`` folder).  With another one the sink would take new batches for
+    batches it has committed already and drop them without an error."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    mark = f"{out.rstrip('/')}/_ingest"
+    if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(mark)):
+        owner = spark.read.text(mark).first().value
+        if owner != checkpoint:
+            raise ValueError(f"{out} was written with checkpoint {owner}, not {checkpoint}")
+    elif fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{out.rstrip('/')}/_spark_metadata")):
+        raise ValueError(f"{out} was written by a stream with an unknown checkpoint")
+    else:
+        spark.createDataFrame([(checkpoint,)], "value string").coalesce(1).write.text(mark)
+
+
+def ingest(spark: SparkSession, root: str, out: str, checkpoint: str,
            max_files_per_trigger: int | None = None) -> StreamingQuery:
     """Start an ``availableNow`` stream landing new CSV files into ``out``;
-    the caller waits with ``awaitTermination()``.  The checkpoint defaults to
-    a folder under the session's shared checkpoint directory."""
-    if checkpoint is None:
-        tag = hashlib.sha1(out.encode()).hexdigest()[:12]
-        checkpoint = f"{checkpoint_dir(spark).rstrip('/')}/ingest-{tag}"
-    reader = spark.readStream.schema(raw_schema(spark, root)).option("header", True)
+    the caller waits with ``awaitTermination()``.  ``checkpoint`` is a lasting
+    shared folder, the same for every run into ``out``; another one is refused."""
+    checkpoint = checkpoint.rstrip("/")
+    _claim(spark, out, checkpoint)
+    # a file whose header is in another order than the schema fails
+    reader = (spark.readStream.schema(raw_schema(spark, root)).option("header", True)
+              .option("enforceSchema", False))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     raw = reader.csv(f"{root.rstrip('/')}/*/*/*.csv")
