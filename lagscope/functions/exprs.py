@@ -44,13 +44,14 @@ def safe_pearson(x: ColumnOrName, y: ColumnOrName) -> Column:
     ``corr`` raises DIVIDE_BY_ZERO on a constant input under ANSI mode, so the
     coefficient is assembled from the built-in (numerically stable, partially
     aggregated) ``covar_samp`` / ``stddev_samp``.  A constant series, a single
-    pair or no pair at all gives null.
+    pair or no pair at all gives null; rounding never takes r beyond [-1, 1].
     """
     x, y = _col(x), _col(y)
     both = x.isNotNull() & y.isNotNull()
     xs = F.when(both, x)
     ys = F.when(both, y)
-    return F.try_divide(F.covar_samp(xs, ys), F.stddev_samp(xs) * F.stddev_samp(ys))
+    r = F.try_divide(F.covar_samp(xs, ys), F.stddev_samp(xs) * F.stddev_samp(ys))
+    return F.when(r > 1, F.lit(1.0)).when(r < -1, F.lit(-1.0)).otherwise(r)
 
 
 _BUCKETS = {
@@ -74,12 +75,15 @@ def date_bucket(c: ColumnOrName, freq: str) -> Column:
 
 
 _UNSAFE = re.compile(r"[^0-9A-Za-z_]+")
+_MINUS = re.compile(r"(?<![0-9A-Za-z])-(?=[0-9])")
 
 
 def sanitize_name(name: str) -> str:
     """Column-safe name: every run of characters outside ``[0-9A-Za-z_]``
-    becomes one underscore, ends trimmed (``PM2.5`` -> ``PM2_5``)."""
-    out = _UNSAFE.sub("_", name).strip("_")
+    becomes one underscore, ends trimmed (``PM2.5`` -> ``PM2_5``).  The sign of
+    a negative number is kept as ``m`` (``A@1.0,-2.0`` -> ``A_1_0_m2_0``), a
+    hyphen within a name is not one (``1,3-Butadiene`` -> ``1_3_Butadiene``)."""
+    out = _UNSAFE.sub("_", _MINUS.sub("m", name)).strip("_")
     return out or "_"
 
 

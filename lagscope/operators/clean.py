@@ -17,10 +17,6 @@ def snap_coordinates(df: DataFrame, precision: int = 3, lat: str = "lat", lon: s
     return df.withColumns({lat: F.round(lat, precision), lon: F.round(lon, precision)})
 
 
-def drop_unit(df: DataFrame) -> DataFrame:
-    return df.drop("unit")
-
-
 def complete_rows(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Wide complete-case filter: drop rows with a null in any of ``cols``."""
     return df.na.drop(how="any", subset=list(cols) if cols else None)

@@ -43,8 +43,8 @@ def pca_projection(adj: DataFrame, k: int = 2) -> DataFrame:
 
 
 def _neighbour_pairs(points: DataFrame, eps: float) -> DataFrame:
-    """All ordered pairs (i, j), i != j, with Euclidean distance <= eps
-    between 0/1 rows, found without a cross product: two rows within Hamming
+    """All ordered pairs (i, j), i != j, of distinct 0/1 rows with Euclidean
+    distance <= eps, found without a cross product: two rows within Hamming
     distance h agree exactly on at least one of h + 1 disjoint column bands
     (pigeonhole), so candidates come from an equi-join on (band, band
     values); every candidate is then checked exactly."""
@@ -65,48 +65,70 @@ def _neighbour_pairs(points: DataFrame, eps: float) -> DataFrame:
     return cand.join(pa, "i").join(pb, "j").where(d2 <= F.lit(eps * eps)).select("i", "j")
 
 
-def density_clusters(adj: DataFrame, eps: float = 2.3, min_samples: int = 5,
-                     max_rounds: int = 1000) -> DataFrame:
+def connected_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(i, label)``: the smallest node of each node's connected component.
+
+    Alternating large-star and small-star steps (Kiveris et al. 2014): each
+    links a node's neighbours to the smallest node it sees, so paths shrink by
+    a constant factor per round and the rounds grow with the logarithm of the
+    longest path.  They go on until a round changes no link; links are
+    checkpointed each round to the session's checkpoint folder.
+    ``edges``: ``(i, j)`` in any direction, repeats allowed."""
+    checkpoint_dir(nodes.sparkSession)
+    links = (edges.where("i <> j").select(F.greatest("i", "j").alias("u"), F.least("i", "j").alias("v"))
+             .distinct().checkpoint())
+    before = None
+    while True:
+        # large star: a node's larger neighbours hang on the smallest of all
+        both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        links = both.join(least, "u").where("v > u").selectExpr("v AS u", "m AS v").where("u > v").distinct()
+        # small star: a node and its smaller neighbours hang on the smallest
+        least = links.groupBy("u").agg(F.min("v").alias("m"))
+        links = (links.join(least, "u").selectExpr("v AS u", "m AS v").union(least.selectExpr("u", "m AS v"))
+                 .where("u > v").distinct().checkpoint())
+        now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == before:
+            break
+        before = now
+    return (nodes.join(links, nodes.i == links.u, "left")
+            .select(nodes.i, F.coalesce("v", nodes.i).alias("label")))
+
+
+def density_clusters(adj: DataFrame, eps: float = 2.3, min_samples: int = 5) -> DataFrame:
     """DBSCAN over the adjacency rows: ``(series, cluster)`` with -1 = noise.
 
+    * series with identical rows are one weighted point from the start, so a
+      crowd of equal rows never meets itself pair by pair;
     * neighbours within ``eps`` (the point itself counts toward
       ``min_samples``, as in the usual definition);
-    * core points are joined into clusters by min-label propagation over
-      core-core edges, one join per round, with the labels checkpointed each
-      round to the session's checkpoint folder;
+    * core points are joined into clusters by the connected components of the
+      core-core links;
     * clusters are numbered in order of their lowest-index core point, and a
       border point takes the lowest-numbered cluster among its core
       neighbours -- the order a sequential scan over the points assigns.
     """
     spark: SparkSession = adj.sparkSession
     checkpoint_dir(spark)
-    points = adjacency_rows(adj).select("series", "idx", "row").checkpoint()
+    series = adjacency_rows(adj).select("series", "idx", "row").checkpoint()
+    points = series.groupBy("row").agg(F.min("idx").alias("idx"), F.count(F.lit(1)).alias("w")).checkpoint()
     edges = _neighbour_pairs(points, eps).checkpoint()
-    degree = edges.groupBy("i").agg(F.count(F.lit(1)).alias("deg"))
-    core = (points.select("idx").join(degree, points.idx == degree.i, "left")
-            .select("idx", (F.coalesce("deg", F.lit(0)) + 1 >= min_samples).alias("core")))
-    core_ids = core.where("core").select(F.col("idx").alias("i"))
-    cc = (edges.join(core_ids, "i").join(core_ids.withColumnRenamed("i", "j"), "j").select("i", "j")).checkpoint()
-    labels = core_ids.select("i", F.col("i").alias("label")).checkpoint()
-    for _ in range(max_rounds):
-        proposals = (cc.join(labels.withColumnRenamed("i", "j").withColumnRenamed("label", "nl"), "j")
-                     .groupBy("i").agg(F.min("nl").alias("nl")))
-        new = (labels.join(proposals, "i", "left")
-               .select("i", F.least("label", F.coalesce("nl", F.col("label"))).alias("label"))).checkpoint()
-        changed = new.join(labels.withColumnRenamed("label", "old"), "i").where("label <> old").limit(1).count()
-        labels = new
-        if changed == 0:
-            break
+    weight = points.select(F.col("idx").alias("j"), F.col("w").alias("wj"))
+    degree = edges.join(weight, "j").groupBy("i").agg(F.sum("wj").alias("deg"))
+    core = (points.join(degree, points.idx == degree.i, "left")
+            .where(F.coalesce("deg", F.lit(0)) + F.col("w") >= min_samples).select(points.idx.alias("i"))).checkpoint()
+    links = edges.join(core, "i").join(core.withColumnRenamed("i", "j"), "j").select("i", "j")
+    labels = connected_labels(core, links).checkpoint()
     # number clusters by their seed (lowest core index)
     seeds = labels.select("label").distinct().withColumn(
         "cluster", F.dense_rank().over(Window.orderBy("label")) - 1)
     core_cluster = labels.join(seeds, "label").select("i", "cluster")
     border = (edges.join(core_cluster.withColumnRenamed("i", "j"), "j")
               .groupBy("i").agg(F.min("cluster").alias("bcluster")))
-    out = (points.select("series", F.col("idx").alias("i"))
-           .join(core_cluster, "i", "left").join(border, "i", "left")
-           .select("series", F.coalesce("cluster", "bcluster", F.lit(-1)).alias("cluster")))
-    return out
+    of_point = (points.select(F.col("row").alias("prow"), F.col("idx").alias("i"))
+                .join(core_cluster, "i", "left").join(border, "i", "left"))
+    return (series.join(of_point, series.row == of_point.prow)
+            .select("series", F.coalesce("cluster", "bcluster", F.lit(-1)).alias("cluster")))
 
 
 def cluster_members(clusters: DataFrame) -> DataFrame:

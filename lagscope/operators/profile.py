@@ -17,6 +17,17 @@ def schema_profile(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "column string, dtype string, nullable boolean")
 
 
+def column_profile(df: DataFrame) -> DataFrame:
+    """``(column, dtype, rows, nulls)`` for every column: the schema with what
+    one aggregate pass counts."""
+    fields = df.schema.fields
+    one = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(F.col(f"`{f.name}`")).alias(f"c{i}") for i, f in enumerate(fields)])
+    cells = [F.struct(F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("dtype"),
+                      F.col("n").alias("rows"), (F.col("n") - F.col(f"c{i}")).alias("nulls"))
+             for i, f in enumerate(fields)]
+    return one.select(F.explode(F.array(*cells)).alias("s")).select("s.*")
+
+
 def summary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """count / mean / sample stddev / min / max per numeric column, long and
     typed: ``(column, count, mean, stddev, min, max)``.  One aggregate pass
@@ -34,12 +45,6 @@ def summary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return one.select(F.explode(F.array(*cells)).alias("s")).select("s.*")
 
 
-def describe(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Spark's own ``summary`` table (strings), as the profiling job prints."""
-    sub = df.select(*cols) if cols else df
-    return sub.summary("count", "mean", "stddev", "min", "max")
-
-
 def distinct_units(df: DataFrame) -> DataFrame:
     return distinct_values(df, "unit")
 
@@ -50,6 +55,6 @@ def preview(df: DataFrame, n: int = 20, order_by: Sequence[str] | None = None) -
     return (df.orderBy(*order_by) if order_by else df).limit(n)
 
 
-def row_count(df: DataFrame) -> int:
-    """Action: the number of rows (forces the plan)."""
-    return df.count()
+def row_count(df: DataFrame) -> DataFrame:
+    """The number of rows, as a one-row table ``(rows)``."""
+    return df.agg(F.count(F.lit(1)).alias("rows"))

@@ -13,11 +13,7 @@ from pyspark.sql import functions as F
 
 from lagscope.functions.exprs import sanitize_names
 from lagscope.operators.clean import criteria_list, snap_coordinates
-
-
-# Up to this many criteria the pivot is a single conditional aggregate over
-# the raw rows; beyond it, rows are first aggregated per (keys, criterion).
-DIRECT_PIVOT_MAX = 8
+from lagscope.session import checkpoint_dir
 
 
 def pivot_wide(df: DataFrame, criteria: Sequence[str] | None = None, precision: int | None = 3,
@@ -35,46 +31,57 @@ def pivot_wide(df: DataFrame, criteria: Sequence[str] | None = None, precision:
       (deterministic, unlike ``first``);
     * ``drop_null`` keeps complete rows only (every criterion present).
 
-    Plan: the mean is sum / count per (keys, criterion), partially
-    aggregated before any shuffle, so raw rows never move.  Few criteria:
-    one conditional aggregate.  Many criteria: aggregate per (keys,
-    criterion) first, then pivot the aggregated rows (raw-row work stays
-    O(1) instead of O(#criteria)).
+    Plan: rows are first aggregated per (keys, criterion), partially before
+    the shuffle, so raw rows never move and each updates one buffer however
+    many criteria there are; the pivot then runs on the aggregated rows.
     """
+    crit = sorted(criteria) if criteria is not None else criteria_list(df, criteria_col)
+    sums = criterion_sums(df.where(F.col(criteria_col).isin(crit)), precision, with_unit, extra_keys, keys, criteria_col,
+                          value_col)
+    return pivot_sums(sums, crit, drop_null, with_unit, [*keys, *extra_keys], criteria_col)
+
+
+def criterion_sums(df: DataFrame, precision: int | None = 3, with_unit: bool = False, extra_keys: Sequence[str] = (),
+                   keys: Sequence[str] = ("lat", "lon", "date"), criteria_col: str = "criteria",
+                   value_col: str = "value") -> DataFrame:
+    """Sum and count of the values per (keys, criterion): what ``pivot_sums``
+    turns wide.  A job whose criteria are not known stores this small table
+    once and reads both the criteria and the pivot from it, so the raw rows
+    are read once."""
     if precision is not None:
         df = snap_coordinates(df, precision)
-    crit = sorted(criteria) if criteria is not None else criteria_list(df, criteria_col)
-    names = sanitize_names(crit)
-    group = [*keys, *extra_keys]
-    q = _quote
-    src = df.where(F.col(criteria_col).isin(crit))
-    if len(crit) <= DIRECT_PIVOT_MAX:
-        # few criteria: one conditional aggregate, partial before the shuffle
-        rows = src
-        s_col, n_col, u_col = q(value_col), f"CAST({q(value_col)} IS NOT NULL AS BIGINT)", "unit"
-    else:
-        # many criteria: each raw row updates one buffer (per key and
-        # criterion, combined map-side); the pivot then runs on those
-        # aggregated rows, so raw-row work does not grow with the criteria
-        aggs1 = [F.sum(value_col).alias("_s"), F.count(value_col).alias("_n")]
-        if with_unit:
-            aggs1.append(F.min("unit").alias("_u"))
-        rows = src.groupBy(*group, criteria_col).agg(*aggs1)
-        s_col, n_col, u_col = "_s", "_n", "_u"
+    sums = [F.sum(value_col).alias("_s"), F.count(value_col).alias("_n")]
+    if with_unit:
+        sums.append(F.min("unit").alias("_u"))
+    return df.groupBy(*keys, *extra_keys, criteria_col).agg(*sums)
+
+
+def pivot_sums(sums: DataFrame, criteria: Sequence[str], drop_null: bool = True, with_unit: bool = False,
+               keys: Sequence[str] = ("lat", "lon", "date"), criteria_col: str = "criteria") -> DataFrame:
+    """One row per key, the mean of each criterion as a column."""
+    crit, q = sorted(criteria), _quote
     # aggregates as SQL strings: one driver call for the whole pivot
     aggs = []
-    for c, name in zip(crit, names):
+    for c, name in zip(crit, sanitize_names(crit)):
         is_c = f"{q(criteria_col)} = {_sql_str(c)}"
-        aggs.append(f"try_divide(sum(CASE WHEN {is_c} THEN {s_col} END), "
-                    f"sum(CASE WHEN {is_c} THEN {n_col} END)) AS {q(name)}")
+        aggs.append(f"try_divide(sum(CASE WHEN {is_c} THEN _s END), sum(CASE WHEN {is_c} THEN _n END)) AS {q(name)}")
         if with_unit:
-            aggs.append(f"min(CASE WHEN {is_c} THEN {u_col} END) AS {q(name + '_unit')}")
-    wide = rows.groupBy(*group).agg(*[F.expr(a) for a in aggs])
+            aggs.append(f"min(CASE WHEN {is_c} THEN _u END) AS {q(name + '_unit')}")
+    wide = sums.groupBy(*keys).agg(*[F.expr(a) for a in aggs])
     if drop_null:
-        wide = wide.na.drop(how="any", subset=[c for c in wide.columns if c not in group])
+        wide = wide.na.drop(how="any", subset=[c for c in wide.columns if c not in keys])
     return wide
 
 
+def discover_pivot(df: DataFrame, **how) -> tuple[DataFrame, list[str], list[str]]:
+    """Pivot when the criteria are not known: ``(wide, criteria, labels)``.
+    The per-criterion sums are checkpointed, so the raw rows are read once."""
+    checkpoint_dir(df.sparkSession)
+    sums = criterion_sums(df, **how).checkpoint()
+    crit = criteria_list(sums)
+    return pivot_sums(sums, crit), crit, sanitize_names(crit)
+
+
 def _quote(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

@@ -59,7 +59,9 @@ def zscore_exprs(df: DataFrame, cols: Sequence[str], mean: bool = True, std: boo
         if mu is not None:
             e = e - mu.col()
         if sd is not None:
-            e = F.when(sd.col() == 0, F.lit(0.0)).otherwise(F.try_divide(e, sd.col()))
+            # no deviation (a constant column or a single row) scales to 0
+            flat = F.col(c).isNotNull() & (F.coalesce(sd.col(), F.lit(0.0)) == 0)
+            e = F.when(flat, F.lit(0.0)).otherwise(F.try_divide(e, sd.col()))
         out[c] = e
     return out
 

@@ -9,13 +9,11 @@ is then itself one row per day.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lagscope.functions.exprs import date_bucket
 
@@ -54,15 +52,6 @@ def climatology(df: DataFrame, cols: Sequence[str], date_col: str = "date", by:
     return df.groupBy(*by, F.dayofyear(date_col).alias("dayofyear")).agg(*[F.avg(c).alias(c) for c in cols])
 
 
-def day_index(days: DataFrame, by: Sequence[str] = (), date_col: str = "date", out: str = "idx") -> DataFrame:
-    """Positional index of each distinct day within ``by`` (0-based).
-
-    The input must be the *distinct days* (bounded by the calendar), never a
-    fact table; the national case is a single small sorted partition.
-    """
-    return days.withColumn(out, F.row_number().over(_window(by, [date_col])) - 1)
-
-
 def sma(df: DataFrame, by: Sequence[str], cols: Sequence[str], periods: int = 12,
         order: str = "date", trailing: bool = False) -> DataFrame:
     """Simple moving average per ``by`` group ordered by ``order``.
@@ -124,54 +113,85 @@ def shift(df: DataFrame, by: Sequence[str], col: str, n: int, order: Sequence[st
     return df.withColumn(out, F.when(inside, moved).otherwise(F.lit(float(pad))))
 
 
-def deseason(df: DataFrame, col: str, date_col: str = "date", freq: str = "daily") -> DataFrame:
-    """Subtract the mean of ``col`` over a seasonal bucket: hour of day
+def deseason(df: DataFrame, col: str | Sequence[str], date_col: str = "date", freq: str = "daily") -> DataFrame:
+    """Subtract the mean of each of the columns over a seasonal bucket: hour of day
     (``hourly``), day of month (``daily``), day of year (``dayofyear``),
     month (``monthly``) or year (``yearly``).  Rows whose bucket is null are
     dropped (inner-join semantics).
 
     The bucket means are one partial aggregate (at most 366 rows, or one row
-    per year), joined back by broadcast: no window over a bucket, so no task
-    ever holds a whole month of raw rows.
+    per year), joined back: no window over a bucket, so no task ever holds a
+    whole month of raw rows.
     """
     bucket = date_bucket(F.col(date_col), freq)
     # the null filter is applied once, before the two branches, so both carry
     # the same filters and the input's exchange is reused (one scan)
     keyed = df.withColumn("_bucket", bucket).where(F.col("_bucket").isNotNull())
-    means = keyed.groupBy("_bucket").agg(F.avg(col).alias("_mean"))
-    return (keyed.join(F.broadcast(means), "_bucket")
-            .withColumn(col, F.col(col) - F.col("_mean"))
-            .drop("_bucket", "_mean"))
+    cols = [col] if isinstance(col, str) else list(col)
+    means = keyed.groupBy("_bucket").agg(*[F.avg(c).alias(f"_mean{i}") for i, c in enumerate(cols)])
+    return (keyed.join(means, "_bucket")
+            .withColumns({c: F.col(c) - F.col(f"_mean{i}") for i, c in enumerate(cols)})
+            .drop("_bucket", *[f"_mean{i}" for i in range(len(cols))]))
 
 
 def ema(df: DataFrame, by: Sequence[str], cols: Sequence[str], span: float = 3.0,
         order: Sequence[str] = ("date",), suffix: str = "_ema") -> DataFrame:
     """Exponentially weighted mean, bias-adjusted (alpha = 2 / (span + 1)):
-    ``y_t = sum_j w^(t-j) x_j / sum_j w^(t-j)``, w = 1 - alpha (pandas
-    ``ewm(adjust=True)`` semantics; a missing value keeps its position).
-
-    The recursion is inherently sequential per series, so it runs as a
-    grouped pandas map (Arrow batches) keyed by the series: each group is one
-    series of daily (or hourly) points, bounded by the calendar span.
+    ``y_t = sum_j w^(t-j) x_j / sum_j w^(t-j)``, w = 1 - alpha, over all
+    earlier rows; a missing value keeps its position, and rows before the
+    first value are null.
+
+    Numerator and denominator are linear recurrences, so they compose: each
+    series is cut into chunks of positions, a window within the chunk sums the
+    terms with weights relative to its start (few enough positions that they
+    stay in range), and the totals of earlier chunks, one row per chunk, are
+    folded with ``aggregate`` into what the chunk starts from.
     """
     if span < 1:
         raise ValueError("span must be >= 1")
-    order = list(order)
-    by = list(by)
-    cols = list(cols)
-    alpha = 2.0 / (span + 1.0)
-    fields = [f for f in df.schema.fields]
-    out_schema = T.StructType(fields + [T.StructField(f"{c}{suffix}", T.DoubleType()) for c in cols])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="mergesort")
-        for c in cols:
-            pdf[f"{c}{suffix}"] = pdf[c].astype("float64").ewm(alpha=alpha, adjust=True).mean().to_numpy(np.float64)
-        return pdf
-
-    if not by:
-        # national series: one group (the input is one row per day)
-        keyed = df.withColumn("_g", F.lit(0))
-        schema = T.StructType(out_schema.fields + [T.StructField("_g", T.IntegerType(), False)])
-        return keyed.groupBy("_g").applyInPandas(run, schema).drop("_g")
-    return df.groupBy(*by).applyInPandas(run, out_schema)
+    by, cols = list(by), list(cols)
+    w = 1.0 - 2.0 / (span + 1.0)
+    # relative weights reach w^-(chunk - 1), kept below 10^100
+    chunk = 512 if w <= 0 else max(2, min(512, int(100 / -math.log10(w))))
+    pos = F.row_number().over(_window(by, list(order))) - 1
+    rows = df.withColumn("_pos", pos).withColumns({"_chunk": F.floor(F.col("_pos") / chunk), "_k": F.col("_pos") % chunk})
+    decay = F.pow(F.lit(w), F.col("_k"))
+    upto = Window.partitionBy(*by, "_chunk").orderBy("_k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    new, parts = {}, []
+    for i, c in enumerate(cols):
+        x = F.col("`" + c.replace("`", "``") + "`").cast("double")
+        if w <= 0:  # span 1: the last value itself
+            last = F.last(x, ignorenulls=True).over(upto)
+            new |= {f"_n{i}": last, f"_d{i}": F.when(last.isNotNull(), F.lit(1.0)).otherwise(F.lit(0.0))}
+        else:
+            new |= {f"_n{i}": decay * F.sum(F.coalesce(x, F.lit(0.0)) / decay).over(upto),
+                    f"_d{i}": decay * F.sum(F.when(x.isNotNull(), 1 / decay).otherwise(F.lit(0.0))).over(upto)}
+        parts += [F.max_by(f"_n{i}", "_k").alias(f"_n{i}"), F.max_by(f"_d{i}", "_k").alias(f"_d{i}")]
+    rows = rows.withColumns(new)
+    totals = rows.groupBy(*by, "_chunk").agg(F.count(F.lit(1)).alias("_len"), *parts)
+    before = (Window.partitionBy(*by).orderBy("_chunk") if by else Window.orderBy("_chunk")).rowsBetween(
+        Window.unboundedPreceding, -1)
+    zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("d"))
+    carried = []
+    for i in range(len(cols)):
+        earlier = F.collect_list(F.struct(F.col("_len").alias("l"), F.coalesce(f"_n{i}", F.lit(0.0)).alias("n"),
+                                          F.col(f"_d{i}").alias("d"))).over(before)
+        if w <= 0:
+            fold = lambda a, t: F.when(t["d"] > 0, F.struct(t["n"].alias("n"), t["d"].alias("d"))).otherwise(a)
+        else:
+            fold = lambda a, t: F.struct((a["n"] * F.pow(F.lit(w), t["l"]) + t["n"]).alias("n"),
+                                         (a["d"] * F.pow(F.lit(w), t["l"]) + t["d"]).alias("d"))
+        carried.append(F.aggregate(earlier, zero, fold).alias(f"_c{i}"))
+    totals = totals.select(*[F.col(b).alias(f"_b{k}") for k, b in enumerate(by)], F.col("_chunk").alias("_bc"), *carried)
+    same = [F.col(b).eqNullSafe(F.col(f"_b{k}")) for k, b in enumerate(by)]
+    rows = rows.join(totals, [*same, F.col("_chunk") == F.col("_bc")])
+    out = []
+    for i, c in enumerate(cols):
+        if w <= 0:
+            n = F.when(F.col(f"_d{i}") > 0, F.col(f"_n{i}")).otherwise(F.col(f"_c{i}.n"))
+            d = F.greatest(f"_d{i}", F.col(f"_c{i}.d"))
+        else:
+            grown = F.pow(F.lit(w), F.col("_k") + 1)
+            n, d = F.col(f"_c{i}.n") * grown + F.col(f"_n{i}"), F.col(f"_c{i}.d") * grown + F.col(f"_d{i}")
+        out.append(F.when(d > 0, F.try_divide(n, d)).alias(f"{c}{suffix}"))
+    return rows.select(*["`" + c.replace("`", "``") + "`" for c in df.columns], *out)

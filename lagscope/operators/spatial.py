@@ -24,12 +24,14 @@ def heat_weights(df: DataFrame, cols: Sequence[str], year: int | None = None, fa
     """Heat-map weight per (site, day): z-score the features over **all**
     rows (fit before filtering), keep ``year``, take the L2 norm and weight =
     ``trunc(norm * factor)``.  Output ``(lat, lon, date, norm, weight)``."""
-    z = zscore(df, cols)
-    if year is not None:
-        z = z.where(F.year(date_col) == int(year))
     norm = l2_norm(*cols)
-    return z.select("lat", "lon", date_col, norm.alias("norm"),
-                    F.floor(norm * F.lit(float(factor))).cast("int").alias("weight"))
+    z = zscore(df, cols).select("lat", "lon", date_col, norm.alias("norm"))
+    if year is not None:
+        # the predicate reads the norm, so it stays above the aggregation that
+        # the statistics read too: both share one scan of the raw rows
+        of = F.when(F.coalesce("norm", F.lit(0.0)) >= 0, F.year(date_col))
+        z = z.where(of == int(year))
+    return z.select("*", F.floor(F.col("norm") * F.lit(float(factor))).cast("int").alias("weight"))
 
 
 def heat_points(weights: DataFrame) -> DataFrame:

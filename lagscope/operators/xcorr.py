@@ -13,7 +13,9 @@ present of y.  It is one declarative plan:
    equi-joined with y on ``(by, epoch_day + lag)``;
 3. one ``groupBy(by, series_x, series_y, lag)`` computes ``n`` and r with
    partial aggregation, so only one small row per group and partition is
-   shuffled.
+   shuffled;
+4. the result is joined to the full (by x series_x x series_y x lag) grid, so
+   a cell whose series never overlap at that lag has n = 0 and a null r.
 
 Nothing is collected and no signal is materialised as an array; per-site
 correlation is the same plan with ``by=[site]``.
@@ -29,11 +31,6 @@ from pyspark.sql import functions as F
 from lagscope.functions.exprs import safe_pearson
 
 
-# Above this many (x, y, lag) cells per day the aligned rows are spread over
-# the cluster before they are expanded.
-SPREAD_CELLS = 256
-
-
 def _q(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
@@ -50,9 +47,10 @@ def lagged_correlation(x: DataFrame, y: DataFrame, lags: Sequence[int], x_cols:
     ``x``/``y``: wide frames, one row per (``by``..., day), one column per
     series (``x_cols`` / ``y_cols``); a row with a null in its series is not
     a usable day (complete-case).  Output
-    ``(by..., series_x, series_y, lag, n, r)`` with ``n`` the number of
-    pairs; r is null for a constant side or fewer than two pairs, and a
-    (pair, lag) without overlapping positions has no row.
+    ``(by..., series_x, series_y, lag, n, r)``: one row for every ``by`` group
+    of ``x``, pair of series and lag, with ``n`` the number of pairs; r is null
+    for a constant side or fewer than two pairs (n = 0 where no positions
+    overlap).  Passing one frame as both sides (``y is x``) reads it once.
 
     ``unit="rows"`` counts lags in joined days (positions in the days both
     sides have); ``unit="days"`` counts calendar days (x on day d meets y on
@@ -66,20 +64,22 @@ def lagged_correlation(x: DataFrame, y: DataFrame, lags: Sequence[int], x_cols:
     if unit not in ("rows", "days"):
         raise ValueError("unit must be 'rows' or 'days'")
     keys = [*by, date_col]
-    xk = x.select(*keys, *[F.col(c).cast("double").alias(c) for c in x_cols]).na.drop(subset=x_cols)
-    same = y is x and y_cols == x_cols
-    yk = xk if same else y.select(*keys, *[F.col(c).cast("double").alias(c) for c in y_cols]).na.drop(subset=y_cols)
+
+    def side(df: DataFrame, cols: list[str]) -> DataFrame:
+        return df.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols]).na.drop(subset=cols)
 
     if unit == "rows":
         # The joined days: one row per (by, day) carrying both sides.  With
         # positional lags, y[i + lag] is lead(y, lag) over those rows, so one
         # window pass (partitioned by ``by``; at most one row per calendar
         # day) lines every x up with every lagged y -- no join on an index.
-        if same:
-            j, ymap = xk, {c: c for c in y_cols}
+        if y is x:
+            ymap = {c: c for c in y_cols}
+            j = side(x, list(dict.fromkeys([*x_cols, *y_cols])))
         else:
             ymap = {c: f"_y_{c}" for c in y_cols}
-            j = xk.join(yk.select(*keys, *[F.col(c).alias(ymap[c]) for c in y_cols]), keys)
+            yk = side(y, y_cols).select(*keys, *[F.col(c).alias(ymap[c]) for c in y_cols])
+            j = side(x, x_cols).join(yk, keys)
         # built as SQL expression strings: one projection call instead of a
         # few hundred column constructions on the driver
         over = (f"OVER (PARTITION BY {', '.join(_q(b) for b in by)} ORDER BY {_q(date_col)})" if by
@@ -96,27 +96,40 @@ def lagged_correlation(x: DataFrame, y: DataFrame, lags: Sequence[int], x_cols:
                               *[f"{shifted(ymap[c], lag)} AS {_q(name)}" for (c, lag), name in shifted_cols.items()])
         cells = ", ".join(f"named_struct('series_y', {_lit(c)}, 'lag', {lag}, 'vy', {_q(name)})"
                           for (c, lag), name in shifted_cols.items())
-        if len(x_cols) * len(shifted_cols) > SPREAD_CELLS:
-            # every day expands into |X| |Y| |lags| cells: spread the (small)
-            # aligned day rows before expanding, instead of expanding in the
-            # window's partition (a single one for the national series)
-            lagged = lagged.repartition(j.sparkSession.sparkContext.defaultParallelism, *by, date_col)
-        aligned = (lagged.selectExpr(*[_q(c) for c in [*by, *x_cols]], f"explode(array({cells})) AS _c")
+        # every day expands into |X| |Y| |lags| cells: the aligned day rows
+        # leave the window's partition first (a single one for the national
+        # series); AQE sizes the partitions, so few rows stay together
+        aligned = (lagged.repartition(*[F.col(_q(c)) for c in keys])
+                   .selectExpr(*[_q(c) for c in [*by, *x_cols]], f"explode(array({cells})) AS _c")
                    .where(F.col("_c.vy").isNotNull()))
         pairs = (aligned.select(*by, "_c.*", *x_cols)
                  .unpivot([*by, "series_y", "lag", "vy"], x_cols, "series_x", "vx"))
     else:
         epoch = F.datediff(F.col(date_col), F.lit("1970-01-01").cast("date")).alias("idx")
-        xi = xk.select(*by, epoch, *x_cols)
-        yi = yk.select(*by, epoch, *y_cols)
+        xi = side(x, x_cols).select(*by, epoch, *x_cols)
+        yi = side(y, y_cols).select(*by, epoch, *y_cols)
         # each x value once per lag, keyed by the calendar day it meets in y
         xl = (xi.unpivot([*by, "idx"], x_cols, "series_x", "vx")
               .select(*by, "series_x", "vx", "idx", F.explode(F.array(*[F.lit(v) for v in lag_list])).alias("lag"))
               .withColumn("idx", F.col("idx") + F.col("lag")))
         yl = yi.unpivot([*by, "idx"], y_cols, "series_y", "vy")
         pairs = xl.join(yl, [*by, "idx"])
-    return (pairs.groupBy(*by, "series_x", "series_y", "lag")
-            .agg(F.count(F.lit(1)).alias("n"), safe_pearson("vx", "vy").alias("r")))
+    found = (pairs.groupBy(*by, "series_x", "series_y", "lag")
+             .agg(F.count(F.lit(1)).alias("n"), safe_pearson("vx", "vy").alias("r")))
+    return _on_grid(x, found, by, x_cols, y_cols, lag_list)
+
+
+def _on_grid(x: DataFrame, found: DataFrame, by: list[str], x_cols: list[str], y_cols: list[str],
+             lags: list[int]) -> DataFrame:
+    """``found`` with a row for every (by, series_x, series_y, lag); the groups
+    are those of ``x`` before incomplete days are dropped."""
+    grid = x.select(*by).distinct() if by else x.sparkSession.range(1).select()
+    for name, values in (("series_x", x_cols), ("series_y", y_cols), ("lag", lags)):
+        grid = grid.select("*", F.explode(F.array(*[F.lit(v) for v in values])).alias(name))
+    cell = [*by, "series_x", "series_y", "lag"]
+    f = found.select(*[F.col(c).alias(f"_f{i}") for i, c in enumerate(cell)], "n", "r")
+    same = [F.col(c).eqNullSafe(F.col(f"_f{i}")) for i, c in enumerate(cell)]
+    return grid.join(f, same, "left").select(*cell, F.coalesce("n", F.lit(0).cast("bigint")).alias("n"), "r")
 
 
 def auto_correlation(x: DataFrame, lags: Sequence[int], cols: Sequence[str], by: Sequence[str] = (),
@@ -131,8 +144,8 @@ def correlation_matrix(wide: DataFrame, cols: Sequence[str]) -> DataFrame:
 
     Each row's non-null (series, value) cells are expanded into the
     (a <= b) cell pairs, and one ``groupBy(a, b)`` aggregates them with
-    partial aggregation: n * K^2 / 2 products, like a Gramian, with a plan
-    whose size does not grow with the number of series K."""
+    partial aggregation: n * K^2 / 2 products, like a Gramian.  The plan names
+    each of the K columns once or twice, never their pairs."""
     cols = list(cols)
     cells = F.filter(F.array(*[F.struct(F.lit(c).alias("s"), F.col(c).cast("double").alias("v")) for c in cols]),
                      lambda c: c["v"].isNotNull())
@@ -140,19 +153,35 @@ def correlation_matrix(wide: DataFrame, cols: Sequence[str]) -> DataFrame:
     pairs = (a.select("a", F.explode("cells").alias("b")).where(F.col("a.s") <= F.col("b.s"))
              .select(F.col("a.s").alias("series_a"), F.col("b.s").alias("series_b"),
                      F.col("a.v").alias("va"), F.col("b.v").alias("vb")))
+    names = wide.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in cols])).alias("series"))
+    return _matrix(pairs, names)
+
+
+def correlation_matrix_long(long: DataFrame, key: str, series: str = "series", value: str = "value") -> DataFrame:
+    """The same matrix from a long table ``(key, series, value)`` with one row
+    per key and series: a self-join on the key.  Series stay data, so their
+    names need no driver round trip and their number no plan."""
+    v = long.select(F.col(key).alias("k"), F.col(series).alias("s"), F.col(value).cast("double").alias("v"))
+    v = v.where(F.col("k").isNotNull() & F.col("v").isNotNull())
+    a = v.select("k", F.col("s").alias("series_a"), F.col("v").alias("va"))
+    b = v.select("k", F.col("s").alias("series_b"), F.col("v").alias("vb"))
+    pairs = a.join(b, "k").where(F.col("series_a") <= F.col("series_b"))
+    return _matrix(pairs, long.select(F.col(series).alias("series")).distinct())
+
+
+def _matrix(pairs: DataFrame, names: DataFrame) -> DataFrame:
+    """r of every pair of ``names``; null where two series never overlap (as a
+    pairwise-complete correlation gives NaN).  The grid pairs each name with
+    the array of all names, one row per series."""
     upper = pairs.groupBy("series_a", "series_b").agg(safe_pearson("va", "vb").alias("r"))
-    # every cell exists even when two series never overlap (r null there, as
-    # a pairwise-complete correlation gives NaN): the K(K+1)/2 names are plan
-    # literals, so this is a join with a table sized by the series count
-    names = wide.sparkSession.range(1).select(F.explode(F.array(*[
-        F.struct(F.lit(a).alias("series_a"), F.lit(b).alias("series_b"))
-        for i, a in enumerate(sorted(cols)) for b in sorted(cols)[i:]])).alias("p")).select("p.*")
-    upper = names.join(upper, ["series_a", "series_b"], "left")
-    mirror = F.when(F.col("series_a") == F.col("series_b"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
-    return (upper.select("*", F.explode(mirror).alias("_m"))
-            .select(F.when(F.col("_m") == 0, F.col("series_a")).otherwise(F.col("series_b")).alias("series_a"),
-                    F.when(F.col("_m") == 0, F.col("series_b")).otherwise(F.col("series_a")).alias("series_b"),
-                    "r"))
+    every = names.agg(F.collect_set("series")).scalar()
+    grid = (names.select(F.col("series").alias("a"), F.explode(every).alias("b"))
+            .where(F.col("a") <= F.col("b")))
+    upper = grid.join(upper, (F.col("a") == F.col("series_a")) & (F.col("b") == F.col("series_b")), "left")
+    sides = F.when(F.col("a") == F.col("b"), F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")))).otherwise(
+        F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y"))))
+    return (upper.select("r", F.explode(sides).alias("p"))
+            .select(F.col("p.x").alias("series_a"), F.col("p.y").alias("series_b"), "r"))
 
 
 def correlation_mass(corr: DataFrame) -> DataFrame:
