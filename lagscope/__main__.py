@@ -34,10 +34,12 @@ def _parser() -> argparse.ArgumentParser:
     common(a)
     a.add_argument("--scenario", default="gasses_2014_2019")
     a.add_argument("--lags", type=int, nargs="+")
+    a.add_argument("--format", choices=["parquet", "csv", "text"], default="parquet")
     c = sub.add_parser("price-correlation")
     common(c, price=True)
     c.add_argument("--scenario", default="gasses_2019")
     c.add_argument("--lags", type=int, nargs="+")
+    c.add_argument("--format", choices=["parquet", "csv", "text"], default="parquet")
     s = sub.add_parser("cost-scores")
     common(s, price=True)
     s.add_argument("--year", type=int, default=2019)
@@ -55,7 +57,7 @@ def _parser() -> argparse.ArgumentParser:
     i = sub.add_parser("ingest")
     i.add_argument("--root", required=True)
     i.add_argument("--out", required=True)
-    i.add_argument("--checkpoint")
+    i.add_argument("--checkpoint", required=True, help="lasting shared folder, the same for every run into --out")
     return p
 
 
@@ -68,11 +70,12 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName(f"lagscope-{args.job}").getOrCreate()
     if args.job == "autocorrelation":
         kw = {"lags": args.lags} if args.lags else {}
-        jobs.autocorrelation(spark, args.root, args.scenario, store=args.store, out=args.out, **kw)
+        jobs.autocorrelation(spark, args.root, args.scenario, store=args.store, out=args.out, fmt=args.format,
+                             **kw)
     elif args.job == "price-correlation":
         kw = {"lags": args.lags} if args.lags else {}
         jobs.price_correlation(spark, args.root, args.price, args.scenario, store=args.store, out=args.out,
-                               price_header=not args.no_header, **kw)
+                               price_header=not args.no_header, fmt=args.format, **kw)
     elif args.job == "cost-scores":
         jobs.cost_scores(spark, args.root, args.price, year=args.year, lag=args.lag, out=args.out,
                          latest_priced=args.latest_priced, price_header=not args.no_header)

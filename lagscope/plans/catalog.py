@@ -3,8 +3,9 @@ DuckDB SQL text used as an independent oracle.
 
 Every query reads whole tables (lineitem, supplier, nation, region, orders,
 events) through the adapters of ``lagscope.sources.tables``; nothing is
-sampled or capped.  Doubles are rounded in the *output* only (6 digits, r to
-8) so that two engines summing in different orders still agree.
+sampled or capped.  Derived doubles are rounded in the *output* only (6 digits,
+r to 8) so that two engines summing in different orders still agree; stored
+values pass unrounded.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 
 from lagscope.operators import clean, reshape, scale, score, series, spatial, xcorr
 from lagscope.functions.exprs import l2_norm
+from lagscope.plans import scenarios
+from lagscope.plans.jobs import AUTO_LAGS, PRICE_LAGS, TOXICS_LAGS
 from lagscope.sources import tables
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -24,17 +27,13 @@ ORACLES: dict[str, str] = {}
 
 # The return flags that play the role of measured criteria.
 FLAGS = ["A", "N", "R"]
-# Lag lists of the reference jobs.
-PRICE_LAGS = [-60, -30, -10, 0, 10, 30, 60]
-AUTO_LAGS = [-90, -60, -30, -10, 0, 10, 30, 60, 90]
-TOXICS_LAGS = [-30, -10, 0, 10, 30]
 
 
 def register(name: str, sql: str | None = None):
     def deco(fn: QueryFn) -> QueryFn:
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = _sql_quantize(sql.strip())
+            ORACLES[name] = sql.strip()
         return fn
     return deco
 
@@ -43,69 +42,15 @@ def register(name: str, sql: str | None = None):
 PRICE_DIGITS = 6
 
 
-# Output quantisation: floor(x * 10^d + OFFSET) / 10^d.  Bin edges sit at an
-# irrational fraction of the last digit, where short decimals (means of
-# 2-decimal prices, which often end in ...5) never fall, so two engines whose
-# sums differ by an ulp still agree; both evaluate the same IEEE operations.
-QUANT_OFFSET = 0.5857864376269049  # 2 - sqrt(2)
-
-
-def quantize(c, digits: int):
-    scale = F.lit(float(10 ** digits))
-    return F.floor(F.col(c) * scale + F.lit(QUANT_OFFSET)) / scale
-
-
 def rounded(df: DataFrame, digits: int = 6, special: dict[str, int] | None = None) -> DataFrame:
-    """Quantise every double column of a result (output only)."""
+    """Round every double column of a result (output only)."""
     special = special or {}
 
     def q(c):
         return "`" + c.replace("`", "``") + "`"
 
-    def one(c, t):
-        if t != "double":
-            return q(c)
-        scale = f"{float(10 ** special.get(c, digits))!r}D"
-        return f"floor({q(c)} * {scale} + {QUANT_OFFSET!r}D) / {scale} AS {q(c)}"
-
-    return df.selectExpr(*[one(c, t) for c, t in df.dtypes])
-
-
-def _sql_quantize(sql: str) -> str:
-    """Rewrite output ``round(expr, 6|8)`` calls of an oracle into the same
-    quantisation as ``quantize`` (other digit counts are semantic rounding,
-    e.g. coordinate snapping, and stay)."""
-    out, i = [], 0
-    while True:
-        j = sql.find("round(", i)
-        if j < 0:
-            out.append(sql[i:])
-            return "".join(out)
-        if j > 0 and (sql[j - 1].isalnum() or sql[j - 1] == "_"):
-            out.append(sql[i:j + 6])
-            i = j + 6
-            continue
-        depth, k, comma = 0, j + 6, -1
-        while True:
-            ch = sql[k]
-            if ch == "(":
-                depth += 1
-            elif ch == ")":
-                if depth == 0:
-                    break
-                depth -= 1
-            elif ch == "," and depth == 0:
-                comma = k
-            k += 1
-        inner = sql[j + 6:k]
-        digits = sql[comma + 1:k].strip() if comma >= 0 else ""
-        if digits in ("6", "8"):
-            expr = _sql_quantize(sql[j + 6:comma])
-            scale = f"{10 ** int(digits)}.0"
-            out.append(sql[i:j] + f"(floor(({expr}) * {scale} + {QUANT_OFFSET}) / {scale})")
-        else:
-            out.append(sql[i:j] + "round(" + _sql_quantize(inner) + ")")
-        i = k + 1
+    return df.selectExpr(*[f"round({q(c)}, {special.get(c, digits)}) AS {q(c)}" if t == "double" else q(c)
+                           for c, t in df.dtypes])
 
 
 # --------------------------------------------------------------------------
@@ -191,18 +136,36 @@ def sql_lags(lags) -> str:
     return "lags AS (SELECT * FROM (VALUES " + ", ".join(f"({v})" for v in lags) + ") t(lag))"
 
 
-def sql_tlcc(lags, xdays: str = "SELECT DISTINCT date FROM x", ydays: str = "SELECT DISTINCT date FROM y") -> str:
+def sql_grid(lags, xs, ys, by: str = "") -> str:
+    """CTEs ``lags`` and ``grid``: every (by, series_x, series_y, lag); ``by``
+    is a select of the groups."""
+    names = [", ".join(f"('{n}')" for n in v) for v in (xs, ys)]
+    return sql_lags(lags) + f""",
+grid AS (SELECT {'b.*, ' if by else ''}sx.s AS series_x, sy.s AS series_y, CAST(lags.lag AS INTEGER) AS lag
+         FROM {f'({by}) b CROSS JOIN ' if by else ''}(VALUES {names[0]}) sx(s) CROSS JOIN (VALUES {names[1]}) sy(s)
+         CROSS JOIN lags)"""
+
+
+def sql_cells(found: str, by: str = "") -> str:
+    """The grid with the cells of ``found`` (a select of by, series_x,
+    series_y, lag, n, r)."""
+    return f"""
+SELECT {by}series_x, series_y, lag, coalesce(n, 0) AS n, round(r, 8) AS r
+FROM grid LEFT JOIN ({found}) f USING ({by}series_x, series_y, lag)"""
+
+
+def sql_tlcc(lags, xs, ys, xdays: str = "SELECT DISTINCT date FROM x", ydays: str = "SELECT DISTINCT date FROM y") -> str:
     """Positional lag join on the joined days, national series."""
     return f""",
-{sql_lags(lags)},
+{sql_grid(lags, xs, ys)},
 days AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS idx
          FROM ({xdays}) a JOIN ({ydays}) b USING (date)),
 xi AS (SELECT idx, series, value FROM x JOIN days USING (date)),
-yi AS (SELECT idx, series, value FROM y JOIN days USING (date))
-SELECT xi.series AS series_x, yi.series AS series_y, CAST(lags.lag AS INTEGER) AS lag, count(*) AS n,
-       round({sql_pearson('xi.value', 'yi.value')}, 8) AS r
-FROM xi CROSS JOIN lags JOIN yi ON yi.idx = xi.idx + lags.lag
-GROUP BY 1, 2, 3"""
+yi AS (SELECT idx, series, value FROM y JOIN days USING (date))""" + sql_cells(f"""
+  SELECT xi.series AS series_x, yi.series AS series_y, CAST(lags.lag AS INTEGER) AS lag, count(*) AS n,
+         {sql_pearson('xi.value', 'yi.value')} AS r
+  FROM xi CROSS JOIN lags JOIN yi ON yi.idx = xi.idx + lags.lag
+  GROUP BY 1, 2, 3""")
 
 
 # --------------------------------------------------------------------------
@@ -211,19 +174,19 @@ GROUP BY 1, 2, 3"""
 
 def tlcc_price_frame(spark: SparkSession, sf: str, lags=PRICE_LAGS, years=None) -> DataFrame:
     """Gas-x-price analogue: national daily means of the complete sites per
-    criterion (z-scored, as the scenario does) against the z-scored daily
-    price, all lags in one plan."""
+    criterion against the daily price, all lags in one plan.  r does not change
+    with scale, so the scenario's z-scores are left out here; ``tlcc_scenario``
+    has them."""
     d = daily(spark, sf)
     p = prices(spark, sf)
     if years is not None:
         d = clean.year_filter(d, years)
         p = clean.year_filter(p, years)
     clean.validate_columns(d, ["date", *FLAGS])
-    # r is invariant under the scenario's z-scaling, so it is not applied here
     return xcorr.lagged_correlation(d, p, lags, FLAGS, ["price"])
 
 
-@register("tlcc_price", with_(SQL_M, SQL_W, SQL_D, SQL_P, SQL_X, SQL_Y) + sql_tlcc(PRICE_LAGS))
+@register("tlcc_price", with_(SQL_M, SQL_W, SQL_D, SQL_P, SQL_X, SQL_Y) + sql_tlcc(PRICE_LAGS, FLAGS, ["price"]))
 def tlcc_price(spark, sf):
     return rounded(tlcc_price_frame(spark, sf), special={"r": 8})
 
@@ -232,28 +195,65 @@ def tlcc_price(spark, sf):
     SQL_M, SQL_W, SQL_D, SQL_P,
     SQL_X.replace("FROM d", "FROM d WHERE year BETWEEN 1996 AND 1999"),
     SQL_Y.replace("FROM p)", "FROM p WHERE year(date) BETWEEN 1996 AND 1999)"),
-) + sql_tlcc(PRICE_LAGS))
+) + sql_tlcc(PRICE_LAGS, FLAGS, ["price"]))
 def tlcc_price_years(spark, sf):
     """Multi-year window variant (2014-2019 job analogue: 1996-1999)."""
     return rounded(tlcc_price_frame(spark, sf, years=range(1996, 2000)), special={"r": 8})
 
 
-@register("tlcc_toxics_lags", with_(SQL_M, SQL_W, SQL_D, SQL_P, SQL_X, SQL_Y) + sql_tlcc(TOXICS_LAGS))
-def tlcc_toxics_lags(spark, sf):
-    """Same plan with the shorter lag list of the toxics job."""
-    return rounded(tlcc_price_frame(spark, sf, lags=TOXICS_LAGS), special={"r": 8})
+# Nine criteria with dots, commas and hyphens in their names, and the column
+# names they are sanitised to.
+AGENTS = [f"{k}.5-Agent, {f}" for k in range(3) for f in FLAGS]
+AGENT_COLS = [f"{k}_5_Agent_{f}" for k in range(3) for f in FLAGS]
+SQL_AGENTS = """m AS (
+  SELECT (l.l_linenumber % 3) || '.5-Agent, ' || l.l_returnflag AS criteria, CAST(l.l_shipdate AS DATE) AS date,
+         round(l.l_extendedprice, 10) AS value
+  FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey
+  JOIN nation n ON s.s_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey)"""
+SQL_AGENT_DAYS = "d0 AS (SELECT date, " + ", ".join(
+    f"avg(value) FILTER (WHERE criteria = '{c}') AS \"{n}\"" for c, n in zip(AGENTS, AGENT_COLS)) + """
+  FROM m GROUP BY date),
+d AS (SELECT * FROM d0 WHERE """ + " AND ".join(f'"{n}" IS NOT NULL' for n in AGENT_COLS) + ")"
+SQL_AGENT_X = "x AS (" + " UNION ALL ".join(
+    f"""SELECT date, '{n}' AS series, "{n}" AS value FROM d""" for n in AGENT_COLS) + ")"
+
+
+@register("tlcc_toxics", with_(SQL_AGENTS, SQL_AGENT_DAYS, SQL_P, SQL_AGENT_X, SQL_Y)
+          + sql_tlcc(TOXICS_LAGS, AGENT_COLS, ["price"]))
+def tlcc_toxics(spark, sf):
+    """Toxics-shaped run: many criteria with awkward names, complete days only,
+    against the price."""
+    d = series.daily_mean(reshape.pivot_wide(tables.lineitem_agents(spark, sf), AGENTS), AGENT_COLS)
+    return rounded(xcorr.lagged_correlation(d, prices(spark, sf), TOXICS_LAGS, AGENT_COLS, ["price"]), special={"r": 8})
 
 
-@register("tlcc_auto", with_(SQL_M, SQL_W, SQL_D, SQL_X, "y AS (SELECT * FROM x)") + sql_tlcc(AUTO_LAGS))
+@register("tlcc_scenario", with_(
+    SQL_M, SQL_W, SQL_D, SQL_P,
+    "dz AS (SELECT date, " + ", ".join(f"""{_z} AS "{c}\"""" for c, _z in (
+        (c, f'CASE WHEN stddev_samp("{c}") OVER () = 0 THEN 0.0 ELSE ("{c}" - avg("{c}") OVER ()) / stddev_samp("{c}") OVER () END')
+        for c in FLAGS)) + " FROM d)",
+    SQL_X.replace("FROM d", "FROM dz"),
+    "y AS (SELECT date, 'price' AS series, (price - avg(price) OVER ()) / stddev_samp(price) OVER () AS value FROM p)",
+) + sql_tlcc(PRICE_LAGS, FLAGS, ["price"]))
+def tlcc_scenario(spark, sf):
+    """The job as written: the z-scored national scenario against the z-scored
+    price."""
+    d, labels = scenarios.daily_table(measurements(spark, sf), FLAGS, "national")
+    d, p = scale.zscore(d, labels), scale.zscore(prices(spark, sf), ["price"])
+    return rounded(xcorr.lagged_correlation(d, p, PRICE_LAGS, labels, ["price"]), special={"r": 8})
+
+
+@register("tlcc_auto", with_(SQL_M, SQL_W, SQL_D, SQL_X, "y AS (SELECT * FROM x)") + sql_tlcc(AUTO_LAGS, FLAGS, FLAGS))
 def tlcc_auto(spark, sf):
     return rounded(xcorr.auto_correlation(daily(spark, sf), AUTO_LAGS, FLAGS), special={"r": 8})
 
 
-@register("tlcc_calendar", with_(SQL_M, SQL_W, SQL_D, SQL_P, SQL_X, SQL_Y, sql_lags(PRICE_LAGS)) + f"""
-SELECT x.series AS series_x, y.series AS series_y, CAST(lags.lag AS INTEGER) AS lag, count(*) AS n,
-       round({sql_pearson('x.value', 'y.value')}, 8) AS r
-FROM x CROSS JOIN lags JOIN y ON y.date = x.date + CAST(lags.lag AS INTEGER)
-GROUP BY 1, 2, 3""")
+@register("tlcc_calendar", with_(SQL_M, SQL_W, SQL_D, SQL_P, SQL_X, SQL_Y, sql_grid(PRICE_LAGS, FLAGS, ["price"]))
+          + sql_cells(f"""
+  SELECT x.series AS series_x, y.series AS series_y, CAST(lags.lag AS INTEGER) AS lag, count(*) AS n,
+         {sql_pearson('x.value', 'y.value')} AS r
+  FROM x CROSS JOIN lags JOIN y ON y.date = x.date + CAST(lags.lag AS INTEGER)
+  GROUP BY 1, 2, 3"""))
 def tlcc_calendar(spark, sf):
     return rounded(xcorr.lagged_correlation(daily(spark, sf), prices(spark, sf), PRICE_LAGS, FLAGS, ["price"],
                                             unit="days"), special={"r": 8})
@@ -264,24 +264,25 @@ def tlcc_calendar(spark, sf):
   SELECT lat, lon, date, 'N', "N" FROM wc UNION ALL
   SELECT lat, lon, date, 'R', "R" FROM wc)""", """ys AS (
   SELECT s.lat, s.lon, p.date, 'price' AS series, p.price AS value
-  FROM (SELECT DISTINCT lat, lon, date FROM wc) s JOIN p USING (date))""", sql_lags(TOXICS_LAGS)) + f"""
+  FROM (SELECT DISTINCT lat, lon, date FROM wc) s JOIN p USING (date))""",
+  sql_grid(TOXICS_LAGS, FLAGS, ["price"], by="SELECT DISTINCT lat, lon FROM w")) + f"""
 , days AS (SELECT lat, lon, date, row_number() OVER (PARTITION BY lat, lon ORDER BY date) - 1 AS idx
            FROM (SELECT DISTINCT lat, lon, date FROM xs) a JOIN (SELECT DISTINCT lat, lon, date FROM ys) b
            USING (lat, lon, date)),
 xi AS (SELECT lat, lon, idx, series, value FROM xs JOIN days USING (lat, lon, date)),
-yi AS (SELECT lat, lon, idx, series, value FROM ys JOIN days USING (lat, lon, date))
-SELECT xi.lat, xi.lon, xi.series AS series_x, yi.series AS series_y, CAST(lags.lag AS INTEGER) AS lag,
-       count(*) AS n, round({sql_pearson('xi.value', 'yi.value')}, 8) AS r
-FROM xi CROSS JOIN lags JOIN yi ON yi.lat = xi.lat AND yi.lon = xi.lon AND yi.idx = xi.idx + lags.lag
-GROUP BY 1, 2, 3, 4, 5""")
+yi AS (SELECT lat, lon, idx, series, value FROM ys JOIN days USING (lat, lon, date))""" + sql_cells(f"""
+  SELECT xi.lat, xi.lon, xi.series AS series_x, yi.series AS series_y, CAST(lags.lag AS INTEGER) AS lag,
+         count(*) AS n, {sql_pearson('xi.value', 'yi.value')} AS r
+  FROM xi CROSS JOIN lags JOIN yi ON yi.lat = xi.lat AND yi.lon = xi.lon AND yi.idx = xi.idx + lags.lag
+  GROUP BY 1, 2, 3, 4, 5""", by="lat, lon, "))
 def tlcc_by_site(spark, sf):
     """Per-site correlation: each site's complete days against the price of
     the same days, positions counted per site."""
-    w = wide(spark, sf)
-    # the price series is shared by every site: attach it to each site's own
-    # days by an equi-join on the day (no site x day product)
-    y = w.select("lat", "lon", "date").join(prices(spark, sf).select("date", "price"), "date")
-    return rounded(xcorr.lagged_correlation(w, y, TOXICS_LAGS, FLAGS, ["price"], by=["lat", "lon"]),
+    # the price series is shared by every site: attached once to each site's
+    # own days, both sides then are one frame (days without a price or with an
+    # incomplete row are no usable days, but their site is still in the grid)
+    w = wide(spark, sf, drop_null=False).join(prices(spark, sf).select("date", "price"), "date", "left")
+    return rounded(xcorr.lagged_correlation(w, w, TOXICS_LAGS, FLAGS, ["price"], by=["lat", "lon"]),
                    special={"r": 8})
 
 
@@ -293,7 +294,7 @@ def tlcc_by_site(spark, sf):
 SELECT criteria, state, county, lat, lon, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, date, value, unit FROM m""")
 def clean_measurements(spark, sf):
     m = tables.lineitem_measurements_from_raw(spark, sf)
-    return rounded(m.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss")), digits=10)
+    return m.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
 
 
 @register("distinct_criteria", with_(SQL_M) + "SELECT DISTINCT criteria FROM m ORDER BY 1")
@@ -321,14 +322,14 @@ def year_filter(spark, sf):
     from lagscope.sources.measurements import year_list
 
     m = clean.year_filter(measurements(spark, sf), year_list(1996, 1998))
-    return rounded(m.select("criteria", "lat", "lon", "date", "value"), digits=10)
+    return m.select("criteria", "lat", "lon", "date", "value")
 
 
 @register("sort_by_date", with_(SQL_M) + """
 SELECT criteria, lat, lon, date, value FROM m ORDER BY date DESC""")
 def sort_by_date(spark, sf):
     m = measurements(spark, sf).select("criteria", "lat", "lon", "date", "value")
-    return rounded(clean.sort_by_date(m, ascending=False), digits=10)
+    return clean.sort_by_date(m, ascending=False)
 
 
 SQL_ROWTEXT = ("lower(concat_ws(' ', criteria, state, county, CAST(lat AS VARCHAR), CAST(lon AS VARCHAR), "
@@ -339,7 +340,7 @@ SQL_ROWTEXT = ("lower(concat_ws(' ', criteria, state, county, CAST(lat AS VARCHA
 SELECT criteria, state, county, date, value FROM m WHERE {SQL_ROWTEXT}""")
 def text_filter(spark, sf):
     m = clean.text_filter(measurements(spark, sf), "NATION_1")
-    return rounded(m.select("criteria", "state", "county", "date", "value"), digits=10)
+    return m.select("criteria", "state", "county", "date", "value")
 
 
 @register("region_yearly_mean", with_(SQL_M) + f"""
@@ -497,14 +498,15 @@ def deseason_hourly(spark, sf):
 
 
 def _deseason_sql(part: str) -> str:
+    # five digits: the mean of a bucket often ends in a 5 at the seventh
+    cols = ", ".join(f'round("{c}" - avg("{c}") OVER (PARTITION BY {part}(date)), 5) AS "{c}"' for c in FLAGS)
     return with_(SQL_M, SQL_W) + f"""
-SELECT lat, lon, date, round("A" - avg("A") OVER (PARTITION BY {part}(date)),6) AS "A" FROM wc"""
+SELECT lat, lon, date, {cols} FROM wc"""
 
 
 def _deseason(freq: str):
     def run(spark, sf):
-        w = wide(spark, sf).select("lat", "lon", "date", "A")
-        return rounded(series.deseason(w, "A", "date", freq), PRICE_DIGITS)
+        return rounded(series.deseason(wide(spark, sf), FLAGS, "date", freq), 5, special={"lat": 6, "lon": 6})
     return run
 
 
@@ -652,13 +654,15 @@ SELECT zl.lat, zl.lon, zl.date, round(zl.norm, 6) AS norm, round(pz.price_norm,
 FROM zl JOIN pz ON pz.date = zl.date"""
 
 
-@register("cost_score", _sql_cost("WHERE year(l.l_shipdate) <= 2000", False))
+SQL_SHIP = """p AS (SELECT CAST(l_shipdate AS DATE) AS date, avg(l_extendedprice * (1 + l_tax)) AS price
+  FROM lineitem GROUP BY 1)"""
+
+
+@register("cost_score", _sql_cost("", False).replace(SQL_P, SQL_SHIP))
 def cost_score(spark, sf):
-    """Cost score on measurements up to 2000 (the price series ends earlier
-    than the measurements, so the unrestricted latest day has no price)."""
-    m = measurements(spark, sf).where(F.col("date") < F.lit("2001-01-01").cast("date"))
-    w = reshape.pivot_wide(m, FLAGS)
-    return rounded(score.cost_score(w, FLAGS, prices(spark, sf), lag=10))
+    """Cost score on each site's latest day, against the price by ship date
+    (the order price ends earlier than the measurements)."""
+    return rounded(score.cost_score(wide(spark, sf), FLAGS, tables.ship_prices(spark, sf), lag=10))
 
 
 @register("cost_score_latest_priced", _sql_cost("", True))
@@ -688,9 +692,11 @@ def heatmap_points(spark, sf):
 
 
 @register("spatial_density", with_(SQL_M, SQL_W, SQL_HW) + """
-SELECT round(lat, 1) AS lat, round(lon, 1) AS lon, count(*) AS n, CAST(sum(weight) AS BIGINT) AS weight FROM hw2 GROUP BY 1, 2""")
+SELECT round(lat, 1) AS lat, round(lon, 1) AS lon, count(*) AS n, CAST(sum(floor(norm * 10)) AS BIGINT) AS weight
+FROM hw GROUP BY 1, 2""")
 def spatial_density(spark, sf):
-    return rounded(spatial.spatial_density(_heat(spark, sf), precision=1, weight="weight"))
+    weights = spatial.heat_weights(wide(spark, sf), FLAGS, factor=10)
+    return rounded(spatial.spatial_density(weights, precision=1, weight="weight"))
 
 
 # --------------------------------------------------------------------------
@@ -750,72 +756,224 @@ def sql_long(crit, name="x") -> str:
 
 
 def measure_daily(spark, sf):
-    m = tables.lineitem_measurements(spark, sf, criteria="measure")
-    return series.daily_mean(reshape.pivot_wide(m, MEASURE_NAMES), MEASURE_NAMES)
+    return series.daily_mean(tables.lineitem_site_days(spark, sf), MEASURE_NAMES)
 
 
 _MEASURE_BASE = [sql_measures(), sql_wide(MEASURE_NAMES), sql_daily(MEASURE_NAMES), sql_long(MEASURE_NAMES)]
 
 
-@register("tlcc_8", with_(*_MEASURE_BASE, SQL_P, SQL_Y) + sql_tlcc(LAGS_2))
+@register("tlcc_8", with_(*_MEASURE_BASE, SQL_P, SQL_Y) + sql_tlcc(LAGS_2, MEASURE_NAMES, ["price"]))
 def tlcc_8(spark, sf):
     """8 correlations: 4 measures x price x lags {0, 10}."""
     return rounded(xcorr.lagged_correlation(measure_daily(spark, sf), prices(spark, sf), LAGS_2,
                                             MEASURE_NAMES, ["price"]), special={"r": 8})
 
 
-@register("tlcc_64", with_(*_MEASURE_BASE, "y AS (SELECT * FROM x)") + sql_tlcc(LAGS_4))
+@register("tlcc_64", with_(*_MEASURE_BASE, "y AS (SELECT * FROM x)") + sql_tlcc(LAGS_4, MEASURE_NAMES, MEASURE_NAMES))
 def tlcc_64(spark, sf):
     """64 correlations: 4 x 4 measures x lags {-10, 0, 10, 30}."""
     return rounded(xcorr.auto_correlation(measure_daily(spark, sf), LAGS_4, MEASURE_NAMES), special={"r": 8})
 
 
-@register("tlcc_112", with_(*_MEASURE_BASE, "y AS (SELECT * FROM x)") + sql_tlcc(LAGS_7))
+@register("tlcc_112", with_(*_MEASURE_BASE, "y AS (SELECT * FROM x)") + sql_tlcc(LAGS_7, MEASURE_NAMES, MEASURE_NAMES))
 def tlcc_112(spark, sf):
     """112 correlations: 4 x 4 measures x 7 lags."""
     return rounded(xcorr.auto_correlation(measure_daily(spark, sf), LAGS_7, MEASURE_NAMES), special={"r": 8})
 
 
 # --------------------------------------------------------------------------
-# Clustering of series (rows-only checks: iterative / MLlib fits)
+# Clustering of series: seven daily totals per site, which rise and fall
+# together, and two national series that do not
 # --------------------------------------------------------------------------
 
-def site_series_adjacency(spark, sf, threshold: float = 0.8) -> DataFrame:
-    """Adjacency of the per-site criterion series (criterion x site), from
-    the correlation matrix of their day-of-year climatologies."""
-    w = wide(spark, sf)
-    long = (reshape.melt(w, ["lat", "lon", "date"], FLAGS, "criteria", "value")
-            .withColumn("series", F.format_string("%s@%.3f,%.3f", "criteria", "lat", "lon")))
-    names = clean.criteria_list(long, "series")          # bounded: sites x criteria
-    by_day = reshape.pivot_wide(long.select("date", "series", "value"), names, precision=None,
-                                drop_null=False, keys=("date",), criteria_col="series")
-    cols = [c for c in by_day.columns if c != "date"]
-    clim = series.climatology(by_day, cols)
-    return xcorr.adjacency(xcorr.correlation_matrix(clim, cols), threshold)
-
-
-@register("pca_projection")
+TOTALS = ["count", "extendedprice", "quantity", "discount", "tax", "net", "charge"]
+SQL_TOTALS = """t AS (
+  SELECT CAST(s.s_nationkey % 5 AS INTEGER) AS site, CAST(l.l_shipdate AS DATE) AS date,
+         CAST(count(*) AS DOUBLE) AS "count", sum(l_extendedprice) AS extendedprice, sum(l_quantity) AS quantity,
+         sum(l_discount) AS discount, sum(l_tax) AS tax, sum(l_extendedprice * (1 - l_discount)) AS net,
+         sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)) AS charge
+  FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey
+  JOIN nation n ON s.s_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey
+  GROUP BY 1, 2)"""
+SQL_LONG = "lg AS (" + " UNION ALL ".join(
+    f"""SELECT '{c}@' || site AS series, date, "{c}" AS value FROM t""" for c in TOTALS) + """
+  UNION ALL SELECT 'price', date, price FROM p UNION ALL SELECT 'ship price', date, price FROM sp)"""
+SQL_CLUSTER = [SQL_TOTALS, SQL_P, SQL_SHIP.replace("p AS", "sp AS", 1), SQL_LONG,
+               "cl AS (SELECT series, dayofyear(date) AS day, avg(value) AS value FROM lg GROUP BY 1, 2)",
+               f"""cr AS (SELECT a.series AS series_a, b.series AS series_b, {sql_pearson('a.value', 'b.value')} AS r
+  FROM cl a JOIN cl b USING (day) GROUP BY 1, 2)""",
+               "nm AS (SELECT DISTINCT series FROM lg)",
+               """aj AS (SELECT a.series AS series_a, b.series AS series_b,
+    CASE WHEN a.series <> b.series AND r > 0.6 THEN 1 ELSE 0 END AS adj
+  FROM nm a CROSS JOIN nm b LEFT JOIN cr ON cr.series_a = a.series AND cr.series_b = b.series)"""]
+
+
+def series_adjacency(spark, sf, threshold: float = 0.6) -> DataFrame:
+    """Adjacency of the per-site totals and the national prices, from the
+    correlations of their day-of-year climatologies.  Long form throughout:
+    the series are data, not columns."""
+    p = prices(spark, sf).select(F.lit("price").alias("series"), "date", F.col("price").alias("value"))
+    s = tables.ship_prices(spark, sf).select(F.lit("ship price").alias("series"), "date", F.col("price").alias("value"))
+    long = tables.lineitem_totals(spark, sf).unionByName(p).unionByName(s)
+    clim = long.groupBy("series", F.dayofyear("date").alias("day")).agg(F.avg("value").alias("value"))
+    return xcorr.adjacency(xcorr.correlation_matrix_long(clim, "day"), threshold)
+
+
+@register("series_adjacency", with_(*SQL_CLUSTER) + "SELECT * FROM aj")
+def series_adjacency_query(spark, sf):
+    return series_adjacency(spark, sf)
+
+
+# variances of the components: largest eigenvalues of the covariance by power
+# iteration, the first one deflated for the second
+SQL_PCA = [*SQL_CLUSTER,
+           "co AS (SELECT a.series_b AS i, b.series_b AS j, covar_samp(a.adj, b.adj) AS v FROM aj a JOIN aj b USING (series_a) GROUP BY 1, 2)",
+           "ro AS (SELECT i, list(v ORDER BY j) AS row FROM co GROUP BY i)",
+           "mx AS (SELECT list(row ORDER BY i) AS m FROM ro)",
+           """p1 AS (
+  SELECT 0 AS k, list_transform(m, lambda r: list_sum(r) + sqrt(1.0 + list_position(m, r))) AS v FROM mx
+  UNION ALL
+  SELECT k + 1, list_transform(w, lambda e: e / n) FROM (
+    SELECT k, w, sqrt(list_dot_product(w, w)) AS n FROM (
+      SELECT k, list_transform(m, lambda r: list_dot_product(r, v)) AS w FROM p1, mx WHERE k < 300)))""",
+           """u1 AS (SELECT v, list_dot_product(v, list_transform(m, lambda r: list_dot_product(r, v))) AS l FROM p1, mx WHERE k = 300)""",
+           """p2 AS (
+  SELECT 0 AS k, list_transform(range(len(m)), lambda i: sin(1.0 + i * i)) AS v FROM mx
+  UNION ALL
+  SELECT k + 1, list_transform(w, lambda e: e / n) FROM (
+    SELECT k, w, sqrt(list_dot_product(w, w)) AS n FROM (
+      SELECT k, list_transform(list_zip(list_transform(m, lambda r: list_dot_product(r, p2.v)), u1.v),
+                               lambda z: z[1] - u1.l * list_dot_product(u1.v, p2.v) * z[2]) AS w
+      FROM p2, mx, u1 WHERE k < 300)))""",
+           """u2 AS (SELECT list_dot_product(v, list_transform(m, lambda r: list_dot_product(r, v))) AS l FROM p2, mx WHERE k = 300)"""]
+
+
+@register("pca_projection", with_(*SQL_PCA).replace("WITH ", "WITH RECURSIVE ", 1) + """
+SELECT 1 AS component, round(l, 6) AS variance FROM u1 UNION ALL SELECT 2, round(l, 6) FROM u2""")
 def pca_projection(spark, sf):
+    """Variance of the adjacency rows along their first two components (the
+    projection itself is free in sign, and in rotation where variances tie)."""
     from lagscope.operators import cluster
 
-    return cluster.pca_projection(site_series_adjacency(spark, sf), 2)
-
-
-@register("density_clusters")
+    pcs = cluster.pca_projection(series_adjacency(spark, sf), 2)
+    long = pcs.unpivot(["series"], ["pc1", "pc2"], "pc", "v")
+    return rounded(long.groupBy(F.substring("pc", 3, 1).cast("int").alias("component"))
+                   .agg(F.var_samp("v").alias("variance")))
+
+
+# density clusters of the adjacency rows, straight from the definition
+SQL_DBSCAN = [*SQL_CLUSTER,
+              "ix AS (SELECT series, row_number() OVER (ORDER BY series) - 1 AS i FROM nm)",
+              """nb AS (SELECT a.series_a AS p, b.series_a AS q FROM aj a JOIN aj b USING (series_b)
+  GROUP BY 1, 2 HAVING sum((a.adj - b.adj) * (a.adj - b.adj)) <= 2.3 * 2.3)""",
+              "ce AS (SELECT p FROM nb GROUP BY p HAVING count(*) >= 5)",
+              """re AS (
+  SELECT p, p AS q FROM ce UNION
+  SELECT re.p, nb.q FROM re JOIN nb ON nb.p = re.q JOIN ce ON ce.p = nb.q)""",
+              "lb AS (SELECT p, min(ix.i) AS seed FROM re JOIN ix ON ix.series = re.q GROUP BY p)",
+              "nu AS (SELECT p, dense_rank() OVER (ORDER BY seed) - 1 AS cluster FROM lb)",
+              """cu AS (SELECT ix.series, CAST(coalesce(own.cluster, min(nu.cluster), -1) AS INTEGER) AS cluster
+  FROM ix LEFT JOIN nu own ON own.p = ix.series LEFT JOIN nb ON nb.p = ix.series LEFT JOIN nu ON nu.p = nb.q
+  GROUP BY ix.series, own.cluster)"""]
+
+
+@register("density_clusters", with_(*SQL_DBSCAN).replace("WITH ", "WITH RECURSIVE ", 1) + "SELECT * FROM cu")
 def density_clusters(spark, sf):
     from lagscope.operators import cluster
 
-    return cluster.density_clusters(site_series_adjacency(spark, sf), eps=2.3, min_samples=5)
+    return cluster.density_clusters(series_adjacency(spark, sf), eps=2.3, min_samples=5)
 
 
-@register("cluster_members")
+@register("cluster_members", with_(*SQL_DBSCAN).replace("WITH ", "WITH RECURSIVE ", 1) + """
+SELECT cluster, string_agg(series, ';' ORDER BY series) AS members FROM cu GROUP BY cluster""")
 def cluster_members(spark, sf):
     from lagscope.operators import cluster
 
-    clusters = cluster.density_clusters(site_series_adjacency(spark, sf), eps=2.3, min_samples=5)
+    clusters = cluster.density_clusters(series_adjacency(spark, sf), eps=2.3, min_samples=5)
     return cluster.cluster_members(clusters).select("cluster", F.array_join("members", ";").alias("members"))
 
 
+# --------------------------------------------------------------------------
+# Scenarios, vectors and profile
+# --------------------------------------------------------------------------
+
+@register("scenario_national", with_(SQL_M, SQL_W, SQL_D) + f"""
+SELECT date, year, dayofyear, {", ".join(f'round({_sql_z(c)}, 6) AS "{c}"' for c in FLAGS)} FROM d""")
+def scenario_national(spark, sf):
+    d, labels = scenarios.daily_table(measurements(spark, sf), FLAGS, "national")
+    return rounded(scale.zscore(d, labels))
+
+
+@register("scenario_site", with_(SQL_M, SQL_W) + f"""
+SELECT lat, lon, date, CAST(year(date) AS INTEGER) AS year, CAST(dayofyear(date) AS INTEGER) AS dayofyear,
+       {", ".join(f'round({_sql_z(c)}, 6) AS "{c}"' for c in FLAGS)} FROM wc""")
+def scenario_site(spark, sf):
+    d, labels = scenarios.daily_table(measurements(spark, sf), FLAGS, "site")
+    return rounded(scale.zscore(d, labels))
+
+
+@register("prepared_prices", with_(SQL_P, f"z AS (SELECT date, {_sql_z('price')} AS z FROM p)") + """
+SELECT date, round(z / max(abs(z)) OVER (), 6) AS price FROM z""")
+def prepared_prices(spark, sf):
+    return rounded(scenarios.prepared_prices(prices(spark, sf)))
+
+
+@register("vector_roundtrip", with_(SQL_M, SQL_W) + f"SELECT lat, lon, date, {_r6(*FLAGS)} FROM wc")
+def vector_roundtrip(spark, sf):
+    """Columns to a vector, to text, back to numbers."""
+    from lagscope.sources import sinks
+
+    v = reshape.to_vector(wide(spark, sf), FLAGS, "features").select("lat", "lon", "date", "features")
+    return rounded(sinks.parse_vector_string(sinks.vector_to_string(v, "features"), "features", FLAGS), PRICE_DIGITS)
+
+
+@register("vector_columns", with_(SQL_M, SQL_W, SQL_D) + f"SELECT date, {_r6(*FLAGS)} FROM d")
+def vector_columns(spark, sf):
+    v = reshape.to_vector(daily(spark, sf), FLAGS, "features").select("date", "features")
+    return rounded(reshape.from_vector(v, "features", FLAGS), PRICE_DIGITS)
+
+
+@register("gradient_climatology", with_(SQL_M, SQL_W, SQL_D, "g AS (SELECT dayofyear, " + ", ".join(
+    f"""(CASE WHEN lag("{c}") OVER w IS NOT NULL AND lead("{c}") OVER w IS NOT NULL
+              THEN (lead("{c}") OVER w - lag("{c}") OVER w) / 2.0
+              WHEN lag("{c}") OVER w IS NULL THEN lead("{c}") OVER w - "{c}" ELSE "{c}" - lag("{c}") OVER w END)
+        / sqrt(sum("{c}" * "{c}") OVER ()) AS "{c}\"""" for c in FLAGS) + " FROM d WINDOW w AS (ORDER BY date))") + f"""
+SELECT dayofyear, {", ".join(f'round(avg("{c}"), 8) AS "{c}"' for c in FLAGS)} FROM g GROUP BY 1""")
+def gradient_climatology(spark, sf):
+    """Day-of-year mean of the normalised gradient of the national series."""
+    g = series.gradient(daily(spark, sf), [], FLAGS).select("date", *[F.col(f"{c}_grad").alias(c) for c in FLAGS])
+    return rounded(series.climatology(g, FLAGS), digits=8)
+
+
+_PROFILE = [("criteria", "string"), ("state", "string"), ("county", "string"), ("lat", "double"), ("lon", "double"),
+            ("ts", "timestamp"), ("date", "date"), ("value", "double"), ("unit", "string")]
+
+
+@register("schema_profile", with_(SQL_M) + " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", '{t}' AS dtype, count(*) AS "rows", count(*) - count({c}) AS nulls FROM m"""
+    for c, t in _PROFILE))
+def schema_profile(spark, sf):
+    from lagscope.operators.profile import column_profile
+
+    return column_profile(measurements(spark, sf))
+
+
+@register("row_count", with_(SQL_M) + """SELECT count(*) AS "rows" FROM m""")
+def row_count(spark, sf):
+    from lagscope.operators.profile import row_count as rows
+
+    return rows(measurements(spark, sf))
+
+
+@register("named_aggregates", with_(SQL_M) + """
+SELECT criteria, round(avg(value), 6) AS value, count(*) AS "count" FROM m GROUP BY 1""")
+def named_aggregates(spark, sf):
+    """Columns named by the aggregate functions themselves, then repaired."""
+    raw = measurements(spark, sf).groupBy("criteria").agg({"value": "avg", "*": "count"})
+    raw = raw.withColumnsRenamed({"count(1)": "count", "count(*)": "count"})
+    return rounded(clean.sanitize_columns(clean.repair_aggregate_names(raw)), PRICE_DIGITS)
+
+
 # --------------------------------------------------------------------------
 # Feature matrix (min-max ids ++ max-abs of z-scored criteria)
 # --------------------------------------------------------------------------
@@ -833,9 +991,7 @@ SELECT round(lat, 6) AS lat, round(lon, 6) AS lon, round(time, 6) AS time,
        {", ".join(f'round(CASE WHEN max(abs("{c}")) OVER () = 0 THEN 0.0 ELSE "{c}" / max(abs("{c}")) OVER () END, 6) AS "{c}"' for c in FLAGS)}
 FROM f""")
 def feature_matrix(spark, sf):
-    from lagscope.plans.scenarios import feature_matrix as fm
-
-    return rounded(fm(wide(spark, sf), FLAGS))
+    return rounded(scenarios.feature_matrix(wide(spark, sf), FLAGS))
 
 
 # --------------------------------------------------------------------------
@@ -854,13 +1010,13 @@ HOUR_LAGS = [-3, -1, 0, 1, 3]
   FROM e GROUP BY 1, 2)""", "hc AS (SELECT * FROM h WHERE " + " AND ".join(f'"{t}" IS NOT NULL' for t in EVENT_TYPES) + ")",
   "hi AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY ts) AS idx FROM hc)",
   "x AS (" + " UNION ALL ".join(f"SELECT site, idx, '{t}' AS series, \"{t}\" AS value FROM hi" for t in EVENT_TYPES) + ")",
-  sql_lags(HOUR_LAGS)) + f"""
-SELECT x.site, x.series AS series_x, y.series AS series_y, CAST(lags.lag AS INTEGER) AS lag, count(*) AS n,
-       round({sql_pearson('x.value', 'y.value')}, 8) AS r
-FROM x CROSS JOIN lags JOIN x y ON y.site = x.site AND y.idx = x.idx + lags.lag
-GROUP BY 1, 2, 3, 4""")
+  sql_grid(HOUR_LAGS, EVENT_TYPES, EVENT_TYPES, by="SELECT DISTINCT site FROM h")) + sql_cells(f"""
+  SELECT x.site, x.series AS series_x, y.series AS series_y, CAST(lags.lag AS INTEGER) AS lag, count(*) AS n,
+         {sql_pearson('x.value', 'y.value')} AS r
+  FROM x CROSS JOIN lags JOIN x y ON y.site = x.site AND y.idx = x.idx + lags.lag
+  GROUP BY 1, 2, 3, 4""", by="site, "))
 def tlcc_events(spark, sf):
     e = events(spark, sf).withColumn("ts", F.date_trunc("hour", "ts"))
-    wide_h = reshape.pivot_wide(e, EVENT_TYPES, precision=None, keys=("site", "ts"))
+    wide_h = reshape.pivot_wide(e, EVENT_TYPES, precision=None, keys=("site", "ts"), drop_null=False)
     return rounded(xcorr.auto_correlation(wide_h, HOUR_LAGS, EVENT_TYPES, by=["site"], date_col="ts"),
                    special={"r": 8})

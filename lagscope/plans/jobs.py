@@ -26,21 +26,24 @@ def _out(df: DataFrame, path: str | None, fmt: str = "parquet", mode: str = "err
 
 
 def autocorrelation(spark: SparkSession, root: str, scenario: str = "gasses_2014_2019",
-                    lags: Sequence[int] = AUTO_LAGS, store: str | None = None, out: str | None = None) -> DataFrame:
-    """Every criterion against every criterion of the same scenario."""
+                    lags: Sequence[int] = AUTO_LAGS, store: str | None = None, out: str | None = None,
+                    fmt: str = "parquet") -> DataFrame:
+    """Every criterion against every criterion of the same scenario; ``fmt``
+    is the form of ``out``: parquet, csv or text."""
     daily, labels = sc.build_scenario(spark, root, scenario, store)
-    return _out(xcorr.auto_correlation(daily, lags, labels), out)
+    return _out(xcorr.auto_correlation(daily, lags, labels), out, fmt)
 
 
 def price_correlation(spark: SparkSession, root: str, price_path: str, scenario: str = "gasses_2019",
                       years: Sequence[int] | None = None, lags: Sequence[int] = PRICE_LAGS,
-                      store: str | None = None, out: str | None = None, price_header: bool = True) -> DataFrame:
+                      store: str | None = None, out: str | None = None, price_header: bool = True,
+                      fmt: str = "parquet") -> DataFrame:
     """Criteria of a scenario against the daily price, positional lags over
     the days both have."""
     daily, labels = sc.build_scenario(spark, root, scenario, store)
     yrs = years if years is not None else sc.SCENARIOS[scenario].years
     price = sc.price_scenario(spark, price_path, years=yrs, header=price_header)
-    return _out(xcorr.lagged_correlation(daily, price, lags, labels, ["price"]), out)
+    return _out(xcorr.lagged_correlation(daily, price, lags, labels, ["price"]), out, fmt)
 
 
 def gas_price_2019(spark, root, price_path, **kw):
@@ -64,10 +67,7 @@ def cost_scores(spark: SparkSession, root: str, price_path: str, year: int = 201
                 out: str | None = None, price_header: bool = True) -> DataFrame:
     """Per-site cost score of one year, optionally written as a single CSV
     ``lat, lon, score`` (the result has one row per site)."""
-    long = measurements.read_measurements(spark, root, classes, [year])
-    crit = clean.criteria_list(long)
-    wide = reshape.pivot_wide(long, crit)
-    labels = [c for c in wide.columns if c not in ("lat", "lon", "date")]
+    wide, _, labels = reshape.discover_pivot(measurements.read_measurements(spark, root, classes, [year]))
     price = sc.price_scenario(spark, price_path, years=[year], header=price_header, scaled=False)
     res = score.cost_score(wide, labels, price, lag=lag, latest_priced=latest_priced)
     if out:
@@ -95,9 +95,7 @@ def profile_dataset(spark: SparkSession, root: str, years: Sequence[int], classe
     """Schema, summary statistics, distinct units and criteria, and the
     pivoted table z-scored then max-abs scaled."""
     long = measurements.read_measurements(spark, root, classes, years)
-    crit = clean.criteria_list(long)
-    wide = reshape.pivot_wide(long, crit)
-    labels = [c for c in wide.columns if c not in ("lat", "lon", "date")]
+    wide, _, labels = reshape.discover_pivot(long)
     return {
         "schema": profile.schema_profile(long),
         "summary": profile.summary(long, ["lat", "lon", "value"]),

@@ -47,19 +47,15 @@ def _store_path(store: str, name: str) -> str:
     return f"{store.rstrip('/')}/{name}"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 def daily_table(long: DataFrame, criteria: list[str] | None = None, grain: str = "national",
                 precision: int = 3) -> tuple[DataFrame, list[str]]:
     """Long measurements -> complete (site, day) rows -> the grain's daily
     table.  Returns the table and its feature labels (sanitised names)."""
-    crit = sorted(criteria) if criteria is not None else clean.criteria_list(long)
-    wide = reshape.pivot_wide(long, crit, precision=precision, drop_null=True)
-    labels = [c for c in wide.columns if c not in ("lat", "lon", "date")]
+    if criteria is None:
+        wide, _, labels = reshape.discover_pivot(long, precision=precision)
+    else:
+        wide = reshape.pivot_wide(long, criteria, precision=precision, drop_null=True)
+        labels = [c for c in wide.columns if c not in ("lat", "lon", "date")]
     by = ["lat", "lon"] if grain == "site" else []
     if grain not in ("site", "national"):
         raise ValueError("grain must be 'site' or 'national'")
@@ -76,7 +72,7 @@ def build_scenario(spark: SparkSession, root: str | None, scenario: Scenario | s
     is written once and later calls reload it instead of re-reading input."""
     sc = SCENARIOS[scenario] if isinstance(scenario, str) else scenario
     path = _store_path(store, sc.name) if (store and sc.persist) else None
-    if path and _exists(spark, f"{path}/data"):
+    if path and sinks.path_exists(spark, f"{path}/data"):
         daily, labels = sinks.read_scenario(spark, path)
     else:
         if table is not None:
@@ -103,9 +99,11 @@ def price_scenario(spark: SparkSession, path: str, years=None, header: bool = Tr
 def prepared_measurements(long: DataFrame, criteria: list[str] | None = None, periods: int = 12) -> tuple[DataFrame, list[str]]:
     """Complete (site, day) rows -> centred SMA per site -> the smoothed
     columns, z-scored then max-abs scaled."""
-    crit = sorted(criteria) if criteria is not None else clean.criteria_list(long)
-    wide = reshape.pivot_wide(long, crit, drop_null=True)
-    labels = [c for c in wide.columns if c not in ("lat", "lon", "date")]
+    if criteria is None:
+        wide, _, labels = reshape.discover_pivot(long)
+    else:
+        wide = reshape.pivot_wide(long, criteria, drop_null=True)
+        labels = [c for c in wide.columns if c not in ("lat", "lon", "date")]
     sm = series.sma(wide, ["lat", "lon"], labels, periods=periods)
     cols = [f"{c}_sma{periods}" for c in labels]
     sm = clean.select_like(sm, "_sma", keep=["lat", "lon", "date"])

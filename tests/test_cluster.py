@@ -74,3 +74,39 @@ def test_members_and_pca(spark):
     for k in range(2):
         col = np.array([pcs[nm][k] for nm in names])
         assert min(np.abs(col - ref[:, k]).max(), np.abs(col + ref[:, k]).max()) < 1e-8
+
+
+def test_long_chain_is_one_component(spark):
+    n = 3000
+    nodes = spark.range(n).withColumnRenamed("id", "i")
+    edges = spark.range(n - 1).selectExpr("id AS i", "id + 1 AS j")
+    out = cluster.connected_labels(nodes, edges)
+    assert out.count() == n and out.where("label <> 0").count() == 0
+
+
+def test_chain_of_points_is_one_cluster(spark):
+    # neighbouring rows differ in few places, far ones in many
+    n = 14
+    m = np.zeros((n, n), dtype=int)
+    for i in range(n):
+        m[i, :i] = 1
+    names = [f"s{i:02d}" for i in range(n)]
+    got = {r.series: r.cluster for r in cluster.density_clusters(_adj_frame(spark, m, names), 1.0, 3).collect()}
+    assert set(got.values()) == {0}
+
+
+def test_identical_rows_are_one_weighted_point(spark):
+    n = 30
+    m = np.zeros((n, n), dtype=int)
+    m[0, 1:20] = 1
+    names = [f"s{i:02d}" for i in range(n)]
+    got = {r.series: r.cluster for r in cluster.density_clusters(_adj_frame(spark, m, names), 1.5, 5).collect()}
+    assert [got[x] for x in names] == list(_dbscan_reference(m.astype(float), 1.5, 5))
+
+
+def test_registered_adjacency_is_not_degenerate(spark):
+    from lagscope.plans.catalog import QUERIES
+    sf = "/root/testdata/sf0.01"
+    assert {r.adj for r in QUERIES["series_adjacency"](spark, sf).select("adj").distinct().collect()} == {0, 1}
+    clusters = {r.cluster for r in QUERIES["density_clusters"](spark, sf).collect()}
+    assert -1 in clusters and len(clusters) >= 3

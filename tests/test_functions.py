@@ -33,6 +33,7 @@ def test_sanitize():
     assert sanitize_name("PM2.5") == "PM2_5"
     assert sanitize_name("Nitric oxide (NO)") == "Nitric_oxide_NO"
     assert sanitize_name("1,3-Butadiene") == "1_3_Butadiene"
+    assert sanitize_names(["A@1.000,-2.000", "A@1.000,2.000"]) == ["A_1_000_m2_000", "A_1_000_2_000"]
     with pytest.raises(ValueError):
         sanitize_names(["a b", "a_b"])
 

@@ -1,6 +1,8 @@
 import glob
 import os
 
+import pytest
+
 from fixtures import write_prices, write_tree
 
 from lagscope.plans import jobs, scenarios
@@ -127,9 +129,34 @@ def test_scenario_from_landed_table_equals_raw(spark, tmp_path):
         assert ra[:3] == rb[:3] and all(abs(x - y) < 1e-9 for x, y in zip(ra[3:], rb[3:]))
 
 
-def test_streaming_ingest_default_checkpoint(spark, tmp_path):
+def test_streaming_ingest_refuses_another_checkpoint(spark, tmp_path):
     root = str(tmp_path / "land2")
     write_tree(root, years=(2018,), days=3)
-    out = str(tmp_path / "landed2")
-    ingest.ingest(spark, root, out).awaitTermination()       # checkpoint under spark.checkpoint.dir
+    out, first, other = (str(tmp_path / x) for x in ("landed2", "c1", "c2"))
+    ingest.ingest(spark, root, out, first).awaitTermination()
     assert spark.read.parquet(out).count() == 5 * 3 * 3 * 2
+    with pytest.raises(ValueError, match="checkpoint"):
+        ingest.ingest(spark, root, out, other)
+
+
+def test_files_with_swapped_columns_fail(spark, tmp_path):
+    header = measurements.RAW_COLUMNS
+    row = ["Ozone", "CA", "Napa", "1.5", "2.5", "2019-01-01", "1:00", "3.0", "ppm"]
+    swapped = [header[i] for i in (0, 1, 2, 4, 3, 5, 6, 7, 8)]
+    folder = tmp_path / "gasses" / "x"
+    folder.mkdir(parents=True)
+    (folder / "a_2019.csv").write_text(",".join(header) + "\n" + ",".join(row) + "\n")
+    (folder / "b_2019.csv").write_text(",".join(swapped) + "\n" + ",".join(row) + "\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        measurements.read_measurements(spark, str(tmp_path), ["gasses/*"], [2019]).collect()
+    with pytest.raises(Exception, match="(?i)header"):
+        measurements.combine_class_csvs(spark, str(tmp_path), str(tmp_path / "out"))
+
+
+def test_jobs_write_text_and_csv(spark, tmp_path):
+    root, price = str(tmp_path / "air"), str(tmp_path / "price.csv")
+    write_tree(root)
+    write_prices(price)
+    out = str(tmp_path / "pc_text")
+    jobs.gas_price_2019(spark, root, price, out=out, fmt="text")
+    assert spark.read.text(out).first().value.startswith("((")

@@ -76,12 +76,15 @@ def test_pivot_paths_agree(spark):
             for i in range(400)]
     df = spark.createDataFrame(rows, SCHEMA)
     many = rs.pivot_wide(df, crit, drop_null=False, with_unit=True)
-    old = rs.DIRECT_PIVOT_MAX
-    try:
-        rs.DIRECT_PIVOT_MAX = 100
-        direct = rs.pivot_wide(df, crit, drop_null=False, with_unit=True)
-    finally:
-        rs.DIRECT_PIVOT_MAX = old
+    found, names, _ = rs.discover_pivot(df)
+    assert names == crit or names == sorted(crit)
+    whole = rs.pivot_wide(df, crit).collect()
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, whole))
+    import pyspark.sql.functions as F
+    snapped = clean.snap_coordinates(df, 3)
+    direct = snapped.groupBy("lat", "lon", "date").agg(
+        *[x for c in sorted(crit) for x in (F.avg(F.when(F.col("criteria") == c, F.col("value"))).alias(c),
+                                            F.min(F.when(F.col("criteria") == c, F.col("unit"))).alias(c + "_unit"))])
     a = sorted(tuple(r) for r in many.collect())
     b = sorted(tuple(r) for r in direct.collect())
     assert len(a) == len(b) == 3

@@ -52,6 +52,20 @@ def test_ema_matches_pandas_on_longer_series(spark):
     approx_list(out, list(pd.Series(vals).ewm(span=5).mean()), tol=1e-12)
 
 
+@pytest.mark.parametrize("span", [1, 1.5, 3, 40, 4000])
+def test_ema_over_chunks_gaps_and_groups(spark, span):
+    rng = np.random.default_rng(2)
+    vals = [None if rng.random() < 0.2 else float(v) for v in rng.normal(size=1300)]
+    vals[:3] = [None, None, 5.0]
+    rows = [(s, dt.date(2015, 1, 1) + dt.timedelta(days=i), v) for s in (0, None) for i, v in enumerate(vals)]
+    df = spark.createDataFrame(rows, "site int, date date, v double").repartition(3)
+    out = series.ema(df, ["site"], ["v"], span=span)
+    want = pd.Series(vals, dtype="float64").ewm(span=span).mean()
+    for s in (0, None):
+        got = [r.v_ema for r in sorted(out.collect(), key=lambda r: r.date) if r.site == s]
+        approx_list(got, [None if np.isnan(x) else x for x in want], tol=1e-9)
+
+
 def test_ema_national_series(spark):
     out = series.ema(_daily(spark, [1, 2, 4]).drop("site"), [], ["v"], span=3)
     approx_list([r.v_ema for r in out.orderBy("date").collect()], [1.0, 1.6666666667, 3.0])
@@ -87,13 +101,6 @@ def test_daily_mean_and_climatology(spark):
     assert [(r.dayofyear, r.a) for r in c] == [(1, 4.0)]
 
 
-def test_day_index_per_group(spark):
-    days = spark.createDataFrame([(0, dt.date(2019, 1, 5)), (0, dt.date(2019, 1, 2)), (1, dt.date(2019, 3, 1))],
-                                 "site int, date date")
-    got = sorted((r.site, r.date.day, r.idx) for r in series.day_index(days, ["site"]).collect())
-    assert got == [(0, 2, 0), (0, 5, 1), (1, 1, 0)]
-
-
 def test_bucket_mean_hourly(spark):
     df = spark.createDataFrame([(0, dt.datetime(2024, 1, 1, 3, 5), 1.0), (0, dt.datetime(2024, 1, 1, 3, 55), 3.0),
                                 (0, dt.datetime(2024, 1, 1, 4, 0), 7.0)], "site int, ts timestamp, v double")

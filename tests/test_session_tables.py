@@ -10,14 +10,6 @@ def test_checkpoint_dir_comes_from_the_session(spark):
     assert d and d == spark.sparkContext.getCheckpointDir()
 
 
-def test_widen_only_spreads_small_scans(spark):
-    li = tables.table(spark, SF, "lineitem")
-    path = tables.table_path(SF, "lineitem")
-    wide = tables.widen(li, path, ["l_orderkey", "l_linenumber"])
-    assert wide.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert tables._split_estimate(spark, path) == 1          # one file, smaller than a split
-
-
 def test_typed_tables_have_declared_schemas(spark):
     for name, ddl in tables.TABLE_SCHEMAS.items():
         df = tables.table(spark, SF, name)
@@ -27,23 +19,23 @@ def test_typed_tables_have_declared_schemas(spark):
 
 def test_profile_helpers(spark):
     df = tables.lineitem_measurements(spark, SF)
-    assert row_count(df) == spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    assert row_count(df).first().rows == spark.read.parquet(f"{SF}/lineitem.parquet").count()
     assert [r.column for r in schema_profile(df).collect()] == df.columns
     assert preview(df, 3, ["date"]).count() == 3
     s = summary(df, ["value"]).first()
-    assert s["count"] == row_count(df) and s["min"] <= s["mean"] <= s["max"]
+    assert s["count"] == row_count(df).first().rows and s["min"] <= s["mean"] <= s["max"]
 
 
-def test_split_estimate_counts_row_groups(spark):
-    path = tables.table_path(SF, "lineitem")
-    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+def test_zone_with_clock_changes_has_the_same_hours(spark):
+    old = spark.conf.get("spark.sql.session.timeZone")
     try:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")      # many byte-splits ...
-        tables._SPLITS.pop(path, None)
-        assert tables._split_estimate(spark, path) == 1                 # ... but one row group
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        sf = "/root/testdata/sf0.01"
+        typed = tables.lineitem_measurements(spark, sf).selectExpr("hour(ts) AS h").distinct()
+        raw = tables.lineitem_measurements_from_raw(spark, sf).selectExpr("hour(ts) AS h").distinct()
+        assert sorted(r.h for r in typed.collect()) == sorted(r.h for r in raw.collect()) == list(range(7, 14))
     finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
-        tables._SPLITS.pop(path, None)
+        spark.conf.set("spark.sql.session.timeZone", old)
 
 
 def test_design_note_names_exist():

@@ -130,7 +130,7 @@ def test_many_series_spread_path(spark):
     cols = {f"s{i}": rng.normal(size=45) for i in range(9)}
     w = _wide(spark, cols)
     lags = [-4, -2, 0, 1, 3]
-    out = xcorr.auto_correlation(w, lags, list(cols)).collect()     # 9 * 9 * 5 cells per day > SPREAD_CELLS
+    out = xcorr.auto_correlation(w, lags, list(cols)).collect()
     assert len(out) == 9 * 9 * 5
     for r in out[:40]:
         assert abs(r.r - _array_tlcc(cols[r.series_x], cols[r.series_y], r.lag)) < 1e-12
@@ -144,3 +144,29 @@ def test_correlation_matrix_keeps_pairs_without_overlap(spark):
     assert len(got) == 9
     assert got[("b", "c")] is None and got[("c", "b")] is None       # b and c never overlap
     assert abs(got[("a", "c")] - 1.0) < 1e-12
+
+
+def test_every_cell_has_a_row(spark):
+    x = _wide(spark, {"a": [1.0, 2.0, 3.0], "b": [2.0, 1.0, 5.0]}, by=0).unionByName(
+        _wide(spark, {"a": [1.0], "b": [1.0]}, by=1).selectExpr("site", "date", "a", "nullif(b, 1.0) AS b"))
+    y = _wide(spark, {"p": [1.0, 5.0, 2.0]}, by=0)
+    for unit in ("rows", "days"):
+        out = xcorr.lagged_correlation(x, y, [-9, 0, 1], ["a", "b"], ["p"], by=["site"], unit=unit).collect()
+        got = {(r.site, r.series_x, r.lag): (r.n, r.r) for r in out}
+        assert len(out) == 2 * 2 * 3
+        assert got[(0, "a", -9)] == (0, None) and got[(1, "b", 0)] == (0, None) and got[(0, "b", 0)][0] == 3
+    line = _wide(spark, {"a": [float(i) / 3 for i in range(40)]})
+    assert all(r.r is None or abs(r.r) <= 1.0 for r in xcorr.auto_correlation(line, [0, 1, 2, 3], ["a"]).collect())
+
+
+def test_long_and_wide_matrices_agree(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, s, float(v)) for i in range(40) for s, v in zip("abcd", rng.normal(size=4)) if rng.random() < 0.8]
+    rows += [(100, "lonely", 1.0)]
+    long = spark.createDataFrame(rows, "k int, series string, value double")
+    names = ["a", "b", "c", "d", "lonely"]
+    wide = long.groupBy("k").pivot("series", names).sum("value")
+    a = {(r.series_a, r.series_b): r.r for r in xcorr.correlation_matrix_long(long, "k").collect()}
+    b = {(r.series_a, r.series_b): r.r for r in xcorr.correlation_matrix(wide, names).collect()}
+    assert a.keys() == b.keys() and len(a) == 25 and a[("a", "lonely")] is None
+    assert all((a[k] is None) == (b[k] is None) and (a[k] is None or abs(a[k] - b[k]) < 1e-12) for k in a)
