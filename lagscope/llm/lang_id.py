@@ -10,7 +10,8 @@ a binary search per position; the lowest wins.
 
 A text whose cross-entropy is above its language's cut is rejected.  The cut is
 calibrated on labelled rows that were not counted: their 99.9 % quantile, and
-never below the middle between their mean and chance.
+never below chance (the same probability for every character), so that a short
+clean text in a known language stays.
 
 Distributed plan: models are fitted on a bounded sample of labelled rows (n-gram
 counts are summed by Spark; the models, bounded by the sample, are broadcast),
@@ -256,8 +257,8 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
 
     check = _sample(src.where(fold == 1), calibrating, sizes.where("cal").select("lang", "n"))
     seen = check.mapInArrow(measure, "lang string, ce double").groupBy("lang").agg(
-        F.avg("ce").alias("mean"), F.percentile("ce", F.lit(0.999)).alias("high")).collect()
-    cuts = {r.lang: max(r.high, (r.mean + models.chance) / 2) for r in seen}
+        F.percentile("ce", F.lit(0.999)).alias("high")).collect()
+    cuts = {r.lang: max(r.high, models.chance) for r in seen}
     models.cut = np.array([cuts.get(x, np.inf) for x in models.langs])  # uncalibrated: nothing is rejected
     return models
 
