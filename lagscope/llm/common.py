@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 from lagscope.session import checkpoint_dir
 
+_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
 # The six ASCII white-space bytes of [\x20\x09-\x0D].  They are
 # also what ``bytes.split()`` and ``bytes.strip()`` cut at.
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
@@ -30,10 +33,20 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     missing = [n for n in names if n not in cols]
     if missing:
         raise ValueError(f"missing columns {missing}; there are {cols}")
+    _show_package(df.sparkSession)
     plain = df.toDF(*[f"c{i}" for i in range(len(cols))])
     return plain.select(*[F.col(f"c{cols.index(n)}").alias(n) for n in names])
 
 
+def _show_package(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it (one
+    machine or a shared folder); elsewhere it comes with --py-files."""
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if _ROOT not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([_ROOT, *paths])
+
+
 def utf8(name: str) -> Column:
     """A text column as UTF-8 bytes, null as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")
