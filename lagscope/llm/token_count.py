@@ -16,6 +16,7 @@ from __future__ import annotations
 import os
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,7 +27,7 @@ from .pretokens import ByteLevel, byte_level
 
 #: Entries of the broadcast table, rows of the sample it is fitted on,
 #: entries and longest pre-token of a worker's cache.
-TABLE_SIZE, SAMPLE_ROWS, CACHE_SIZE, CACHE_CHARS = 1 << 16, 2000, 300_000, 64
+TABLE_SIZE, SAMPLE_ROWS, CACHE_SIZE, CACHE_CHARS = 1 << 16, 2000, 200_000, 64
 
 
 class Lengths(dict):
@@ -35,21 +36,25 @@ class Lengths(dict):
 
     def __init__(self, frequent: dict[str, int], tokenizer: ByteLevel):
         super().__init__(frequent)
-        self.frequent, self.tokenizer = frequent, tokenizer
-
-    def __missing__(self, piece: str) -> int:
-        n = len(self.tokenizer.library.encode(piece, add_special_tokens=False).ids)
-        if len(piece) <= CACHE_CHARS:
-            if len(self) >= len(self.frequent) + CACHE_SIZE:
-                self.clear()
-                self.update(self.frequent)
-            self[piece] = n
-        return n
+        self.frequent, self.tokenizer, self.passing = frequent, tokenizer, []
+
+    def learn(self, pieces: Iterable[str]) -> None:
+        """Encode what neither tier knows.  Long pre-tokens stay until the next
+        call only."""
+        for p in self.passing:
+            self.pop(p, None)
+        if len(self) >= len(self.frequent) + CACHE_SIZE:
+            self.clear()
+            self.update(self.frequent)
+        new = list(set(pieces).difference(self))
+        found = self.tokenizer.library.encode_batch_fast(new, add_special_tokens=False)
+        self.update(zip(new, (len(e.ids) for e in found)))
+        self.passing = [p for p in new if len(p) > CACHE_CHARS]
 
 
 def frequent_lengths(docs: DataFrame, path: str, text_col: str = "text", size: int = TABLE_SIZE,
                      sample_rows: int = SAMPLE_ROWS) -> list[tuple[str, int]]:
-    """The ``size`` most frequent short pre-tokens of a sample of at most
+    """The ``size`` most frequent short pre-tokens of a sample of about
     ``sample_rows`` rows, with their token counts: a table of bounded size."""
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, found = byte_level(path), Counter()
@@ -60,7 +65,8 @@ def frequent_lengths(docs: DataFrame, path: str, text_col: str = "text", size: i
                                          ["piece", "n"])
 
     texts = pick(docs, text_col).select(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    top = (texts.limit(sample_rows).mapInArrow(count, "piece string, n bigint").groupBy("piece").agg(F.sum("n").alias("n"))
+    share = min(1.0, sample_rows / max(1, docs.count()))
+    top = (texts.sample(share, seed=1).mapInArrow(count, "piece string, n bigint").groupBy("piece").agg(F.sum("n").alias("n"))
            .orderBy(F.desc("n"), "piece").limit(size).select("piece").toArrow().column(0).to_pylist())
     library = byte_level(path).library
     return [(p, len(e.ids)) for p, e in zip(top, library.encode_batch(top, add_special_tokens=False))]
@@ -103,12 +109,11 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, text_col: str = "
         if key not in _WORKER:
             _WORKER.clear()  # one table per worker at a time
             _WORKER[key] = Lengths(unpack(packed.value), tokenizer)
-        length = _WORKER[key].__getitem__
+        lengths = _WORKER[key]
         for b in small_batches(batches):
-            counts = []
-            for text in b.column(2).to_pylist():
-                pieces, marks = tokenizer.split(text)
-                counts.append(sum(map(length, pieces)) + len(marks))
+            split = [tokenizer.split(text) for text in b.column(2).to_pylist()]
+            lengths.learn(chain.from_iterable(pieces for pieces, _ in split))
+            counts = [sum(map(lengths.__getitem__, pieces)) + len(marks) for pieces, marks in split]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(counts, pa.int64())],
                                              ["id", "n_bytes", "n_tokens"])
 

@@ -28,7 +28,7 @@ EDGE = ["", None, " ", "  a  b ", "it's we'll I'D x'tt ''s", "é à ñandú stra
 @settings(max_examples=300, deadline=None)
 @given(st.text() | st.text("ab '\n<|endoftx>s1é", max_size=60))
 def test_merge_equals_the_library(text):
-    ids = bpe.merges(PATH).encode(text)
+    ids, = bpe.merges(PATH).encode([text])
     assert ids == lib_ids(text)
     assert bpe.merges(PATH).decode(ids) == LIB.decode(ids, skip_special_tokens=False)
 
@@ -36,9 +36,10 @@ def test_merge_equals_the_library(text):
 @pytest.mark.parametrize("text", [t for t in EDGE if t])
 def test_edge_texts(text):
     coder = bpe.merges(PATH)
-    assert coder.encode(text) == lib_ids(text)
+    assert coder.encode([text]) == [lib_ids(text)]
     lengths = token_count.Lengths({}, byte_level(PATH))
     pieces, marks = byte_level(PATH).split(text)
+    lengths.learn(pieces)
     assert sum(lengths[p] for p in pieces) + len(marks) == len(lib_ids(text))
 
 
@@ -47,12 +48,39 @@ def test_decode_of_broken_utf8():
         assert bpe.merges(PATH).decode(ids) == LIB.decode(ids, skip_special_tokens=False)
 
 
-def test_worker_cache_is_bounded(monkeypatch):
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text("abcdeé \U0001f600thing", min_size=1, max_size=70) | st.text(min_size=1, max_size=8), max_size=30))
+def test_trees_in_rows_equal_single_trees(pieces):
+    coder = bpe.Merges(PATH)
+    coder.learn(pieces)
+    assert [list(coder[p]) for p in pieces] == [coder.merge(p.encode()) for p in pieces]
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.text(st.characters(max_codepoint=0x250), max_size=40))
+def test_latin_pattern_equals_the_published_one(text):
+    whole = [text[a:b] for _, (a, b) in byte_level(PATH).library.pre_tokenizer.pre_tokenize_str(text)]
+    assert byte_level(PATH).split(text)[0] == whole
+
+
+def test_every_character_is_cut_as_the_library_cuts_it():
+    tok = byte_level(PATH)
+    for c in map(chr, [*range(0x3000), 0x4E00, 0xAC00, 0xFF10, 0xFFFD, 0x1F600, 0x3FC3D]):
+        text = f"a{c}1{c}!{c} {c}  {c}s"
+        assert tok.split(text)[0] == [text[a:b] for _, (a, b) in tok.library.pre_tokenizer.pre_tokenize_str(text)]
+
+
+def test_worker_caches_are_bounded(monkeypatch):
     monkeypatch.setattr(token_count, "CACHE_SIZE", 3)
-    lengths = token_count.Lengths({" the": 1}, byte_level(PATH))
-    for i in range(50):
-        assert lengths[f"w{i}"] == len(lib_ids(f"w{i}"))
-    assert len(lengths) <= 4 and lengths[" the"] == 1
+    monkeypatch.setattr(bpe, "CACHE_SIZE", 3)
+    lengths, coder = token_count.Lengths({" the": 1}, byte_level(PATH)), bpe.Merges(PATH)
+    for i in range(20):
+        pieces = [f"w{i}", "x" * 100 + str(i)]
+        lengths.learn(pieces)
+        coder.learn(pieces)
+        for p in pieces:
+            assert lengths[p] == len(coder[p]) == len(lib_ids(p))
+    assert len(lengths) <= 1 + 3 + 2 and len(coder) <= 3 + 2 and len(coder.old) <= 3 + 2 and lengths[" the"] == 1
 
 
 def test_pack():
