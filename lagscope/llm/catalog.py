@@ -23,12 +23,43 @@ def query(f):
 
 @query
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.license_scan(table(spark, sf_dir, "documents"))
-
-
-@query
-def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.line_first_cleaning(table(spark, sf_dir, "documents")).drop("cleaned")
+    return license_scan.license_scan(table(spark, sf_dir, "documents")).drop("n_blocks")
+
+
+def _templates(items) -> str:
+    """Rows (label, distinct words, words, words needed, block step)."""
+    rows = []
+    for e in license_scan.Index(items, {}).entries:
+        words = ", ".join(f"'{w}'" for w in e.words)
+        rows.append(f"('{e.template.label}', list_distinct([{words}]), [{words}], {e.alpha}, {e.step})")
+    return ",\n    ".join(rows)
+
+
+# the definition itself, without the filters: every block against every template
+ORACLES["op1_license_scan"] = rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(
+             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+     b(label, tokens, phrase, alpha, step) AS (VALUES
+    {_templates(license_scan.BASE)}),
+     t(label, tokens, phrase, alpha, step) AS (VALUES
+    {_templates(license_scan.LICENSES)}),
+     p AS (SELECT doc_id, label, list_filter(range(len(ws)), lambda i: ws[i + 1:i + len(phrase)] = phrase) AS places
+           FROM w CROSS JOIN b),
+     pb AS (SELECT doc_id, CAST(sum(len(places)) AS BIGINT) AS n_base, min(list_min(places)) AS first_word,
+                   max(list_max(places)) AS last_word,
+                   coalesce(list(DISTINCT label) FILTER (len(places) > 0), []) AS base
+            FROM p GROUP BY doc_id),
+     m AS (SELECT doc_id, label, list_max(list_transform(range(0, greatest(len(ws), 1), step),
+                  lambda i: len(list_intersect(tokens, ws[i + 1:i + 2 * step])))) AS shared, len(tokens) AS size, alpha
+           FROM w CROSS JOIN t),
+     mb AS (SELECT doc_id, coalesce(list(DISTINCT label) FILTER (shared >= alpha), []) AS found,
+                   max(shared / size) FILTER (shared >= alpha) AS best FROM m GROUP BY doc_id)
+SELECT doc_id, len(ws) AS n_words, n_base, first_word, last_word, array_to_string(list_sort(base), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(base, found))), ',') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0.0) END AS score
+FROM w JOIN pb USING (doc_id) JOIN mb USING (doc_id)
+"""
 
 
 @query
@@ -58,6 +89,43 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
 
 
+@query
+def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.line_first_cleaning(table(spark, sf_dir, "documents")).drop("cleaned")
+
+
+_ENDS = ", ".join("'" + e.replace("'", "''") + "'" for e in quality_rules.ENDS)
+ORACLES["op5_line_quality"] = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text,
+                  regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+     g AS (SELECT doc_id, i, ws[i:i + 2] AS gram FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM d)),
+     r AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, gram) > 1),
+     n AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM r CROSS JOIN range(3) x(k) GROUP BY doc_id),
+     l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
+     f AS (SELECT doc_id, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS lw,
+                  len(regexp_split_to_array(line, '\s[|»›·•/>]\s')) AS cells
+           FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+     q AS (SELECT doc_id, line, len(lw) AS n,
+                  CASE WHEN regexp_matches(line, '{quality_rules.BOILERPLATE.pattern}') THEN 'b'
+                       WHEN cells >= 4 AND len(lw) <= 4 * cells THEN 'n'
+                       WHEN 2 * len(list_filter(lw, lambda x: regexp_matches(x, '[#*$%&|<>]'))) > len(lw) THEN 'p'
+                       WHEN right(rtrim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)), 1) NOT IN ({_ENDS})
+                            AND NOT regexp_matches(line, '{quality_rules.MARKS.pattern}') THEN 'p' END AS rule FROM f),
+     a AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines,
+                  CAST(coalesce(sum(n) FILTER (rule IS NOT NULL), 0) AS BIGINT) AS n_lost_words,
+                  count(*) FILTER (rule = 'p') AS n_punctuation, count(*) FILTER (rule = 'n') AS n_navigation,
+                  count(*) FILTER (rule = 'b') AS n_boilerplate FROM q GROUP BY doc_id),
+     z AS (SELECT doc_id, len(ws) AS n_words, coalesce(CAST(list_sum(list_transform(ws, lambda x: length(x))) AS BIGINT), 0) AS word_chars,
+                  length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+                  coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lost_words, 0) AS n_lost_words,
+                  coalesce(n_punctuation, 0) AS n_punctuation, coalesce(n_navigation, 0) AS n_navigation,
+                  coalesce(n_boilerplate, 0) AS n_boilerplate
+           FROM d LEFT JOIN a USING (doc_id) LEFT JOIN n USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_lost_words <= 0.6 * n_words AS kept FROM z
+"""
+
+
 @query
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"))
