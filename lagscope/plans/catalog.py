@@ -132,6 +132,11 @@ def sql_pearson(x: str, y: str) -> str:
     return f"covar_samp({x}, {y}) / nullif(stddev_samp({x}) * stddev_samp({y}), 0)"
 
 
+def _sql_z(c: str, src_over: str = "OVER ()") -> str:
+    return (f'CASE WHEN stddev_samp("{c}") {src_over} = 0 THEN 0.0 '
+            f'ELSE ("{c}" - avg("{c}") {src_over}) / stddev_samp("{c}") {src_over} END')
+
+
 def sql_lags(lags) -> str:
     return "lags AS (SELECT * FROM (VALUES " + ", ".join(f"({v})" for v in lags) + ") t(lag))"
 
@@ -229,11 +234,9 @@ def tlcc_toxics(spark, sf):
 
 @register("tlcc_scenario", with_(
     SQL_M, SQL_W, SQL_D, SQL_P,
-    "dz AS (SELECT date, " + ", ".join(f"""{_z} AS "{c}\"""" for c, _z in (
-        (c, f'CASE WHEN stddev_samp("{c}") OVER () = 0 THEN 0.0 ELSE ("{c}" - avg("{c}") OVER ()) / stddev_samp("{c}") OVER () END')
-        for c in FLAGS)) + " FROM d)",
+    "dz AS (SELECT date, " + ", ".join(f'{_sql_z(c)} AS "{c}"' for c in FLAGS) + " FROM d)",
     SQL_X.replace("FROM d", "FROM dz"),
-    "y AS (SELECT date, 'price' AS series, (price - avg(price) OVER ()) / stddev_samp(price) OVER () AS value FROM p)",
+    f"y AS (SELECT date, 'price' AS series, {_sql_z('price')} AS value FROM p)",
 ) + sql_tlcc(PRICE_LAGS, FLAGS, ["price"]))
 def tlcc_scenario(spark, sf):
     """The job as written: the z-scored national scenario against the z-scored
@@ -526,11 +529,6 @@ def climatology(spark, sf):
 # Scaling and norms
 # --------------------------------------------------------------------------
 
-def _sql_z(c: str, src_over: str = "OVER ()") -> str:
-    return (f'CASE WHEN stddev_samp("{c}") {src_over} = 0 THEN 0.0 '
-            f'ELSE ("{c}" - avg("{c}") {src_over}) / stddev_samp("{c}") {src_over} END')
-
-
 @register("zscore", with_(SQL_M, SQL_W, SQL_D) + f"""
 SELECT date, {", ".join(f'round({_sql_z(c)}, 6) AS "{c}"' for c in FLAGS)} FROM d""")
 def zscore(spark, sf):
