@@ -2,7 +2,6 @@ import os
 import sys
 
 import pytest
-from pyspark.sql import Row  # noqa: F401
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
