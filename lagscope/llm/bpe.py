@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import pick, small_batches
-from .pretokens import byte_chars, byte_level
+from .pretokens import byte_chars, byte_level, read_spec
 
 #: Entries and longest pre-token (in characters) of a worker's cache; log2 of
 #: the most leaves that are encoded as rows.
-CACHE_SIZE, CACHE_CHARS, ROWS_BITS = 250_000, 64, 6
+CACHE_SIZE, CACHE_CHARS, ROWS_BITS = 100_000, 64, 6
 
 _NONE = 1 << 62
 
@@ -41,7 +41,7 @@ class Merges(dict):
     def __init__(self, path: str):
         super().__init__()
         self.tokenizer = byte_level(path)
-        model = self.tokenizer.spec["model"]
+        model = read_spec(path)["model"]
         vocab = model["vocab"]
         chars = byte_chars()
         self.byte_ids = [vocab[c] for c in chars]
@@ -56,6 +56,7 @@ class Merges(dict):
         tokens |= {i: s.encode() for s, i in self.tokenizer.special.items()}
         self.token_bytes = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
         self.merged_ids = np.array(self.merged)
+        self.ids = list(range(len(self.token_bytes)))
         self.passing: list[str] = []
         self.old: dict[str, tuple[int, ...]] = {}
 
@@ -135,7 +136,9 @@ class Merges(dict):
             r, left = rows[some], prior[some]
             put(r, left, keys(symbol[r, left], symbol[r, at[some]], left))
         left = symbol[:, :width] >= 0
-        ids, ends = symbol[:, :width][left].tolist(), np.cumsum(left.sum(1)).tolist()
+        # through one list of all ids, so that cached tuples share their integers
+        ids = list(map(self.ids.__getitem__, symbol[:, :width][left].tolist()))
+        ends = np.cumsum(left.sum(1)).tolist()
         return [tuple(ids[a:b]) for a, b in zip([0, *ends], ends)]
 
     def merge(self, piece: bytes) -> list[int]:

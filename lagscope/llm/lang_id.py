@@ -36,7 +36,7 @@ from .common import pick, small_batches, stage
 
 #: Length of the n-grams; labelled rows per language that are counted, and
 #: that calibrate; most languages; positions scored at a time.
-ORDER, COUNTED, CALIBRATING, MOST_LANGUAGES, POSITIONS = 4, 400, 200, 1000, 1 << 19
+ORDER, COUNTED, CALIBRATING, MOST_LANGUAGES, POSITIONS = 4, 400, 200, 1000, 1 << 17
 _A = [pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(16)]
 
 
@@ -278,7 +278,7 @@ def languages(docs: DataFrame, models: Models, text_col: str = "text", id_col: s
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small_batches(batches):
+        for b in small_batches(batches, 64):
             lang, score, ce, rejected = shared.value.predict(b.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(score),
                                               pa.array(ce), pa.array(rejected)],
@@ -298,7 +298,7 @@ def accepted(docs: DataFrame, models: Models, text_col: str = "text") -> DataFra
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small_batches(batches):
+        for b in small_batches(batches, 64):
             rejected = shared.value.predict([t or "" for t in b.column(at).to_pylist()])[3]
             yield b.filter(pa.array(~rejected))
 

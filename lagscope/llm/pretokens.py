@@ -28,19 +28,23 @@ def byte_chars() -> list[str]:
     return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
 
+def read_spec(path: str) -> dict:
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
+
+
 class ByteLevel:
     """A byte-level BPE tokenizer file of the tokenizers library."""
 
     def __init__(self, path: str):
         self.path = path
-        with open(path, encoding="utf-8") as f:
-            self.spec = json.load(f)
-        pre = self.spec["pre_tokenizer"]
-        if (self.spec["model"]["type"] != "BPE" or self.spec["normalizer"] or pre["type"] != "ByteLevel"
+        spec = read_spec(path)
+        pre = spec["pre_tokenizer"]
+        if (spec["model"]["type"] != "BPE" or spec["normalizer"] or pre["type"] != "ByteLevel"
                 or pre["add_prefix_space"] or not pre["use_regex"]):
             raise ValueError(f"{path} is not a plain byte-level BPE tokenizer")
-        self.special = {t["content"]: t["id"] for t in self.spec["added_tokens"]}
-        if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in self.spec["added_tokens"]):
+        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]):
             raise ValueError(f"{path} has special tokens that take in white space or need whole words")
         names = sorted(self.special, key=len, reverse=True)
         self._special = regex.compile("|".join(map(regex.escape, names))) if names else None
