@@ -26,14 +26,6 @@ from .common import attach, pick, stage
 SEGMENT, RENDERED_TURNS = 256, 1024
 
 
-def _carried(rows: DataFrame, totals: DataFrame, extra: list[str]) -> DataFrame:
-    """Segment totals (one row per conversation and segment) onto the turns."""
-    named = [F.col(c).alias(f"_{c}") for c in ("conv", "seg")]
-    j = rows.join(totals.select(*named, *extra),
-                  F.col("conv").eqNullSafe(F.col("_conv")) & F.col("seg").eqNullSafe(F.col("_seg")))
-    return j.drop("_conv", "_seg")
-
-
 def prefix_hashes(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
                   text_col: str = "text", segment: int = SEGMENT) -> DataFrame:
     """(conv, pos, role, text, h1, h2, n) of every turn: its position from 0,
@@ -44,22 +36,23 @@ def prefix_hashes(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "
         F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"),
         F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    t = t.withColumn("seg", F.floor(F.col("turn") / F.lit(segment)))
-    inside = Window.partitionBy("conv", "seg").orderBy("turn", "role", "text")
-    before = Window.partitionBy("conv").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per conversation and segment: the segments before it
-    counts = t.groupBy("conv", "seg").agg(F.count("*").alias("k"))
-    counts = counts.select("conv", "seg", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("past"),
-                           F.sum("k").over(Window.partitionBy("conv")).alias("n"))
-    t = _carried(t.withColumn("i", F.row_number().over(inside)), counts, ["past", "n"])
+    # one key for windows and joins (a struct compares its nulls as equal): the
+    # texts are dealt out by it once and stay there
+    t = t.withColumn("key", F.struct("conv", F.floor(F.col("turn") / F.lit(segment)).alias("seg")))
+    inside = Window.partitionBy("key").orderBy("turn", "role", "text")
+    before = Window.partitionBy("key.conv").orderBy("key.seg").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per conversation and segment: what the segments before it hold
+    counts = t.groupBy("key").agg(F.count("*").alias("k"))
+    counts = counts.select("key", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("past"),
+                           F.sum("k").over(Window.partitionBy("key.conv")).alias("n"))
+    t = t.withColumn("i", F.row_number().over(inside)).join(counts, "key")
     t = t.withColumn("pos", F.col("past") + F.col("i") - 1)
     t = t.withColumn("a", F.xxhash64("pos", "role", "text")).withColumn("b", F.xxhash64(F.lit("b"), "text", "pos", "role"))
-    totals = t.groupBy("conv", "seg").agg(F.bit_xor("a").alias("ta"), F.bit_xor("b").alias("tb"))
-    totals = totals.select("conv", "seg", *[F.coalesce(F.bit_xor(c).over(before), F.lit(0)).alias(p)
-                                            for c, p in (("ta", "pa"), ("tb", "pb"))])
-    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    t = t.withColumn("xa", F.bit_xor("a").over(upto)).withColumn("xb", F.bit_xor("b").over(upto))
-    t = _carried(t, totals, ["pa", "pb"])
+    totals = t.groupBy("key").agg(F.bit_xor("a").alias("ta"), F.bit_xor("b").alias("tb"))
+    totals = totals.select("key", *[F.coalesce(F.bit_xor(c).over(before), F.lit(0)).alias(p)
+                                    for c, p in (("ta", "pa"), ("tb", "pb"))])
+    upto = Window.partitionBy("key").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    t = t.withColumn("xa", F.bit_xor("a").over(upto)).withColumn("xb", F.bit_xor("b").over(upto)).join(totals, "key")
     return t.select("conv", "pos", "role", "text", F.col("xa").bitwiseXOR(F.col("pa")).alias("h1"),
                     F.col("xb").bitwiseXOR(F.col("pb")).alias("h2"), "n")
 
