@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import attach, pick, stage
 
 #: Documents of one chunk; what a flight calls decided.
-CHUNK, EPS = 20_000, 1e-9
+CHUNK, EPS = 2_000, 1e-9
 
 
 def word_count(text_col: str):
