@@ -85,6 +85,11 @@ def nation_sites(spark: SparkSession, sf_dir: str, sites: int = DEFAULT_SITES) -
 
 def _lineitem_sites(spark: SparkSession, sf_dir: str, cols: list[str], sites: int = DEFAULT_SITES) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", *cols)
+    # a caller's choice: a table stored as one row group is one task, however
+    # many cores wait; unset (the default), the scan is never shuffled
+    parts = spark.conf.get("lagscope.scan.partitions", None)
+    if parts:
+        li = li.repartition(int(parts), "l_orderkey")
     # supplier grows with the data: the join strategy is left to AQE
     sup = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     dim = nation_sites(spark, sf_dir, sites)
