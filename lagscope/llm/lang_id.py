@@ -8,10 +8,15 @@ interpolated log-probabilities (a column per language), and one of context
 hashes with the log back-off weights.  A text's cross-entropy per character is
 a binary search per position; the lowest wins.
 
-A text whose cross-entropy is above its language's cut is rejected.  The cut is
-calibrated on labelled rows that were not counted: their 99.9 % quantile, and
-never below chance (the same probability for every character), so that a short
-clean text in a known language stays.
+A text whose cross-entropy is above its language's cut is rejected.  The cut
+depends on the text's length n: usual + slack + Z * spread / sqrt(n), all three
+calibrated per language on labelled rows that were not counted and that score
+best in their own language.  ``usual`` is their median, ``spread`` the standard
+deviation of a single character, and ``slack``, never negative, the 99.9 %
+quantile of what is left above usual + Z * spread / sqrt(n) (an exponential
+tail where there are too few rows to see that quantile).  So a short clean
+text stays and a long foreign or junk text goes, however many languages and
+characters there are.
 
 Distributed plan: models are fitted on a bounded sample of labelled rows (n-gram
 counts are summed by Spark; the models, bounded by the sample, are broadcast),
@@ -20,6 +25,7 @@ then one map pass scores whole texts.  Nothing else moves.
 
 from __future__ import annotations
 
+import math
 import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -29,7 +35,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from .common import pick, small_batches, stage
@@ -37,6 +43,9 @@ from .common import pick, small_batches, stage
 #: Length of the n-grams; labelled rows per language that are counted, and
 #: that calibrate; most languages; positions scored at a time.
 ORDER, COUNTED, CALIBRATING, MOST_LANGUAGES, POSITIONS = 4, 400, 200, 1000, 1 << 17
+#: Standard deviations of a text's mean that its length explains; a language
+#: with fewer calibration rows than ENOUGH has at least the slack of all rows.
+Z, ENOUGH = 4.0, 1000
 _A = [pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(16)]
 
 
@@ -91,7 +100,7 @@ class Models:
     logp: list[np.ndarray] = field(default_factory=list)    # [gram, language]
     contexts: list[np.ndarray] = field(default_factory=list)
     backoff: list[np.ndarray] = field(default_factory=list)  # [context, language], logs
-    cut: np.ndarray | None = None                           # largest cross-entropy accepted
+    cut: np.ndarray | None = None                           # [language, (usual + slack, spread)]
 
     @classmethod
     def fit(cls, counts: pd.DataFrame, order: int = ORDER) -> Models:
@@ -168,9 +177,14 @@ class Models:
     def cross_entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(characters, mean negative log-probability by language) of each
         text; texts without a letter have 0 characters."""
+        return self.moments(texts, 1)[:2]
+
+    def moments(self, texts: list[str], powers: int = 2) -> tuple[np.ndarray, ...]:
+        """(characters, mean of each power of the negative log-probability by
+        language) of each text."""
         parts = [codes_of(t, self.order) for t in texts]
         lengths = np.array([max(0, len(p) - self.order + 1) for p in parts])
-        sums = np.zeros((len(texts), len(self.langs)))
+        sums = np.zeros((powers, len(texts), len(self.langs)))
         if lengths.any():
             codes = np.concatenate(parts)
             owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
@@ -181,8 +195,15 @@ class Models:
                 logp = self.log_probabilities(codes[start:stop])
                 real = inside[start + lap:stop] >= lap  # not the spaces in front of a text
                 for x in range(len(self.langs)):
-                    sums[:, x] -= np.bincount(owner[start + lap:stop][real], logp[real, x], len(parts))
-        return lengths, sums / np.maximum(lengths, 1)[:, None]
+                    for k in range(powers):
+                        sums[k, :, x] += np.bincount(owner[start + lap:stop][real], (-logp[real, x]) ** (k + 1), len(parts))
+        return lengths, *(sums / np.maximum(lengths, 1)[:, None])
+
+    def limits(self, best: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Largest cross-entropy accepted of texts in these languages."""
+        if self.cut is None:
+            return np.full(len(best), np.inf)
+        return self.cut[best, 0] + Z * self.cut[best, 1] / np.sqrt(np.maximum(lengths, 1))
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """(language, score, cross-entropy, rejected) of each text; "und" where
@@ -195,7 +216,7 @@ class Models:
         # the posterior of the winner if all languages are equally likely
         score = np.where(lengths > 0, 1 / np.exp(-(ce - low[:, None]) * lengths[:, None]).sum(1), 0.0)
         known = lengths > 0
-        over = low > self.cut[best] if self.cut is not None else np.zeros(len(texts), bool)
+        over = low > self.limits(best, lengths)
         return [self.langs[b] if k else "und" for b, k in zip(best, known)], score, np.where(known, low, 0.0), ~known | over
 
 
@@ -250,19 +271,46 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
         index = {x: i for i, x in enumerate(m.langs)}
         for b in small_batches(batches):
             known = [(t, x) for t, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if x in index]
-            lengths, ce = m.cross_entropies([t for t, _ in known])
-            rows = [(x, float(e[index[x]])) for (_, x), n, e in zip(known, lengths, ce) if n]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()),
-                                              pa.array([r[1] for r in rows], pa.float64())], ["lang", "ce"])
+            lengths, ce, squares = m.moments([t for t, _ in known])
+            own = np.array([index[x] for _, x in known], np.int64)
+            use = np.flatnonzero((lengths > 0) & (ce.argmin(1) == own))
+            own = own[use]
+            yield pa.RecordBatch.from_arrays([pa.array([known[i][1] for i in use], pa.string()), pa.array(lengths[use], pa.int64()),
+                                              pa.array(ce[use, own]), pa.array(squares[use, own])], ["lang", "n", "ce", "sq"])
 
     check = _sample(src.where(fold == 1), calibrating, sizes.where("cal").select("lang", "n"))
-    seen = check.mapInArrow(measure, "lang string, ce double").groupBy("lang").agg(
-        F.percentile("ce", F.lit(0.999)).alias("high")).collect()
-    cuts = {r.lang: max(r.high, models.chance) for r in seen}
-    models.cut = np.array([cuts.get(x, np.inf) for x in models.langs])  # uncalibrated: nothing is rejected
+    models.cut = _cuts(stage(check.mapInArrow(measure, "lang string, n bigint, ce double, sq double"), "langid-scores"), models)
     return models
 
 
+def _cuts(rows: DataFrame, models: Models) -> np.ndarray | None:
+    """``Models.cut`` from (lang, n, ce, sq) of calibration rows; a language
+    without one has the cut of all rows together."""
+    usual = F.percentile_approx("ce", F.lit(0.5), F.lit(10_000)).alias("usual")
+    spread = F.sqrt(F.sum(F.col("n") * (F.col("sq") - F.col("ce") * F.col("ce"))) / F.sum("n")).alias("spread")
+    whole = rows.agg(usual, spread).first()
+    if whole.usual is None:
+        return None  # nothing to calibrate on: nothing is rejected
+    own = stage(rows.groupBy("lang").agg(usual, spread), "langid-usual")
+    left = rows.join(F.broadcast(own), "lang").withColumn(
+        "left", F.col("ce") - F.col("usual") - F.lit(Z) * F.col("spread") / F.sqrt("n"))
+    high = F.percentile_approx("left", F.array(F.lit(0.5), F.lit(0.999)), F.lit(10_000)).alias("high")
+
+    def slack_of(r: Row) -> float:
+        # of fewer than ENOUGH rows the quantile is their maximum: the rest is
+        # an exponential tail through it and the median
+        middle, top = r.high
+        tail = (top - middle) / math.log(max(r.n, 4) / 2)
+        return max(0.0, top + tail * math.log(max(1.0, ENOUGH / r.n)))
+
+    slack = slack_of(left.agg(F.count("*").alias("n"), high).first())
+    cuts = {}
+    for r in left.groupBy("lang").agg(F.first("usual").alias("usual"), F.first("spread").alias("spread"),
+                                      F.count("*").alias("n"), high).collect():
+        cuts[r.lang] = (r.usual + (slack_of(r) if r.n >= ENOUGH else max(slack, r.high[1])), r.spread)
+    return np.array([cuts.get(x, (whole.usual + slack, whole.spread)) for x in models.langs])
+
+
 def languages(docs: DataFrame, models: Models, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per document: id, ``held_out``, ``lang_pred``, ``score`` (0 to
     1), ``cross_entropy`` (nats per character), ``rejected``.

@@ -123,6 +123,33 @@ def test_held_out_accuracy_and_cases(spark, docs_of):
     assert sorted(map(str, [r[0] for r in kept.collect()])) == sorted(str(r.doc_id) for r in out if not r.rejected)
 
 
+def test_rejects_unlearned_latin_and_gibberish_beside_a_large_alphabet(spark, docs_of):
+    noise = random.Random(5)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
+    signs = [chr(0x4E00 + i) for i in range(4000)]
+    large = [(100000 + i, "".join(noise.choices(signs, range(4000, 0, -1), k=300)), "zh") for i in range(120)]
+    models = lang_id.fit(docs_of([(r.doc_id, r.text, r.lang) for r in docs if r.lang != "es"] + large))
+    assert models.langs == ["de", "en", "fr", "zh"] and models.chance > 8
+
+    def rejected(texts):
+        return models.predict(texts)[3].mean()
+
+    assert rejected([r.text for r in docs if r.lang == "es" and r.text and len(r.text) >= 200]) > 0.95
+    assert rejected(["".join(noise.choices("etaoinshrdlu     ", k=300)) for _ in range(50)]) == 1
+    held = [r.text for r in docs if r.lang not in (None, "es") and r.text and zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    pieces = [" ".join(t.split()[4:4 + k]) for t in held for k in (2, 5, 10) if len(t.split()) > 20]
+    assert rejected(held) < 0.03 and rejected(pieces) < 0.03
+    assert rejected([t[:20] for _, t, _ in large]) < 0.03
+
+
+def test_cut_depends_on_length():
+    models = Models.fit(counts())
+    text = "the hand and the cat"
+    n, ce = models.cross_entropies([text])
+    models.cut = np.array([[ce[0].min() - 0.1, 1.0]] * 2)
+    assert not models.predict([text])[3][0] and models.predict([" ".join([text] * 400)])[3][0]
+
+
 def test_learns_only_outside_the_held_out_fold(docs_of):
     ids = defaultdict(list)
     for i in range(400):
