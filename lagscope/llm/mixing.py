@@ -7,7 +7,9 @@ with probability p - floor(p).  The extra copies are drawn by the cube method
 probabilities along the null space of the two balance constraints, expected
 words and expected documents, until one of them is decided; both totals stay
 what they were.  What is left in the end, at most two documents per source, is
-the landing: the document constraint is dropped, then the word constraint.
+the landing: the document constraint is dropped, then the word constraint.  Of
+m rows that repeat id, source and text, floor(m (p - floor(p))) get the extra
+copy for sure and one flies with the rest.
 
 Distributed plan: one pass counts words; documents are dealt to chunks of
 bounded size within their source, so a source with a third of all rows is many
@@ -21,13 +23,14 @@ from __future__ import annotations
 
 import random
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import attach, pick, stage
+from .common import attach, pick, raw_hash, stage
 
 #: Documents of one chunk; what a flight calls decided.
 CHUNK, EPS = 2_000, 1e-9
@@ -39,13 +42,13 @@ def word_count(text_col: str):
 
 def _key():
     # a struct compares null sources and ids as equal
-    return F.struct("id", "source", "size")
+    return F.struct("id", "source", "size", "raw")
 
 
 def sizes_of(docs: DataFrame, text_col: str, id_col: str, source_col: str) -> DataFrame:
     src = pick(docs, id_col, source_col, text_col)
     return src.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"),
-                      word_count(text_col).alias("size"))
+                      word_count(text_col).alias("size"), raw_hash(text_col).alias("raw"))
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5,
@@ -128,13 +131,11 @@ def _flight(kind: str, seed: int, round_no: int):
         def land(chunk: pa.Table) -> pa.RecordBatch:
             name = chunk.column("source")[0].as_py()
             rng = random.Random(f"{seed}|{round_no}|{name!r}|{chunk.column('chunk')[0].as_py()}")
-            units = zip(range(chunk.num_rows), chunk.column("m").to_pylist(),
-                        (m * s for m, s in zip(chunk.column("m").to_pylist(), chunk.column("size").to_pylist())),
-                        chunk.column("p").to_pylist())
+            units = zip(range(chunk.num_rows), repeat(1), chunk.column("size").to_pylist(), chunk.column("p").to_pylist())
             p = np.empty(chunk.num_rows)
             for index, value in fly(units, rng, chunk.column("chunks")[0].as_py() == 1):
                 p[index] = value
-            out = chunk.select(["id", "source", "size", "m"]).append_column("p", pa.array(p))
+            out = chunk.select(["id", "source", "size", "raw"]).append_column("p", pa.array(p))
             return out.combine_chunks().to_batches()[0]
 
         def key(batch: pa.RecordBatch, i: int) -> tuple:
@@ -154,33 +155,36 @@ def _flight(kind: str, seed: int, round_no: int):
         if held:
             yield land(pa.Table.from_batches(held))
 
-    return run, f"id {kind}, source string, size bigint, m bigint, p double"
+    return run, f"id {kind}, source string, size bigint, raw bigint, p double"
 
 
 def mix(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source",
         weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 7,
         chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
-    """(rows, decisions): rows are (id, source, size) of every document;
-    decisions, staged, have for each distinct row ``key`` (a struct of the
-    three), its number of rows ``m``, ``copies``, ``source_size``, ``target``.
+    """(rows, decisions): rows are (id, source, size, raw, the hash of the
+    text) of every document, with their place ``mid``; decisions, staged, have
+    for each distinct row ``key`` (a struct of the four), its number of rows
+    ``m``, the copies ``sure`` of each, the number ``extra`` of its rows that
+    get one more, ``source_size``, ``target``.
 
     Defined cases: null text has no words; a null source is a source of its
-    own, the last; rows that repeat id, source and size share one decision and
-    count together; documents without words are drawn like any other; a source
+    own, the last; of rows that repeat id, source and text, the number with an
+    extra copy is drawn and their place says which; documents without words are drawn like any other; a source
     without words has target 0 and is not taken; an empty table gives no rows.
     """
-    rows = stage(sizes_of(docs, text_col, id_col, source_col), "mix-sizes")
+    rows = stage(sizes_of(docs, text_col, id_col, source_col).withColumn("mid", F.monotonically_increasing_id()), "mix-sizes")
     kind = rows.schema["id"].dataType.simpleString()
     targets = stage(source_targets(rows, weights, share, most), "mix-targets")
-    units = rows.groupBy("id", "source", "size").agg(F.count("*").alias("m")).withColumn("src", F.struct("source"))
-    units = attach(units, targets, "src", "n", ["source_size", "target"], deal_by=["id", "size"])
+    units = rows.groupBy("id", "source", "size", "raw").agg(F.count("*").alias("m")).withColumn("src", F.struct("source"))
+    units = attach(units, targets, "src", "n", ["source_size", "target"], deal_by=["id", "size", "raw"])
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    units = units.withColumn("sure", F.floor(ratio)).withColumn("p", ratio - F.floor(ratio))
+    share_of = F.col("m") * (ratio - F.floor(ratio))  # rows with an extra copy
+    units = units.withColumns({"sure": F.floor(ratio), "whole": F.floor(share_of), "p": share_of - F.floor(share_of)})
     units = stage(units.drop("src"), "mix-units")
 
     undecided = (F.col("p") > EPS) & (F.col("p") < 1 - EPS)
-    settled, open_units = [], units.where(undecided).select("id", "source", "size", "m", "p")
-    settled.append(units.where(~undecided).select("id", "source", "size", F.round("p").alias("p")))
+    settled, open_units = [], units.where(undecided).select("id", "source", "size", "raw", "p")
+    settled.append(units.where(~undecided).select("id", "source", "size", "raw", F.round("p").alias("p")))
     round_no = 0
     while True:
         held = open_units.withColumn("src", F.struct("source"))
@@ -188,31 +192,53 @@ def mix(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_
         many = stage(many, "mix-chunks")
         if not many.take(1):
             break
-        held = attach(held, many, "src", "n", ["chunks"], deal_by=["id", "size"])
-        held = held.withColumn("chunk", F.pmod(F.xxhash64("id", "size", F.lit(seed + round_no)), F.col("chunks")))
-        held = held.withColumn("h", F.xxhash64("source", "chunk")).withColumn("o", F.xxhash64("id", "size", F.lit(seed)))
-        held = (held.repartition("source", "chunk").sortWithinPartitions("h", "source", "chunk", "o", "id", "size")
-                .select("id", "source", "size", "m", "p", "chunk", "chunks", "h"))
+        held = attach(held, many, "src", "n", ["chunks"], deal_by=["id", "size", "raw"])
+        held = held.withColumn("chunk", F.pmod(F.xxhash64("id", "size", "raw", F.lit(seed + round_no)), F.col("chunks")))
+        held = held.withColumn("h", F.xxhash64("source", "chunk")).withColumn("o", F.xxhash64("id", "size", "raw", F.lit(seed)))
+        held = (held.repartition("source", "chunk").sortWithinPartitions("h", "source", "chunk", "o", "id", "size", "raw")
+                .select("id", "source", "size", "raw", "p", "chunk", "chunks", "h"))
         run, schema = _flight(kind, seed, round_no)
         flown = stage(held.mapInArrow(run, schema), "mix-flight")
-        settled.append(flown.where(~undecided).select("id", "source", "size", "p"))
+        settled.append(flown.where(~undecided).select("id", "source", "size", "raw", "p"))
         open_units, round_no = flown.where(undecided), round_no + 1
     drawn = settled[0]
     for part in settled[1:]:
         drawn = drawn.unionByName(part)
-    drawn = drawn.select(_key().alias("key"), F.col("p").cast("long").alias("extra"))
+    drawn = drawn.select(_key().alias("key"), F.col("p").cast("long").alias("drawn"))
     decisions = units.withColumn("key", _key()).join(drawn, "key", "left").select(
-        "key", "m", (F.col("sure") + F.coalesce("extra", F.lit(0))).cast("long").alias("copies"), "source_size", "target")
+        "key", "m", "sure", (F.col("whole") + F.coalesce("drawn", F.lit(0))).cast("long").alias("extra"), "source_size", "target")
     return rows, stage(decisions, "mix-decisions")
 
 
+def with_copies(rows: DataFrame, decisions: DataFrame, extra: list[str]) -> DataFrame:
+    """``rows`` (with ``key`` and a place ``mid``) with ``copies`` and the
+    columns ``extra`` of their decisions.
+
+    Rows of a key are numbered by place within shards of about ``CHUNK`` rows,
+    so a key with a third of all rows is many tasks; the first get the extra
+    copies."""
+    out = attach(rows, decisions, "key", "m", ["m", "sure", "extra", *extra], deal_by=["mid"])
+    if not decisions.where("m > 1").take(1):
+        return out.withColumn("copies", F.col("sure") + F.col("extra"))
+    out = stage(out, "mix-rows")
+    once = out.where("m = 1").withColumn("copies", F.col("sure") + F.col("extra"))
+    shard = F.pmod(F.xxhash64("mid"), F.ceil(F.col("m") / F.lit(CHUNK))).alias("shard")
+    many = out.where("m > 1").withColumn("place", F.struct("key", shard))
+    before = F.sum("rows").over(Window.partitionBy("at.key").orderBy("at.shard").rowsBetween(Window.unboundedPreceding, -1))
+    shards = many.groupBy(F.col("place").alias("at")).agg(F.count("*").alias("rows"))
+    shards = stage(shards.select("at", F.coalesce(before, F.lit(0)).alias("before")), "mix-shards")
+    rank = F.col("before") + F.row_number().over(Window.partitionBy("place").orderBy("mid"))
+    many = many.join(shards, F.col("place") == F.col("at")).withColumn("rank", rank)
+    many = many.withColumn("copies", F.col("sure") + (F.col("rank") <= F.col("extra")).cast("long"))
+    return once.unionByName(many.select(once.columns))
+
+
 def mixture(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """One row per document: id, ``size``, ``source_size``, ``target`` (its
     source's), ``taken`` (words taken, repeats counted).  Cases as in ``mix``;
     other columns are ignored, whatever their names."""
     rows, decisions = mix(docs, id_col=id_col, **how)
-    out = attach(rows.withColumn("key", _key()), decisions, "key", "m", ["copies", "source_size", "target"],
-                 deal_by=["id", "size"])
+    out = with_copies(rows.withColumn("key", _key()), decisions, ["source_size", "target"])
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target",
                       (F.col("copies") * F.col("size")).alias("taken"))
 
@@ -227,7 +253,7 @@ def mixed_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     at = {c: names[cols.index(c)] for c in (id_col, source_col, text_col)}
     rows = docs.toDF(*names).withColumn("key", F.struct(
         F.col(at[id_col]).alias("id"), F.col(at[source_col]).cast("string").alias("source"),
-        word_count(at[text_col]).alias("size")))
-    out = attach(rows, decisions, "key", "m", ["copies"], deal_by=["key"])
+        word_count(at[text_col]).alias("size"), raw_hash(at[text_col]).alias("raw")))
+    out = with_copies(rows.withColumn("mid", F.monotonically_increasing_id()), decisions, [])
     copies = F.array_repeat(F.lit(0), F.col("copies").cast("int"))
     return out.select(*names, F.explode(copies).alias("copy")).select(*names).toDF(*cols)

@@ -79,6 +79,30 @@ def test_mixed_documents_repeat_rows(docs_of):
     assert {k: v for k, v in words.items() if k not in (200 + 1, 200 + 2)} == {k: v for k, v in taken.items() if v}
 
 
+def test_a_key_with_a_third_of_the_rows_meets_its_target(docs_of, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 50)
+    for rows in ([(1, "seven words are in this one text", "en", "a")] * 1000,
+                 [(1, "w " * 40, "en", "a")] * 300 + [(None, f"a{i} " * 30, "en", "a") for i in range(301)]
+                 + [(2 + i, "w " * (1 + i % 50), "en", "b" if i % 3 else "a") for i in range(300)]):
+        got = mixing.mixture(clashing(docs_of(rows)), chunk=50).collect()
+        size, taken = Counter(), Counter()
+        for _, t, _, s in rows:
+            size[s] += len(t.split())
+        want = brute_targets(size)
+        assert Counter((r.doc_id, r.size) for r in got) == Counter((d, len(t.split())) for d, t, _, _ in rows)
+        for r in got:
+            s = next(s for s in want if want[s] == pytest.approx(r.target))
+            assert r.taken // r.size in {int(want[s] / size[s]), -int(-want[s] // size[s])}
+            taken[s] += r.taken
+        for s in size:
+            assert abs(taken[s] - want[s]) <= 2 * max(len(t.split()) for _, t, _, x in rows if x == s), (s, taken[s], want[s])
+        again = mixing.mixture(docs_of(rows[::-1], parts=2), chunk=50).collect()
+        assert sorted(got, key=str) == sorted(again, key=str)
+        out = mixing.mixed_documents(clashing(docs_of(rows)), chunk=50).collect()
+        assert Counter(r.doc_id for r in out) == sum((Counter({r.doc_id: r.taken // r.size}) for r in got), Counter())
+        assert {(r.doc_id, r.text, r.source) for r in out} <= {(d, t, s) for d, t, _, s in rows}
+
+
 def test_flight_keeps_totals_and_probabilities():
     rng = random.Random(4)
     units = [(i, 1, rng.randint(1, 500), 0.3) for i in range(300)]
