@@ -40,9 +40,9 @@ from pyspark.sql import functions as F
 
 from .common import pick, small_batches, stage
 
-#: Length of the n-grams; labelled rows per language that are counted, and
-#: that calibrate; most languages; positions scored at a time.
-ORDER, COUNTED, CALIBRATING, MOST_LANGUAGES, POSITIONS = 4, 400, 200, 1000, 1 << 17
+#: Length of the n-grams; labelled rows per language that are counted; most
+#: languages; positions scored at a time.
+ORDER, COUNTED, MOST_LANGUAGES, POSITIONS = 4, 400, 1000, 1 << 17
 #: Standard deviations of a text's mean that its length explains; a language
 #: with fewer calibration rows than ENOUGH has at least the slack of all rows.
 Z, ENOUGH = 4.0, 1000
@@ -225,25 +225,26 @@ def held_out(id_col: str, folds: int = 5) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds)) == 0, F.lit(True))
 
 
-def _sample(rows: DataFrame, per_language: int, languages: DataFrame) -> DataFrame:
-    """The ``per_language`` rows of each language with the smallest hash of the
+def _sample(rows: DataFrame, per_language: int, languages: DataFrame, use: Column) -> DataFrame:
+    """The ``per_language`` rows to ``use`` of each language with the smallest hash of the
     id.  Thinned by the languages' row counts first, so that the window sorts
     a bounded number of rows however many a language has."""
     share = F.least(F.lit(1.0), F.lit(4.0 * per_language) / F.col("n"))
     order = F.xxhash64("id", F.lit(11))
-    thin = rows.join(F.broadcast(languages), "lang").where(F.pmod(order, F.lit(1 << 20)) < share * F.lit(1 << 20))
+    thin = rows.join(F.broadcast(languages), "lang").where(use).where(F.pmod(order, F.lit(1 << 20)) < share * F.lit(1 << 20))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id", F.lit(12)), "id", "text"))
     return thin.withColumn("rank", rank).where(F.col("rank") <= per_language).select("text", "lang")
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", order: int = ORDER,
-        counted: int = COUNTED, calibrating: int = CALIBRATING) -> Models:
-    """Models learned from labelled rows outside the held-out fold: ``counted``
-    rows per language for the n-grams, ``calibrating`` others for the cuts
-    (whole texts).  Both bounds are parameters, so the models fit in memory
-    whatever the corpus; there may be up to ``MOST_LANGUAGES`` languages."""
+        counted: int = COUNTED) -> Models:
+    """Models learned from labelled rows with a letter outside the held-out
+    fold: ``counted`` rows per language for the n-grams, so the models fit in
+    memory whatever the corpus, and every row of fold 1 for the cuts.  A
+    language with rows in fold 1 only is counted from these and has the cut of
+    all rows together; there may be up to ``MOST_LANGUAGES`` languages."""
     src = pick(docs, id_col, text_col, lang_col).toDF("id", "text", "lang")
-    src = src.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out("id"))
+    src = src.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out("id") & F.col("text").rlike(r"\p{L}"))
     fold = F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(5))
     sizes = stage(src.groupBy("lang", (fold == 1).alias("cal")).agg(F.count("*").alias("n")), "langid-sizes")
     if sizes.select("lang").distinct().count() > MOST_LANGUAGES:
@@ -259,7 +260,10 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()),
                                           pa.array(list(found.values()), pa.int64())], ["lang", "gram", "n"])
 
-    train = _sample(src.where(fold != 1), counted, sizes.where("NOT cal").select("lang", "n"))
+    others = sizes.groupBy("lang").agg(F.sum(F.when(~F.col("cal"), F.col("n"))).alias("other"), F.sum("n").alias("all"))
+    others = others.select("lang", F.coalesce("other", "all").alias("n"), F.col("other").isNull().alias("only"))
+    only = {r.lang for r in others.where("only").collect()}
+    train = _sample(src.withColumn("cal", fold == 1), counted, others, ~F.col("cal") | F.col("only"))
     grams = train.mapInArrow(count, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     models = Models.fit(grams.orderBy("lang", "gram").toPandas(), order)
     if not models.langs:
@@ -270,7 +274,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
         m = shared.value
         index = {x: i for i, x in enumerate(m.langs)}
         for b in small_batches(batches):
-            known = [(t, x) for t, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if x in index]
+            known = [(t, x) for t, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if x in index and x not in only]
             lengths, ce, squares = m.moments([t for t, _ in known])
             own = np.array([index[x] for _, x in known], np.int64)
             use = np.flatnonzero((lengths > 0) & (ce.argmin(1) == own))
@@ -278,7 +282,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
             yield pa.RecordBatch.from_arrays([pa.array([known[i][1] for i in use], pa.string()), pa.array(lengths[use], pa.int64()),
                                               pa.array(ce[use, own]), pa.array(squares[use, own])], ["lang", "n", "ce", "sq"])
 
-    check = _sample(src.where(fold == 1), calibrating, sizes.where("cal").select("lang", "n"))
+    check = src.where(fold == 1).select("text", "lang")
     models.cut = _cuts(stage(check.mapInArrow(measure, "lang string, n bigint, ce double, sq double"), "langid-scores"), models)
     return models
 

@@ -150,6 +150,19 @@ def test_cut_depends_on_length():
     assert not models.predict([text])[3][0] and models.predict([" ".join([text] * 400)])[3][0]
 
 
+def test_every_row_calibrates_and_a_language_of_fold_1_is_learned(docs_of, monkeypatch):
+    ids = defaultdict(list)
+    for i in range(3000):
+        ids[zlib.crc32(str(i).encode()) % 5].append(i)
+    seen = []
+    cuts = lang_id._cuts
+    monkeypatch.setattr(lang_id, "_cuts", lambda rows, models: (seen.append(rows.count()), cuts(rows, models))[1])
+    rows = [(i, "the cat and that", "en") for f in (1, 2) for i in ids[f][:300]]
+    rows += [(i, "über den fluß", "de") for i in ids[1][300:308]] + [(ids[2][300], "12 !", "de")]
+    models = lang_id.fit(docs_of(rows))
+    assert seen == [300] and models.langs == ["de", "en"] and np.isfinite(models.cut).all()
+
+
 def test_learns_only_outside_the_held_out_fold(docs_of):
     ids = defaultdict(list)
     for i in range(400):
