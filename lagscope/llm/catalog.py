@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, exact_dedup, lang_id, license_scan, mixing, quality_rules, simhash, token_count, warc_zstd
+from . import bpe, chat, exact_dedup, lang_id, license_scan, merkle, mixing, quality_rules, simhash, token_count, warc_zstd
 from .common import table
 
 QUERIES = {}
@@ -177,3 +177,47 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tamper_check(table(spark, sf_dir, "documents"))
+
+
+# CRC-32 bit by bit: a byte is mixed in, then eight steps (-1) follow
+_CRC = ("xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform({bytes}, lambda b: [b, -1, -1, -1, -1, -1, -1, -1, "
+        "-1]))), lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), 4294967295)")
+_FIELDS = " || ".join(f"coalesce(strlen({f}::VARCHAR) || ':' || {f}::VARCHAR, '-')" for f in merkle.FIELDS[:-1])
+ORACLES["op11_merkle_manifest"] = rf"""
+WITH RECURSIVE
+     d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce('=' || source, '') AS k, {_FIELDS} AS f, text,
+                  {_CRC.format(bytes="list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)")} AS crc
+           FROM documents),
+     c AS (SELECT rid, doc_id, k, sha256(f || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+                  CASE WHEN crc % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS other,
+                  sha256(f || coalesce(strlen(other) || ':' || other, '-')) AS claimed FROM d),
+     a AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+                  count(*) OVER (PARTITION BY k) AS n FROM c),
+     t(k, l, n, p, h) AS (SELECT k, 0, n, pos, leaf FROM a
+            UNION ALL SELECT k, l + 1, (n + 2) // 3, p // 3, sha256(string_agg(h, '' ORDER BY p)) FROM t
+                      WHERE n > 1 GROUP BY k, l, n, p // 3),
+     s AS (SELECT k, h AS subroot, row_number() OVER (ORDER BY k) - 1 AS pos, count(*) OVER () AS n FROM t WHERE t.n = 1),
+     u(l, n, p, h) AS (SELECT 0, n, pos, subroot FROM s
+            UNION ALL SELECT l + 1, (n + 2) // 3, p // 3, sha256(string_agg(h, '' ORDER BY p)) FROM u
+                      WHERE n > 1 GROUP BY l, n, p // 3),
+     w AS (SELECT rid, t.l, coalesce(string_agg(h, '' ORDER BY p) FILTER (p < a.pos // (3 ** t.l)::BIGINT), '') AS before,
+                  coalesce(string_agg(h, '' ORDER BY p) FILTER (p > a.pos // (3 ** t.l)::BIGINT), '') AS behind
+           FROM a JOIN t ON t.k = a.k AND t.n > 1 AND t.p // 3 = a.pos // (3 ** (t.l + 1))::BIGINT GROUP BY rid, t.l
+           UNION ALL
+           SELECT rid, 1000 + u.l, coalesce(string_agg(u.h, '' ORDER BY u.p) FILTER (u.p < s.pos // (3 ** u.l)::BIGINT), ''),
+                  coalesce(string_agg(u.h, '' ORDER BY u.p) FILTER (u.p > s.pos // (3 ** u.l)::BIGINT), '')
+           FROM a JOIN s USING (k) JOIN u ON u.n > 1 AND u.p // 3 = s.pos // (3 ** (u.l + 1))::BIGINT GROUP BY rid, u.l),
+     v AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY l) AS step FROM w),
+     x(rid, step, h) AS (SELECT rid, 0, claimed FROM a
+            UNION ALL SELECT x.rid, v.step, sha256(before || h || behind) FROM x JOIN v ON v.rid = x.rid AND v.step = x.step + 1),
+     y AS (SELECT rid, arg_max(h, step) AS folded_root FROM x GROUP BY rid),
+     z AS (SELECT rid, sha256(string_agg(before || behind, '' ORDER BY l)) AS proof FROM w GROUP BY rid),
+     r AS (SELECT h AS root FROM u WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, coalesce(proof, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM a JOIN s USING (k) JOIN y USING (rid) LEFT JOIN z USING (rid) CROSS JOIN r
+"""

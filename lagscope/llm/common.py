@@ -60,6 +60,21 @@ def small_batches(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterato
             yield batch.slice(start, rows)
 
 
+def runs(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """(key, rows) for every run of rows that agree in their first ``keys``
+    columns; a run may go on over several Arrow batches."""
+    key, held = None, []
+    for batch in small_batches(batches, 1024):
+        for row in zip(*[c.to_pylist() for c in batch.columns]):
+            if row[:keys] != key:
+                if held:
+                    yield key, held
+                key, held = row[:keys], []
+            held.append(row)
+    if held:
+        yield key, held
+
+
 def staging_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder that the session names in
     ``spark.checkpoint.dir``.  Spark itself removes checkpoints; folders made

@@ -25,5 +25,5 @@ def test_query_matches_sql(spark, name):
     assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(names, want.fetchall())
 
 
-def test_ten_queries():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)]
+def test_thirteen_queries():
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 14)]
