@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, exact_dedup, lang_id, license_scan, merkle, mixing, quality_rules, simhash, token_count, warc_zstd
+from . import bpe, chat, exact_dedup, lang_id, license_scan, merkle, mixing, quality_rules, simhash, spelling, token_count, warc_zstd
 from .common import table
 
 QUERIES = {}
@@ -221,3 +221,33 @@ WITH RECURSIVE
 SELECT doc_id, leaf, subroot, root, coalesce(proof, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
 FROM a JOIN s USING (k) JOIN y USING (rid) LEFT JOIN z USING (rid) CROSS JOIN r
 """
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+_BYTES = "list_transform(range(len({hex}) // 2), lambda i: ('0x' || substr({hex}, 2 * i + 1, 2))::BIGINT)"
+ORACLES["op12_spelling_variants"] = rf"""
+WITH RECURSIVE
+     o AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS raw FROM documents),
+     r AS (SELECT doc_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS c
+           FROM o WHERE length(raw) >= {spelling.SHORTEST} GROUP BY 1, 2),
+     b AS (SELECT run, c, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM r),
+     h AS (SELECT run, c, {_CRC.format(bytes=_BYTES.format(hex="x"))} AS h FROM b),
+     w AS (SELECT CASE WHEN h % {spelling.EVERY} = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2)
+                       ELSE run END AS word, sum(c)::BIGINT AS n
+           FROM h GROUP BY 1 HAVING length(word) >= {spelling.SHORTEST} AND sum(c) >= {spelling.LEAST}),
+     g AS (SELECT word, n, unnest(range(length(word))) AS i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM w),
+     p AS (SELECT DISTINCT a.word, b.word AS near, b.n AS near_n FROM g a JOIN g b USING (i, rest) WHERE a.word <> b.word
+           UNION SELECT g.word, w.word, w.n FROM g JOIN w ON w.word = g.rest
+           UNION SELECT w.word, g.word, g.n FROM g JOIN w ON w.word = g.rest),
+     m AS (SELECT word, count(*) AS n_near, min((-near_n, near)) AS best FROM p GROUP BY word),
+     f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best[1] >= {spelling.TIMES} * w.n THEN best[2] END AS form,
+                  CASE WHEN -best[1] >= {spelling.TIMES} * w.n THEN -best[1] END AS form_n FROM w LEFT JOIN m USING (word)),
+     s(word, cur, step) AS (SELECT word, word, 0 FROM f
+                           UNION ALL SELECT s.word, f.form, step + 1 FROM s JOIN f ON f.word = s.cur WHERE f.form IS NOT NULL),
+     t AS (SELECT word, arg_max(cur, step) AS root FROM s GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN t USING (word)
+"""
