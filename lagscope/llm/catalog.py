@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, exact_dedup, lang_id, license_scan, merkle, mixing, quality_rules, simhash, spelling, token_count, warc_zstd
+from . import bpe, chat, exact_dedup, lang_id, license_scan, merkle, mixing, quality_rules, simhash, spelling, token_count, toxicity, warc_zstd
 from .common import table
 
 QUERIES = {}
@@ -251,3 +251,8 @@ WITH RECURSIVE
      t AS (SELECT word, arg_max(cur, step) AS root FROM s GROUP BY word)
 SELECT word, form, root, n, n_near, form_n FROM f JOIN t USING (word)
 """
+
+
+@query
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
