@@ -5,7 +5,7 @@ labelled classes; its score comes from the labelled examples with the highest
 cosine, found exactly in a block-max inverted index: the postings of a feature
 are cut into blocks of examples, each with its largest weight, which bounds
 what any example of the block can reach.  Blocks are scored from the highest
-bound on until the k-th best example beats the next bound.  The examples vote
+bound on, in growing waves, until the k-th best example beats the next bound.  The examples vote
 with the square of their cosine, the vote is calibrated on labelled rows that
 took no part in the fit, and the nearest examples are given as evidence.
 
@@ -189,30 +189,30 @@ class Index:
     def nearest(self, ids: list[int], weights: list[float], k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of highest cosine (above 0; ties by number) and their
         cosines, in that order: exact, whatever is skipped."""
-        q = np.array(weights)
-        bounds = q @ self.peaks[ids]
-        found_rows: list[np.ndarray] = []
-        found: list[np.ndarray] = []
-        best = np.empty(0)
-        for b in np.argsort(-bounds, kind="stable"):
-            # sums in another order may differ in their last bits
-            if bounds[b] <= 0 or (len(best) == k and bounds[b] < best[0] - 1e-9):
-                break
-            base = int(b) * self.block
-            total = np.zeros(min(self.block, len(self.ids) - base))
-            for f, w in zip(ids, weights):
-                lo, hi = self.starts[f, b], self.starts[f, b + 1]
-                if hi > lo:
-                    total[self.rows[lo:hi] - base] += w * self.weights[lo:hi]
+        ids, q = np.asarray(ids), np.asarray(weights)
+        starts, bounds = self.starts[ids], q @ self.peaks[ids]
+        order = np.argsort(-bounds, kind="stable")
+        order = order[bounds[order] > 0]
+        rows, cosines = np.empty(0, dtype=np.int64), np.empty(0)
+        at, wave = 0, 2
+        while at < len(order):
+            part = order[at:at + wave]
+            at, wave = at + wave, 2 * wave
+            if len(cosines) == k:
+                # sums in another order may differ in their last bits
+                part = part[bounds[part] >= cosines[-1] - 1e-9]
+                if not len(part):
+                    break
+            # the postings of all features in these blocks, one after another
+            low = starts[:, part].ravel()
+            many = starts[:, part + 1].ravel() - low
+            flat = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
+            total = np.bincount(self.rows[flat], np.repeat(np.repeat(q, len(part)), many) * self.weights[flat], len(self.ids))
             hit = np.flatnonzero(total)
-            found_rows.append(hit + base)
-            found.append(total[hit])
-            best = np.sort(np.concatenate([best, total[hit]]))[-k:]
-        if not found:
-            return np.empty(0, dtype=np.int64), np.empty(0)
-        rows, cosines = np.concatenate(found_rows), np.concatenate(found)
-        top = np.lexsort((rows, -cosines))[:k]
-        return rows[top], cosines[top]
+            rows, cosines = np.concatenate([rows, hit]), np.concatenate([cosines, total[hit]])
+            top = np.lexsort((rows, -cosines))[:k]
+            rows, cosines = rows[top], cosines[top]
+        return rows, cosines
 
     def vote(self, rows: np.ndarray, cosines: np.ndarray, share: float) -> float:
         """Share of toxic votes, each the square of a cosine, beside one vote
@@ -268,6 +268,12 @@ def _vectors(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return texts.mapInArrow(run, f"id {kind}, aside boolean, ids array<int>, weights array<double>")
 
 
+def _lists(column: pa.ListArray) -> list[np.ndarray]:
+    """The lists of a column without nulls, as views of its values."""
+    ends = np.asarray(column.offsets)
+    return np.split(np.asarray(column.flatten()), ends[1:-1] - ends[0]) if len(column) else []
+
+
 def _votes(rows: DataFrame, index: Index, share: float, k: int, named: int) -> DataFrame:
     """``rows`` (id, aside, ids, weights) with their vote and evidence."""
     kind = rows.schema["id"].dataType
@@ -281,8 +287,8 @@ def _votes(rows: DataFrame, index: Index, share: float, k: int, named: int) -> D
         index = shared.value
         for b in small_batches(batches, 1024):
             votes, named_ids, named_cosines, named_labels = [], [], [], []
-            for ids, weights in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                near, cosines = index.nearest(ids, weights, k) if ids and index.ids else (np.empty(0, dtype=int), np.empty(0))
+            for ids, weights in zip(_lists(b.column(2)), _lists(b.column(3))):
+                near, cosines = index.nearest(ids, weights, k) if len(ids) and index.ids else (np.empty(0, dtype=int), np.empty(0))
                 votes.append(index.vote(near, cosines, share))
                 named_ids.append([index.ids[i] for i in near[:named]])
                 named_cosines.append(cosines[:named].tolist())
