@@ -11,9 +11,11 @@ took no part in the fit, and the nearest examples are given as evidence.
 
 Features are words (runs of letters, lower-cased) and their beginnings of four
 to seven letters, so that the forms of one word share evidence.  How many
-documents of either class use a feature is counted over all labelled rows in
-Spark; kept are those whose likelihood ratio G2 exceeds what the largest of so
-many unrelated features would reach, at most ``FEATURES``.
+documents of either class use a feature is counted in Spark over a sample of
+labelled rows, at most ``TAUGHT`` of a class; kept are those whose likelihood
+ratio G2 exceeds what the largest of so many unrelated features would reach, at
+most ``FEATURES``.  The examples come from the same sample, the calibration and
+the share of toxic rows from all labels.
 """
 
 from __future__ import annotations
@@ -36,6 +38,10 @@ from .common import pick, small_batches, stage
 #: bytes (74 MB; some 20 postings an example on the given tables).
 FEATURES, EXAMPLES = 2048, 1500
 
+#: Labelled rows per class that the vocabulary and the examples are fitted on:
+#: their ids are broadcast (at most 2 * TAUGHT), so no text is shuffled.
+TAUGHT = 20_000
+
 #: Neighbours that vote, those named as evidence, examples in a block.
 NEIGHBOURS, EVIDENCE, BLOCK = 15, 3, 64
 
@@ -102,10 +108,8 @@ def _likelihood_ratio(toxic: Column, clean: Column, all_toxic: float, all_clean:
 
 @dataclass
 class Vocabulary:
-    """Features with their number and inverse document frequency, and the share
-    of toxic rows among those counted."""
+    """Features with their number and inverse document frequency."""
     features: dict[str, tuple[int, float]]
-    share: float
 
     @staticmethod
     def fit(texts: DataFrame, size: int = FEATURES) -> "Vocabulary":
@@ -115,16 +119,15 @@ class Vocabulary:
         counts = stage(document_counts(texts), "toxicity-counts")
         rows = counts.where("feature = ''").first()
         clean, toxic = (rows["clean"], rows["toxic"]) if rows else (0, 0)
-        share = (toxic + 0.5) / (toxic + clean + 1)
         many = counts.count() - 1
         if not clean or not toxic or many < 1:
-            return Vocabulary({}, share)
+            return Vocabulary({})
         g2 = _likelihood_ratio(F.col("toxic"), F.col("clean"), float(toxic), float(clean))
         kept = (counts.where("feature <> '' AND clean + toxic >= 3").withColumn("g2", g2)
                 .where(F.col("g2") > 2 * math.log(many)).orderBy(F.desc("g2"), "feature").limit(size).collect())
         n = clean + toxic
         return Vocabulary({r["feature"]: (i, math.log((1 + n) / (1 + r["clean"] + r["toxic"])) + 1)
-                           for i, r in enumerate(kept)}, share)
+                           for i, r in enumerate(kept)})
 
 
 class Vectors:
@@ -302,8 +305,8 @@ def _votes(rows: DataFrame, index: Index, share: float, k: int, named: int) -> D
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic",
-             threshold: float = 0.7, size: int = FEATURES, examples: int = EXAMPLES, k: int = NEIGHBOURS,
-             named: int = EVIDENCE) -> DataFrame:
+             threshold: float = 0.7, size: int = FEATURES, examples: int = EXAMPLES, taught: int = TAUGHT,
+             k: int = NEIGHBOURS, named: int = EVIDENCE) -> DataFrame:
     """One row per row of ``docs``: id, ``held_out``, ``score`` (0 to 1, the
     calibrated chance of label 1), ``predicted`` (1 from ``threshold`` on),
     ``evidence`` (ids of the nearest examples), their ``cosines`` and
@@ -311,10 +314,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col:
 
     Labels are learned from rows whose CRC-32 of the id as text leaves a
     remainder other than 1 modulo 3 (the others are ``held_out``).  Of these,
-    texts whose hash is 0 modulo 4 calibrate; features are counted over all the
-    others, and the examples are a sample of them, at most ``examples`` per
-    class: of rows with a known feature those with the smallest hash of their
-    id, equal vectors once.  A score depends on the text alone.
+    texts whose hash is 0 modulo 4 calibrate, all of them.  Of the others,
+    features are counted over the ``taught`` labelled ids of each class with the
+    smallest hash, and the examples are the ``examples`` rows per class among
+    these with a known feature and the smallest hash of their id, equal vectors
+    once.  A score depends on the text alone.
 
     Defined cases: a null or empty text, or one without a known feature, has no
     neighbours and scores what such texts are worth by the calibration; a null
@@ -325,26 +329,33 @@ def toxicity(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col:
     are ignored, whatever their names.
     """
     marks = pick(labels, id_col, label_col).select(F.col(id_col).alias("_l"), F.col(label_col).cast("int").alias("y"))
-    marks = (marks.where(F.col("_l").isNotNull() & F.col("y").isin(0, 1)).groupBy("_l").agg(F.max("y").alias("y")))
+    marks = (marks.where(F.col("_l").isNotNull() & F.col("y").isin(0, 1)
+                         & (F.crc32(F.col("_l").cast("string").cast("binary")) % 3 != 1))
+             .groupBy("_l").agg(F.max("y").alias("y")))
+    marks = stage(marks, "toxicity-labels")
+    known = marks.agg(F.count("y").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("t")).first()
+    share = (known["t"] + 0.5) / (known["n"] + 1)
+    few = [marks.where(F.col("y") == y).orderBy(F.xxhash64("_l"), "_l").limit(taught) for y in (0, 1)]
+    few = F.broadcast(stage(few[0].unionByName(few[1]), "toxicity-taught"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     held = F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     aside = F.pmod(F.xxhash64(F.lit("aside"), text), F.lit(4)) == 0
     src = pick(docs, id_col, text_col).select(F.col(id_col).alias("id"), aside.alias("aside"), text.alias("text"))
-    learned = src.where(~held & ~F.col("aside")).join(marks, F.col("id") == F.col("_l")).select("text", "y")
+    learned = src.where(~held & ~F.col("aside")).join(few, F.col("id") == F.col("_l")).select("text", "y")
     vocabulary = Vocabulary.fit(learned, size)
 
     vectors = stage(_vectors(src, vocabulary), "toxicity-vectors")
-    rows = vectors.where(~held & ~F.col("aside") & (F.size("ids") > 0)).join(marks, F.col("id") == F.col("_l"))
+    rows = vectors.where(~held & ~F.col("aside") & (F.size("ids") > 0)).join(few, F.col("id") == F.col("_l"))
     rows = stage(rows.groupBy("y", "ids", "weights").agg(F.min("id").alias("id")), "toxicity-examples")
     sample = []
     for y in (0, 1):
         sample += [(r["id"], y, r["ids"], r["weights"]) for r in rows.where(F.col("y") == y)
                    .orderBy(F.xxhash64("id"), "id").limit(examples).toLocalIterator()]
-    votes = stage(_votes(vectors, Index(sample, len(vocabulary.features)), vocabulary.share, k, named), "toxicity-votes")
+    votes = stage(_votes(vectors, Index(sample, len(vocabulary.features)), share, k, named), "toxicity-votes")
 
-    tested = votes.where(~held & F.col("aside")).join(marks, F.col("id") == F.col("_l"))
+    tested = votes.where(~held & F.col("aside")).select("id", "vote").join(marks, F.col("id") == F.col("_l"))
     bins = tested.groupBy(F.least(F.floor(F.col("vote") * STEPS), F.lit(STEPS - 1)).cast("int").alias("b")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("y").alias("t")).collect()
-    score = calibrated(F.col("vote"), curve([(r["b"], r["n"], r["t"]) for r in bins], vocabulary.share))
+    score = calibrated(F.col("vote"), curve([(r["b"], r["n"], r["t"]) for r in bins], share))
     return votes.select(F.col("id").alias(id_col), held.alias("held_out"), score.alias("score"),
                         (score >= threshold).cast("int").alias("predicted"), "evidence", "cosines", "evidence_labels")
