@@ -500,16 +500,26 @@ def deseason_hourly(spark, sf):
     return rounded(series.deseason(e, "value", "ts", "hourly").select("event_id", "value"))
 
 
+# Anomalies are differences of short decimals, many of which end exactly
+# between two rounded values, where the order of a sum decides.  Both sides move
+# them by the same amount, far below the last digit, off every such tie.
+OFF_TIE = 2.718281828e-07
+
+
 def _deseason_sql(part: str) -> str:
-    # five digits: the mean of a bucket often ends in a 5 at the seventh
-    cols = ", ".join(f'round("{c}" - avg("{c}") OVER (PARTITION BY {part}(date)), 5) AS "{c}"' for c in FLAGS)
+    cols = ", ".join(f'round("{c}" - avg("{c}") OVER (PARTITION BY {part}(date)) + {OFF_TIE}, 5) AS "{c}"' for c in FLAGS)
     return with_(SQL_M, SQL_W) + f"""
 SELECT lat, lon, date, {cols} FROM wc"""
 
 
+def off_tie(df: DataFrame, cols) -> DataFrame:
+    return df.withColumns({c: F.col(c) + OFF_TIE for c in cols})
+
+
 def _deseason(freq: str):
     def run(spark, sf):
-        return rounded(series.deseason(wide(spark, sf), FLAGS, "date", freq), 5, special={"lat": 6, "lon": 6})
+        anomalies = off_tie(series.deseason(wide(spark, sf), FLAGS, "date", freq), FLAGS)
+        return rounded(anomalies, 5, special={"lat": 6, "lon": 6})
     return run
 
 
