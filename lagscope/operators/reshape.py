@@ -82,6 +82,15 @@ def discover_pivot(df: DataFrame, **how) -> tuple[DataFrame, list[str], list[str
     return pivot_sums(sums, crit), crit, sanitize_names(crit)
 
 
+def discover_sums(sums: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``(wide, labels)`` from stored per-criterion sums: the criteria are
+    those of the sums, which are checkpointed as both read them."""
+    checkpoint_dir(sums.sparkSession)
+    sums = sums.checkpoint()
+    crit = criteria_list(sums)
+    return pivot_sums(sums, crit), sanitize_names(crit)
+
+
 def _quote(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

@@ -5,8 +5,8 @@ A scenario names measurement classes, a year range and a grain
 (``national``: one row per day, the mean over the complete sites of that
 day; ``site``: one row per site and day).  ``build_scenario`` reads the raw
 files once, pivots to complete (site, day) rows, aggregates to the grain,
-optionally materialises the result (Parquet + label sidecar) for reuse, and
-optionally z-scores it.  Price scenarios are the parsed price series of a
+optionally keeps partial aggregates and the result (Parquet + label sidecar) in
+a store that follows the source files, and optionally z-scores it.  Price scenarios are the parsed price series of a
 year range, z-scored.
 """
 
@@ -17,7 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from lagscope.operators import clean, reshape, scale, series
-from lagscope.sources import measurements, prices, sinks
+from lagscope.sources import measurements, prices
+from lagscope.sources import store as store_of
 
 
 @dataclass(frozen=True)
@@ -56,10 +57,25 @@ def daily_table(long: DataFrame, criteria: list[str] | None = None, grain: str =
     else:
         wide = reshape.pivot_wide(long, criteria, precision=precision, drop_null=True)
         labels = [c for c in wide.columns if c not in ("lat", "lon", "date")]
+    return _to_grain(wide, labels, grain), labels
+
+
+def _to_grain(wide: DataFrame, labels: list[str], grain: str) -> DataFrame:
     by = ["lat", "lon"] if grain == "site" else []
     if grain not in ("site", "national"):
         raise ValueError("grain must be 'site' or 'national'")
-    return series.daily_mean(wide, labels, by=by), labels
+    return series.daily_mean(wide, labels, by=by)
+
+
+def _source(spark: SparkSession, root: str | None, sc: Scenario, table: str | None):
+    """The scenario's source files and how a list of their paths is read."""
+    if table is None:
+        files = store_of.list_files(spark, measurements.measurement_globs(root, sc.classes, sc.years))
+        return files, lambda paths: measurements.normalize_measurements(
+            measurements.read_raw_measurements(spark, paths, keep_file=True), keep=("file",))
+    classes = sorted({c.split("/")[0] for c in sc.classes})
+    globs = [f"{table.rstrip('/')}/class={c}/year={y}/*.parquet" for c in classes for y in sc.years]
+    return store_of.list_files(spark, globs), lambda paths: measurements.read_measurement_files(spark, table, paths)
 
 
 def build_scenario(spark: SparkSession, root: str | None, scenario: Scenario | str,
@@ -68,12 +84,21 @@ def build_scenario(spark: SparkSession, root: str | None, scenario: Scenario | s
 
     Input is either the raw files under ``root`` or, with ``table``, the
     landed ``class=/year=`` Parquet table (typed columns, class and year
-    partitions pruned).  With ``store`` and ``persist``, the unscaled table
-    is written once and later calls reload it instead of re-reading input."""
+    partitions pruned).  With ``store`` and ``persist``, the partial aggregates
+    of every input file are kept (see ``sources.store``): later calls read only
+    files that are new or changed, and where there are none they reload the
+    finished table."""
     sc = SCENARIOS[scenario] if isinstance(scenario, str) else scenario
-    path = _store_path(store, sc.name) if (store and sc.persist) else None
-    if path and sinks.path_exists(spark, f"{path}/data"):
-        daily, labels = sinks.read_scenario(spark, path)
+    if store and sc.persist:
+        files, read = _source(spark, root, sc, table)
+        kept = store_of.PartialStore(spark, _store_path(store, sc.name))
+        kept.update(files, lambda paths: reshape.criterion_sums(read(paths), with_unit=True, extra_keys=["file"]))
+
+        def make(sums: DataFrame) -> tuple[DataFrame, list[str]]:
+            wide, labels = reshape.discover_sums(sums)
+            return _to_grain(wide, labels, sc.grain), labels
+
+        daily, labels = kept.daily(files, f"grain={sc.grain}", make)
     else:
         if table is not None:
             classes = sorted({c.split("/")[0] for c in sc.classes})
@@ -81,9 +106,6 @@ def build_scenario(spark: SparkSession, root: str | None, scenario: Scenario | s
         else:
             long = measurements.read_measurements(spark, root, sc.classes, sc.years)
         daily, labels = daily_table(long, grain=sc.grain)
-        if path:
-            sinks.materialize(daily, path, labels)
-            daily, labels = sinks.read_scenario(spark, path)
     if sc.scaled:
         daily = scale.zscore(daily, labels)
     return daily, labels

@@ -76,11 +76,12 @@ def resolve_paths(spark: SparkSession, globs: Sequence[str]) -> list[str]:
     return sorted(seen)
 
 
-def read_raw_measurements(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+def read_raw_measurements(spark: SparkSession, paths: Sequence[str], keep_file: bool = False) -> DataFrame:
     """One header-CSV scan over all paths, all columns as strings, pruned to
     ``RAW_COLUMNS`` (other columns in the files are ignored).  Every file's
     header is checked against the first one's: a file with its columns in
-    another order fails instead of being misread."""
+    another order fails instead of being misread.  ``keep_file`` adds the URI
+    of each row's file as ``file``."""
     if not paths:
         raise FileNotFoundError("no measurement files matched")
     raw = (spark.read.option("header", True).option("inferSchema", False).option("enforceSchema", False)
@@ -88,7 +89,8 @@ def read_raw_measurements(spark: SparkSession, paths: Sequence[str]) -> DataFram
     missing = [c for c in RAW_COLUMNS if c not in raw.columns]
     if missing:
         raise ValueError(f"measurement files lack columns {missing}")
-    return raw.select(*[F.col(f"`{c}`") for c in RAW_COLUMNS])
+    file = [F.col("_metadata.file_path").alias("file")] if keep_file else []
+    return raw.select(*[F.col(f"`{c}`") for c in RAW_COLUMNS], *file)
 
 
 def normalize_measurements(raw: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -137,6 +139,13 @@ def read_measurement_table(spark: SparkSession, path: str, classes: Sequence[str
     return df
 
 
+def read_measurement_files(spark: SparkSession, table: str, paths: Sequence[str]) -> DataFrame:
+    """The given files of a landed measurement table, with the URI of each
+    row's file as ``file``."""
+    df = spark.read.option("basePath", table).parquet(*paths)
+    return df.withColumn("file", F.col("_metadata.file_path"))
+
+
 def combine_class_csvs(spark: SparkSession, root: str, out: str, mode: str = "errorifexists") -> None:
     """Land every ``<root>/<class>/<subclass>/*.csv`` as one Parquet table
     partitioned by class and year: class and subclass come from the file

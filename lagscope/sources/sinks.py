@@ -44,27 +44,57 @@ def write_correlations(cors: DataFrame, path: str, fmt: str = "parquet", mode: s
         raise ValueError("fmt must be 'csv', 'parquet' or 'text'")
 
 
+MARK = "_COMPLETE"
+
+
 def materialize(df: DataFrame, path: str, labels: Sequence[str] | None = None,
                 mode: str = "errorifexists") -> None:
     """Write a scenario table once for reuse; the feature labels are stored as
-    a text sidecar, one ``index<TAB>label`` line each."""
-    df.write.mode(mode).parquet(f"{path.rstrip('/')}/data")
+    a text sidecar, one ``index<TAB>label`` line each.  The completion mark
+    comes last: without it ``read_scenario`` refuses the table."""
+    path = path.rstrip("/")
+    _drop_mark(df.sparkSession, path)
+    df.write.mode(mode).parquet(f"{path}/data")
     if labels is not None:
         spark = df.sparkSession
         (spark.createDataFrame([(f"{i}\t{lab}",) for i, lab in enumerate(labels)], "value string").coalesce(1)
-         .write.mode(mode).text(f"{path.rstrip('/')}/labels"))
+         .write.mode(mode).text(f"{path}/labels"))
+    mark_complete(df.sparkSession, path)
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
+def hadoop_path(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def mark_complete(spark: SparkSession, path: str) -> None:
+    """Say that everything under ``path`` is written."""
+    p, fs = hadoop_path(spark, f"{path.rstrip('/')}/{MARK}")
+    fs.create(p, True).close()
+
+
+def _drop_mark(spark: SparkSession, path: str) -> None:
+    p, fs = hadoop_path(spark, f"{path}/{MARK}")
+    fs.delete(p, False)
+
+
+def is_complete(spark: SparkSession, path: str) -> bool:
+    return path_exists(spark, f"{path.rstrip('/')}/{MARK}")
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p, fs = hadoop_path(spark, path)
+    return fs.exists(p)
 
 
 def read_scenario(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
     """Reload a materialised scenario and its labels, in the order of their
     stored index (the label file is a handful of names, so reading it to the
     driver is bounded).  Only where there is no sidecar do the labels come from
-    the schema; a damaged one is an error."""
+    the schema; a damaged one is an error, and so is a table without its
+    completion mark, whose writer did not get to the end."""
+    if not is_complete(spark, path):
+        raise FileNotFoundError(f"{path} holds no complete scenario")
     df = spark.read.parquet(f"{path.rstrip('/')}/data")
     sidecar = f"{path.rstrip('/')}/labels"
     if not path_exists(spark, sidecar):

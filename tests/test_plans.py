@@ -15,11 +15,11 @@ def test_scenarios_and_store(spark, tmp_path):
     write_tree(root)
     store = str(tmp_path / "store")
     daily, labels = scenarios.build_scenario(spark, root, "gasses_2014_2019", store)   # 2018-2019 present
-    assert daily.count() == 180 and os.path.isdir(f"{store}/gasses_2014_2019/data")
+    assert daily.count() == 180 and glob.glob(f"{store}/gasses_2014_2019/daily-*/_COMPLETE")
     sc = scenarios.Scenario("g", ("gasses/*",), (2018, 2019), "national", persist=True)
     daily, labels = scenarios.build_scenario(spark, root, sc, store)
     assert labels == ["Carbon_monoxide", "Nitrogen_dioxide_NO2", "PM2_5"]
-    assert daily.count() == 180 and os.path.isdir(f"{store}/g/data")
+    assert daily.count() == 180 and glob.glob(f"{store}/g/daily-*/data")
     again, labels2 = scenarios.build_scenario(spark, root, sc, store)   # reloaded from the store
     assert labels2 == labels and again.count() == 180
     site = scenarios.Scenario("gs", ("gasses/*",), (2019,), "site")
