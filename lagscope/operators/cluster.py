@@ -9,7 +9,7 @@ number of points is the number of measured series, not the data volume.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lagscope.session import checkpoint_dir
@@ -42,27 +42,55 @@ def pca_projection(adj: DataFrame, k: int = 2) -> DataFrame:
     return model.transform(centred).select("series", *[arr[i].alias(f"pc{i + 1}") for i in range(k)])
 
 
-def _neighbour_pairs(points: DataFrame, eps: float) -> DataFrame:
-    """All ordered pairs (i, j), i != j, of distinct 0/1 rows with Euclidean
-    distance <= eps, found without a cross product: two rows within Hamming
-    distance h agree exactly on at least one of h + 1 disjoint column bands
-    (pigeonhole), so candidates come from an equi-join on (band, band
-    values); every candidate is then checked exactly."""
-    h = int(eps * eps + 1e-9)                     # Hamming radius of the eps ball
-    width = points.select(F.max(F.size("row"))).scalar()
-    nb = h + 1
-    banded = points.select("idx", "row", F.posexplode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("b", "_b"))
-    start = (F.col("b") * width / F.lit(nb)).cast("int")
-    stop = ((F.col("b") + 1) * width / F.lit(nb)).cast("int")
-    banded = banded.select("idx", "b", F.slice("row", start + 1, F.greatest(stop - start, F.lit(0))).alias("sig"))
-    a, b = banded.alias("a"), banded.alias("b2")
-    cand = (a.join(b, (F.col("a.b") == F.col("b2.b")) & (F.col("a.sig") == F.col("b2.sig"))
-                   & (F.col("a.idx") != F.col("b2.idx")))
-            .select(F.col("a.idx").alias("i"), F.col("b2.idx").alias("j")).distinct())
-    pa = points.select(F.col("idx").alias("i"), F.col("row").alias("ri"))
-    pb = points.select(F.col("idx").alias("j"), F.col("row").alias("rj"))
-    d2 = F.aggregate(F.zip_with("ri", "rj", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, v: acc + v)
-    return cand.join(pa, "i").join(pb, "j").where(d2 <= F.lit(eps * eps)).select("i", "j")
+#: Points of a column's prefix list that one task compares with all others.
+TILE = 1000
+
+
+def sparse_rows(adj: DataFrame) -> DataFrame:
+    """``(series, ones, size)``: the columns in which a series' adjacency row
+    is 1, the rarest column first (ties by name), and how many there are."""
+    links = adj.where(F.col("adj") == 1).select("series_a", "series_b")
+    often = links.groupBy("series_b").agg(F.count(F.lit(1)).alias("f"))
+    ones = (links.join(often, "series_b").groupBy("series_a")
+            .agg(F.array_sort(F.collect_list(F.struct("f", "series_b"))).alias("c"))
+            .select(F.col("series_a").alias("_s"), F.transform("c", lambda x: x["series_b"]).alias("ones")))
+    series = adj.select(F.col("series_a").alias("series")).distinct().join(ones, F.col("series") == F.col("_s"), "left")
+    return series.select("series", F.coalesce("ones", F.array().cast("array<string>")).alias("ones")).withColumn(
+        "size", F.size("ones"))
+
+
+def _candidates(points: DataFrame, radius: int) -> DataFrame:
+    """Pairs (i, j), i < j, of points (i, ones, size) that may differ in at
+    most ``radius`` columns although their sizes sum to more, each once.
+
+    The columns before the first one that two rows share belong to one of them
+    only, so rows that differ in at most h columns share one of the first h + 1
+    of either, and their sizes differ by at most h.  They meet on the first
+    column that their prefixes share.  A column that is in many prefixes is
+    dealt to several tasks by a salt."""
+    pre = points.select("i", "size", F.slice("ones", 1, radius + 1).alias("prefix")).select(
+        "*", F.explode("prefix").alias("one"))
+    tiles = pre.groupBy("one").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("tiles"))
+    pre = pre.join(tiles, "one")
+    a = pre.select(F.col("one"), F.pmod(F.xxhash64("i"), "tiles").alias("tile"), "i", F.col("size").alias("si"),
+                   F.col("prefix").alias("pi"))
+    b = pre.select(F.col("one"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tiles") - 1)).alias("tile"),
+                   F.col("i").alias("j"), F.col("size").alias("sj"), F.col("prefix").alias("pj"))
+    near = (F.col("i") < F.col("j")) & (F.abs(F.col("si") - F.col("sj")) <= radius) & (F.col("si") + F.col("sj") > radius)
+    first = F.element_at(F.array_intersect("pi", "pj"), 1)
+    return a.join(b, ["one", "tile"]).where(near).where(first == F.col("one")).select("i", "j", "si", "sj")
+
+
+def _neighbour_pairs(points: DataFrame, radius: int) -> DataFrame:
+    """All ordered pairs (i, j) of points that differ in at most ``radius``
+    columns, but for those whose sizes sum to no more than that (they are near
+    whatever their columns are; ``density_clusters`` counts them by size):
+    |a xor b| = |a| + |b| - 2 |a and b| of every candidate."""
+    pa = points.select("i", F.col("ones").alias("oi"))
+    pb = points.select(F.col("i").alias("j"), F.col("ones").alias("oj"))
+    apart = F.col("si") + F.col("sj") - 2 * F.size(F.array_intersect("oi", "oj"))
+    found = _candidates(points, radius).join(pa, "i").join(pb, "j").where(apart <= radius).select("i", "j")
+    return found.unionByName(found.select(F.col("j").alias("i"), F.col("i").alias("j")))
 
 
 def connected_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -98,37 +126,64 @@ def connected_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def density_clusters(adj: DataFrame, eps: float = 2.3, min_samples: int = 5) -> DataFrame:
     """DBSCAN over the adjacency rows: ``(series, cluster)`` with -1 = noise.
 
-    * series with identical rows are one weighted point from the start, so a
-      crowd of equal rows never meets itself pair by pair;
+    * rows are sparse (the columns that are 1); series with equal rows are one
+      weighted point from the start;
     * neighbours within ``eps`` (the point itself counts toward
-      ``min_samples``, as in the usual definition);
+      ``min_samples``, as in the usual definition).  The squared distance of
+      0/1 rows is the number h of columns in which they differ: pairs are found
+      by a set-difference join.  Rows whose sizes sum to at most h are near
+      whatever they hold.  These pairs are never made: points count them by
+      size, and all cores among them hang on one hub, the smallest;
     * core points are joined into clusters by the connected components of the
       core-core links;
-    * clusters are numbered in order of their lowest-index core point, and a
+    * clusters are numbered in order of their first core point by name, and a
       border point takes the lowest-numbered cluster among its core
       neighbours -- the order a sequential scan over the points assigns.
     """
     spark: SparkSession = adj.sparkSession
     checkpoint_dir(spark)
-    series = adjacency_rows(adj).select("series", "idx", "row").checkpoint()
-    points = series.groupBy("row").agg(F.min("idx").alias("idx"), F.count(F.lit(1)).alias("w")).checkpoint()
-    edges = _neighbour_pairs(points, eps).checkpoint()
-    weight = points.select(F.col("idx").alias("j"), F.col("w").alias("wj"))
+    radius = int(eps * eps + 1e-9)
+    series = sparse_rows(adj.checkpoint()).checkpoint()
+    points = (series.groupBy("ones").agg(F.min("series").alias("i"), F.count(F.lit(1)).alias("w"))
+              .withColumn("size", F.size("ones")).checkpoint())
+    edges = _neighbour_pairs(points, radius).checkpoint()
+
+    def by_size(values: dict[int, int], fold) -> Column:
+        """Per point the fold of the values of all sizes that are near its own
+        (a literal table of at most h + 1 entries); null for larger points."""
+        table, so_far = [], None
+        for u in range(radius + 1):
+            v = values.get(u)
+            so_far = v if so_far is None else so_far if v is None else fold(so_far, v)
+            table.append(F.lit(so_far).cast("bigint"))
+        return F.when(F.col("size") <= radius, F.element_at(F.array(*table), F.lit(radius + 1) - F.col("size")))
+
+    # points of the small sizes, at most h + 1 rows
+    small = {r["size"]: r["w"] for r in points.where(F.col("size") <= radius).groupBy("size").agg(F.sum("w").alias("w")).collect()}
+    weight = points.select(F.col("i").alias("j"), F.col("w").alias("wj"))
     degree = edges.join(weight, "j").groupBy("i").agg(F.sum("wj").alias("deg"))
-    core = (points.join(degree, points.idx == degree.i, "left")
-            .where(F.coalesce("deg", F.lit(0)) + F.col("w") >= min_samples).select(points.idx.alias("i"))).checkpoint()
-    links = edges.join(core, "i").join(core.withColumnRenamed("i", "j"), "j").select("i", "j")
-    labels = connected_labels(core, links).checkpoint()
-    # number clusters by their seed (lowest core index)
+    # a point near to itself by size is in that sum already
+    own = F.when(F.col("size") * 2 <= radius, F.lit(0)).otherwise(F.col("w"))
+    total = F.coalesce(by_size(small, lambda x, y: x + y), F.lit(0)) + F.coalesce("deg", F.lit(0)) + own
+    core = points.join(degree, "i", "left").where(total >= min_samples).select("i", "size").checkpoint()
+    names = core.select("i")
+    links = edges.join(names, "i").join(names.withColumnRenamed("i", "j"), "j").select("i", "j")
+    hub = core.orderBy("size", "i").first()
+    if hub is not None:
+        links = links.unionByName(core.where(F.col("size") + hub["size"] <= radius).select("i", F.lit(hub["i"]).alias("j")))
+    labels = connected_labels(names, links).checkpoint()
+    # number clusters by their seed (the first core by name)
     seeds = labels.select("label").distinct().withColumn(
         "cluster", F.dense_rank().over(Window.orderBy("label")) - 1)
-    core_cluster = labels.join(seeds, "label").select("i", "cluster")
+    core_cluster = labels.join(seeds, "label").select("i", "cluster").checkpoint()
+    least = {r["size"]: r["c"] for r in core.where(F.col("size") <= radius).join(core_cluster, "i")
+             .groupBy("size").agg(F.min("cluster").alias("c")).collect()}
     border = (edges.join(core_cluster.withColumnRenamed("i", "j"), "j")
               .groupBy("i").agg(F.min("cluster").alias("bcluster")))
-    of_point = (points.select(F.col("row").alias("prow"), F.col("idx").alias("i"))
-                .join(core_cluster, "i", "left").join(border, "i", "left"))
-    return (series.join(of_point, series.row == of_point.prow)
-            .select("series", F.coalesce("cluster", "bcluster", F.lit(-1)).alias("cluster")))
+    of_point = points.join(core_cluster, "i", "left").join(border, "i", "left").select(
+        F.col("ones").alias("_ones"),
+        F.coalesce(F.col("cluster").cast("bigint"), F.least("bcluster", by_size(least, min)), F.lit(-1)).cast("int").alias("cluster"))
+    return series.join(of_point, F.col("ones") == F.col("_ones")).select("series", "cluster")
 
 
 def cluster_members(clusters: DataFrame) -> DataFrame:

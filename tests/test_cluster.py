@@ -110,3 +110,43 @@ def test_registered_adjacency_is_not_degenerate(spark):
     assert {r.adj for r in QUERIES["series_adjacency"](spark, sf).select("adj").distinct().collect()} == {0, 1}
     clusters = {r.cluster for r in QUERIES["density_clusters"](spark, sf).collect()}
     assert -1 in clusters and len(clusters) >= 3
+
+
+def test_series_in_pairs_need_few_candidates(spark):
+    """400 series, each linked to one other: every row is within reach of every
+    other by size alone, which takes no pair at all."""
+    n = 400
+    m = np.zeros((n, n), dtype=int)
+    for i in range(0, n, 2):
+        m[i, i + 1] = m[i + 1, i] = 1
+    names = [f"s{i:03d}" for i in range(n)]
+    adj = _adj_frame(spark, m, names)
+    points = cluster.sparse_rows(adj).withColumnRenamed("series", "i")
+    assert points.count() == n and cluster._candidates(points, 5).count() < 10_000
+    got = {r.series: r.cluster for r in cluster.density_clusters(adj, 2.3, 5).collect()}
+    assert [got[x] for x in names] == list(_dbscan_reference(m.astype(float), 2.3, 5))
+    # a smaller radius keeps them apart
+    got = {r.series: r.cluster for r in cluster.density_clusters(adj, 1.0, 2).collect()}
+    assert [got[x] for x in names] == list(_dbscan_reference(m.astype(float), 1.0, 2))
+
+
+def test_neighbours_equal_brute_force(spark, monkeypatch):
+    """Sparse and dense rows, empty ones, many radii, columns over several tiles."""
+    monkeypatch.setattr(cluster, "TILE", 5)
+    rng = np.random.default_rng(11)
+    n = 60
+    m = (rng.random((n, n)) < np.where(np.arange(n) < 30, 0.04, 0.3)[:, None]).astype(int)
+    m[30:45] = m[30] ^ (rng.random((15, n)) < 0.05)   # rows that differ in few columns
+    m[5] = 0
+    names = [f"s{i:02d}" for i in range(n)]
+    adj = _adj_frame(spark, m, names)
+    points = cluster.sparse_rows(adj).dropDuplicates(["ones"]).withColumnRenamed("series", "i").checkpoint()
+    kept = {r.i for r in points.collect()}
+    for radius in (0, 1, 5, 9):
+        got = [(r.i, r.j) for r in cluster._neighbour_pairs(points, radius).collect()]
+        want = {(names[i], names[j]) for i in range(n) for j in range(n) if i != j and names[i] in kept and names[j] in kept
+                and (m[i] != m[j]).sum() <= radius < m[i].sum() + m[j].sum()}
+        assert len(got) == len(set(got)) and set(got) == want
+    for eps, least in ((2.3, 5), (3.0, 4), (1.0, 2), (2.0, 12)):
+        got = {r.series: r.cluster for r in cluster.density_clusters(adj, eps, least).collect()}
+        assert [got[x] for x in names] == list(_dbscan_reference(m.astype(float), eps, least)), (eps, least)
