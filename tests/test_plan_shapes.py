@@ -25,7 +25,13 @@ def test_no_cartesian_or_nested_loop_joins(plans):
 
 
 def test_no_row_at_a_time_python(plans):
-    assert [n for n, p in plans.items() if "Python" in p or "Pandas" in p or "InArrow" in p] == []
+    assert [n for n, p in plans.items() if "Python" in p or "Pandas" in p] == []
+
+
+def test_only_the_lag_kernel_leaves_the_jvm(plans):
+    """Blocks of series and chunks of days as Arrow batches, twice per query."""
+    assert {n: p.count("MapInArrow") for n, p in plans.items() if "InArrow" in p} == {
+        n: 2 for n in plans if n.startswith("tlcc_")}
 
 
 def test_fact_scans_are_pruned(plans):

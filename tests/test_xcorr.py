@@ -170,3 +170,58 @@ def test_long_and_wide_matrices_agree(spark):
     b = {(r.series_a, r.series_b): r.r for r in xcorr.correlation_matrix(wide, names).collect()}
     assert a.keys() == b.keys() and len(a) == 25 and a[("a", "lonely")] is None
     assert all((a[k] is None) == (b[k] is None) and (a[k] is None or abs(a[k] - b[k]) < 1e-12) for k in a)
+
+
+def test_many_series_and_lags_in_blocks(spark):
+    """60 x 60 series at nine lags over several chunks: what is shuffled last
+    is a row per block pair and task, not a row per day and cell."""
+    rng = np.random.default_rng(2)
+    k, n, lags = 60, 1300, [-90, -60, -30, -10, 0, 10, 30, 60, 90]
+    data = rng.normal(size=(n, k)).cumsum(axis=0) + 1e6
+    names = [f"s{i:02d}" for i in range(k)]
+    days = [D0 + dt.timedelta(days=i) for i in range(n)]
+    w = spark.createDataFrame([(d, *map(float, row)) for d, row in zip(days, data)],
+                              "date date, " + ", ".join(f"{c} double" for c in names)).repartition(4)
+    for block in (16, 64):
+        units = xcorr._units(xcorr._joined_days(w, w, names, names, [], "date"), [], lags, k, k, block)
+        moments = xcorr._block_moments(units, [], lags)
+        pairs = (-(-k // block)) ** 2
+        assert moments.count() <= pairs * 8
+        got = {(r.series_x, r.series_y, r.lag): (r.n, r.r)
+               for r in xcorr.auto_correlation(w, lags, names, block=block).collect()}
+        assert len(got) == k * k * len(lags)
+        for lag in lags:
+            a, b = (data[:n - lag], data[lag:]) if lag >= 0 else (data[-lag:], data[:n + lag])
+            ref = np.corrcoef(a.T, b.T)[:k, k:]
+            for i in range(0, k, 7):
+                for j in range(k):
+                    m, r = got[(names[i], names[j], lag)]
+                    assert m == n - abs(lag) and abs(r - ref[i, j]) < 1e-9
+
+
+def test_calendar_lags_over_chunks(spark):
+    """Days with gaps, far lags, groups of which one has no y at all."""
+    rng = np.random.default_rng(6)
+    at = np.sort(rng.choice(2500, 1500, replace=False))
+    a, p = rng.normal(size=(2, len(at)))
+    days = [D0 + dt.timedelta(days=int(i)) for i in at]
+    x = _wide(spark, {"a": a}, days, by=0).unionByName(_wide(spark, {"a": a[:9]}, days[:9], by=1))
+    y = _wide(spark, {"p": p}, days, by=0).unionByName(_wide(spark, {"p": p[:9]}, days[:9], by=2))
+    lags = [-800, -3, 0, 511, 512, 1200]
+    got = {(r.site, r.lag): (r.n, r.r) for r in
+           xcorr.lagged_correlation(x, y, lags, ["a"], ["p"], by=["site"], unit="days").collect()}
+    assert set(got) == {(s, lag) for s in (0, 1) for lag in lags}
+    there = dict(zip(at.tolist(), p))
+    for lag in lags:
+        pairs = [(v, there[i + lag]) for i, v in zip(at.tolist(), a) if i + lag in there]
+        assert got[(0, lag)][0] == len(pairs) and abs(got[(0, lag)][1] - np.corrcoef(np.array(pairs).T)[0, 1]) < 1e-12
+        assert got[(1, lag)] == (0, None)
+
+
+def test_constant_over_many_chunks_and_no_days(spark):
+    w = _wide(spark, {"a": [0.1] * 1500, "b": np.arange(1500.0)})
+    got = {(r.series_x, r.series_y): r.r for r in xcorr.auto_correlation(w, [0], ["a", "b"]).collect()}
+    assert got[("a", "b")] is None and got[("a", "a")] is None and abs(got[("b", "b")] - 1) < 1e-12
+    none = xcorr.lagged_correlation(w.where("a > 1"), w, [0, 5], ["a"], ["b"])
+    assert sorted((r.lag, r.n, r.r) for r in none.collect()) == [(0, 0, None), (5, 0, None)]
+    assert xcorr.lagged_correlation(w.where("a > 1"), w, [0], ["a"], ["b"], unit="days").first().n == 0
