@@ -5,6 +5,15 @@ frame (magic 0x184D2A5D) holding the dictionary, then every record as a frame
 of its own, compressed with it.  Any record can be read alone, and the
 dictionary makes up for what single frames cannot learn from each other.
 
+The dictionary is trained once, on pieces of records spread evenly over the
+whole table (a bounded number, each of bounded size, so that no large page
+uses up the sample), and every archive carries it.  Where there is too little
+to train on, the pieces themselves are the dictionary (raw content): no archive
+is without one.
+
+Folders are reached through Arrow: local and mounted paths, ``s3`` (``s3a`` is
+taken as the same), ``gs``, and ``hdfs`` where the workers have libhdfs.
+
 Distributed plan: equal payloads are found by a map-side combined grouping on
 their SHA-1 and length (a payload that a third of all pages share is one row
 per partition); the group is attached back without piling up its pages
@@ -25,7 +34,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 from typing import BinaryIO
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import zstandard
@@ -43,30 +52,43 @@ REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 @dataclass(frozen=True)
 class Layout:
-    """Compression level, largest dictionary, records it is trained on (bytes
-    from the start of the archive), archive size at which the next begins."""
+    """Compression level, largest dictionary, records it is trained on and
+    bytes taken of each at most, archive size at which the next begins."""
 
     level: int = 3
     dictionary: int = 65_536
-    sample: int = 2_000_000
+    sample: int = 1000
+    piece: int = 4096
     archive: int = 64_000_000
     date: str = "1970-01-01T00:00:00Z"
 
 
+def _urn(page_id: str) -> str:
+    return f"urn:page:{quote(page_id, safe='')}"
+
+
+def _id_of(urn: str | None) -> str | None:
+    """The page id that a record's name holds, null where it has none."""
+    start = "<urn:page:"
+    return unquote(urn[len(start):-1]) if urn is not None and urn.startswith(start) else None
+
+
 def record_bytes(page_id: str | None, url: str | None, payload: bytes, digest: str, refers_to: str | None,
                  date: str) -> bytes:
     """One WARC/1.1 record.  A revisit has the HTTP headers of its response,
     with the payload's length, but no payload."""
     http = (f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n").encode()
     block = http if refers_to is not None else http + payload
-    # no header can be broken by what a URL holds
-    target = quote(url or f"urn:page:{page_id}", safe="!#$%&'()*+,/:;=?@[]~-._")
+    # no header can be broken by what a URL or an id holds; a record without an
+    # id is named after its payload
     base32 = b32encode(bytes.fromhex(digest)).decode()
+    name = f"urn:sha1:{base32}" if page_id is None else _urn(page_id)
+    target = quote(url or name, safe="!#$%&'()*+,/:;=?@[]~-._")
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-            f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Target-URI: {target}", f"WARC-Date: {date}",
+            f"WARC-Record-ID: <{name}>", f"WARC-Target-URI: {target}", f"WARC-Date: {date}",
             f"WARC-Payload-Digest: sha1:{base32}", "Content-Type: application/http; msgtype=response"]
     if refers_to is not None:
-        head += [f"WARC-Profile: {REVISIT}", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        head += [f"WARC-Profile: {REVISIT}", f"WARC-Refers-To: <{_urn(refers_to)}>"]
     head.append(f"Content-Length: {len(block)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -83,36 +105,42 @@ def parse_record(record: bytes) -> tuple[dict[str, str], bytes, bytes]:
     return headers, http, payload
 
 
-def train(samples: list[bytes], most: int) -> zstandard.ZstdCompressionDict | None:
-    """A dictionary from records; None where there is too little to learn."""
-    total = sum(map(len, samples))
-    size = min(most, total // 8)
-    if len(samples) < 8 or size < 1024:
-        return None
-    try:
-        return zstandard.train_dictionary(size, samples, k=1024, d=8)
-    except zstandard.ZstdError:
-        return None  # for instance a few records repeated: nothing to choose from
-
-
-def write_archive(out: BinaryIO, records: Iterator[bytes], layout: Layout) -> tuple[int, int]:
-    """Write records until the archive is full; (records, bytes) written."""
-    samples, size = [], 0
-    for r in records:
-        samples.append(r)
-        size += len(r)
-        if size >= layout.sample:
-            break
-    learned = train(samples, layout.dictionary)
-    written = n = 0
-    if learned is not None:
-        learned.precompute_compress(level=layout.level)
-        data = learned.as_bytes()
-        written += out.write(struct.pack("<II", SKIPPABLE, len(data)) + data)
-    compress = zstandard.ZstdCompressor(level=layout.level, dict_data=learned, write_checksum=True).compress
-    for r in samples:
-        written += out.write(compress(r))
-        n += 1
+def train(samples: list[bytes], most: int) -> bytes:
+    """A dictionary of at most ``most`` bytes from pieces of records.  Fewer
+    than 8 of them, under 8 KB in all, or pieces with nothing to choose from
+    (one record repeated) do not train: then their last bytes, which every
+    Zstandard reader takes as raw content, are the dictionary."""
+    size = min(most, sum(map(len, samples)) // 8)
+    if len(samples) >= 8 and size >= 1024:
+        try:
+            return zstandard.train_dictionary(size, samples, k=1024, d=8).as_bytes()
+        except zstandard.ZstdError:
+            pass
+    return b"".join(samples)[-most:]
+
+
+def dictionary(records: DataFrame, layout: Layout) -> bytes:
+    """The dictionary of a table of records (``page_records``): of the
+    ``layout.sample`` records with the smallest hash of id, URL and digest, the
+    head and a piece of the payload that starts at a place given by the hash."""
+    spread = F.xxhash64("id", "url", "digest")
+    room = F.greatest(F.octet_length("payload") - F.lit(layout.piece), F.lit(0)) + 1
+    at = (F.pmod(spread, room) + 1).cast("int")
+    rows = (records.select(F.col("id").cast("string").alias("id"), "url", "digest", spread.alias("h"),
+                           F.substring(F.col("payload"), at, F.lit(layout.piece)).alias("piece"))
+            .orderBy("h", "id", "url", "piece").limit(layout.sample).collect())
+    pieces = [record_bytes(r["id"], r["url"], bytes(r["piece"]), r["digest"], None, layout.date) for r in rows]
+    return train(pieces, layout.dictionary)
+
+
+def write_archive(out: BinaryIO, records: Iterator[bytes], layout: Layout, learned: bytes) -> tuple[int, int]:
+    """Write the dictionary, then records until the archive is full; (records,
+    bytes) written."""
+    written = out.write(struct.pack("<II", SKIPPABLE, len(learned)) + learned)
+    shared = zstandard.ZstdCompressionDict(learned)
+    shared.precompute_compress(level=layout.level)
+    compress = zstandard.ZstdCompressor(level=layout.level, dict_data=shared, write_checksum=True).compress
+    n = 0
     while written < layout.archive and (r := next(records, None)) is not None:
         written += out.write(compress(r))
         n += 1
@@ -143,7 +171,7 @@ def read_archive(src: BinaryIO, chunk: int = 1 << 20) -> Iterator[bytes]:
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a folder as every node reaches it."""
-    return pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri))
+    return pafs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", re.sub(r"^file:/+", "file:///", uri)))
 
 
 def page_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
@@ -163,8 +191,10 @@ def page_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
 
 def write_warc(records: DataFrame, folder: str, layout: Layout = Layout()) -> DataFrame:
-    """Write the records of ``page_records`` to archives in ``folder``; the
-    staged list (archive, records, bytes)."""
+    """Write the records of ``page_records`` to archives in ``folder``, all
+    with one dictionary; the staged list (archive, records, bytes)."""
+    learned = dictionary(records, layout)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, path = filesystem(folder)
         files.create_dir(path, recursive=True)
@@ -179,7 +209,7 @@ def write_warc(records: DataFrame, folder: str, layout: Layout = Layout()) -> Da
             name = f"{uuid.uuid4().hex}.warc.zst"
             # chain, unlike a generator, leaves records open for the next archive
             with files.open_output_stream(f"{path}/{name}", compression=None) as out:
-                n, size = write_archive(out, chain([first], records), layout)
+                n, size = write_archive(out, chain([first], records), layout, learned)
             yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([n]), pa.array([size])],
                                              ["archive", "records", "bytes"])
 
@@ -193,10 +223,6 @@ def read_warc(archives: DataFrame) -> DataFrame:
     null for revisits.  A response whose payload does not have the digest its
     header names is an error."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def name(urn: str | None) -> str | None:
-            found = urn and urn.removeprefix("<urn:page:").removesuffix(">")
-            return None if found in (None, "None") else found
-
         def rows(path: str) -> Iterator[tuple]:
             files, inside = filesystem(path)
             with files.open_input_stream(inside, compression=None) as src:
@@ -207,8 +233,8 @@ def read_warc(archives: DataFrame) -> DataFrame:
                     if kind == "response" and hashlib.sha1(payload).hexdigest() != digest:
                         raise ValueError(f"payload of {head['WARC-Record-ID']} is damaged")
                     size = int(re.search(rb"Content-Length: (\d+)", http)[1])
-                    yield (name(head["WARC-Record-ID"]), head["WARC-Target-URI"], size, digest, kind,
-                           name(head.get("WARC-Refers-To")), payload if kind == "response" else None)
+                    yield (_id_of(head["WARC-Record-ID"]), head["WARC-Target-URI"], size, digest, kind,
+                           _id_of(head.get("WARC-Refers-To")), payload if kind == "response" else None)
 
         names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
         types = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
@@ -241,12 +267,14 @@ def archive_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str =
     page_id, ``payload_bytes``, ``payload_digest``, ``record_type``,
     ``refers_to``.
 
-    Defined cases: null html is an empty payload; a null URL becomes a URN of
-    the page id; a null page id is archived as a response and never referred
-    to; of equal payloads of at least ``least`` bytes every row with the
+    Defined cases: null html is an empty payload; a null URL becomes the
+    record's name, a URN of the page id (percent-encoded, whatever it holds) or,
+    for a null page id, of its payload; a null page id is archived as a response
+    and never referred to; of equal payloads of at least ``least`` bytes every row with the
     largest page id is a response (repeated rows repeat it), the others
     revisit it; an empty table gives no archive and no rows; other columns are
-    ignored, whatever their names.
+    ignored, whatever their names.  A table too small to train a dictionary on
+    has its records' own bytes as the dictionary.
     """
     kind = pages.schema[id_col].dataType
     folder = folder or staging_path(pages.sparkSession, "warc")
