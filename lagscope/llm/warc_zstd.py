@@ -119,15 +119,18 @@ def train(samples: list[bytes], most: int) -> bytes:
     return b"".join(samples)[-most:]
 
 
-def dictionary(records: DataFrame, layout: Layout) -> bytes:
-    """The dictionary of a table of records (``page_records``): of the
-    ``layout.sample`` records with the smallest hash of id, URL and digest, the
+def dictionary(records: DataFrame, layout: Layout, count: int) -> bytes:
+    """The dictionary of a table of ``count`` records (``page_records``).  A
+    hash of id, URL and digest picks about twice ``layout.sample`` of them
+    wherever they are, repeated ones once; of those with the smallest hash, the
     head and a piece of the payload that starts at a place given by the hash."""
-    spread = F.xxhash64("id", "url", "digest")
+    picked, spread = F.xxhash64(F.lit("pick"), "id", "url", "digest"), F.xxhash64("id", "url", "digest")
+    share = min(1.0, 2 * layout.sample / max(1, count))
     room = F.greatest(F.octet_length("payload") - F.lit(layout.piece), F.lit(0)) + 1
     at = (F.pmod(spread, room) + 1).cast("int")
-    rows = (records.select(F.col("id").cast("string").alias("id"), "url", "digest", spread.alias("h"),
-                           F.substring(F.col("payload"), at, F.lit(layout.piece)).alias("piece"))
+    rows = (records.where(F.pmod(picked, F.lit(1 << 32)) < int(share * (1 << 32)))
+            .select(F.col("id").cast("string").alias("id"), "url", "digest", spread.alias("h"),
+                    F.substring(F.col("payload"), at, F.lit(layout.piece)).alias("piece")).distinct()
             .orderBy("h", "id", "url", "piece").limit(layout.sample).collect())
     pieces = [record_bytes(r["id"], r["url"], bytes(r["piece"]), r["digest"], None, layout.date) for r in rows]
     return train(pieces, layout.dictionary)
@@ -190,10 +193,11 @@ def page_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     return rows.select("id", "url", "payload", "digest", F.when(revisit, F.col("response")).alias("refers_to"))
 
 
-def write_warc(records: DataFrame, folder: str, layout: Layout = Layout()) -> DataFrame:
+def write_warc(records: DataFrame, folder: str, layout: Layout = Layout(), count: int | None = None) -> DataFrame:
     """Write the records of ``page_records`` to archives in ``folder``, all
-    with one dictionary; the staged list (archive, records, bytes)."""
-    learned = dictionary(records, layout)
+    with one dictionary; the staged list (archive, records, bytes).  ``count``
+    is the number of records, if known."""
+    learned = dictionary(records, layout, records.count() if count is None else count)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, path = filesystem(folder)
@@ -278,6 +282,7 @@ def archive_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str =
     """
     kind = pages.schema[id_col].dataType
     folder = folder or staging_path(pages.sparkSession, "warc")
-    records = read_warc(write_warc(page_records(pages, id_col, url_col, html_col, least), folder, layout))
+    records = page_records(pages, id_col, url_col, html_col, least)
+    records = read_warc(write_warc(records, folder, layout, pages.count()))
     return records.select(F.col("page_id").cast(kind).alias(id_col), "payload_bytes", "payload_digest", "record_type",
                           F.col("refers_to").cast(kind).alias("refers_to"))
