@@ -8,9 +8,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lagscope.operators import clean, profile, reshape, scale, score, spatial, xcorr
 from lagscope.plans import scenarios as sc
+from lagscope.session import checkpoint_dir
 from lagscope.sources import measurements, sinks
 
 # Lag lists of the correlation jobs.
@@ -90,17 +92,29 @@ def heatmap(spark: SparkSession, root: str, year: int = 2019, factor: float = 10
     return res
 
 
-def profile_dataset(spark: SparkSession, root: str, years: Sequence[int], classes: Sequence[str] = ("gasses/*",)
-                    ) -> dict[str, DataFrame]:
-    """Schema, summary statistics, distinct units and criteria, and the
-    pivoted table z-scored then max-abs scaled."""
+def profile_dataset(spark: SparkSession, root: str, years: Sequence[int], classes: Sequence[str] = ("gasses/*",),
+                    precision: int = 3) -> dict[str, DataFrame]:
+    """Schema, summary statistics (overall and per criterion and unit),
+    distinct units and criteria, and the pivoted table z-scored then max-abs
+    scaled.
+
+    The raw files are read once: one grouping per (site, day, criterion, unit)
+    keeps mergeable moments of the coordinates and the value, and is
+    checkpointed; every table derives from it."""
     long = measurements.read_measurements(spark, root, classes, years)
-    wide, _, labels = reshape.discover_pivot(long)
+    checkpoint_dir(spark)
+    numbers = ["lat", "lon", "value"]
+    keys = [F.round(c, precision).alias(f"site_{c}") for c in ("lat", "lon")] + ["date", "criteria", "unit"]
+    parts = profile.moments(long, keys, numbers).checkpoint()
+    sums = (parts.groupBy(F.col("site_lat").alias("lat"), F.col("site_lon").alias("lon"), "date", "criteria")
+            .agg(F.sum(F.col("mean_value") * F.col("n_value")).alias("_s"), F.sum("n_value").alias("_n")))
+    wide, labels = reshape.discover_sums(sums)
     return {
         "schema": profile.schema_profile(long),
-        "summary": profile.summary(long, ["lat", "lon", "value"]),
-        "units": profile.distinct_units(long),
-        "criteria": clean.distinct_values(long, "criteria"),
+        "summary": profile.merged(parts, numbers),
+        "by_criterion": profile.merged(parts, ["value"], ["criteria", "unit"]).drop("column"),
+        "units": profile.distinct_units(parts),
+        "criteria": clean.distinct_values(parts, "criteria"),
         "scaled": scale.zscore_max_abs(wide, labels),
     }
 
