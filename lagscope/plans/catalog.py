@@ -609,9 +609,10 @@ def corr_mass(spark, sf):
 
 
 @register("corr_adjacency", with_(SQL_M, SQL_W, SQL_D, SQL_C, SQL_CM) + """
-SELECT series_a, series_b, CASE WHEN series_a <> series_b AND r > 0.8 THEN 1 ELSE 0 END AS adj FROM cm""")
+SELECT series_a, series_b, CASE WHEN series_a <> series_b AND r > 0 THEN 1 ELSE 0 END AS adj FROM cm""")
 def corr_adjacency(spark, sf):
-    return xcorr.adjacency(_corr(spark, sf), 0.8)
+    # the series are hardly correlated: only at this threshold both values occur
+    return xcorr.adjacency(_corr(spark, sf), 0.0)
 
 
 @register("badness_curve", with_(SQL_M, SQL_W, SQL_D, f"""z AS (
@@ -721,6 +722,18 @@ def summary_profile(spark, sf):
     return rounded(summary(daily(spark, sf), FLAGS), PRICE_DIGITS)
 
 
+@register("criterion_profile", with_(SQL_M) + """
+SELECT criteria, unit, count(value) AS "count", round(avg(value), 5) AS mean, round(stddev_samp(value), 5) AS stddev,
+       min(value) AS "min", max(value) AS "max" FROM m GROUP BY 1, 2""")
+def criterion_profile(spark, sf):
+    """Statistics per criterion and unit, merged from the moments per (site,
+    day, criterion, unit) as the profile job does it."""
+    from lagscope.operators import profile
+
+    parts = profile.moments(measurements(spark, sf), ["lat", "lon", "date", "criteria", "unit"], ["value"])
+    return rounded(profile.merged(parts, ["value"], ["criteria", "unit"]).drop("column"), 5, special={"min": 10, "max": 10})
+
+
 # --------------------------------------------------------------------------
 # Timing shapes of the reference: 4 x 1 x 2, 4 x 4 x 4, 4 x 4 x 7
 # (four numeric lineitem measures as the criteria)
