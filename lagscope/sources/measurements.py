@@ -19,6 +19,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lagscope.sources import headers
+
 # The raw column names read from every measurement file, in
 # file order, and the names they take after normalisation.
 RAW_COLUMNS = [
@@ -146,19 +148,25 @@ def read_measurement_files(spark: SparkSession, table: str, paths: Sequence[str]
     return df.withColumn("file", F.col("_metadata.file_path"))
 
 
-def combine_class_csvs(spark: SparkSession, root: str, out: str, mode: str = "errorifexists") -> None:
+def combine_class_csvs(spark: SparkSession, root: str, out: str, mode: str = "errorifexists",
+                       rejects: str | None = None) -> None:
     """Land every ``<root>/<class>/<subclass>/*.csv`` as one Parquet table
     partitioned by class and year: class and subclass come from the file
     path, the selection of columns and types from ``normalize_measurements``.
-    One scan, one write; Spark parallelises over files."""
-    raw = (spark.read.option("header", True).option("enforceSchema", False).csv(f"{root.rstrip('/')}/*/*/*.csv")
-           .select(*[F.col(f"`{c}`") for c in RAW_COLUMNS], F.col("_metadata.file_path").alias("_path")))
+    Files are read by their own headers (``headers.read_by_header``: one scan
+    per header), so they may differ in order and in columns nobody needs.
+    Files and records that can't be read go to ``rejects`` (Parquet: file,
+    record, reason; a scan of its own), if named; no other record is lost."""
+    paths = resolve_paths(spark, [f"{root.rstrip('/')}/*/*/*.csv"])
+    raw, refused = headers.read_by_header(spark, paths, RAW_COLUMNS)
     pattern = r"/([^/]+)/([^/]+)/[^/]+\.csv$"
-    raw = raw.withColumns({"class": F.regexp_extract("_path", pattern, 1),
-                           "subclass": F.regexp_extract("_path", pattern, 2)})
+    raw = raw.withColumns({"class": F.regexp_extract("file", pattern, 1),
+                           "subclass": F.regexp_extract("file", pattern, 2)})
     typed = normalize_measurements(raw, keep=("class", "subclass"))
     (typed.withColumn("year", F.year("date"))
      .write.mode(mode).partitionBy("class", "year").parquet(out))
+    if rejects is not None:
+        refused.write.mode(mode).parquet(rejects)
 
 
 def source_inventory(spark: SparkSession, root: str) -> DataFrame:
