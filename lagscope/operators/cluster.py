@@ -9,37 +9,122 @@ number of points is the number of measured series, not the data volume.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lagscope.session import checkpoint_dir
 
 
-def adjacency_rows(adj: DataFrame) -> DataFrame:
-    """``(series, idx, row array<double>)``: one point per series; ``idx`` is
-    the position of the series in name order, ``row`` its adjacency values
-    in the same order of columns."""
-    rows = (adj.groupBy("series_a")
-            .agg(F.array_sort(F.collect_list(F.struct("series_b", F.col("adj").cast("double").alias("v"))))
-                 .alias("cells"))
-            .select(F.col("series_a").alias("series"), F.transform("cells", lambda c: c["v"]).alias("row")))
-    return rows.withColumn("idx", F.row_number().over(Window.orderBy("series")) - 1)
+#: Vectors beside the wanted ones; a residual this small against the largest
+#: variance ends the projection, one this small against all ones is rounding.
+SPARE, CLOSE, ROUNDING = 4, 1e-10, 1e-14
+
+#: Rounds without a smaller residual after which rounding is taken to decide.
+PATIENCE = 12
 
 
 def pca_projection(adj: DataFrame, k: int = 2) -> DataFrame:
     """Project the (column-centred) adjacency rows on their first ``k``
-    principal components: ``(series, pc1..pck)``.  MLlib fits the covariance
-    with a distributed tree aggregate; component signs are arbitrary."""
-    from pyspark.ml.feature import PCA, StandardScaler
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    principal components: ``(series, pc1..pck)``.  Component signs are
+    arbitrary; components beyond the rank of the rows are 0.  Pairs that
+    ``adj`` lacks count as 0.
 
+    The rows stay an edge table.  With A the adjacency and C the centring, the
+    projections are the leading eigenvectors of C A A' C, times the roots of
+    their eigenvalues; a product with that matrix is two joins of the edges with
+    a table of a few numbers per series.  A subspace of ``k`` + 4 vectors is
+    iterated: each round applies the matrix to the residuals, and takes the best
+    vectors within the span of vectors, residuals and last steps, whose small
+    matrices of inner products are all that the driver sees.  Every round is
+    checkpointed.  It ends when the residuals of the first ``k`` are 1e-10 of
+    the largest eigenvalue, or when rounding keeps them from shrinking."""
     checkpoint_dir(adj.sparkSession)
-    # the two fits and the transform each read the points: cut the lineage once
-    pts = adjacency_rows(adj).withColumn("v", array_to_vector("row")).checkpoint()
-    centred = StandardScaler(inputCol="v", outputCol="c", withMean=True, withStd=False).fit(pts).transform(pts)
-    model = PCA(k=k, inputCol="c", outputCol="p").fit(centred)
-    arr = vector_to_array(F.col("p"))
-    return model.transform(centred).select("series", *[arr[i].alias(f"pc{i + 1}") for i in range(k)])
+    adj = adj.select("series_a", "series_b", F.col("adj").cast("double").alias("v")).checkpoint()
+    links = adj.where("v <> 0").checkpoint()
+    # equal rows give equal results: the start is a hash of the name
+    names = adj.select(F.col("series_a").alias("series")).distinct()
+    seeds = [F.xxhash64("series", F.lit(c)) / F.lit(2.0 ** 63) for c in range(k + SPARE)]
+    start = names.select("series", *[s.alias(f"s{c}") for c, s in enumerate(seeds)]).checkpoint()
+    mean = start.agg(*[F.avg(f"s{c}") for c in range(len(seeds))]).first()
+    ones = links.agg(F.sum(F.col("v") * F.col("v"))).first()[0] or 0.0
+    if mean[0] is None or not ones:
+        return names.select("series", *[F.lit(0.0).alias(f"pc{c + 1}") for c in range(k)])
+    fresh = start.select("series", *[(F.col(f"s{c}") - m).alias(f"s{c}") for c, m in enumerate(mean)])
+    # columns s: the span.  Its first ``old`` are the vectors, then come their last steps
+    # up to ``held``, which have their products m already, then the residuals
+    old, held, span, best, stale = 0, 0, len(seeds), None, 0
+    while True:
+        block = [f"s{c}" for c in range(held, span)]
+        step = _times(fresh, links, block, [f"m{c}" for c in range(held, span)]).checkpoint()
+        gram, products, shift = _inner(step, span)
+        values, coef = _best_vectors(gram, products, k + SPARE)
+        found = len(values)
+        # vectors x, their products y, and the last step: the part of x outside the old vectors
+        last = coef.copy()
+        last[:old] = 0.0
+        size = np.sqrt(np.maximum(np.einsum("ic,ij,jc->c", last, gram, last), 0.0))
+        last = last[:, size > 1e-12] / size[size > 1e-12] if held else last[:, :0]
+        s, m = [F.col(f"s{c}") for c in range(span)], [F.col(f"m{c}") - float(v) for c, v in enumerate(shift)]
+        x, y = _combined(s, coef), _combined(m, coef)
+        off = [b - float(v) * a for a, b, v in zip(x, y, values)]
+        sizes = np.array(step.agg(*[F.sum(o * o) for o in off], *[F.avg(o) for o in off]).first(), dtype=float)
+        far, middle = np.sqrt(sizes[:found]), sizes[found:]
+        worst = far[:k].max()
+        stale = stale + 1
+        if best is None or worst < best:
+            roots = [float(np.sqrt(max(v, 0.0))) for v in values[:k]]
+            result = step.select("series", *[(x[c] * roots[c] if c < found else F.lit(0.0)).alias(f"pc{c + 1}")
+                                             for c in range(k)])
+            best, stale = worst, 0
+        if worst <= max(CLOSE * values[0], ROUNDING * ones) or stale >= PATIENCE:
+            return result
+        # rounding has the say in residuals that small: they give no new direction.  The
+        # others are centred again, as their division would make a mean of rounding grow
+        new = [(o - float(c)) / float(f) for o, f, c in zip(off, far, middle) if f > ROUNDING * ones]
+        p, q = _combined(s, last), _combined(m, last)
+        old, held, span = found, found + len(p), found + len(p) + len(new)
+        fresh = step.select("series", *[e.alias(f"s{c}") for c, e in enumerate([*x, *p, *new])],
+                            *[e.alias(f"m{c}") for c, e in enumerate([*y, *q])])
+
+
+def _times(vectors: DataFrame, links: DataFrame, cols: list[str], out: list[str]) -> DataFrame:
+    """``vectors`` with A A' of its columns ``cols`` as columns ``out``."""
+    at = vectors.select(F.col("series").alias("series_a"), *cols)
+    across = (links.join(at, "series_a").groupBy("series_b")
+              .agg(*[F.sum(F.col("v") * F.col(c)).alias(c) for c in cols]))
+    back = (links.join(across, "series_b").groupBy(F.col("series_a").alias("_s"))
+            .agg(*[F.sum(F.col("v") * F.col(c)).alias(o) for c, o in zip(cols, out)]))
+    both = vectors.join(back, F.col("series") == F.col("_s"), "left")
+    return both.select(*vectors.columns, *[F.coalesce(o, F.lit(0.0)).alias(o) for o in out])
+
+
+def _inner(step: DataFrame, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Inner products of the columns s with each other and with the columns m,
+    and the means of the latter: one row per column s comes to the driver."""
+    s, m = [f"s{c}" for c in range(span)], [f"m{c}" for c in range(span)]
+    rows = (step.select(*s, *m, F.posexplode(F.array(*s)).alias("i", "a")).groupBy("i")
+            .agg(*[F.sum(F.col("a") * F.col(c)) for c in [*s, *m]], *[F.avg(c) for c in m]).orderBy("i").collect())
+    cells = np.array([r[1:] for r in rows], dtype=float)
+    return cells[:, :span], cells[:, span:2 * span], cells[0, 2 * span:]
+
+
+def _best_vectors(gram: np.ndarray, products: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The largest eigenvalues within a span and the coefficients of their
+    orthonormal vectors; directions that the span has only by rounding go."""
+    scale = np.sqrt(np.maximum(np.diag(gram), 1e-300))
+    weight, basis = np.linalg.eigh(gram / scale[:, None] / scale[None, :])
+    kept = weight > 1e-12 * weight[-1]
+    basis = basis[:, kept] / np.sqrt(weight[kept]) / scale[:, None]
+    inside = basis.T @ (products + products.T) @ basis / 2
+    values, turn = np.linalg.eigh(inside)
+    order = np.argsort(-values)[:most]
+    return values[order], basis @ turn[:, order]
+
+
+def _combined(cols: list[Column], coef: np.ndarray) -> list[Column]:
+    """Linear combinations of columns, one per column of ``coef``."""
+    return [sum((c * float(w) for c, w in zip(cols[1:], ws[1:])), cols[0] * float(ws[0])) for ws in coef.T]
 
 
 #: Points of a column's prefix list that one task compares with all others.

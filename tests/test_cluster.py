@@ -76,6 +76,57 @@ def test_members_and_pca(spark):
         assert min(np.abs(col - ref[:, k]).max(), np.abs(col + ref[:, k]).max()) < 1e-8
 
 
+def _projected(spark, m, k):
+    names = [f"s{i:02d}" for i in range(len(m))]
+    got = {r[0]: r[1:] for r in cluster.pca_projection(_adj_frame(spark, m, names), k).collect()}
+    return np.array([got[n] for n in names], dtype=float)
+
+
+def test_pca_of_degenerate_rows(spark):
+    """Equal rows, no links, fewer components than asked for, equal variances."""
+    assert (_projected(spark, np.zeros((4, 4), dtype=int), 2) == 0).all()
+    assert np.abs(_projected(spark, np.tile([1, 0, 1, 0, 1], (5, 1)), 2)).max() < 1e-7
+    two = np.zeros((6, 6), dtype=int)
+    two[:3, 3:] = 1  # rows of two kinds: one component, at +-1.5 / sqrt(3)
+    got = _projected(spark, two, 3)
+    assert np.allclose(np.abs(got[:, 0]), np.sqrt(3) / 2) and np.abs(got[:, 1:]).max() < 1e-6
+    pairs = np.kron(np.eye(10, dtype=int), np.array([[0, 1], [1, 0]]))
+    got = _projected(spark, pairs, 2)
+    assert np.allclose(got.T @ got, np.eye(2), atol=1e-9)
+
+
+def test_pca_of_many_sparse_series(spark):
+    """20,000 series: no matrix of series by series anywhere.  Three tight
+    groups carry the variance; the others are linked to their next one.  The
+    result is an eigenvector of the centred product, by numpy on the edges."""
+    n, sizes = 20_000, (160, 120, 80)
+    rng = np.random.default_rng(5)
+    edges, at = [], 0
+    for size in sizes:
+        i, j = np.nonzero(rng.random((size, size)) < 0.8)
+        edges.append(np.stack([i[i != j], j[i != j]]) + at)
+        at += size
+    rest = np.arange(at, n - 1)
+    edges.append(np.stack([rest, rest + 1]))
+    edges.append(np.array([[n - 1], [at]]))
+    a, b = np.concatenate(edges, axis=1)
+    frame = spark.createDataFrame([(f"s{i:05d}", f"s{j:05d}", 1) for i, j in zip(a.tolist(), b.tolist())],
+                                  "series_a string, series_b string, adj int")
+    rows = cluster.pca_projection(frame, 2).collect()
+    assert len(rows) == len(set(r.series for r in rows)) == n
+    p = np.zeros((n, 2))
+    for r in rows:
+        p[int(r.series[1:])] = (r.pc1, r.pc2)
+    var = (p * p).sum(axis=0)
+    for c in range(2):
+        z = np.bincount(b, weights=p[a, c], minlength=n)
+        back = np.bincount(a, weights=z[b], minlength=n)
+        assert np.abs(back - back.mean() - var[c] * p[:, c]).max() < 1e-6 * var[c]
+    assert var[0] > 1.5 * var[1] > 0 and abs(p.mean(axis=0)).max() < 1e-9
+    for c, (lo, hi) in enumerate([(0, 160), (160, 280)]):  # each on its own group
+        assert (p[lo:hi, c] ** 2).sum() > 0.99 * var[c]
+
+
 def test_long_chain_is_one_component(spark):
     n = 3000
     nodes = spark.range(n).withColumnRenamed("id", "i")
