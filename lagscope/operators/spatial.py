@@ -37,7 +37,11 @@ def heat_weights(df: DataFrame, cols: Sequence[str], year: int | None = None, fa
 def heat_points(weights: DataFrame) -> DataFrame:
     """Expanded point cloud: each (lat, lon) repeated ``weight`` times (zero
     weight -> no row).  The compact ``heat_weights`` form is preferable for
-    transport; this is the format point-based renderers consume."""
+    transport; this is the format point-based renderers consume.  Rows are
+    dealt out by (site, day) before they are repeated and keep that order, so a
+    site with most of the points is many tasks."""
+    keys = [c for c in ("lat", "lon", "date") if c in weights.columns]
+    weights = weights.repartitionByRange(*keys).sortWithinPartitions(*keys)
     pts = F.explode(F.array_repeat(F.struct("lat", "lon"), F.greatest(F.col("weight"), F.lit(0))))
     return weights.select(pts.alias("p")).select("p.lat", "p.lon")
 

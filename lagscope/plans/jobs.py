@@ -73,7 +73,7 @@ def cost_scores(spark: SparkSession, root: str, price_path: str, year: int = 201
     price = sc.price_scenario(spark, price_path, years=[year], header=price_header, scaled=False)
     res = score.cost_score(wide, labels, price, lag=lag, latest_priced=latest_priced)
     if out:
-        sinks.write_csv(res.select("lat", "lon", "score"), out, single=True, mode="overwrite")
+        sinks.write_csv(res.select("lat", "lon", "score"), out, single=True, mode="overwrite", order_by=["lat", "lon"])
     return res
 
 

@@ -1,12 +1,13 @@
 """Sinks: CSV / Parquet writers, the scenario store, vector <-> text.
 
-Writers are distributed (one file per partition) unless ``single=True``,
-which coalesces to one partition and is meant only for small, already
-aggregated results such as a heat map or a score table.
+Writers are distributed, one file per partition.  ``single=True`` gives one CSV
+file: its parts are written by as many tasks as the plan has, and the file
+system client joins their bytes behind one header.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,16 +17,67 @@ _MODES = {"error", "errorifexists", "overwrite", "append", "ignore"}
 
 
 def write_csv(df: DataFrame, path: str, single: bool = False, mode: str = "errorifexists",
-              header: bool = True) -> None:
-    """Header CSV in one write with one save mode.  ``single`` -> one output
-    file and no ``_SUCCESS`` marker (for small results only)."""
+              header: bool = True, order_by: Sequence[str] = ()) -> None:
+    """Header CSV in one write with one save mode.  ``order_by`` sorts the rows
+    by range, in all tasks.  ``single`` -> one output file, no ``_SUCCESS``
+    marker: the plan keeps its partitions, whose files are joined in their
+    order.  An interrupted write leaves no file, and the old one in place."""
     if mode not in _MODES:
         raise ValueError(f"mode must be one of {sorted(_MODES)}")
-    out = df.coalesce(1) if single else df
-    w = out.write.mode(mode).option("header", header)
+    out = df.orderBy(*order_by) if order_by else df
     if single:
-        w = w.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
-    w.csv(path)
+        _write_one_file(out, path.rstrip("/"), mode, header)
+    else:
+        out.write.mode(mode).option("header", header).csv(path)
+
+
+def _write_one_file(df: DataFrame, path: str, mode: str, header: bool) -> None:
+    spark = df.sparkSession
+    target, fs = hadoop_path(spark, path)
+    if fs.exists(target):
+        if mode == "ignore":
+            return
+        if mode in ("error", "errorifexists"):
+            raise FileExistsError(path)
+    name = uuid.uuid4().hex
+    work = f"{path}.parts-{name}"
+    try:
+        parts = [f"{work}/rows"]
+        df.write.option("header", False).csv(parts[0])
+        if header:
+            # written as a row, so that names are quoted like values
+            parts.insert(0, f"{work}/header")
+            spark.createDataFrame([tuple(df.columns)], ", ".join(f"c{i} string" for i in range(len(df.columns)))).coalesce(
+                1).write.csv(parts[0])
+        merge_files(spark, parts, f"{work}/whole")
+        if mode == "overwrite":
+            fs.delete(target, True)
+        fs.mkdirs(target)
+        fs.rename(hadoop_path(spark, f"{work}/whole")[0], hadoop_path(spark, f"{path}/part-00000-{name}.csv")[0])
+    finally:
+        fs.delete(hadoop_path(spark, work)[0], True)
+
+
+def merge_files(spark: SparkSession, folders: Sequence[str], target: str) -> None:
+    """The bytes of the part files of ``folders``, in the order of folders and
+    then of names, as the file ``target``.  The client copies through one buffer
+    of 64 KB, so nothing of the data is held."""
+    copy = spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils.copyBytes
+    to, fs = hadoop_path(spark, target)
+    out = fs.create(to, True)
+    try:
+        for folder in folders:
+            at = hadoop_path(spark, folder)[0]
+            files = sorted(((st.getPath().getName(), st.getPath()) for st in fs.listStatus(at)), key=lambda f: f[0])
+            for name, file in files:
+                if name.startswith("part-"):
+                    part = fs.open(file)
+                    try:
+                        copy(part, out, 1 << 16, False)
+                    finally:
+                        part.close()
+    finally:
+        out.close()
 
 
 def write_correlations(cors: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:
