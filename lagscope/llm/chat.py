@@ -8,11 +8,14 @@ conversation whose whole hash is a proper prefix hash of another is a snapshot,
 and an anti-join keeps the others.  Of equal conversations the one with the
 smallest id stays.  The rest is rendered.
 
-Everything is DataFrame functions.  Windows run over segments of a
-conversation, whose totals are carried on by a window over segments, so a
-conversation with a third of all turns is many tasks; first turns or whole
-conversations that many logs share are aggregated map-side before the
-anti-join, where every key stands once.
+Everything is DataFrame functions.  Turns are sorted by range over the whole
+table, rows that repeat being told apart by where they are stored, so a
+conversation with a third of all turns is many tasks, whatever its turn numbers
+are (all null, all equal).  A turn's position is its place in its range plus what
+the ranges before hold of its conversation; windows run over segments of
+positions, whose totals are carried on by a window over segments, and see hashes
+only, no texts.  First turns or whole conversations that many logs share are
+aggregated map-side before the anti-join, where every key stands once.
 """
 
 from __future__ import annotations
@@ -22,41 +25,62 @@ from pyspark.sql import functions as F
 
 from .common import attach, pick, stage
 
-#: Values of the turn number that share a segment; turns of one rendered text.
-SEGMENT, RENDERED_TURNS = 256, 1024
+#: Turns of a segment; turns of one rendered text.
+SEGMENT, RENDERED_TURNS = 1024, 1024
 
 
-def prefix_hashes(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
-                  text_col: str = "text", segment: int = SEGMENT) -> DataFrame:
-    """(conv, pos, role, text, h1, h2, n) of every turn: its position from 0,
-    the rolling hashes of the turns up to it, the turns of its conversation.
-
-    Turns stand in the order of turn (null first), then role, then text."""
+def sorted_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
+                 text_col: str = "text") -> DataFrame:
+    """(key, role, text, at) of every turn, staged: ``key`` is (conv, run), the
+    run being the range of the sorted table that holds the turn, ``at`` the
+    turn's place there.  Turns of a conversation stand in the order of turn (null
+    first), then role, then text."""
     t = pick(turns, conv_col, turn_col, role_col, text_col).select(
         F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"),
         F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"),
-        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    # one key for windows and joins (a struct compares its nulls as equal): the
-    # texts are dealt out by it once and stay there
-    t = t.withColumn("key", F.struct("conv", F.floor(F.col("turn") / F.lit(segment)).alias("seg")))
-    inside = Window.partitionBy("key").orderBy("turn", "role", "text")
+        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+        # equal rows are interchangeable: their place in the input lets ranges part them
+        F.monotonically_increasing_id().alias("stored"))
+    order = ["conv", "turn", "role", "text", "stored"]
+    t = t.repartitionByRange(*order).sortWithinPartitions(*order)
+    # (a struct compares its nulls as equal)
+    return stage(t.select(F.struct("conv", F.spark_partition_id().alias("run")).alias("key"), "role", "text",
+                          F.monotonically_increasing_id().alias("at")), "chat-turns")
+
+
+def run_starts(rows: DataFrame) -> DataFrame:
+    """One row per conversation and range: ``k`` turns there from place
+    ``first`` on, ``past`` in earlier ranges, ``n`` in all."""
+    whole = Window.partitionBy("key.conv")
+    before = whole.orderBy("key.run").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.groupBy("key").agg(F.count("*").alias("k"), F.min("at").alias("first")).select(
+        "key", "k", "first", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("past"), F.sum("k").over(whole).alias("n"))
+
+
+def _rolling(rows: DataFrame, starts: DataFrame, segment: int) -> DataFrame:
+    t = rows.select("key", "at", F.xxhash64("role", "text").alias("ra"), F.xxhash64(F.lit("b"), "text", "role").alias("rb"))
+    t = t.join(starts, "key").withColumn("pos", F.col("past") + F.col("at") - F.col("first"))
+    t = t.select(F.struct("key.conv", F.floor(F.col("pos") / F.lit(segment)).alias("seg")).alias("key"), "pos", "n",
+                 F.xxhash64("pos", "ra").alias("a"), F.xxhash64("pos", "rb").alias("b"))
+    upto = Window.partitionBy("key").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = Window.partitionBy("key.conv").orderBy("key.seg").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per conversation and segment: what the segments before it hold
-    counts = t.groupBy("key").agg(F.count("*").alias("k"))
-    counts = counts.select("key", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("past"),
-                           F.sum("k").over(Window.partitionBy("key.conv")).alias("n"))
-    t = t.withColumn("i", F.row_number().over(inside)).join(counts, "key")
-    t = t.withColumn("pos", F.col("past") + F.col("i") - 1)
-    t = t.withColumn("a", F.xxhash64("pos", "role", "text")).withColumn("b", F.xxhash64(F.lit("b"), "text", "pos", "role"))
     totals = t.groupBy("key").agg(F.bit_xor("a").alias("ta"), F.bit_xor("b").alias("tb"))
     totals = totals.select("key", *[F.coalesce(F.bit_xor(c).over(before), F.lit(0)).alias(p)
                                     for c, p in (("ta", "pa"), ("tb", "pb"))])
-    upto = Window.partitionBy("key").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     t = t.withColumn("xa", F.bit_xor("a").over(upto)).withColumn("xb", F.bit_xor("b").over(upto)).join(totals, "key")
-    return t.select("conv", "pos", "role", "text", F.col("xa").bitwiseXOR(F.col("pa")).alias("h1"),
+    return t.select("key.conv", "pos", F.col("xa").bitwiseXOR(F.col("pa")).alias("h1"),
                     F.col("xb").bitwiseXOR(F.col("pb")).alias("h2"), "n")
 
 
+def prefix_hashes(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
+                  text_col: str = "text", segment: int = SEGMENT) -> DataFrame:
+    """(conv, pos, h1, h2, n) of every turn: its position from 0, the rolling
+    hashes of the turns up to it, the turns of its conversation.  The order of
+    turns is that of ``sorted_turns``."""
+    rows = sorted_turns(turns, conv_col, turn_col, role_col, text_col)
+    return _rolling(rows, stage(run_starts(rows), "chat-runs"), segment)
+
+
 def maximal_conversations(hashes: DataFrame) -> DataFrame:
     """(conv, n, n_copies) of the conversations that prefix no longer one; of
     equal ones the smallest id, with their number."""
@@ -80,10 +104,13 @@ def chat_texts(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "tur
     one with an id stands for; an empty table gives no rows; other columns are
     ignored, whatever their names.
     """
-    hashes = stage(prefix_hashes(turns, conv_col, turn_col, role_col, text_col), "chat-hashes")
-    best = maximal_conversations(hashes).select(F.struct("conv").alias("key"), "n", "n_copies")
-    rows = hashes.select(F.struct("conv").alias("key"), "conv", "pos", "role", "text")
-    rows = attach(rows, stage(best, "chat-maximal"), "key", "n", ["n", "n_copies"], deal_by=["conv", "pos"])
+    rows = sorted_turns(turns, conv_col, turn_col, role_col, text_col)
+    starts = stage(run_starts(rows), "chat-runs")
+    hashes = stage(_rolling(rows, starts, SEGMENT), "chat-hashes")
+    best = maximal_conversations(hashes).select(F.struct("conv").alias("best"), "n_copies")
+    kept = starts.join(best, F.struct("key.conv") == F.col("best")).drop("best")
+    rows = attach(rows, stage(kept, "chat-maximal"), "key", "k", ["first", "past", "n", "n_copies"], deal_by=["at"])
+    rows = rows.select("key.conv", (F.col("past") + F.col("at") - F.col("first")).alias("pos"), "role", "text", "n", "n_copies")
     turn = F.concat(F.lit("<|im_start|>"), "role", F.lit("\n"), "text", F.lit("<|im_end|>\n"))
     part = F.floor(F.col("pos") / F.lit(rendered_turns))
     out = rows.where("n IS NOT NULL").groupBy("conv", part.alias("part"), F.col("n").alias("n_turns"), "n_copies").agg(

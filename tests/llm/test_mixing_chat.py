@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from lagscope.llm import chat, mixing
 
@@ -170,5 +171,31 @@ def test_chat_parts_and_native_plan(spark):
     assert not re.search("Python|Pandas|ArrowEval", plan)
 
 
+def test_hot_conversations_without_turn_numbers_are_many_tasks(spark):
+    """A third of all turns have a null number, a third are one row again and
+    again: both conversations are split over ranges, and come out whole."""
+    n = 4000
+    rows = [(1, None, "u", f"t{i % 977}") for i in range(n)] + [(2, 7, "u", "same")] * n
+    rows += [(i, 0, "u", f"t{i}") for i in range(10, 10 + n)]
+    df = spark.createDataFrame(rows, CHAT).repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        starts = chat.run_starts(chat.sorted_turns(df)).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    per_task, runs = Counter(), Counter()
+    for r in starts:
+        per_task[r.key.run] += r.k
+        runs[r.key.conv] += 1
+        assert r.n == (n if r.key.conv < 10 else 1)
+    assert runs[1] > 1 and runs[2] > 1 and max(per_task.values()) < n
+    out = chat.chat_texts(df, rendered_turns=100)
+    want = {k: [x for x in brute_chat([r for r in rows if r[0] == k])][0][4] for k in (1, 2)}
+    for k in (1, 2):
+        parts = out.where(F.col("conv_id") == k).orderBy("part").collect()
+        assert [p.part for p in parts] == list(range(n // 100)) and "".join(p.text for p in parts) == want[k]
+    assert out.where("conv_id >= 10").count() == n
+
+
 def test_chat_empty(spark):
     assert chat.chat_texts(spark.createDataFrame([], CHAT)).count() == 0
