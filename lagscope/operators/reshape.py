@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lagscope.functions.exprs import sanitize_names
@@ -58,19 +58,44 @@ def criterion_sums(df: DataFrame, precision: int | None = 3, with_unit: bool = F
 
 def pivot_sums(sums: DataFrame, criteria: Sequence[str], drop_null: bool = True, with_unit: bool = False,
                keys: Sequence[str] = ("lat", "lon", "date"), criteria_col: str = "criteria") -> DataFrame:
-    """One row per key, the mean of each criterion as a column."""
-    crit, q = sorted(criteria), _quote
-    # aggregates as SQL strings: one driver call for the whole pivot
-    aggs = []
-    for c, name in zip(crit, sanitize_names(crit)):
-        is_c = f"{q(criteria_col)} = {_sql_str(c)}"
-        aggs.append(f"try_divide(sum(CASE WHEN {is_c} THEN _s END), sum(CASE WHEN {is_c} THEN _n END)) AS {q(name)}")
-        if with_unit:
-            aggs.append(f"min(CASE WHEN {is_c} THEN _u END) AS {q(name + '_unit')}")
-    wide = sums.groupBy(*keys).agg(*[F.expr(a) for a in aggs])
+    """One row per key, the mean of each criterion as a column.  ``sums`` has
+    one row per key and criterion, as ``criterion_sums`` gives them.
+
+    The cells of a key are gathered as one sorted array, so work and generated
+    code follow the cells that are there, not rows x criteria.  A complete row
+    has as many cells as there are criteria, and its columns are read from the
+    array by place; only where incomplete rows are kept are cells numbered by a
+    join with the criteria and the gaps between them filled."""
+    crit = sorted(criteria)
+    parts = {"_m": "try_divide(_s, _n)"} | ({"_u": "_u"} if with_unit else {})
+    cells = sums.where(F.col(criteria_col).isin(crit)).withColumns({c: F.expr(e) for c, e in parts.items()})
+    place = criteria_col
     if drop_null:
-        wide = wide.na.drop(how="any", subset=[c for c in wide.columns if c not in keys])
-    return wide
+        cells = cells.where(" AND ".join(f"{c} IS NOT NULL" for c in parts))
+    else:
+        names = sums.sparkSession.range(1).select(F.posexplode(F.array(*[F.lit(c) for c in crit])).alias("_i", "_name"))
+        cells, place = cells.join(names, F.col(criteria_col) == F.col("_name")), "_i"
+    rows = cells.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(place).alias("_i"), *parts))).alias("_cells"))
+    if drop_null:
+        rows = rows.where(F.size("_cells") == len(crit))
+    else:
+        rows = rows.withColumn("_cells", _filled(rows.schema["_cells"].dataType.elementType.simpleString(), len(crit)))
+    rows = rows.select(*keys, *[F.col(f"_cells.{c}").alias(c) for c in parts])
+    names = sanitize_names(crit)
+    wide = [(f"_m[{i}]", n) for i, n in enumerate(names)]
+    if with_unit:
+        wide = [x for i, (m, n) in enumerate(wide) for x in ((m, n), (f"_u[{i}]", n + "_unit"))]
+    return rows.selectExpr(*[_quote(k) for k in keys], *[f"{e} AS {_quote(n)}" for e, n in wide])
+
+
+def _filled(cell: str, many: int) -> Column:
+    """``_cells`` (sorted by their place ``_i``) with a null at each of the
+    ``many`` places that has none."""
+    gap = f"CAST(NULL AS {cell})"
+    return F.expr(f"""flatten(concat(
+        transform(_cells, (c, j) -> concat(
+            array_repeat({gap}, c._i - if(j = 0, -1, _cells[greatest(j - 1, 0)]._i) - 1), array(c))),
+        array(array_repeat({gap}, {many - 1} - element_at(_cells, -1)._i))))""")
 
 
 def discover_pivot(df: DataFrame, **how) -> tuple[DataFrame, list[str], list[str]]:
@@ -95,10 +120,6 @@ def _quote(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def _sql_str(value: str) -> str:
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def melt(df: DataFrame, ids: Sequence[str], values: Sequence[str], var: str = "series",
          val: str = "value") -> DataFrame:
     """Wide -> long: one row per (ids, column).  This is the distributed

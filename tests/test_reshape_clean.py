@@ -91,3 +91,39 @@ def test_pivot_paths_agree(spark):
     for ra, rb in zip(a, b):
         for x, y in zip(ra, rb):
             assert (x == y) if not isinstance(x, float) else abs(x - y) < 1e-9
+
+
+def test_pivot_of_two_thousand_criteria(spark):
+    """Complete rows, rows with gaps at the start, inside and at the end, a row
+    whose only value is null; the code generated follows the cells."""
+    import pyspark.sql.functions as F
+
+    many = 2000
+    crit = [f"c{i:04d}" for i in range(many)]
+    day = F.lit(D).alias("date")
+    whole = spark.range(3 * many).select((F.col("id") % 3).cast("double").alias("lat"),
+                                         F.format_string("c%04d", F.floor(F.col("id") / 3)).alias("criteria"),
+                                         F.floor(F.col("id") / 3).cast("double").alias("value"))
+    sparse = spark.createDataFrame([(7.0, "c0003", 1.0), (7.0, "c0003", 2.0), (7.0, "c1990", 5.0), (8.0, "c0000", 4.0),
+                                    (8.0, "c1999", 6.0), (9.0, "c0500", None), (9.0, "other", 1.0)],
+                                   "lat double, criteria string, value double")
+    long = whole.unionByName(sparse).select("criteria", "lat", F.lit(1.0).alias("lon"), day, "value")
+    full = {r.lat: r for r in reshape.pivot_wide(long, crit).collect()}
+    assert sorted(full) == [0.0, 1.0, 2.0]
+    assert all(list(r)[3:] == [float(i) for i in range(many)] for r in full.values())
+    wide = reshape.pivot_wide(long, crit, drop_null=False)
+    assert wide.columns == ["lat", "lon", "date", *crit]
+    got = {r.lat: {c: v for c, v in zip(crit, list(r)[3:]) if v is not None} for r in wide.collect()}
+    assert got[7.0] == {"c0003": 1.5, "c1990": 5.0} and got[8.0] == {"c0000": 4.0, "c1999": 6.0} and got[9.0] == {}
+    assert got[0.0] == {c: float(i) for i, c in enumerate(crit)}
+
+
+def test_pivot_with_missing_units_and_null_keys(spark):
+    df = spark.createDataFrame([("CO", 1.0, 1.0, None, 1.0, "ppm"), ("O3", 1.0, 1.0, None, 2.0, None),
+                                ("CO", 2.0, 1.0, D, 1.0, "ppm"), ("O3", 2.0, 1.0, D, 3.0, "ppb")], SCHEMA)
+    # a complete row has all its units, too; a null key is a key
+    assert [r.lat for r in reshape.pivot_wide(df, ["CO", "O3"], with_unit=True).collect()] == [2.0]
+    assert sorted(r.lat for r in reshape.pivot_wide(df, ["CO", "O3"]).collect()) == [1.0, 2.0]
+    units = {r.lat: (r.CO_unit, r.O3_unit) for r in reshape.pivot_wide(df, ["CO", "O3"], None, False, True).collect()}
+    assert units == {1.0: ("ppm", None), 2.0: ("ppm", "ppb")}
+    assert reshape.pivot_wide(df, []).collect() == []
