@@ -529,10 +529,10 @@ register("deseason_yearly", _deseason_sql("year"))(_deseason("yearly"))
 
 
 @register("climatology", with_(SQL_M, SQL_W, SQL_D) + f"""
-SELECT CAST(dayofyear AS INTEGER) AS dayofyear, {", ".join(f'round(avg("{c}"),6) AS "{c}"' for c in FLAGS)}
+SELECT CAST(dayofyear AS INTEGER) AS dayofyear, {", ".join(f'round(avg("{c}") + {OFF_TIE},6) AS "{c}"' for c in FLAGS)}
 FROM d GROUP BY 1""")
 def climatology(spark, sf):
-    return rounded(series.climatology(daily(spark, sf), FLAGS), PRICE_DIGITS)
+    return rounded(off_tie(series.climatology(daily(spark, sf), FLAGS), FLAGS), PRICE_DIGITS)
 
 
 # --------------------------------------------------------------------------
